@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from routeloom.llm.decontamination import OP4_SQL, op4_decontamination
 from routeloom.llm.mixing import OP2_SQL, op2_mixing
+from routeloom.llm.quality import op6_quality
 from routeloom.llm.sharding import op7_sharding
+from routeloom.llm.simhash import op5_simhash
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
 }
 
 ORACLE_SQL = {
     "op2_mixing": OP2_SQL,
+    "op4_decontamination": OP4_SQL,
 }
