@@ -25,15 +25,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder: it survives lost executors and ends the lineage.
-
-    The folder is the cluster's `spark.checkpoint.dir`; only where no folder is set (tests) a temporary one is used.
-    """
-    spark = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the cluster's `spark.checkpoint.dir`, or a temporary one where no folder is set (tests)."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared checkpoint folder: it survives lost executors and ends the lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
