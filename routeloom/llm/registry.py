@@ -7,6 +7,7 @@ from routeloom.llm.mixing import OP2_SQL, op2_mixing
 from routeloom.llm.quality import op6_quality
 from routeloom.llm.sharding import op7_sharding
 from routeloom.llm.simhash import op5_simhash
+from routeloom.llm.substrings import OP8_SQL, op8_substrings
 
 QUERIES = {
     "op2_mixing": op2_mixing,
@@ -14,9 +15,11 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_substrings": op8_substrings,
 }
 
 ORACLE_SQL = {
     "op2_mixing": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op8_substrings": OP8_SQL,
 }
