@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from routeloom.llm.decontamination import OP4_SQL, op4_decontamination
+from routeloom.llm.html import op9_html
 from routeloom.llm.merkle import OP3_SQL, op3_merkle
 from routeloom.llm.mixing import OP2_SQL, op2_mixing
+from routeloom.llm.pii import op10_pii
 from routeloom.llm.quality import op6_quality
 from routeloom.llm.sharding import op7_sharding
 from routeloom.llm.simhash import op5_simhash
@@ -20,6 +22,8 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op8_substrings": op8_substrings,
+    "op9_html": op9_html,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {
