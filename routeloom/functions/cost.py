@@ -7,6 +7,8 @@ import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,10 +90,18 @@ def costed(edges: DataFrame, cost: Column | Weights) -> DataFrame:
     return edges.withColumn("cost", (cost.column() if isinstance(cost, Weights) else cost).cast("double"))
 
 
+def checked_costs(edges: pd.DataFrame) -> pd.DataFrame:
+    """Costed edges in memory; a cost that is missing, infinite or negative raises, even on an edge no search would reach."""
+    cost = edges["cost"].to_numpy(dtype=np.float64)
+    bad = np.flatnonzero(~np.isfinite(cost) | (cost < 0))
+    if len(bad):
+        row = edges.iloc[bad[0]]
+        raise GraphError(f"Edge costs must be finite and non-negative; {row['src']!r} -> {row['dst']!r} is not {'non-negative' if cost[bad[0]] < 0 else 'finite'}: {cost[bad[0]]}")
+    return edges
+
+
 def check_costs(edges: DataFrame) -> DataFrame:
-    """The costed edges; a cost that is missing, infinite or negative raises, even on an edge no search would reach."""
-    bad = edges.where(not_finite("cost") | (F.col("cost") < 0)).select("src", "dst", "cost").head()
-    if bad:
-        what = "non-negative" if bad["cost"] is not None and bad["cost"] < 0 else "finite"
-        raise GraphError(f"Edge costs must be finite and non-negative; {bad['src']!r} -> {bad['dst']!r} is not {what}: {bad['cost']}")
+    """As checked_costs, for costed edges of any number."""
+    bad = edges.where(not_finite("cost") | (F.col("cost") < 0)).select("src", "dst", "cost").limit(1)
+    checked_costs(bad.toPandas())
     return edges

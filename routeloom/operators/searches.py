@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.functions.cost import check_costs
+from routeloom.functions.cost import checked_costs
 from routeloom.operators import kernels
 from routeloom.plans.schema import SEARCH_RESULT, TRACE, Graph, GraphError
 
@@ -18,16 +18,22 @@ from routeloom.plans.schema import SEARCH_RESULT, TRACE, Graph, GraphError
 MAX_EDGES = 5_000_000
 
 
-def fits(graph: Graph, most: int = MAX_EDGES) -> bool:
-    return graph.edges.limit(most + 1).count() <= most and graph.nodes.limit(most + 1).count() <= most
+def held(df: DataFrame, most: int) -> pd.DataFrame:
+    """A frame on the driver, computed once; more than `most` rows raise before any is fetched."""
+    df = df.persist()
+    try:
+        if df.count() > most:
+            raise GraphError(f"the graph has more than {most} edges or nodes; use shortest_paths or bfs_levels")
+        return df.toArrow().to_pandas()
+    finally:
+        df.unpersist()
 
 
 def in_memory(graph: Graph, most: int = MAX_EDGES) -> kernels.Network:
-    """The costed graph as arrays on the driver; its size is checked first."""
-    if not fits(graph, most):
-        raise GraphError(f"the graph has more than {most} edges or nodes; use shortest_paths or bfs_levels")
-    edges = check_costs(graph.edges).select("src", "edge_ord", "dst", "cost", "distance_km", "time_min").toPandas()
-    return kernels.network(graph.nodes.select("node_id", "node_ord", "latitude", "longitude").toPandas(), edges)
+    """The costed graph as arrays on the driver; its size and its costs are checked."""
+    edges = held(graph.edges.select("src", "edge_ord", "dst", "cost", "distance_km", "time_min"), most)
+    checked_costs(edges)
+    return kernels.network(held(graph.nodes.select("node_id", "node_ord", "latitude", "longitude"), most), edges)
 
 
 def shared(graph: Graph) -> Broadcast:
@@ -40,15 +46,23 @@ def dealt(requests: DataFrame) -> DataFrame:
     return requests.repartition(requests.sparkSession.sparkContext.defaultParallelism)
 
 
-def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuristic: kernels.Heuristic | None = None) -> DataFrame:
+def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuristic: kernels.Heuristic | None = None, visited: bool = True) -> DataFrame:
     """`requests` (request_id, start, goal, algorithm) to search results, one row each.
 
-    scale: the weight of distance, by which A* multiplies great-circle km so that it never overestimates.
+    scale: the weight of distance, by which A* multiplies great-circle km so that it never overestimates. Without
+    visited, visited_order is null: reports that only count need not move it.
     """
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [{"request_id": r} | kernels.search(net.value, a, s, g, heuristic, scale) for r, s, g, a in zip(pdf["request_id"], pdf["start"], pdf["goal"], pdf["algorithm"])]
+            rows = []
+            for r, s, g, a in zip(pdf["request_id"], pdf["start"], pdf["goal"], pdf["algorithm"]):
+                rows.append({"request_id": r} | kernels.search(net.value, a, s, g, heuristic, scale))
+                if not visited:
+                    rows[-1]["visited_order"] = None
+                if len(rows) == 500:
+                    yield frame(rows, schema)
+                    rows = []
             yield frame(rows, schema)
 
     schema = T._parse_datatype_string(f"request_id long, {SEARCH_RESULT}")
@@ -56,7 +70,10 @@ def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuris
 
 
 def run_all_targets(net: Broadcast, sources: DataFrame, goals: list[str] | None = None, paths: bool = True) -> DataFrame:
-    """`sources` (source) to cheapest routes to each goal: one run a source; without paths only (source, node, cost)."""
+    """`sources` (source) to cheapest routes to each goal: one run a source; without paths only (source, node, cost).
+
+    All routes of a source share the visited order of its run.
+    """
     full = T._parse_datatype_string(f"source string, {SEARCH_RESULT}")
     brief = T._parse_datatype_string("source string, node string, cost double")
 

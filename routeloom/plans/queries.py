@@ -233,7 +233,8 @@ def ucs_astar_dijkstra_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_algorithm(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     net = searches.shared(derived.basket_graph(spark, sf_dir))
-    return audit.run_matrix(net, audit.ordered_pairs(text_landmarks(spark, sf_dir)), (name,)).drop("runtime_ms", "request_id")
+    wanted = audit.requests(audit.ordered_pairs(text_landmarks(spark, sf_dir)), (name,))
+    return searches.run_searches(net, wanted).drop("runtime_ms", "request_id")
 
 
 @query(f"""WITH RECURSIVE {E}, {MARKS},
