@@ -207,8 +207,8 @@ def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = searches.shared(derived.basket_graph(spark, sf_dir))
     marks = text_landmarks(spark, sf_dir)
     goals = [r["node"] for r in marks.collect()]  # 24 landmarks
-    found = searches.run_all_targets(net, marks.withColumnRenamed("node", "source"), goals).where("success AND start <> goal")
-    return found.select(F.col("start").cast("long").alias("start"), F.col("goal").cast("long").alias("goal"), F.col("total_cost").cast("long").alias("cost"))
+    found = searches.run_all_targets(net, marks.withColumnRenamed("node", "source"), goals, paths=False).where("source <> node")
+    return found.select(F.col("source").cast("long").alias("start"), F.col("node").cast("long").alias("goal"), F.col("cost").cast("long").alias("cost"))
 
 
 @query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0 AS broken FROM d JOIN marks USING (node) WHERE s <> node AND s = (SELECT MIN(node) FROM marks)")

@@ -26,6 +26,8 @@ def graph_from_documents(documents: DataFrame) -> Graph:
     spark = documents.sparkSession
     nested = F.get_json_object("value", "$.adjacency")
     parsed = documents.select(F.from_json(F.coalesce(nested, F.col("value")), ADJACENCY).alias("adjacency"), F.from_json(F.get_json_object("value", "$.nodes"), NODES).alias("known"))
+    if parsed.where("adjacency IS NOT NULL").isEmpty():
+        raise GraphError("not an adjacency document")
     listed = parsed.select(F.posexplode("adjacency").alias("node_ord", "node_id", "targets"), "known")
     place = F.col("known")[F.col("node_id")]
     nodes = listed.select("node_id", "node_ord", place["latitude"].alias("latitude"), place["longitude"].alias("longitude"), place["display_name"].alias("display_name"))
@@ -57,8 +59,9 @@ def graph_from_rows(spark: SparkSession, adjacency: dict[str, list[dict]], place
 def adjacency_json(graph: Graph) -> DataFrame:
     """One row with the document that read_graph_json reads back: a graph's round trip."""
     edge: Column = F.struct("edge_ord", F.struct(F.col("dst").alias("to"), *FIELDS[1:], "metadata").alias("e"))
-    own = graph.edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("targets"))
-    entry = F.struct("node_ord", "node_id", F.coalesce("targets", F.array()).alias("targets"), F.struct("display_name", "latitude", "longitude").alias("place"))
-    listed = graph.nodes.join(own, F.col("node_id") == F.col("src"), "left").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    by = lambda c: lambda a, b: a[c] - b[c]
+    own = graph.edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(edge), by("edge_ord")), lambda x: x["e"]).alias("targets"))
+    entry = F.struct("node_ord", "node_id", F.coalesce("targets", F.array().cast(own.schema["targets"].dataType)).alias("targets"), F.struct("display_name", "latitude", "longitude").alias("place"))
+    listed = graph.nodes.join(own, F.col("node_id") == F.col("src"), "left").agg(F.array_sort(F.collect_list(entry), by("node_ord")).alias("all"))
     part = lambda value: F.map_from_arrays(F.transform("all", lambda x: x["node_id"]), F.transform("all", lambda x: x[value]))
     return listed.select(F.to_json(F.struct(part("place").alias("nodes"), part("targets").alias("adjacency"))).alias("value"))

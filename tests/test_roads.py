@@ -1,0 +1,231 @@
+"""The way from road features to a planner, on invented roads."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from routeloom.operators import etl, routes
+from routeloom.plans.planner import RoutePlanner
+from routeloom.plans.schema import GraphError
+from routeloom.streaming.trace import display_steps, messages, read_trace_stream, stream_steps
+
+
+def road(points, **properties):
+    return {"type": "Feature", "geometry": {"type": "LineString", "coordinates": points}, "properties": {"highway": "residential", "length": 111.0, "oneway": False, **properties}}
+
+
+def both(a, b, **properties):
+    return [road([a, b], **properties), road([b, a], **properties)]
+
+
+def grid(lon, lat, n, m, step=0.001):
+    """A grid of n x m crossings, all streets both ways."""
+    at = lambda i, j: [round(lon + i * step, 7), round(lat + j * step, 7)]
+    out = []
+    for i in range(n):
+        for j in range(m):
+            if i + 1 < n:
+                out += both(at(i, j), at(i + 1, j), name=f"East {j}", highway="primary" if j == 0 else "residential")
+            if j + 1 < m:
+                out += both(at(i, j), at(i, j + 1), name=f"North {i}", length=110.6)
+    return out
+
+
+CITY = grid(106.7, 10.7, 5, 5) + grid(106.72, 10.7, 5, 5)
+ODD = [
+    road([[106.7, 10.7], [106.701, 10.7]], highway=["secondary", "service"], maxspeed=["90", "50"], name=["Ðường A", "Ðường A", "B"], length=100.0, lanes="2", osmid=7),  # faster than the first
+    road([[106.7, 10.7], [106.701, 10.7]], highway="service", length=100.0),  # slower
+    road([[106.7, 10.7], [106.7005, 10.7003], [106.7, 10.7]]),  # a loop
+    {"type": "Feature", "geometry": {"type": "Point", "coordinates": [106.7, 10.7]}, "properties": {}},
+    {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[1, 1], [2, 2], [1, 1]]]}, "properties": {"highway": "primary"}},
+    road([[106.7, 10.7]]),
+    road([[106.704, 10.704], [106.9, 10.9]], length=None, highway="motorway_link", maxspeed="walk"),  # a dead end
+]
+PLACES = [("market", 106.70001, 10.70001), ("museum", 106.70401, 10.70399), ("zoo", 106.72399, 10.70401), ("tower", 106.7004, 10.70001)]
+
+
+@pytest.fixture(scope="module")
+def files(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("roads")
+    (folder / "roads.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": CITY + ODD}, ensure_ascii=False), encoding="utf-8")
+    (folder / "landmarks.json").write_text(json.dumps([{"id": k, "name": k.title(), "category": "x", "description": f"the {k}", "latitude": lat, "longitude": lon} for k, lon, lat in PLACES]))
+    (folder / "boundary.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    (folder / "summary.json").write_text(json.dumps({"source": "invented"}))
+    return folder
+
+
+@pytest.fixture(scope="module")
+def planner(spark, files):
+    return RoutePlanner.load(spark, *[str(files / f) for f in ("roads.geojson", "landmarks.json", "boundary.geojson", "summary.json")])
+
+
+def test_projection(spark, files):
+    roads = etl.read_roads(spark, str(files / "roads.geojson"))
+    assert roads.count() == len(CITY) + 4  # the loop is a line still
+    edges = etl.road_edges(roads).cache()
+    assert edges.count() == len(CITY) + 3
+    fast = edges.where("road_type = 'secondary'").first()
+    assert fast["src"] == "road_10_7000000_106_7000000" and fast["distance_km"] == 0.1 and fast["time_min"] == pytest.approx(0.1 / 90 * 60)
+    assert fast["metadata"]["name"] == "Đường A / B" and fast["metadata"]["osmid"] == "7" and (fast["congestion"], fast["risk"]) == (3.2, 0.4)
+    dead = edges.where("dst = 'road_10_9000000_106_9000000'").first()
+    assert dead["road_type"] == "unclassified" and dead["distance_km"] == 0.001 and dead["time_min"] == pytest.approx(0.001 / 24 * 60)
+
+
+def test_parallel_roads_keep_the_fastest_in_the_first_place(spark, files):
+    edges = etl.road_edges(etl.read_roads(spark, str(files / "roads.geojson")))
+    first = edges.where("dst = 'road_10_7000000_106_7010000' AND src = 'road_10_7000000_106_7000000'").agg(F.min("feature_ord")).first()[0]
+    kept = etl.dedupe_parallel(edges).where("dst = 'road_10_7000000_106_7010000' AND src = 'road_10_7000000_106_7000000'").collect()
+    assert len(kept) == 1 and kept[0]["road_type"] == "secondary" and kept[0]["feature_ord"] == first
+
+
+def test_equal_parallel_roads_keep_the_first(spark):
+    df = spark.createDataFrame([("a", "b", 1.0, 3, "x"), ("a", "b", 1.0, 2, "y"), ("a", "b", 2.0, 1, "z")], "src string, dst string, time_min double, feature_ord int, tag string")
+    row = etl.dedupe_parallel(df).first()
+    assert row["tag"] == "y" and row["feature_ord"] == 1
+
+
+def test_components_are_bridged_and_dead_ends_go(planner):
+    assert planner.summary["routable_nodes"] == 50 and planner.summary["simulated_connectors"] == 2 and planner.summary["source"] == "invented"
+    bridges = planner.graph.edges.where("metadata['simulated_connector'] = 'true'").collect()
+    assert {(b["src"], b["dst"]) for b in bridges} == {(b["dst"], b["src"]) for b in bridges}
+    assert all(b["congestion"] == 2.0 and b["risk"] == 0.8 and b["time_min"] == pytest.approx(b["distance_km"] / 20 * 60) for b in bridges)
+    ends = {float(b["src"].split("_")[4]) / 1e7 for b in bridges}
+    assert ends == {0.704, 0.72}
+
+
+def test_closest_pair_is_exact(spark):
+    import math
+    import random
+
+    rng = random.Random(9)
+    spots = [[(f"{side}{k}", rng.uniform(10, 11), rng.uniform(106, 107) + shift) for k in range(60)] for side, shift in (("a", 0), ("b", 0.8))]
+    frames = [spark.createDataFrame(s, "node_id string, latitude double, longitude double") for s in spots]
+
+    def km(p, q):
+        lat1, lon1, lat2, lon2 = map(math.radians, (p[1], p[2], q[1], q[2]))
+        h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(h))
+
+    least = min((km(p, q), p[0], q[0]) for p in spots[0] for q in spots[1])
+    a, b, found = etl.closest_pair(*frames)
+    assert (a, b) == least[1:] and found == pytest.approx(least[0])
+
+
+def test_landmarks_snap_to_nodes_of_their_own(spark, planner, files):
+    got = {r["id"]: r for r in planner.landmarks.collect()}
+    assert got["market"]["snapped_node"] == "road_10_7000000_106_7000000" and got["tower"]["snapped_node"] != got["market"]["snapped_node"]
+    assert got["market"]["access_label"] == "Nearest road access" and got["market"]["routing_latitude"] == got["market"]["latitude"]
+    far = etl.read_landmarks(spark, str(files / "landmarks.json")).withColumn("routing_latitude", F.lit(10.75))
+    with pytest.raises(GraphError, match="maximum allowed is 75.0 m"):
+        etl.snap_landmarks(far, planner.graph.nodes)
+    twice = etl.read_landmarks(spark, str(files / "landmarks.json")).withColumn("id", F.lit("same"))
+    with pytest.raises(GraphError, match="Duplicate landmark ID"):
+        etl.snap_landmarks(twice, planner.graph.nodes)
+    with pytest.raises(GraphError, match="more landmarks than"):
+        etl.snap_exclusive(planner.graph.nodes.limit(1), [("a", 1.0, 1.0), ("b", 1.0, 1.0)])
+
+
+def test_overrides(spark, tmp_path, files):
+    path = tmp_path / "overrides.json"
+    path.write_text(json.dumps({"zoo": {"latitude": 1.0, "longitude": 2.0, "kind": "gate", "label": "North", "source": "map"}}))
+    got = {r["id"]: r for r in etl.with_overrides(etl.read_landmarks(spark, str(files / "landmarks.json")), etl.read_overrides(spark, str(path))).collect()}
+    assert (got["zoo"]["routing_latitude"], got["zoo"]["access_kind"], got["market"]["access_kind"]) == (1.0, "gate", "nearest_road")
+
+
+@pytest.mark.parametrize("algorithm", ["bfs", "dfs", "ucs", "astar", "dijkstra", "greedy"])
+def test_search(planner, algorithm):
+    found = planner.search("market", "zoo", algorithm)
+    result, segments = found["result"], found["route_segments"]
+    assert result["success"] and sum(s["cost"] for s in segments) == pytest.approx(result["total_cost"])
+    assert [s["from"] for s in segments] + [segments[-1]["to"]] == result["path"]
+    line = found["route_geojson"]["geometry"]["coordinates"]
+    assert line[0] == [106.7, 10.7] and line[-1] == [106.724, 10.704]
+    assert found["explanation"]["headline"].startswith("Market to Zoo: ") and len(found["explanation"]["reasons"]) >= 5
+    if algorithm in ("ucs", "astar"):
+        assert result["total_cost"] == pytest.approx(planner.search("market", "zoo", "dijkstra")["result"]["total_cost"])
+    assert found["alternative"]["algorithm"] != algorithm
+
+
+def test_search_steps_and_errors(planner):
+    steps = []
+    found = planner.search("market", "museum", "dijkstra", on_step=steps.append)
+    assert sum(s["event"] == "expand" for s in steps) == found["result"]["expanded_nodes"]
+    with pytest.raises(GraphError, match="Unknown landmark ID: 'nowhere'"):
+        planner.search("nowhere", "museum", "dijkstra")
+    with pytest.raises(GraphError, match="Unknown algorithm"):
+        planner.search("market", "museum", "nope")
+    same = planner.search("market", "market", "bfs")
+    assert same["result"]["total_cost"] == 0 and same["route_segments"] == [] and len(same["route_geojson"]["geometry"]["coordinates"]) == 1
+
+
+def test_scenarios_change_costs(planner):
+    cost = lambda **k: planner.search("market", "zoo", "dijkstra", **k)["result"]["total_cost"]
+    assert cost(traffic_profile="rush_hour") > cost() and cost(traffic_profile="rainy") > cost()
+    custom = planner.search("market", "zoo", "dijkstra", custom_weights={"alpha_distance": 0, "beta_time": 0, "gamma_congestion": 0, "delta_risk": 0})
+    assert custom["result"]["total_cost"] == 0 and custom["request"]["criterion"] == "custom"
+
+
+def test_compare(planner):
+    found = planner.compare("market", "museum")
+    assert [p["request"]["algorithm"] for p in found["algorithms"]] == ["bfs", "dfs", "ucs", "astar", "dijkstra", "greedy"]
+    leaders = found["summary"]["leaders"]
+    assert {"uniform_cost_search", "a_star", "dijkstra"} <= set(leaders["lowest_cost"]["algorithms"])
+    assert found["summary"]["headline"] == "Compared 6 successful algorithms on one traffic scenario."
+
+
+def test_multi_route(planner):
+    found = planner.multi_route("market", ["zoo", "museum", "zoo"], compare_methods=True, return_to_start=True)
+    assert found["result"]["full_path"][0] == found["result"]["full_path"][-1] and {v["id"] for v in found["visiting_landmarks"]} == {"zoo", "museum"}
+    assert found["comparison"]["exact_bruteforce"]["total_cost"] <= found["comparison"]["nearest_neighbor"]["total_cost"]
+    assert sum(s["cost"] for s in found["route_segments"]) == pytest.approx(found["result"]["total_cost"])
+
+
+def test_catalogue(planner):
+    found = planner.bootstrap()
+    assert len(found["landmarks"]) == 4 and len(found["node_coordinates"]) == 50 and set(found["cost_presets"]) >= {"balanced", "low_risk"}
+    roads = planner.roads()
+    assert len(roads["features"]) == planner.summary["routable_edges"] and roads["features"][0]["properties"]["road_type"]
+    json.dumps(found)
+
+
+def test_batch_equals_single_searches(spark, planner):
+    rows = [(k, a, b, "astar") for k, (a, b) in enumerate([("market", "zoo"), ("zoo", "museum"), ("tower", "zoo")])]
+    got = {r["request_id"]: r for r in planner.batch(spark.createDataFrame(rows, "request_id long, start string, goal string, algorithm string")).collect()}
+    for k, a, b, algorithm in rows:
+        single = planner.search(a, b, algorithm)["result"]
+        assert got[k]["path"] == single["path"] and got[k]["visited_order"] == single["visited_order"]
+
+
+def test_stitching(spark):
+    nodes = spark.createDataFrame([("a", 1.0, 10.0), ("b", 2.0, 20.0), ("c", 3.0, 30.0)], "node_id string, latitude double, longitude double")
+    edges = spark.createDataFrame([("a", 0, "b", {"geometry": "[[10.0,1.0],[15.0,1.5],[20.0,2.0]]"}), ("b", 0, "c", {}), ("b", 1, "c", {"name": "later"})], "src string, edge_ord int, dst string, metadata map<string,string>")
+    way = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, [])], "request_id long, path array<string>")
+    got = {r["request_id"]: r["coordinates"] for r in routes.route_coordinates(way, nodes, edges).collect()}
+    assert got == {1: [[10.0, 1.0], [15.0, 1.5], [20.0, 2.0], [30.0, 3.0]], 2: [[20.0, 2.0]], 3: []}
+
+
+def test_traces_as_batches_and_streams(spark, planner, tmp_path):
+    from routeloom.functions.cost import Weights
+    from routeloom.operators import searches
+
+    at = {r["id"]: r["snapped_node"] for r in planner.landmarks.collect()}
+    _, net = planner.scenario("normal", Weights.preset("balanced"))
+    rows = spark.createDataFrame([(1, at["market"], at["museum"], "dijkstra"), (2, at["market"], at["zoo"], "greedy")], "request_id long, start string, goal string, algorithm string")
+    trace = searches.run_traces(net, rows).cache()
+    results = searches.run_searches(net, rows)
+    expanded = {r["request_id"]: r["expanded_nodes"] for r in results.collect()}
+    shown = display_steps(trace).collect()
+    assert {k: sum(r["request_id"] == k for r in shown) for k in expanded} == expanded
+    assert all(r["visited_delta"] == [r["current_node"]] and r["visited"] == [] and len(r["frontier"]) <= 80 for r in shown)
+    assert [r["details"]["visited_count"] for r in sorted(shown, key=lambda r: r["index"]) if r["request_id"] == 2][:2] == ["1", "2"]
+    assert display_steps(trace, rate=3).where("request_id = 1").count() == 1 + sum(k % 3 == 0 for k in range(2, expanded[1] + 1))
+    said = messages(trace, results).where("request_id = 1").orderBy("seq").collect()
+    assert [r["type"] for r in said] == ["started", *["step"] * expanded[1], "complete"]
+    trace.repartition(3).write.parquet(str(tmp_path / "trace"))
+    batches = []
+    stream_steps(read_trace_stream(spark, str(tmp_path / "trace")), lambda df, k: batches.append(df.count()), str(tmp_path / "state")).awaitTermination()
+    assert sum(batches) == sum(expanded.values()) and len(batches) >= 2
+    steps = []
+    searches.each_step(trace.where("request_id = 2"), steps.append)
+    assert [s["index"] for s in steps] == list(range(len(steps))) and steps[-1]["event"] == "goal"
