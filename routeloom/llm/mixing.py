@@ -52,18 +52,11 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return sized.join(F.broadcast(total)).select("__source", "size", "weight", F.when(F.col("__weight") > 0, F.col("weight") / F.col("__weight") * F.col("__size") / F.col("size")).otherwise(F.lit(0.0)).alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
-    """Each row as often as a Poisson draw with its source's rate says, in a global random order.
-
-    The draw inverts the distribution at a hash of the seed and the row's key, so it depends on nothing else: reruns,
-    partitions and lost executors don't change it, and rows of one key (copies of a row; null keys, which hash as
-    missing) get equal counts. Adds rate, copy (1, 2, ...) and mix_key; the copies are dealt by mix_key's hash and
-    sorted by it, which is a random permutation of the whole output. A null source is a source of its own; empty
-    texts weigh one; an empty table gives an empty result; columns of the added names are replaced.
-    """
+def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """mix_sources with __rate, __copy and __mix_key, beside whatever columns `docs` has."""
     rates = checkpointed(source_rates(docs, weights))
     parts = F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int")
-    tables = rates.select("__source", "rate", parts.alias("__parts"), poisson_table(F.col("rate") / parts).alias("__cdf"))
+    tables = rates.select("__source", F.col("rate").alias("__rate"), parts.alias("__parts"), poisson_table(F.col("rate") / parts).alias("__cdf"))
     rated = docs.join(broadcast_if_small(tables, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__source")))
 
     def drawn(total: Column, part: Column) -> Column:
@@ -72,9 +65,23 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), drawn)
     counted = with_columns(rated, {"__count": count}).where("__count > 0")
-    copies = with_columns(counted, {"copy": F.explode(F.sequence(F.lit(1), F.col("__count")))})
-    keyed = with_columns(copies, {"mix_key": F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.col(key).cast("string"), F.col("copy").cast("string")))})
-    return keyed.drop("__source", "__parts", "__cdf", "__count").repartition("mix_key").sortWithinPartitions("mix_key")
+    copies = with_columns(counted, {"__copy": F.explode(F.sequence(F.lit(1), F.col("__count")))})
+    keyed = with_columns(copies, {"__mix_key": F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.col(key).cast("string"), F.col("__copy").cast("string")))})
+    return keyed.drop("__source", "__parts", "__cdf", "__count").repartition("__mix_key").sortWithinPartitions("__mix_key")
+
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    """Each row as often as a Poisson draw with its source's rate says, in a global random order.
+
+    The draw inverts the distribution at a hash of the seed and the row's key, so it depends on nothing else: reruns,
+    partitions and lost executors don't change it, and rows of one key (copies of a row; null keys, which hash as
+    missing) get equal counts. Adds rate, copy (1, 2, ...) and mix_key; the copies are dealt by mix_key's hash and
+    sorted by it, which is a random permutation of the whole output. A null source is a source of its own; empty
+    texts weigh one; an empty table gives an empty result; columns of the added names are replaced.
+    """
+    mixed = replicate(docs, weights, seed, key)
+    added = {"rate": "__rate", "copy": "__copy", "mix_key": "__mix_key"}
+    return with_columns(mixed, {k: F.col(v) for k, v in added.items()}).drop(*added.values())
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,8 +190,8 @@ def plausible(kind: str, piece: str) -> bool:
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", piece)) and all(int(p) <= 255 for p in piece.split("."))
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    return 7 <= len(digits) <= 15 and not re.search(r"[^\W\d_]", piece) and not (piece.isdigit() and len(piece) < 9)
+        return bool(CARD.fullmatch(piece)) and 13 <= len(digits) <= 19 and luhn(digits)
+    return bool(re.fullmatch(r"\+?\(?[0-9][\x20().0-9/-]+[0-9]", piece)) and 7 <= len(digits) <= 15 and not (piece.isdigit() and len(piece) < 9)
 
 
 def field_spans(texts: list[str], model: crf.Crf) -> list[list[Span]]:

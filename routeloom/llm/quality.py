@@ -163,6 +163,11 @@ def with_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
     return with_columns(scored, {"predicted": (F.col("score") >= threshold).cast("int"), "held_out": F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False))})
 
 
+def drop_rejected(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score at least the threshold, with their columns; see with_quality."""
+    return docs.where(score_column(train(docs, labels, max_rows), F.col("text")) >= threshold)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

@@ -150,7 +150,7 @@ def later_windows(width: int):
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", width: int = WINDOW) -> DataFrame:
-    """(__id, spans): per key the spans, unmerged, of windows whose words also start earlier (smaller key, or same key, earlier start).
+    """(__id, __spans): per key the spans, unmerged, of windows whose words also start earlier (smaller key, or same key, earlier start).
 
     A null key counts as the largest. Every window's hash (64 bits) reaches the bucket of its hash once for each run of
     documents that holds it, so a passage that many documents share is combined before the shuffle.
@@ -161,7 +161,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", width: int = WINDOW) ->
     ids = F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
     runs = docs.select(ids.alias("__id"), "text").mapInArrow(hash_runs(width, buckets), "bucket int, windows binary, removed binary")
     dealt = runs.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(later_windows(width), "__id long, span long").groupBy("__id").agg(F.collect_list("span").alias("spans"))
+    return dealt.mapInArrow(later_windows(width), "__id long, span long").groupBy("__id").agg(F.collect_list("span").alias("__spans"))
 
 
 def kept_words(text: str | None, spans: list[int] | None) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
@@ -188,20 +188,21 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
     """
     found = repeated_spans(docs, key, width)
     ids = F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
-    base = with_columns(docs, {"__id": ids}).drop("kept_text", "n_words", "n_removed", "kept_sha256", "removed")
+    base = with_columns(docs, {"__id": ids})
+    base = base.drop(*[c for c in base.columns if c.lower() in {"kept_text", "n_words", "n_removed", "kept_sha256", "removed"}])
     joined = base.join(found, "__id", "left")
     added = T._parse_datatype_string("kept_text string, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
-    schema = T.StructType([*joined.drop("__id", "spans").schema.fields, *added.fields])
+    schema = T.StructType([*joined.drop("__id", "__spans").schema.fields, *added.fields])
     at = joined.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            spans = batch.column(at.index("spans"))
+            spans = batch.column(at.index("__spans"))
             offsets, flat = spans.offsets.to_numpy(), spans.values.to_numpy(zero_copy_only=False)
             got = [kept_words(t, flat[a:b]) for t, a, b in zip(batch.column(at.index("text")).to_pylist(), offsets, offsets[1:])]
             texts = [b" ".join(left) for _, left, _, _ in got]
-            own = [c for c, name in zip(batch.columns, at) if name not in ("__id", "spans")]
+            own = [c for c, name in zip(batch.columns, at) if name not in ("__id", "__spans")]
             more = [pa.array([t.decode() for t in texts], pa.string()), pa.array([len(w) for w, _, _, _ in got], pa.int64()), pa.array([len(w) - len(k) for w, k, _, _ in got], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([[{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist())] for _, _, lo, hi in got], span_type)]
             yield pa.RecordBatch.from_arrays(own + more, names=schema.names)
 

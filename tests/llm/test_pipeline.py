@@ -1,0 +1,66 @@
+import inspect
+
+import pytest
+
+import corpus_pipeline
+from routeloom.llm import decontamination, mixing, quality, sharding, simhash
+from tests.llm.test_decontamination import brute as contained
+from tests.llm.test_mixing import drawn
+from tests.llm.test_sharding import plain_jump
+from tests.llm.test_simhash import plain_components, plain_fingerprint
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "mixing", "sharding"]
+    assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
+    assert (decontamination.WIDTH, decontamination.CONTAINMENT, quality.THRESHOLD, simhash.RADIUS) == (5, 0.8, 0.7, 3)
+
+
+def test_run_equals_plain_stages(spark, sf_dir, documents):
+    """Each stage against a plain version over all that its predecessor kept."""
+    scored = {r["doc_id"]: r["predicted"] for r in quality.op6_quality(spark, sf_dir).collect()}
+    docs = sorted((tuple(r) for r in documents.select(*COLUMNS).collect()), key=lambda r: r[0])
+    kept = [r for r in docs if scored[r[0]] == 1]
+    groups = plain_components([r[0] for r in kept], [plain_fingerprint(r[1]) for r in kept])
+    kept = [r for r, g in zip(kept, groups) if r[0] == g]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    dirty = {w[0] for w in contained([(r[0], r[1]) for r in kept], items)}
+    kept = [r for r in kept if r[0] not in dirty]
+    sizes = {}
+    for r in kept:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(r[1]) + 1
+    weights = {s: n**mixing.ALPHA for s, n in sizes.items()}
+    rate = {s: weights[s] / sum(weights.values()) * sum(sizes.values()) / n for s, n in sizes.items()}
+    mixed = [r for r in kept for _ in range(drawn(r[0], rate[r[3]]))]
+    want = sorted((*r, plain_jump(r[0], sharding.SHARDS)) for r in mixed)
+    got = corpus_pipeline.run(spark, sf_dir)
+    rows = got.collect()
+    assert sorted(tuple(r[c] for c in [*COLUMNS, "shard"]) for r in rows) == want
+    assert 0 < len(dirty) and len(kept) < len(docs)
+    slots = {}
+    for r in rows:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_odd_rows(spark, odd, clashing, empty, sf_dir, stage):
+    name, f = corpus_pipeline.STAGES[stage]
+    for docs in (odd, clashing, empty):
+        out = f(spark, docs, sf_dir)
+        rows = out.collect()
+        if stage < 4:
+            assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        else:
+            assert {c.lower() for c in docs.columns} <= {c.lower() for c in out.columns} and len(rows) == docs.count()
+        assert docs is not empty or not rows
+
+
+def test_stages_follow_another(spark, odd, sf_dir, tmp_path):
+    docs = odd
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert docs.count() >= 0

@@ -1,0 +1,66 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from routeloom.llm import sharding
+
+
+def plain_jump(key, shards):
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+    return b
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.integers(1, 2000))
+def test_jump_equals_the_plain_loop(keys, shards):
+    assert sharding.jump(np.array(keys, np.uint64), shards).tolist() == [plain_jump(k, shards) for k in keys]
+
+
+def test_one_more_shard_takes_its_part_only_into_itself():
+    keys = np.arange(100_000, dtype=np.uint64)
+    for n in (1, 7, 8, 100):
+        old, new = sharding.jump(keys, n), sharding.jump(keys, n + 1)
+        moved = old != new
+        assert (new[moved] == n).all() and moved.mean() == pytest.approx(1 / (n + 1), rel=0.1)
+        assert np.bincount(old, minlength=n).std() < 5 * np.sqrt(len(keys) / n)
+    with pytest.raises(ValueError):
+        sharding.jump(keys, 0)
+
+
+def test_query(spark, sf_dir, documents):
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    got = sharding.op7_sharding(spark, sf_dir).collect()
+    for r in got:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (plain_jump(r["doc_id"], 8), plain_jump(r["doc_id"], 9))
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_odd_rows(odd, clashing, empty):
+    for docs in (odd, clashing):
+        got = sharding.shard_documents(docs, 3)
+        rows = got.collect()
+        assert len(rows) == docs.count() and set(c.lower() for c in docs.columns) <= set(c.lower() for c in got.columns)
+        assert [c.lower() for c in got.columns].count("slot") == 1
+        for shard, n in Counter(r["shard"] for r in rows).items():
+            assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(n))
+        assert len({r["shard"] for r in rows if r["doc_id"] == 10}) == 1
+        assert next(r["shard"] for r in rows if r["doc_id"] is None) == plain_jump(0, 3)
+    assert sharding.shard_documents(empty).count() == 0
+
+
+def test_text_keys(spark):
+    docs = spark.createDataFrame([(f"k{k}",) for k in range(200)] + [(None,)], "name string")
+    got = sharding.shard_documents(docs, 4, "name").collect()
+    assert {r["shard"] for r in got} == {0, 1, 2, 3}
