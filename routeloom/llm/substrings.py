@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,12 +33,12 @@ def unplanes(data: memoryview, dtype: str, n: int) -> np.ndarray:
 def packed(hashes: np.ndarray, ordinals: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted window hashes with the places of their first words in a run of documents, and the run's ids and word counts."""
     head = np.array([len(hashes), len(ids)], "<u8").tobytes()
-    return head + planes(np.diff(hashes, prepend=np.uint64(0)).astype("<u8")) + planes(ordinals.astype("<u4")) + planes(np.diff(ids, prepend=np.int64(0)).astype("<i8")) + planes(counts.astype("<u4"))
+    return zstandard.compress(head + planes(np.diff(hashes, prepend=np.uint64(0)).astype("<u8")) + planes(ordinals.astype("<u4")) + planes(np.diff(ids, prepend=np.int64(0)).astype("<i8")) + planes(counts.astype("<u4")), 1)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, id, first word) of each window."""
-    view = memoryview(data)
+    view = memoryview(zstandard.decompress(data))
     n, docs = (int(x) for x in np.frombuffer(view, "<u8", 2))
     hashes = np.cumsum(unplanes(view[16:], "<u8", n), dtype=np.uint64)
     ordinals = unplanes(view[16 + 8 * n :], "<u4", n).astype(np.int64)
