@@ -229,3 +229,51 @@ def test_traces_as_batches_and_streams(spark, planner, tmp_path):
     steps = []
     searches.each_step(trace.where("request_id = 2"), steps.append)
     assert [s["index"] for s in steps] == list(range(len(steps))) and steps[-1]["event"] == "goal"
+
+
+def test_requests_and_responses(planner):
+    from routeloom.plans import api
+
+    assert api.handle(planner, "health")[1] == {"status": "ok", "nodes": 50, "edges": planner.summary["routable_edges"], "landmarks": 4}
+    assert api.handle(planner, "bootstrap")[0] == 200 and api.handle(planner, "network")[0] == 200 and api.handle(planner, "nope")[0] == 404
+    status, body = api.handle(planner, "search", {"start_id": "market", "goal_id": "zoo"})
+    assert status == 200 and body["request"]["algorithm"] == "dijkstra" and json.dumps(body)
+    assert api.handle(planner, "compare", {"start_id": "market", "goal_id": "museum"})[0] == 200
+    assert api.handle(planner, "multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "exact_limit": 9})[0] == 200
+    for verb, bad in [
+        ("search", {"start_id": "market"}), ("search", {"start_id": "market", "goal_id": "zoo", "more": 1}), ("search", {"start_id": "market", "goal_id": "zoo", "algorithm": "x"}), ("search", {"start_id": "", "goal_id": "zoo"}),
+        ("search", {"start_id": "market", "goal_id": "nowhere"}), ("search", {"start_id": "market", "goal_id": "zoo", "custom_weights": {"x": 1}}), ("search", {"start_id": "market", "goal_id": "zoo", "custom_weights": {"beta_time": -1}}),
+        ("multi-route", {"start_id": "market", "waypoint_ids": []}), ("multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "exact_limit": 10}), ("multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "return_to_start": 1}),
+    ]:
+        status, body = api.handle(planner, verb, bad)
+        assert status == 422 and body["detail"]
+
+
+def test_stream_of_a_search(planner):
+    from routeloom.plans import api
+
+    said = list(api.stream_search(planner, {"start_id": "market", "goal_id": "zoo", "algorithm": "astar"}))
+    assert [m["type"] for m in said] == ["started", *["step"] * said[-1]["payload"]["result"]["expanded_nodes"], "complete"]
+    assert said[1]["step"]["visited"] == [] and said[3]["step"]["details"]["visited_count"] == 3 and said[3]["step"]["visited_delta"] == [said[3]["step"]["current_node"]]
+    assert [m["type"] for m in api.stream_search(planner, {"start_id": "market"})] == ["error"]
+    assert [m["type"] for m in api.stream_search(planner, {"start_id": "market", "goal_id": "nowhere"})] == ["started", "error"]
+
+
+def test_reports(planner):
+    from routeloom.plans import reports
+
+    found = reports.run_matrix(planner).cache()
+    said = reports.matrix_report(planner, found, found)
+    assert said["runs"] == 72 and said["failures"] == [] and said["invalid_hops"] == said["cost_disagreements"] == said["facade_mismatches"] == 0
+    assert {m["algorithm"] for m in said["means"]} == {r["algorithm"] for r in found.collect()} and reports.result_rows(found, "raw_").columns[3] == "raw_success"
+    audit = reports.run_audit(planner)
+    assert (audit["pairs"], audit["reachable"], audit["mismatches"], audit["heuristic_checks"]["consistency_violations"]) == (12, 12, 0, 0)
+    assert audit["landmark_access_offsets_m"]["over_100_m"] == 0
+    every = reports.run_dijkstra_all(planner)
+    assert every.count() == 16 and every.where("success").count() == 16
+    tour = reports.run_multi_location(planner, [("market", ["zoo", "museum"]), ("zoo", ["market"])]).collect()
+    assert len(tour) == 4 and all(r["success"] for r in tour)
+    bench = reports.run_benchmark(planner, "market", "zoo", ["museum", "tower"], repeats=2)
+    assert len(bench["algorithms"]) == 6 and bench["profiles"]["rush_hour"]["total_cost"] > bench["profiles"]["normal"]["total_cost"]
+    assert bench["tours"]["exact_bruteforce"]["total_cost"] <= bench["tours"]["input_order"]["total_cost"] + 1e-9
+    assert reports.road_totals(planner.graph.edges).first()["roads"] == planner.summary["routable_edges"]
