@@ -6,17 +6,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import bounded_batches, mixed, rolling_hashes, split_words, table, with_columns, word_hashes
+from routeloom.llm.common import bounded_batches, mixed, rolling_hashes, split_words, table, word_hashes
 
 WINDOW = 20
 #: Windows that a task hashes before it sends them on.
-RUN_WORDS = 2_000_000
+RUN_WORDS = 1_000_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -164,13 +165,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", width: int = WINDOW) ->
     return dealt.mapInArrow(later_windows(width), "__id long, span long").groupBy("__id").agg(F.collect_list("span").alias("__spans"))
 
 
-def kept_words(text: str | None, spans: list[int] | None) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+def kept_words(text: bytes | None, spans: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
     """A text's words, those that stay, and the maximal removed intervals (first word, end)."""
-    words = (text or "").encode("utf-8", "replace").split()
-    if spans is None or len(spans) == 0:
+    words = (text or b"").split()
+    if len(spans) == 0:
         none = np.zeros(0, np.int64)
         return words, words, none, none
-    spans = np.asarray(spans, np.int64)
+    spans = spans.astype(np.int64)
     low, high = merged(spans >> 32, np.minimum(spans & 0xFFFFFFFF, len(words)))
     left = []
     for a, b in zip(np.concatenate([[0], high]).tolist(), [*low.tolist(), len(words)]):
@@ -187,23 +188,32 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
     other, and an interval goes from each. Columns of the added names are replaced; an empty table gives an empty result.
     """
     found = repeated_spans(docs, key, width)
+    added = {"kept_text": "string", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "removed": "array<struct<start:int,end:int>>"}
+    kept = [c for c in docs.columns if c.lower() not in added]
     ids = F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
-    base = with_columns(docs, {"__id": ids})
-    base = base.drop(*[c for c in base.columns if c.lower() in {"kept_text", "n_words", "n_removed", "kept_sha256", "removed"}])
-    joined = base.join(found, "__id", "left")
-    added = T._parse_datatype_string("kept_text string, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>")
-    schema = T.StructType([*joined.drop("__id", "__spans").schema.fields, *added.fields])
-    at = joined.columns
+
+    @F.pandas_udf(T.BinaryType())
+    def pack(texts: pd.Series) -> pd.Series:
+        codec = zstandard.ZstdCompressor(level=1)
+        return texts.map(lambda t: None if t is None else codec.compress(t.encode("utf-8", "replace")))
+
+    base = docs.select(*[pack("text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], ids.alias("__id"))
+    joined = base.join(found, "__id", "left").select(*kept, "__spans")
+    schema = T.StructType([*[docs.schema[c] for c in kept], *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+    text_at = kept.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        codec = zstandard.ZstdDecompressor()
         for batch in batches:
-            spans = batch.column(at.index("__spans"))
+            spans = batch.column(len(kept))
             offsets, flat = spans.offsets.to_numpy(), spans.values.to_numpy(zero_copy_only=False)
-            got = [kept_words(t, flat[a:b]) for t, a, b in zip(batch.column(at.index("text")).to_pylist(), offsets, offsets[1:])]
+            whole = [None if z is None else codec.decompress(z) for z in batch.column(text_at).to_pylist()]
+            got = [kept_words(t, flat[a:b]) for t, a, b in zip(whole, offsets, offsets[1:])]
             texts = [b" ".join(left) for _, left, _, _ in got]
-            own = [c for c, name in zip(batch.columns, at) if name not in ("__id", "__spans")]
-            more = [pa.array([t.decode() for t in texts], pa.string()), pa.array([len(w) for w, _, _, _ in got], pa.int64()), pa.array([len(w) - len(k) for w, k, _, _ in got], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([[{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist())] for _, _, lo, hi in got], span_type)]
+            own = list(batch.columns[: len(kept)])
+            own[text_at] = pa.array(whole, pa.binary()).cast(pa.string())
+            more = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array([len(w) for w, _, _, _ in got], pa.int64()), pa.array([len(w) - len(k) for w, k, _, _ in got], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([[{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist())] for _, _, lo, hi in got], span_type)]
             yield pa.RecordBatch.from_arrays(own + more, names=schema.names)
 
     return joined.mapInArrow(cut, schema)
