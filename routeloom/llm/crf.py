@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-EPOCHS, RATE, L2 = 120, 0.1, 1e-3
+EPOCHS, RATE, L2 = 200, 0.1, 2e-5
 #: Padded places that one decoding batch holds.
 PLACES = 1 << 20
 
@@ -71,22 +71,23 @@ def train(sequences: list[tuple[list[list[str]], list[int]]], n_labels: int, epo
     """Maximises the labels' mean log-likelihood, less an L2 penalty, by Adam on exact gradients (forward-backward)."""
     sequences = [s for s in sequences if s[1]]
     features = {f: k for k, f in enumerate(sorted({f for places, _ in sequences for place in places for f in place}))}
-    longest, widest = max(len(y) for _, y in sequences), max(len(set(p)) for x, _ in sequences for p in x)
-    n = len(sequences)
-    ids = np.full((longest, n, widest), len(features))
+    longest, n = max(len(y) for _, y in sequences), len(sequences)
     gold, inside = np.zeros((longest, n), np.int64), np.zeros((longest, n), bool)
+    held, at = [], []  # a feature and the place, in a grid of places by sequences, that has it
     for j, (places, labels) in enumerate(sequences):
         inside[: len(labels), j] = True
         gold[: len(labels), j] = labels
         for t, place in enumerate(places):
-            known = sorted({features[f] for f in place})
-            ids[t, j, : len(known)] = known
-    params = [np.zeros((len(features) + 1, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
+            known = {features[f] for f in place}
+            held += known
+            at += [t * n + j] * len(known)
+    held, at = np.array(held), np.array(at)
+    params = [np.zeros((len(features), n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     one_hot = np.eye(n_labels)
     for epoch in range(1, epochs + 1):
         weights, steps, first = params
-        scores = weights[ids].sum(2)
+        scores = np.stack([np.bincount(at, weights[held, k], longest * n) for k in range(n_labels)], axis=1).reshape(longest, n, n_labels)
         ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
         ahead[0] = first + scores[0]
         for t in range(1, longest):
@@ -95,9 +96,8 @@ def train(sequences: list[tuple[list[list[str]], list[int]]], n_labels: int, epo
         for t in range(longest - 2, -1, -1):
             behind[t] = np.where(inside[t + 1][:, None], log_sum(steps + (scores[t + 1] + behind[t + 1])[:, None, :], 2), 0)
         off = (one_hot[gold] - np.exp(ahead + behind - total[:, None])) * inside[:, :, None]
-        slope = [np.zeros_like(p) for p in params]
-        np.add.at(slope[0], ids.ravel(), np.repeat(off, widest, axis=1).reshape(-1, n_labels))
-        slope[0][-1] = 0
+        flat = off.reshape(-1, n_labels)
+        slope = [np.stack([np.bincount(held, flat[at, k], len(features)) for k in range(n_labels)], axis=1), np.zeros_like(steps), np.zeros_like(first)]
         for t in range(1, longest):
             pair = np.exp(ahead[t - 1][:, :, None] + steps + (scores[t] + behind[t])[:, None, :] - total[:, None, None])
             slope[1] += ((one_hot[gold[t - 1]][:, :, None] * one_hot[gold[t]][:, None, :] - pair) * inside[t][:, None, None]).sum(0)

@@ -22,6 +22,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style title noscript template svg math iframe object textarea head".split())
 RAW = SILENT - {"head"}
+#: Elements that say what they hold; a block's innermost one, or the innermost with a class, id or role, counts most.
+SECTIONS = frozenset("article aside dialog footer form header main nav section".split())
 #: An open element of the key ends when one of the values starts directly in it.
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -40,7 +42,7 @@ def blocks(html: str | None) -> Iterator[Block]:
     common cases: a paragraph ends where a block starts, an end tag closes up to its element or nothing.
     """
     html = html or ""
-    root = ("", frozenset(), "", False)
+    root = ("", frozenset(), "", False, frozenset())
     stack, opened = [root], Counter()
     held: list[str] = []
     linked = at = 0
@@ -53,8 +55,8 @@ def blocks(html: str | None) -> Iterator[Block]:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            _, features, tag, marked = stack[-1]
-            yield text, marked, features, tag, linked
+            _, features, tag, marked, inner = stack[-1]
+            yield text, marked, features | inner, tag, linked
         linked = 0
 
     while found := TOKEN.match(html, at):
@@ -95,9 +97,11 @@ def blocks(html: str | None) -> Iterator[Block]:
             held.append(" ")
             continue
         words = {w for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w}
-        _, features, tag, marked = stack[-1]
+        _, features, tag, marked, inner = stack[-1]
         own = {f"in={name}"} | {f"name={w}" for w in words}
-        stack.append((name, features | own if len(features) < 200 else features, name if name in BLOCKS else tag, marked or MARK in rest))
+        if words or name in SECTIONS:
+            inner = frozenset({f"inner {f}" for f in own if name in SECTIONS or f[:2] != "in"})
+        stack.append((name, features | own if len(features) < 200 else features, name if name in BLOCKS else tag, marked or MARK in rest, inner))
         opened[name] += 1
         if rest.endswith("/") and name not in BLOCKS:
             pop()
@@ -117,7 +121,23 @@ def describe(text: str, ancestors: frozenset[str], tag: str, linked: int) -> lis
     return out
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
+#: What the parts around a main text are called and look like: tags, then names of classes and ids.
+PARTS = {
+    "menu": ("nav nav div ul ol", "menu nav navigation navbar main-menu breadcrumb breadcrumbs topnav links nav-menu"),
+    "ad": ("div div aside section p", "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner ad-slot adbox"),
+    "notice": ("div section dialog p", "cookie cookies cookie-notice consent notice notices gdpr alert popup modal overlay warning announcement"),
+    "head": ("header header div", "header head masthead site-header branding topbar banner logo page-header"),
+    "foot": ("footer footer div", "footer foot site-footer copyright legal bottom imprint colophon"),
+    "side": ("aside aside div section", "sidebar side related widget recommended trending popular teaser related-posts"),
+    "form": ("form form div", "form search login signup contact newsletter subscribe subscription"),
+    "comments": ("section div ol ul", "comments comment-list commentlist discussion responses replies reader-comments user-comments"),
+    "share": ("div ul p", "share social sharing tags pagination pager social-links share-buttons"),
+}
+CONTENT_NAMES = "content post entry story article article-body post-content main-text text body-text entry-content".split()
+WRAPPERS = "wrapper container page site row layout inner outer col".split()
+
+
+def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
     """Small invented pages in many layouts, in which data-main marks the elements of the main text."""
     rng = random.Random(seed)
     syllables = "ta ri on el ve mo sha in or du pel ka è ß ñ the und que an".split()
@@ -138,65 +158,75 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
             return " ".join([words[0]] * len(words))
         return " ".join(words).capitalize() + rng.choice([".", ".", ".", "!", "?", ""])
 
-    def links(k: int) -> str:
-        return "".join(f'<li><a href="/{word()}">{text(1, 3)}</a></li>' for _ in range(k))
-
-    def wrap(html: str, tags: list[str], names: list[str]) -> str:
-        tag = rng.choice(tags)
-        named = rng.choice(["class", "id"]) if tag in ("div", "section", "ul", "ol", "p", "span") or rng.random() < 0.3 else ""
-        return f'<{tag} {named}="{rng.choice(names)}">{html}</{tag}>' if named else f"<{tag}>{html}</{tag}>"
+    def links(k: int, tag: str = "li") -> str:
+        each = [f'<a href="/{word()}">{text(1, 3)}</a>' for _ in range(k)]
+        return "".join(f"<{tag}>{x}</{tag}>" for x in each) if tag else rng.choice([" ", " | ", " » "]).join(each)
 
     def paragraph() -> str:
         kind = rng.random()
-        if kind < 0.66:
-            return f"<p>{text(1, 60)}</p>"
-        if kind < 0.74:
-            return f"<p><b>{text(1, 12)}<br><p>{text(3, 40)}"
-        if kind < 0.8:
-            return f"<{(h := rng.choice(['h2', 'h3', 'h4']))}>{text(1, 9)}</{h}>"
-        if kind < 0.85:
-            return f"<blockquote>{text(4, 40)}</blockquote>"
-        if kind < 0.89:
-            return f"<pre>{text(4, 20)}</pre>"
-        if kind < 0.93:
-            return "<ul>" + "".join(f"<li>{text(2, 20)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>"
-        if kind < 0.96:
-            return "<table>" + "".join(f"<tr><td>{text(1, 3)}</td><td>{text(1, 3)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
-        return f'<p>{text(3, 10)} <a href="/{word()}">{text(1, 3)}</a> {text(2, 20)}</p>'
-
-    def noise(where: str) -> str:
-        makers = {
-            "menu": lambda: wrap(f"<ul>{links(rng.randint(3, 7))}</ul>", ["nav", "nav", "div", "ul"], ["menu", "nav", "navigation", "navbar", "breadcrumb", "main-menu"]),
-            "ad": lambda: wrap(text(2, 40), ["div", "div", "aside", "section"], ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot"]),
-            "notice": lambda: wrap(f"<p>{text(5, 30)}</p><button>{word()}</button>", ["div", "section", "dialog"], ["cookie", "cookie-notice", "consent", "notice", "gdpr", "alert", "popup", "modal"]),
-            "head": lambda: wrap(f"<h1>{text(1, 4)}</h1><p>{text(2, 9)}</p>" if rng.random() < 0.5 else text(1, 6), ["header", "header", "div"], ["header", "masthead", "site-header", "branding", "topbar"]),
-            "foot": lambda: wrap(rng.choice(["&copy; ", "© ", "", "<p>"]) + f"{text(2, 25)} &middot; {text(1, 6)}", ["footer", "footer", "div"], ["footer", "site-footer", "copyright", "legal", "bottom"]),
-            "side": lambda: wrap(f"<h3>{text(1, 3)}</h3><p>{text(3, 30)}</p><ul>{links(3)}</ul>", ["aside", "aside", "div", "section"], ["sidebar", "related", "widget", "recommended", "trending", "side"]),
-            "form": lambda: f'<form action="/{word()}"><label>{text(1, 4)}</label><input name="q"><p>{text(2, 12)}</p><button>{word()}</button></form>',
-            "comments": lambda: wrap("".join(wrap(f"<h4>{text(1, 2)}</h4><p>{text(2, 40)}</p>", ["div", "li", "article"], ["comment", "reply", "comment-body"]) for _ in range(rng.randint(1, 4))), ["section", "div", "ol"], ["comments", "commentlist", "discussion", "responses", "replies"]),
-            "share": lambda: wrap(f"<ul>{links(3)}</ul>", ["div"], ["share", "social", "tags", "meta", "pagination", "newsletter", "subscribe"]),
-        }
-        choice = {"top": ["menu", "menu", "head", "ad", "notice", "form"], "in": ["ad", "share", "side", "form", "notice"], "end": ["comments", "comments", "side", "foot", "foot", "share", "form", "ad", "menu"]}[where]
-        return makers[rng.choice(choice)]()
+        extra = f' class="{word()}"' if rng.random() < 0.1 else ""
+        if kind < 0.62:
+            return f"<p {MARK}{extra}>{text(1, 60)}</p>"
+        if kind < 0.7:
+            return f"<p {MARK}><b>{text(1, 12)}<br><p {MARK}>{text(3, 40)}"
+        if kind < 0.77:
+            return f"<{(h := rng.choice(['h2', 'h3', 'h4']))} {MARK}>{text(1, 9)}</{h}>"
+        if kind < 0.81:
+            return f"<blockquote {MARK}>{rng.choice(['', '<p>'])}{text(4, 40)}</blockquote>"
+        if kind < 0.84:
+            return f"<pre {MARK}>{text(4, 20)}</pre>"
+        if kind < 0.91:
+            tag = rng.choice(["ul", "ul", "ol"])
+            return f"<{tag} {MARK}>" + "".join(f"<li>{text(1, 20)}</li>" for _ in range(rng.randint(2, 4))) + f"</{tag}>"
+        if kind < 0.94:
+            return f"<table {MARK}>" + "".join(f"<tr><td>{text(1, 3)}</td><td>{text(1, 3)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+        return f'<p {MARK}>{text(1, 10)} <a href="/{word()}">{text(1, 4)}</a> {text(1, 20)}</p>'
+
+    def comment() -> str:
+        said = rng.choice([f"<p>{text(2, 40)}</p>", text(2, 30), f"<b>{text(1, 2)}</b><p>{text(2, 30)}</p>", f"{text(1, 2)}: {text(2, 30)}"])
+        tag = rng.choice(["div", "li", "article", "p"])
+        return f'<{tag} class="{rng.choice(["comment", "comment", "reply", "comment-body"])}">{said}</{tag}>' if rng.random() < 0.6 else f"<{rng.choice(['li', 'p', 'div'])}>{said}"
+
+    def inside(kind: str) -> str:
+        plain = rng.choice([f"<p>{text(2, 30)}</p>", text(2, 30), f"<h3>{text(1, 4)}</h3><p>{text(2, 30)}</p>", f"<p>{text(2, 20)}</p><p>{text(2, 20)}</p>", f'{text(2, 12)} <a href="/{word()}">{text(1, 2)}</a>'])
+        if kind in ("menu", "share"):
+            return rng.choice([f"<ul>{links(rng.randint(2, 7))}</ul>", links(rng.randint(2, 6), ""), links(3)])
+        if kind == "form":
+            return f"<label>{text(1, 4)}</label><input name='q'>{plain}<select><option>{word()}<option>{word()}</select><button>{text(1, 2)}</button>"
+        if kind == "comments":
+            return rng.choice(["", f"<h2>{text(1, 3)}</h2>"]) + "".join(comment() for _ in range(rng.randint(1, 4)))
+        if kind == "head":
+            return rng.choice([f"<h1>{text(1, 4)}</h1><p>{text(2, 9)}</p>", text(1, 6), f'<a href="/">{text(1, 3)}</a>', f"<h1>{text(1, 5)}</h1>", plain])
+        if kind == "foot":
+            return rng.choice(["&copy; ", "© ", "", "<p>"]) + rng.choice([f"{text(2, 25)} &middot; {text(1, 6)}", text(1, 12), links(3, ""), plain])
+        if kind == "side":
+            return rng.choice([f"<h3>{text(1, 3)}</h3><ul>{links(3)}</ul>", plain, plain])
+        return plain + (f"<button>{word()}</button>" if kind == "notice" and rng.random() < 0.4 else "")
+
+    def noise() -> str:
+        kind = rng.choice(list(PARTS))
+        tags, names = (x.split() for x in PARTS[kind])
+        if kind == "comments" and rng.random() < 0.25:
+            return comment() if rng.random() < 0.1 else f'<article class="comment"><p>{text(2, 30)}</p></article>'
+        tag, name = rng.choice(tags), rng.choice(names)
+        bare = tag in ("nav", "header", "footer", "aside", "form", "dialog") and rng.random() < 0.6
+        return f"<{tag}>{inside(kind)}</{tag}>" if bare else f'<{tag} {rng.choice(["class", "class", "id"])}="{name}">{inside(kind)}</{tag}>'
 
     pages = []
     for _ in range(n):
         body = [f"<h1 {MARK}>{text(1, 12)}</h1>"] if rng.random() < 0.9 else []
-        for _ in range(rng.randint(0, 12)):
-            body.append(re.sub(r"<(p|h2|h3|h4|blockquote|pre|ul|table)>", rf"<\1 {MARK}>", paragraph()))
-            if rng.random() < 0.08:
-                body.append(noise("in"))
+        for _ in range(rng.randint(0, 9)):
+            body.append(paragraph())
+            if rng.random() < 0.22:
+                body.append("</p>" + noise())
         main = "".join(body)
-        layout = rng.random()
-        if layout < 0.55:
-            main = f"<article>{main}</article>"
-        elif layout < 0.7:
-            main = f"<main>{main}</main>"
-        elif layout < 0.92:
-            main = f'<div class="{rng.choice(["content", "post", "entry", "story", "article-body", "post-content", "main-text", "page"])}">{main}</div>'
-        top = "".join(noise("top") for _ in range(rng.randint(0, 4)))
-        end = "".join(noise("end") for _ in range(rng.randint(0, 4)))
-        pages.append(f"<!DOCTYPE html><html><head><title>{text(1, 9)}</title><style>p{{}}</style></head><body>{top}{main}{end}" + rng.choice(["</body></html>", ""]))
+        div = lambda x: f'<div {rng.choice(["class", "id"])}="{rng.choice(CONTENT_NAMES)}">{x}</div>'
+        layouts = [lambda x: f"<article>{x}</article>", lambda x: f"<main>{x}</main>", lambda x: f"<main><article>{x}</article></main>", div, lambda x: div(div(x)), lambda x: f'<article class="{rng.choice(CONTENT_NAMES)}">{x}</article>', lambda x: f"<main>{div(x)}</main>", lambda x: f"<div>{x}</div>", lambda x: x]
+        main = rng.choices(layouts, [6, 3, 2, 4, 2, 2, 1, 2, 3])[0](main)
+        page = "".join(noise() for _ in range(rng.randint(0, 4))) + main + "".join(noise() for _ in range(rng.randint(0, 4)))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            page = f'<div {rng.choice(["class", "id"])}="{rng.choice(WRAPPERS)}">{page}</div>'
+        pages.append(f"<!DOCTYPE html><html><head><title>{text(1, 9)}</title><style>p{{}}</style></head><body>{page}" + rng.choice(["</body></html>", ""]))
     return pages
 
 

@@ -102,3 +102,24 @@ def test_training_follows_the_likelihood():
     field = crf.train(data, 2, epochs=400)
     labels = [p.tolist() for p in field.decode([field.emissions(x) for x, _ in data])]
     assert labels[0] == [0, 1, 0] and labels[1] == [1, 1]
+
+
+ARTICLE = '<h1>Ther onin edst</h1><p>Thntblere of then, edtioner in inea that esly.</p>{}<p>Aned ouen.</p><ul><li>onin</li><li>inea that</li></ul><p>Last <a href="/x">line</a> of it.</p>'
+MAIN = "Ther onin edst\nThntblere of then, edtioner in inea that esly.\nAned ouen.\nonin\ninea that\nLast line of it."
+AROUND = {
+    "cookie": '<div class="cookie"><p>Nous utilisons des cookies sur ce site pour vous.</p></div>', "notice": '<p class="notice">This site will be down on Monday for work on it.</p>', "alert": '<div role="alert">Attention please, work ahead.</div>',
+    "comments": '<section class="comments"><h2>Comments</h2><div class="comment"><b>Jo</b><p>Nice reading, thanks a lot for it.</p></div></section>', "comment": '<article class="comment"><p>Nice reading, thanks a lot for it.</p></article>',
+    "ad": '<div class="ad">Buy cheap things here and now.</div>', "advert": '<aside class="advert">Buy cheap things now</aside>', "sponsored": '<section class="sponsored"><p>Buy cheap things here and now.</p></section>',
+    "aside": "<aside><p>Some side text that is quite long and has words.</p></aside>", "sidebar": '<div class="sidebar"><h3>More</h3><p>Some side text that is quite long.</p></div>', "form": "<form><label>Name</label><input><select><option>One</option></select><button>Send it</button></form>",
+    "nav": '<nav><a href="/">Home</a> | <a href="/a">About</a></nav>', "menu": '<ul class="menu"><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul>', "header": "<header><h1>The Daily</h1><p>News of the day</p></header>", "footer": "<footer><p>&copy; 2024 The Daily. All rights reserved.</p></footer>",
+    "dialog": "<dialog open><p>Sign up for our letter now.</p></dialog>", "share": '<div class="share"><a href="#">Tweet</a></div>', "related": '<section class="related"><h2>Related</h2><ul><li><a href="/1">Other story here</a></li></ul></section>',
+}
+
+
+@pytest.mark.parametrize(("open_", "close"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<main><article class="post">', "</article></main>"), ("<div>", "</div>")])
+def test_parts_before_after_and_inside_go(open_, close):
+    pages = []
+    for part in AROUND.values():
+        pages += [f"<html><body>{part}{open_}{ARTICLE.format('')}{close}</body></html>", f"<html><body>{open_}{ARTICLE.format('')}{close}{part}</body></html>", f"<html><body>{open_}{ARTICLE.format(part)}{close}</body></html>"]
+    got = html.main_texts(pages, html.own_model())
+    assert sum(g == MAIN for g in got) >= 0.95 * len(got)
