@@ -148,6 +148,8 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
     def text(low: int, high: int) -> str:
         style = rng.random()
         words = [word() for _ in range(rng.randint(low, high))]
+        if style < 0.02:
+            return rng.choice(["x", "7", "–", "A."])
         if style < 0.06:
             return "!! ".join(words).upper() + "!!"
         if style < 0.12:
@@ -166,7 +168,7 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
         kind = rng.random()
         extra = f' class="{word()}"' if rng.random() < 0.1 else ""
         if kind < 0.62:
-            return f"<p {MARK}{extra}>{text(1, 60)}</p>"
+            return f"<p {MARK}{extra}>{text(1, rng.choice([3, 20, 60]))}</p>"
         if kind < 0.7:
             return f"<p {MARK}><b>{text(1, 12)}<br><p {MARK}>{text(3, 40)}"
         if kind < 0.77:
@@ -214,8 +216,8 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
 
     pages = []
     for _ in range(n):
-        body = [f"<h1 {MARK}>{text(1, 12)}</h1>"] if rng.random() < 0.9 else []
-        for _ in range(rng.randint(0, 9)):
+        body = [f"<h1 {MARK}>{text(1, 12)}</h1>"] if rng.random() < 0.85 else []
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 7, 9])):
             body.append(paragraph())
             if rng.random() < 0.22:
                 body.append("</p>" + noise())
@@ -223,7 +225,8 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
         div = lambda x: f'<div {rng.choice(["class", "id"])}="{rng.choice(CONTENT_NAMES)}">{x}</div>'
         layouts = [lambda x: f"<article>{x}</article>", lambda x: f"<main>{x}</main>", lambda x: f"<main><article>{x}</article></main>", div, lambda x: div(div(x)), lambda x: f'<article class="{rng.choice(CONTENT_NAMES)}">{x}</article>', lambda x: f"<main>{div(x)}</main>", lambda x: f"<div>{x}</div>", lambda x: x]
         main = rng.choices(layouts, [6, 3, 2, 4, 2, 2, 1, 2, 3])[0](main)
-        page = "".join(noise() for _ in range(rng.randint(0, 4))) + main + "".join(noise() for _ in range(rng.randint(0, 4)))
+        around = lambda: "".join(noise() for _ in range(rng.choice([0, 0, 1, 2, 3, 4])))
+        page = around() + main + around()
         for _ in range(rng.choice([0, 0, 1, 2])):
             page = f'<div {rng.choice(["class", "id"])}="{rng.choice(WRAPPERS)}">{page}</div>'
         pages.append(f"<!DOCTYPE html><html><head><title>{text(1, 9)}</title><style>p{{}}</style></head><body>{page}" + rng.choice(["</body></html>", ""]))
