@@ -65,7 +65,7 @@ def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuris
                     rows = []
             yield frame(rows, schema)
 
-    schema = T._parse_datatype_string(f"request_id long, {SEARCH_RESULT}")
+    schema = T.StructType.fromDDL(f"request_id long, {SEARCH_RESULT}")
     return dealt(requests.select(F.col("request_id").cast("long"), "start", "goal", "algorithm")).mapInPandas(scan, schema)
 
 
@@ -74,8 +74,8 @@ def run_all_targets(net: Broadcast, sources: DataFrame, goals: list[str] | None
 
     All routes of a source share the visited order of its run.
     """
-    full = T._parse_datatype_string(f"source string, {SEARCH_RESULT}")
-    brief = T._parse_datatype_string("source string, node string, cost double")
+    full = T.StructType.fromDDL(f"source string, {SEARCH_RESULT}")
+    brief = T.StructType.fromDDL("source string, node string, cost double")
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = net.value.ready()
@@ -95,7 +95,7 @@ def run_all_targets(net: Broadcast, sources: DataFrame, goals: list[str] | None
 
 def run_traces(net: Broadcast, requests: DataFrame, scale: float = 1.0) -> DataFrame:
     """`requests` to the events of their searches, one row each; every search's events are yielded in parts."""
-    schema = T._parse_datatype_string(f"request_id long, {TRACE}")
+    schema = T.StructType.fromDDL(f"request_id long, {TRACE}")
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
