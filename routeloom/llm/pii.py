@@ -255,7 +255,7 @@ def find_personal_data(docs: DataFrame, model: crf.Crf | None = None) -> DataFra
     field = model or own_model()
     spans = "array<struct<kind:string,start:int,end:int>>"
 
-    @F.pandas_udf(T._parse_datatype_string(f"base {spans}, spans {spans}"))
+    @F.pandas_udf(T.StructType.fromDDL(f"base {spans}, spans {spans}"))
     def find(texts: pd.Series) -> pd.DataFrame:
         found = all_spans([t or "" for t in texts], field)
         named = [[[{"kind": k, "start": a, "end": b} for k, a, b in part] for part in row] for row in found]

@@ -199,7 +199,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
 
     base = docs.select(*[pack("text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], ids.alias("__id"))
     joined = base.join(found, "__id", "left").select(*kept, "__spans")
-    schema = T.StructType([*[docs.schema[c] for c in kept], *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+    schema = T.StructType([*[docs.schema[c] for c in kept], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
     text_at = kept.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
