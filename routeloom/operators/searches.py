@@ -55,18 +55,23 @@ def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuris
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = []
-            for r, s, g, a in zip(pdf["request_id"], pdf["start"], pdf["goal"], pdf["algorithm"]):
-                rows.append({"request_id": r} | kernels.search(net.value, a, s, g, heuristic, scale))
-                if not visited:
-                    rows[-1]["visited_order"] = None
-                if len(rows) == 500:
-                    yield frame(rows, schema)
-                    rows = []
-            yield frame(rows, schema)
+            for k in range(0, len(pdf), 2000):
+                part = pdf.iloc[k : k + 2000]
+                rows = kernels.search_many(net.value, list(zip(part["algorithm"], part["start"], part["goal"])), heuristic, scale)
+                for r, row in zip(part["request_id"], rows):
+                    row["request_id"] = r
+                    if not visited:
+                        row["visited_order"] = None
+                for j in range(0, len(rows), 500):
+                    yield frame(rows[j : j + 500], schema)
 
     schema = T.StructType.fromDDL(f"request_id long, {SEARCH_RESULT}")
-    return dealt(requests.select(F.col("request_id").cast("long"), "start", "goal", "algorithm")).mapInPandas(scan, schema)
+    wanted = requests.select(F.col("request_id").cast("long"), "start", "goal", "algorithm")
+    sharing = F.col("algorithm").isin(*kernels.KINDS)
+    # requests that can share a run meet in one of four tasks; four, so that a start of many requests is no task's burden alone
+    kind = F.when(sharing, F.concat_ws(":", F.pmod(F.xxhash64("goal"), F.lit(4)), F.when(F.col("algorithm").isin("bfs", "dfs"), F.col("algorithm")))).otherwise(F.col("goal"))
+    tasks = 4 * requests.sparkSession.sparkContext.defaultParallelism
+    return wanted.repartition(tasks, "start", kind).sortWithinPartitions("start", "algorithm").mapInPandas(scan, schema)
 
 
 def run_all_targets(net: Broadcast, sources: DataFrame, goals: list[str] | None = None, paths: bool = True) -> DataFrame:

@@ -47,17 +47,23 @@ def query(sql: str | None = None):
     return add
 
 
-def landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.basket_landmarks(derived.basket_edges(spark, sf_dir))
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived edges, computed once for all that a query does with them."""
+    return traversal.checkpointed(derived.basket_edges(spark, sf_dir))
 
 
-def text_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landmarks(spark, sf_dir).select(F.col("node").cast("string").alias("node"))
+def marks_of(edges: DataFrame) -> list[str]:
+    """The landmarks of the derived graph, as text and in the order of their keys."""
+    return [str(r["node"]) for r in derived.basket_landmarks(edges).orderBy("node").collect()]
 
 
-def admissible_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def places(spark: SparkSession, marks: list[str], name: str = "node") -> DataFrame:
+    return spark.createDataFrame([(m,) for m in marks], f"{name} string")
+
+
+def admissible_graph(edges: DataFrame) -> Graph:
     """The derived graph with edges at least as long as the great circle between their ends, at balanced cost."""
-    graph = derived.basket_graph(spark, sf_dir)
+    graph = derived.basket_graph(edges)
     at = lambda side: graph.nodes.select(F.col("node_id").alias(side), F.col("latitude").alias(f"{side}_lat"), F.col("longitude").alias(f"{side}_lon"))
     long = graph.edges.join(at("src"), "src").join(at("dst"), "dst").withColumn("distance_km", F.greatest("distance_km", haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon"))))
     return Graph(graph.nodes, long.withColumn("cost", weighted_cost(*map(F.lit, PRESETS["balanced"]))).drop("src_lat", "src_lon", "dst_lat", "dst_lon"))
@@ -105,7 +111,7 @@ x AS (SELECT 'distance_km finite and not negative' AS rule, src || '->' || dst A
   UNION ALL SELECT DISTINCT 'dst is a node', CAST(dst AS VARCHAR) FROM w WHERE dst % 50 = 0)
 SELECT rule, entity FROM x""")
 def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = derived.basket_graph(spark, sf_dir)
+    graph = derived.basket_graph(derived.basket_edges(spark, sf_dir))
     key = lambda c: F.col(c).cast("long")
     spoilt = graph.edges.withColumns({"distance_km": F.when(key("dst") % 97 != 0, F.col("distance_km")), "time_min": F.when(key("src") % 89 == 0, -F.col("time_min")).otherwise(F.col("time_min")), "congestion": F.col("congestion") + F.when(key("dst") % 83 == 0, 4.5).otherwise(0.0)})
     return violations(Graph(graph.nodes.where(key("node_id") % 50 != 0), spoilt))
@@ -113,7 +119,7 @@ def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {E}, {NODES} SELECT (SELECT COUNT(*) FROM n) AS routable_nodes, (SELECT COUNT(*) FROM e) AS routable_edges, 0 AS simulated_connectors, 0 AS landmarks, 0 AS unique_landmark_nodes")
 def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.network_summary(derived.basket_graph(spark, sf_dir))
+    return etl.network_summary(derived.basket_graph(derived.basket_edges(spark, sf_dir)))
 
 
 @query(f"WITH {E}, {NODES} SELECT node, COUNT(e.src) AS out_degree FROM n LEFT JOIN e ON e.src = n.node GROUP BY node")
@@ -153,14 +159,14 @@ r AS (SELECT point, node, {haversine_sql('lat', 'lon', 'latitude', 'longitude')}
 t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY point ORDER BY ROUND(km, 9), node) AS rn FROM r)
 SELECT point, ROUND(km * 1000, 1) AS metres FROM t WHERE rn = 1""")
 def nearest_node_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = derived.basket_graph(spark, sf_dir).nodes
+    nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
     near = etl.nearest_nodes(nodes, [(str(k), a, b) for k, a, b in POINTS], 1)
     return spark.createDataFrame([(int(k), v[0][0]) for k, v in near.items()], "point int, km double").select("point", F.round(F.col("km") * 1000, 1).alias("metres"))
 
 
 @query()
 def snap_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = etl.snap_exclusive(derived.basket_graph(spark, sf_dir).nodes, [(str(k), a, b) for k, a, b in POINTS])
+    found = etl.snap_exclusive(derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes, [(str(k), a, b) for k, a, b in POINTS])
     return spark.createDataFrame([(int(k), node, round(km * 1000, 1)) for k, (node, km) in found.items()], "point int, node string, metres double")
 
 
@@ -168,7 +174,7 @@ def snap_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT * FROM n WHERE node % 2 = 0), b AS (SELECT * FROM n WHERE node % 2 = 1)
 SELECT ROUND(MIN({haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS km FROM a, b""")
 def bridge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = derived.basket_graph(spark, sf_dir).nodes
+    nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
     odd = F.col("node_ord") % 2
     _, _, km = etl.closest_pair(nodes.where(odd == 0), nodes.where(odd == 1))
     return spark.createDataFrame([(round(km, 6),)], "km double")
@@ -180,7 +186,7 @@ b(node, lvl) USING KEY (node) AS (
   SELECT e.dst, MIN(b.lvl) + 1 FROM b JOIN e ON e.src = b.node LEFT JOIN recurring.b k ON k.node = e.dst WHERE k.node IS NULL GROUP BY e.dst)
 SELECT node, lvl AS level FROM b""")
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = traversal.checkpointed(derived.basket_edges(spark, sf_dir))
+    edges = base(spark, sf_dir)
     return traversal.bfs_levels(edges, edges.agg(F.min("src").alias("source"))).select("node", "level")
 
 
@@ -191,30 +197,31 @@ d(node, cost) USING KEY (node) AS (
   GROUP BY e.dst, k.cost HAVING k.cost IS NULL OR MIN(d.cost + e.cost_m) < k.cost)
 SELECT node, cost FROM d""")
 def dijkstra_single_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = traversal.checkpointed(derived.basket_edges(spark, sf_dir))
+    edges = base(spark, sf_dir)
     return traversal.shortest_paths(edges, edges.agg(F.min("src").alias("source")), "cost_m").select("node", "cost")
 
 
 @query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS source, node, cost FROM d")
 def dijkstra_all_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(derived.basket_graph(spark, sf_dir))
-    found = searches.run_all_targets(net, text_landmarks(spark, sf_dir).withColumnRenamed("node", "source"), paths=False)
+    edges = base(spark, sf_dir)
+    net = searches.shared(derived.basket_graph(edges))
+    found = searches.run_all_targets(net, places(spark, marks_of(edges), "source"), paths=False)
     return found.select(F.col("source").cast("long").alias("source"), F.col("node").cast("long").alias("node"), F.col("cost").cast("long").alias("cost"))
 
 
 @query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost FROM d JOIN marks USING (node) WHERE s <> node")
 def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(derived.basket_graph(spark, sf_dir))
-    marks = text_landmarks(spark, sf_dir)
-    goals = [r["node"] for r in marks.collect()]  # 24 landmarks
-    found = searches.run_all_targets(net, marks.withColumnRenamed("node", "source"), goals, paths=False).where("source <> node")
+    edges = base(spark, sf_dir)
+    marks = marks_of(edges)
+    net = searches.shared(derived.basket_graph(edges))
+    found = searches.run_all_targets(net, places(spark, marks, "source"), marks, paths=False).where("source <> node")
     return found.select(F.col("source").cast("long").alias("start"), F.col("node").cast("long").alias("goal"), F.col("cost").cast("long").alias("cost"))
 
 
 @query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0 AS broken FROM d JOIN marks USING (node) WHERE s <> node AND s = (SELECT MIN(node) FROM marks)")
 def dijkstra_pair_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from the set-based search, chased back by parents, priced hop by hop and checked to consist of edges."""
-    edges = traversal.checkpointed(derived.basket_edges(spark, sf_dir))
+    edges = base(spark, sf_dir)
     marks = derived.basket_landmarks(edges)
     source = marks.agg(F.min("node").alias("source"))
     found = traversal.checkpointed(traversal.shortest_paths(edges, source, "cost_m"))
@@ -226,15 +233,15 @@ def dijkstra_pair_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT (SELECT COUNT(*) * (COUNT(*) - 1) FROM marks) AS pairs, COUNT(*) AS reachable, 0 AS mismatches, 0.0::DOUBLE AS max_delta FROM d JOIN marks USING (node) WHERE s <> node")
 def ucs_astar_dijkstra_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(admissible_graph(spark, sf_dir))
-    found = audit.run_matrix(net, audit.ordered_pairs(text_landmarks(spark, sf_dir)), ("ucs", "astar", "dijkstra"))
+    edges = base(spark, sf_dir)
+    found = audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges))), ("ucs", "astar", "dijkstra"))
     return audit.agreement(found).withColumn("max_delta", F.round("max_delta", 6))
 
 
 def one_algorithm(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    net = searches.shared(derived.basket_graph(spark, sf_dir))
-    wanted = audit.requests(audit.ordered_pairs(text_landmarks(spark, sf_dir)), (name,))
-    return searches.run_searches(net, wanted).drop("runtime_ms", "request_id")
+    edges = base(spark, sf_dir)
+    wanted = audit.requests(audit.ordered_pairs(places(spark, marks_of(edges))), (name,))
+    return searches.run_searches(searches.shared(derived.basket_graph(edges)), wanted).drop("runtime_ms", "request_id")
 
 
 @query(f"""WITH RECURSIVE {E}, {MARKS},
@@ -256,28 +263,29 @@ def greedy_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_algorithm(spark, sf_dir, "greedy")
 
 
-def few_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = [r["node"] for r in text_landmarks(spark, sf_dir).orderBy(F.col("node").cast("long")).collect()]
+def few_requests(edges: DataFrame) -> DataFrame:
+    spark, marks = edges.sparkSession, marks_of(edges)
     return audit.requests(spark.createDataFrame([(marks[0], marks[-1])], "start string, goal string"))
 
 
 @query()
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(derived.basket_graph(spark, sf_dir))
-    found = searches.run_traces(net, few_requests(spark, sf_dir))
+    edges = base(spark, sf_dir)
+    found = searches.run_traces(searches.shared(derived.basket_graph(edges)), few_requests(edges))
     return found.select("request_id", "index", "event", "current_node", F.size("frontier").alias("frontier_size"), F.size("visited").alias("visited_size"), F.to_json("details").alias("details"))
 
 
 @query()
 def expand_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(derived.basket_graph(spark, sf_dir))
-    return display_steps(searches.run_traces(net, few_requests(spark, sf_dir).where("algorithm = 'greedy'")))
+    edges = base(spark, sf_dir)
+    return display_steps(searches.run_traces(searches.shared(derived.basket_graph(edges)), few_requests(edges).where("algorithm = 'greedy'")))
 
 
 @query()
 def step_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(derived.basket_graph(spark, sf_dir))
-    wanted = few_requests(spark, sf_dir).where("algorithm IN ('greedy', 'dijkstra')")
+    edges = base(spark, sf_dir)
+    net = searches.shared(derived.basket_graph(edges))
+    wanted = few_requests(edges).where("algorithm IN ('greedy', 'dijkstra')")
     return messages(searches.run_traces(net, wanted), searches.run_searches(net, wanted))
 
 
@@ -287,7 +295,7 @@ scc AS (SELECT a.s AS node, MIN(a.node) AS component FROM r a JOIN r b ON a.s =
 
 
 def derived_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = derived.basket_graph(spark, sf_dir)
+    graph = derived.basket_graph(base(spark, sf_dir))
     return etl.component_labels(graph.nodes, graph.edges)
 
 
@@ -299,16 +307,18 @@ def scc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {REACH}, top AS (SELECT component FROM scc GROUP BY component ORDER BY COUNT(*) DESC, component LIMIT 1), kept AS (SELECT node FROM scc JOIN top USING (component))
 SELECT CAST(e.src AS VARCHAR) AS src, CAST(e.dst AS VARCHAR) AS dst FROM e JOIN kept a ON a.node = e.src JOIN kept b ON b.node = e.dst""")
 def largest_scc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = derived.basket_graph(spark, sf_dir)
+    graph = derived.basket_graph(base(spark, sf_dir))
     _, edges = etl.largest_component(graph.nodes, graph.edges)
     return edges.select("src", "dst")
 
 
-def tour_requests(spark: SparkSession, sf_dir: str, method: str, stops: int = 4) -> DataFrame:
+def tours_around(spark: SparkSession, sf_dir: str, method: str, stops: int = 4) -> DataFrame:
     """Tours from each landmark over the next ones, in the order of their keys and around."""
-    marks = [r["node"] for r in text_landmarks(spark, sf_dir).orderBy(F.col("node").cast("long")).collect()]
+    edges = base(spark, sf_dir)
+    marks = marks_of(edges)
     rows = [(k, m, [marks[(k + j) % len(marks)] for j in range(1, stops + 1)], method, None, False, 8) for k, m in enumerate(marks)]
-    return spark.createDataFrame(rows, "request_id long, start string, waypoints array<string>, method string, end string, return_to_start boolean, exact_limit int")
+    wanted = spark.createDataFrame(rows, "request_id long, start string, waypoints array<string>, method string, end string, return_to_start boolean, exact_limit int")
+    return tours.run_tours(searches.shared(derived.basket_graph(edges)), wanted)
 
 
 @query(f"""WITH RECURSIVE {E}, {MARKS}, {PAIRWISE},
@@ -323,24 +333,24 @@ t AS (
   JOIN d d2 ON d2.s = b.stop AND d2.node = c.stop JOIN d d3 ON d3.s = c.stop AND d3.node = f.stop)
 SELECT r.request_id, COUNT(t.cost) > 0 AS success, MIN(t.cost) AS total_cost FROM (SELECT DISTINCT request_id FROM w) r LEFT JOIN t USING (request_id) GROUP BY r.request_id""")
 def tour_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tours.run_tours(searches.shared(derived.basket_graph(spark, sf_dir)), tour_requests(spark, sf_dir, "exact_bruteforce"))
+    found = tours_around(spark, sf_dir, "exact_bruteforce")
     return found.select("request_id", "success", F.col("total_cost").cast("long").alias("total_cost"))
 
 
 @query()
 def tour_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tours.run_tours(searches.shared(derived.basket_graph(spark, sf_dir)), tour_requests(spark, sf_dir, "nearest_neighbor", 8)).drop("runtime_ms")
+    return tours_around(spark, sf_dir, "nearest_neighbor", 8).drop("runtime_ms")
 
 
 @query()
 def tour_compare_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tours.run_tours(searches.shared(derived.basket_graph(spark, sf_dir)), tour_requests(spark, sf_dir, "compare", 5))
+    found = tours_around(spark, sf_dir, "compare", 5)
     return found.select("request_id", "method", "success", "visiting_order", F.size("segments").alias("segments"), "total_cost", F.round("comparison_gap_percent", 6).alias("gap_percent"))
 
 
 def order_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Routes that orders take: the distinct parts of each, in the order of its lines, as far as hops lead; and costed edges."""
-    graph = derived.basket_graph(spark, sf_dir)
+    graph = derived.basket_graph(derived.basket_edges(spark, sf_dir))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity <= 15")
     steps = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     way = lines.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.transform(steps, lambda x: x["l_partkey"].cast("string")).alias("path"))
@@ -378,7 +388,7 @@ def first_road_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) AS hops FROM h WHERE dst IS NOT NULL GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, hops + 1 AS points FROM c JOIN k USING (request_id) WHERE hops = known")
 def route_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     way, edges = order_routes(spark, sf_dir)
-    nodes = derived.basket_graph(spark, sf_dir).nodes
+    nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
     known = routes.broken_hops(way, edges).select("request_id").distinct()
     line = routes.route_coordinates(way.join(known, "request_id", "left_anti"), nodes, edges)
     return line.select("request_id", F.size("coordinates").alias("points"))
@@ -399,15 +409,15 @@ def preset_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def algorithm_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(admissible_graph(spark, sf_dir))
-    found = audit.run_matrix(net, audit.ordered_pairs(text_landmarks(spark, sf_dir).limit(6)))
+    edges = base(spark, sf_dir)
+    found = audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges)[:6])))
     return metric_leaders(found, ["start", "goal"], {k: v for k, v in METRICS.items() if k != "lowest_runtime"}).withColumn("value", F.round("value", 6))
 
 
 @query()
 def algorithm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = searches.shared(admissible_graph(spark, sf_dir))
-    return audit.algorithm_means(audit.run_matrix(net, audit.ordered_pairs(text_landmarks(spark, sf_dir))))
+    edges = base(spark, sf_dir)
+    return audit.algorithm_means(audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges)))))
 
 
 @query(f"WITH {E} SELECT road_type, ROUND(MEDIAN(time_min), 8) AS median_time_min FROM e GROUP BY road_type")
@@ -430,19 +440,18 @@ SELECT b.p AS traffic_profile, a.s AS start, a.node AS goal, a.cost AS base_cost
 WHERE a.p = 'normal' AND b.p <> 'normal' AND a.s <> a.node AND a.cost <> b.cost""")
 def scenario_changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose cheapest cost differs between traffic profiles; costs in whole thousandths, so equality is exact."""
-    graph = derived.basket_graph(spark, sf_dir)
-    marks = text_landmarks(spark, sf_dir)
-    goals = [r["node"] for r in marks.collect()]  # 24 landmarks
+    edges = base(spark, sf_dir)
+    graph, marks = derived.basket_graph(edges), marks_of(edges)
     each = {}
     for profile in PROFILES:
         time, congestion, risk = profile_columns(F.lit(profile))
         cost = F.round(1000 * (F.col("distance_km") + 0.4 * time + 0.08 * congestion + 0.12 * risk)).cast("long").cast("double")
         net = searches.shared(Graph(graph.nodes, graph.edges.withColumn("cost", cost)))
-        each[profile] = searches.run_all_targets(net, marks.withColumnRenamed("node", "source"), goals, paths=False).where("source <> node")
-    base = each.pop("normal").select("source", "node", F.col("cost").alias("base_cost"))
+        each[profile] = searches.run_all_targets(net, places(spark, marks, "source"), marks, paths=False).where("source <> node")
+    normal = each.pop("normal").select("source", "node", F.col("cost").alias("base_cost"))
     out = None
     for profile, found in each.items():
-        changed = found.join(base, ["source", "node"]).where("cost <> base_cost").select(F.lit(profile).alias("traffic_profile"), F.col("source").cast("long").alias("start"), F.col("node").cast("long").alias("goal"), F.col("base_cost").cast("long").alias("base_cost"), F.col("cost").cast("long").alias("cost"))
+        changed = found.join(normal, ["source", "node"]).where("cost <> base_cost").select(F.lit(profile).alias("traffic_profile"), F.col("source").cast("long").alias("start"), F.col("node").cast("long").alias("goal"), F.col("base_cost").cast("long").alias("base_cost"), F.col("cost").cast("long").alias("cost"))
         out = changed if out is None else out.unionByName(changed)
     return out
 
@@ -460,7 +469,7 @@ def waypoint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {E}, {MARKS} SELECT a.node AS start, b.node AS goal FROM marks a JOIN marks b ON a.node <> b.node")
 def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.ordered_pairs(landmarks(spark, sf_dir))
+    return audit.ordered_pairs(derived.basket_landmarks(derived.basket_edges(spark, sf_dir)))
 
 
 @query(f"WITH {E}, {NODES} SELECT node, 'road_' || replace(replace(printf('%.7f', latitude), '-', 'm'), '.', '_') || '_' || replace(replace(printf('%.7f', longitude), '-', 'm'), '.', '_') AS road_id FROM n")

@@ -19,9 +19,9 @@ def test_gives_rows(spark, sf_dir, name):
 
 def test_routes_are_valid(spark, sf_dir):
     from routeloom.operators.routes import broken_hops
-    from routeloom.sources.derived import basket_graph
+    from routeloom.sources.derived import basket_edges, basket_graph
 
-    edges = basket_graph(spark, sf_dir).edges
+    edges = basket_graph(basket_edges(spark, sf_dir)).edges
     for name in ("dfs_route", "greedy_route"):
         found = QUERIES[name](spark, sf_dir).withColumn("request_id", F.monotonically_increasing_id()).cache()
         assert broken_hops(found, edges).count() == 0

@@ -172,3 +172,13 @@ def test_components_are_mutual_reachability(graph):
         reach |= reach[:, [k]] & reach[[k], :]
     both = reach & reach.T
     assert kernels.components(net(graph)).tolist() == [int(np.flatnonzero(both[k])[0]) for k in range(n)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(GRAPHS)
+def test_shared_runs_equal_single_searches(graph):
+    network = net(graph)
+    requests = [(a, s, g) for a in kernels.MESSAGES for s in graph for g in graph]
+    plain = lambda r: {k: v for k, v in r.items() if k != "runtime_ms"}
+    for request, got in zip(requests, kernels.search_many(network, requests, lambda n, g: float(n != g))):
+        assert plain(got) == plain(kernels.search(network, *request, lambda n, g: float(n != g)))
