@@ -15,10 +15,19 @@ OPTIMAL_NAMES = ("uniform_cost_search", "a_star", "dijkstra")
 MEANS = ("total_cost", "total_distance_km", "total_time_min", "expanded_nodes", "generated_nodes", "path_nodes")
 
 
+MAX_PLACES = 10_000
+
+
+def dimension(places: DataFrame) -> DataFrame:
+    """Places to broadcast; more than MAX_PLACES raise."""
+    if places.limit(MAX_PLACES + 1).count() > MAX_PLACES:
+        raise ValueError(f"more than {MAX_PLACES} places")
+    return F.broadcast(places)
+
+
 def ordered_pairs(places: DataFrame, key: str = "node") -> DataFrame:
     """(start, goal): every ordered pair of different places; places are a dimension of checked size."""
-    if places.limit(10_001).count() > 10_000:
-        raise ValueError("too many places for all pairs")
+    dimension(places)
     a, b = places.select(F.col(key).alias("start")), F.broadcast(places.select(F.col(key).alias("goal")))
     return a.join(b, F.col("start") != F.col("goal"))
 
@@ -58,7 +67,7 @@ def heuristic_consistency(edges: DataFrame, nodes: DataFrame, goals: DataFrame,
     """
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("latitude").alias(f"{side}_lat"), F.col("longitude").alias(f"{side}_lon"))
     placed = edges.join(at("src"), "src").join(at("dst"), "dst")
-    ends = F.broadcast(goals.join(nodes, "node").select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
+    ends = dimension(goals.join(nodes, "node").select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
     ahead = placed.join(ends).withColumn("drop", haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("lat"), F.col("lon")) - haversine_km(F.col("dst_lat"), F.col("dst_lon"), F.col("lat"), F.col("lon")))
     priced = ahead.join(F.broadcast(presets(edges.sparkSession)))
     excess = F.col("alpha") * F.col("drop") - (F.col("alpha") * F.col("distance_km") + F.col("beta") * F.col("time_min") + F.col("gamma") * F.col("congestion") + F.col("delta") * F.col("risk"))

@@ -19,6 +19,8 @@ from routeloom.sources.dimensions import ALGORITHMS, PRESETS, PROFILES
 from routeloom.sources.sinks import feature_collection, json_value
 
 MIN_NODES, MIN_EDGES = 20, 30
+#: Scenarios whose edges and graphs are held.
+KEPT_SCENARIOS = 16
 #: Whose route a result is compared with, in order.
 RIVALS = {"optimal": ("bfs", "greedy", "dfs"), "other": ("dijkstra", "astar", "bfs", "greedy", "dfs")}
 OPTIMAL = ("dijkstra", "ucs", "astar")
@@ -61,9 +63,13 @@ class RoutePlanner:
         return feature_collection(routes.roads_features(self.graph.edges, self.graph.nodes).orderBy("src", "edge_ord"))
 
     def scenario(self, profile: str, weights: Weights) -> tuple[DataFrame, Broadcast]:
-        """The costed edges of a scenario and their broadcast graph; priced, checked and sent once."""
+        """The costed edges of a scenario and their broadcast graph; priced, checked and sent once while it is among the last few."""
         key = (profile, weights)
         if key not in self.held:
+            if len(self.held) >= KEPT_SCENARIOS:
+                old, sent = self.held.pop(next(iter(self.held)))
+                old.unpersist()
+                sent.unpersist()
             edges = costed(with_profile(self.graph.edges, profile), weights).cache()
             self.held[key] = edges, searches.shared(Graph(self.graph.nodes, edges))
         return self.held[key]
@@ -82,7 +88,7 @@ class RoutePlanner:
         """`requests` (request_id, start, goal, algorithm; landmark ids) to results: the way to run many."""
         _, weights = self.weights(criterion, custom_weights)
         _, net = self.scenario(traffic_profile, weights)
-        at = lambda side: F.broadcast(self.landmarks.select(F.col("id").alias(side), F.col("snapped_node").alias(f"{side}_node")))  # noqa: E731  a dimension
+        at = lambda side: self.landmarks.select(F.col("id").alias(side), F.col("snapped_node").alias(f"{side}_node"))
         named = requests.join(at("start"), "start").join(at("goal"), "goal").select("request_id", F.col("start_node").alias("start"), F.col("goal_node").alias("goal"), "algorithm")
         return searches.run_searches(net, named, weights.alpha)
 

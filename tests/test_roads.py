@@ -277,3 +277,24 @@ def test_reports(planner):
     assert len(bench["algorithms"]) == 6 and bench["profiles"]["rush_hour"]["total_cost"] > bench["profiles"]["normal"]["total_cost"]
     assert bench["tours"]["exact_bruteforce"]["total_cost"] <= bench["tours"]["input_order"]["total_cost"] + 1e-9
     assert reports.road_totals(planner.graph.edges).first()["roads"] == planner.summary["routable_edges"]
+
+
+def test_access_points_cut_roads(spark, files):
+    from routeloom.operators.access import insert_access_points
+
+    roads = etl.read_roads(spark, str(files / "roads.geojson"))
+    rows = [(0, "side", "Side", "x", "", 10.70212, 106.7045), (1, "corner", "Corner", "x", "", 10.7010001, 106.701), (2, "gate", "Gate", "x", "", 10.9, 106.9), (3, "also", "Also", "x", "", 10.70198, 106.7042)]
+    places = spark.createDataFrame(rows, "landmark_ord int, id string, name string, category string, description string, latitude double, longitude double")
+    overrides = spark.createDataFrame([("gate", 10.7025, 106.70395, "gate", None, "map", False)], "id string, latitude double, longitude double, kind string, label string, source string, use_road_projection boolean")
+    cut, found = insert_access_points(roads, places, overrides)
+    got = {r["id"]: r for r in found.collect()}
+    # no street runs east of 106.704, so the side door projects on the street north, at its own latitude
+    assert (got["side"]["routing_longitude"], got["side"]["routing_latitude"]) == (106.704, 10.70212) and got["side"]["access_road"] == "North 4"
+    assert (got["corner"]["routing_longitude"], got["corner"]["routing_latitude"]) == (106.701, 10.701) and got["corner"]["access_kind"] == "nearest_road"
+    assert (got["gate"]["routing_longitude"], got["gate"]["routing_latitude"], got["gate"]["access_kind"], got["gate"]["access_label"]) == (106.70395, 10.7025, "gate", "Entrance")
+    assert cut.count() == roads.count() + 2 * 3  # both directions at the side door, the gate and the other door
+    graph = etl.build_graph(cut)
+    snapped = {r["id"]: r for r in etl.snap_landmarks(etl.landmark_columns(found), graph.nodes).collect()}
+    assert snapped["side"]["snapped_distance_m"] == 0 and snapped["corner"]["snapped_distance_m"] == 0 and snapped["gate"]["snapped_distance_m"] < 6
+    before, after = (etl.road_edges(r).where("metadata['name'] = 'North 4'").agg(F.sum("distance_km")).first()[0] for r in (roads, cut))
+    assert before == pytest.approx(after)
