@@ -127,20 +127,21 @@ def fold(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Forest:
     """Fits a forest on labelled rows outside the held-out fold, at most `max_rows` of them.
 
-    Label rows without doc_id or with a quality other than 0 and 1 don't count. Only the sample's statistics, which
-    executors compute, come to the driver: `max_rows` times the number of statistics.
+    Label rows without doc_id or with a quality other than 0 and 1 don't count, equal ones count once; of documents
+    that share a doc_id the least text counts. Only the sample's statistics, which executors compute, come to the
+    driver: `max_rows` times the number of statistics.
     """
     bounded_batches(docs.sparkSession)
-    usable = labels.select(F.col("doc_id").alias("__id"), "quality").where("__id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("__id")) != HELD_OUT_FOLD)
+    usable = labels.select(F.col("doc_id").alias("__id"), "quality").where("__id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("__id")) != HELD_OUT_FOLD).distinct()
     sample = usable.orderBy(F.xxhash64("__id"), "__id", "quality").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [statistics(t).tolist() for t in pdf["text"]]})
 
     found = rows.mapInPandas(describe, T.StructType([docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.FloatType()))]))
-    got = sorted((r["doc_id"], r["quality"], r["x"]) for r in found.collect())[:max_rows]
+    got = sorted((r["doc_id"], r["quality"], r["x"]) for r in found.collect())
     return fit(np.array([g[2] for g in got], np.float32).reshape(len(got), len(STATISTICS)), np.array([g[1] for g in got], np.float64))
 
 

@@ -135,6 +135,8 @@ def bucket_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in frames:
         pdf = pd.concat([rest, pdf], ignore_index=True)
+        if pdf.empty:
+            continue
         last = (pdf[["bucket", "low", "high"]] == pdf[["bucket", "low", "high"]].iloc[-1]).all(axis=1).to_numpy()
         rest = pdf[last]
         if not last.all():
