@@ -117,7 +117,7 @@ def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(Graph(graph.nodes.where(key("node_id") % 50 != 0), spoilt))
 
 
-@query(f"WITH {E}, {NODES} SELECT (SELECT COUNT(*) FROM n) AS routable_nodes, (SELECT COUNT(*) FROM e) AS routable_edges, 0 AS simulated_connectors, 0 AS landmarks, 0 AS unique_landmark_nodes")
+@query(f"WITH {E}, {NODES} SELECT (SELECT COUNT(*) FROM n) AS routable_nodes, (SELECT COUNT(*) FROM e) AS routable_edges, 0::BIGINT AS simulated_connectors, 0::BIGINT AS landmarks, 0::BIGINT AS unique_landmark_nodes")
 def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.network_summary(derived.basket_graph(derived.basket_edges(spark, sf_dir)))
 
@@ -218,7 +218,7 @@ def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("source").cast("long").alias("start"), F.col("node").cast("long").alias("goal"), F.col("cost").cast("long").alias("cost"))
 
 
-@query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0 AS broken FROM d JOIN marks USING (node) WHERE s <> node AND s = (SELECT MIN(node) FROM marks)")
+@query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0::BIGINT AS broken FROM d JOIN marks USING (node) WHERE s <> node AND s = (SELECT MIN(node) FROM marks)")
 def dijkstra_pair_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from the set-based search, chased back by parents, priced hop by hop and checked to consist of edges."""
     edges = base(spark, sf_dir)
@@ -231,7 +231,7 @@ def dijkstra_pair_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return way.join(found.select(F.col("source"), F.col("node").alias("goal"), "cost"), ["source", "goal"]).join(steps, "goal").select(F.col("source").alias("start"), "goal", "cost", "path_cost", "broken")
 
 
-@query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT (SELECT COUNT(*) * (COUNT(*) - 1) FROM marks) AS pairs, COUNT(*) AS reachable, 0 AS mismatches, 0.0::DOUBLE AS max_delta FROM d JOIN marks USING (node) WHERE s <> node")
+@query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT (SELECT COUNT(*) * (COUNT(*) - 1) FROM marks) AS pairs, COUNT(*) AS reachable, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_delta FROM d JOIN marks USING (node) WHERE s <> node")
 def ucs_astar_dijkstra_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
     found = audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges))), ("ucs", "astar", "dijkstra"))
@@ -362,7 +362,7 @@ ROUTES = f"""{E}, {H.replace('SELECT l_partkey AS src,', 'SELECT l_orderkey AS r
 seg AS (SELECT h.request_id, h.pos, e.*, 'Road ' || (e.dst % 50) AS name FROM h JOIN e ON e.src = h.src AND e.dst = h.dst)"""
 
 
-@query(f"WITH {ROUTES} SELECT request_id, pos, CAST(src AS VARCHAR) AS \"from\", CAST(dst AS VARCHAR) AS \"to\", name, road_type, ROUND(distance_km, 6) AS distance_km, ROUND(time_min, 6) AS time_min, cost_m AS cost FROM seg")
+@query(f"WITH {ROUTES} SELECT request_id, CAST(pos AS INTEGER) AS pos, CAST(src AS VARCHAR) AS \"from\", CAST(dst AS VARCHAR) AS \"to\", name, road_type, ROUND(distance_km, 6) AS distance_km, ROUND(time_min, 6) AS time_min, cost_m AS cost FROM seg")
 def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = routes.route_segments(*order_routes(spark, sf_dir))
     return found.select("request_id", "pos", "from", "to", "name", "road_type", F.round("distance_km", 6).alias("distance_km"), F.round("time_min", 6).alias("time_min"), F.col("cost").cast("long").alias("cost"))
@@ -385,7 +385,7 @@ def first_road_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.road_names(routes.route_segments(*order_routes(spark, sf_dir)), first=3).select("request_id", F.array_join("names", ", ").alias("names"))
 
 
-@query(f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) AS hops FROM h WHERE dst IS NOT NULL GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, hops + 1 AS points FROM c JOIN k USING (request_id) WHERE hops = known")
+@query(f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) AS hops FROM h WHERE dst IS NOT NULL GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, CAST(hops + 1 AS INTEGER) AS points FROM c JOIN k USING (request_id) WHERE hops = known")
 def route_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     way, edges = order_routes(spark, sf_dir)
     nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
