@@ -16,12 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     Every round hooks neighbours to the smallest one they know, first those larger than a node, then those smaller;
     the number of edges never grows. Rounds end when the edges are stars; each is written to the shared checkpoint folder.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = checkpointed(
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    )
     seen = None
     for _ in range(MAX_ROUNDS):
         stamp = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if stamp == seen or stamp[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                now.select(F.col("b").alias("node"), F.col("b").alias("root"))
+            ).distinct()
         seen = stamp
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

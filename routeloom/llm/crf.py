@@ -67,7 +67,13 @@ class Crf:
         return out
 
 
-def train(sequences: list[tuple[list[list[str]], list[int]]], n_labels: int, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> Crf:
+def train(
+    sequences: list[tuple[list[list[str]], list[int]]],
+    n_labels: int,
+    epochs: int = EPOCHS,
+    rate: float = RATE,
+    l2: float = L2,
+) -> Crf:
     """Maximises the labels' mean log-likelihood, less an L2 penalty, by Adam on exact gradients (forward-backward)."""
     sequences = [s for s in sequences if s[1]]
     features = {f: k for k, f in enumerate(sorted({f for places, _ in sequences for place in places for f in place}))}
@@ -87,20 +93,32 @@ def train(sequences: list[tuple[list[list[str]], list[int]]], n_labels: int, epo
     one_hot = np.eye(n_labels)
     for epoch in range(1, epochs + 1):
         weights, steps, first = params
-        scores = np.stack([np.bincount(at, weights[held, k], longest * n) for k in range(n_labels)], axis=1).reshape(longest, n, n_labels)
+        scores = np.stack(
+            [np.bincount(at, weights[held, k], longest * n) for k in range(n_labels)], axis=1
+        ).reshape(longest, n, n_labels)
         ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
         ahead[0] = first + scores[0]
         for t in range(1, longest):
-            ahead[t] = np.where(inside[t][:, None], scores[t] + log_sum(ahead[t - 1][:, :, None] + steps, 1), ahead[t - 1])
+            ahead[t] = np.where(
+                inside[t][:, None], scores[t] + log_sum(ahead[t - 1][:, :, None] + steps, 1), ahead[t - 1]
+            )
         total = log_sum(ahead[-1], 1)
         for t in range(longest - 2, -1, -1):
-            behind[t] = np.where(inside[t + 1][:, None], log_sum(steps + (scores[t + 1] + behind[t + 1])[:, None, :], 2), 0)
+            behind[t] = np.where(
+                inside[t + 1][:, None], log_sum(steps + (scores[t + 1] + behind[t + 1])[:, None, :], 2), 0
+            )
         off = (one_hot[gold] - np.exp(ahead + behind - total[:, None])) * inside[:, :, None]
         flat = off.reshape(-1, n_labels)
-        slope = [np.stack([np.bincount(held, flat[at, k], len(features)) for k in range(n_labels)], axis=1), np.zeros_like(steps), np.zeros_like(first)]
+        slope = [
+            np.stack([np.bincount(held, flat[at, k], len(features)) for k in range(n_labels)], axis=1),
+            np.zeros_like(steps),
+            np.zeros_like(first),
+        ]
         for t in range(1, longest):
             pair = np.exp(ahead[t - 1][:, :, None] + steps + (scores[t] + behind[t])[:, None, :] - total[:, None, None])
-            slope[1] += ((one_hot[gold[t - 1]][:, :, None] * one_hot[gold[t]][:, None, :] - pair) * inside[t][:, None, None]).sum(0)
+            slope[1] += (
+                (one_hot[gold[t - 1]][:, :, None] * one_hot[gold[t]][:, None, :] - pair) * inside[t][:, None, None]
+            ).sum(0)
         slope[2] = off[0].sum(0)
         for k, (p, (m, v)) in enumerate(zip(params, moments)):
             g = slope[k] / n - l2 * p

@@ -102,7 +102,14 @@ def blocks(items: DataFrame, width: int, containment: float, most: int) -> Itera
         yield block.close()
 
 
-def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", width: int = WIDTH, containment: float = CONTAINMENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def contained_items(
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    width: int = WIDTH,
+    containment: float = CONTAINMENT,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
     """(key, item_id, n_shingles, n_found, containment): each document that holds at least the asked share of an item's shingles.
 
     Shingles are distinct runs of `width` words (A-Z lower-cased); an item of fewer words is one shingle, found as a
@@ -113,7 +120,15 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", widt
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("item_id", items.schema["item_id"].dataType), T.StructField("n_shingles", T.IntegerType()), T.StructField("n_found", T.IntegerType()), T.StructField("containment", T.DoubleType())])
+    schema = T.StructType(
+        [
+            T.StructField(key, docs.schema[key].dataType),
+            T.StructField("item_id", items.schema["item_id"].dataType),
+            T.StructField("n_shingles", T.IntegerType()),
+            T.StructField("n_found", T.IntegerType()),
+            T.StructField("containment", T.DoubleType()),
+        ]
+    )
     out = spark.createDataFrame([], schema)
     for block in blocks(items, width, containment, block_shingles):
         sent = spark.sparkContext.broadcast(block)
@@ -123,14 +138,31 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", widt
             for batch in batches:
                 hits = own.found(batch.column(1))
                 n = [len(own.shingles[k]) for _, k, _ in hits]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _, _ in hits], pa.int64())), pa.array([own.ids[k] for _, k, _ in hits]).cast(item_type), pa.array(n, pa.int32()), pa.array([f for _, _, f in hits], pa.int32()), pa.array([f / m for (_, _, f), m in zip(hits, n)], pa.float64())], names=schema.names)
-
-        item_type = pa.string() if isinstance(schema["item_id"].dataType, T.StringType) else pa.int32() if isinstance(schema["item_id"].dataType, T.IntegerType) else pa.int64()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array([r for r, _, _ in hits], pa.int64())),
+                        pa.array([own.ids[k] for _, k, _ in hits]).cast(item_type),
+                        pa.array(n, pa.int32()),
+                        pa.array([f for _, _, f in hits], pa.int32()),
+                        pa.array([f / m for (_, _, f), m in zip(hits, n)], pa.float64()),
+                    ],
+                    names=schema.names,
+                )
+
+        item_type = pa.string() if isinstance(schema["item_id"].dataType, T.StringType) else pa.int32() if isinstance(
+            schema["item_id"].dataType, T.IntegerType
+        ) else pa.int64()
         out = out.unionByName(docs.select(key, "text").mapInArrow(scan, schema))
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    width: int = WIDTH,
+    containment: float = CONTAINMENT,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
     """The documents that contain no item, with their columns; see contained_items."""
     bounded_batches(docs.sparkSession)
     at, out = docs.columns.index("text"), docs

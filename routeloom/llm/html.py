@@ -18,16 +18,29 @@ from routeloom.llm import crf
 from routeloom.llm.common import bounded_batches, table, with_columns
 
 #: Elements that start and end a block of text, that have no end tag, and whose content is no text of the page.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style title noscript template svg math iframe object textarea head".split())
 RAW = SILENT - {"head"}
 #: Elements that say what they hold; a block's innermost one, or the innermost with a class, id or role, counts most.
 SECTIONS = frozenset("article aside dialog footer form header main nav section".split())
 #: An open element of the key ends when one of the values starts directly in it.
-CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+CLOSED_BY = {
+    "p": BLOCKS,
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "tr": {"tr"},
+    "td": {"td", "th", "tr"},
+    "th": {"td", "th", "tr"},
+    "option": {"option"},
+}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|([^<]+)|<""", re.S)
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|([^<]+)|<""", re.S
+)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: The mark of main text in labelled pages; it is no feature.
 MARK = "data-main"
@@ -96,12 +109,22 @@ def blocks(html: str | None) -> Iterator[Block]:
         if name in VOID:
             held.append(" ")
             continue
-        words = {w for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w}
+        words = {
+            w for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w
+        }
         _, features, tag, marked, inner = stack[-1]
         own = {f"in={name}"} | {f"name={w}" for w in words}
         if words or name in SECTIONS:
             inner = frozenset({f"inner {f}" for f in own if name in SECTIONS or f[:2] != "in"})
-        stack.append((name, features | own if len(features) < 200 else features, name if name in BLOCKS else tag, marked or MARK in rest, inner))
+        stack.append(
+            (
+                name,
+                features | own if len(features) < 200 else features,
+                name if name in BLOCKS else tag,
+                marked or MARK in rest,
+                inner,
+            )
+        )
         opened[name] += 1
         if rest.endswith("/") and name not in BLOCKS:
             pop()
@@ -113,7 +136,14 @@ def describe(text: str, ancestors: frozenset[str], tag: str, linked: int) -> lis
     words = text.count(" ") + 1
     size = next(k for k, most in enumerate((1, 2, 5, 10, 20, 50, 1 << 60)) if words <= most)
     links = min(3, int(4 * linked / max(1, len(text))))
-    out = [*ancestors, f"tag={tag}", f"size={size}", f"links={links}", f"tag={tag} links={links}", f"end={text[-1] if text[-1] in '.!?:' else ''}"]
+    out = [
+        *ancestors,
+        f"tag={tag}",
+        f"size={size}",
+        f"links={links}",
+        f"tag={tag} links={links}",
+        f"end={text[-1] if text[-1] in '.!?:' else ''}",
+    ]
     if text[0] in "©»«|·•":
         out.append("start=mark")
     if "in=article" not in ancestors and "in=main" not in ancestors:
@@ -124,13 +154,24 @@ def describe(text: str, ancestors: frozenset[str], tag: str, linked: int) -> lis
 #: What the parts around a main text are called and look like: tags, then names of classes and ids.
 PARTS = {
     "menu": ("nav nav div ul ol", "menu nav navigation navbar main-menu breadcrumb breadcrumbs topnav links nav-menu"),
-    "ad": ("div div aside section p", "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner ad-slot adbox"),
-    "notice": ("div section dialog p", "cookie cookies cookie-notice consent notice notices gdpr alert popup modal overlay warning announcement"),
+    "ad": (
+        "div div aside section p",
+        "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner ad-slot adbox",
+    ),
+    "notice": (
+        "div section dialog p",
+        "cookie cookies cookie-notice consent notice notices gdpr alert popup modal overlay warning announcement",
+    ),
     "head": ("header header div", "header head masthead site-header branding topbar banner logo page-header"),
     "foot": ("footer footer div", "footer foot site-footer copyright legal bottom imprint colophon"),
-    "side": ("aside aside div section", "sidebar side related widget recommended trending popular teaser related-posts"),
+    "side": (
+        "aside aside div section", "sidebar side related widget recommended trending popular teaser related-posts"
+    ),
     "form": ("form form div", "form search login signup contact newsletter subscribe subscription"),
-    "comments": ("section div ol ul", "comments comment-list commentlist discussion responses replies reader-comments user-comments"),
+    "comments": (
+        "section div ol ul",
+        "comments comment-list commentlist discussion responses replies reader-comments user-comments",
+    ),
     "share": ("div ul p", "share social sharing tags pagination pager social-links share-buttons"),
 }
 CONTENT_NAMES = "content post entry story article article-body post-content main-text text body-text entry-content".split()
@@ -179,18 +220,37 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
             return f"<pre {MARK}>{text(4, 20)}</pre>"
         if kind < 0.91:
             tag = rng.choice(["ul", "ul", "ol"])
-            return f"<{tag} {MARK}>" + "".join(f"<li>{text(1, 20)}</li>" for _ in range(rng.randint(2, 4))) + f"</{tag}>"
+            return f"<{tag} {MARK}>" + "".join(
+                f"<li>{text(1, 20)}</li>" for _ in range(rng.randint(2, 4))
+            ) + f"</{tag}>"
         if kind < 0.94:
-            return f"<table {MARK}>" + "".join(f"<tr><td>{text(1, 3)}</td><td>{text(1, 3)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+            return f"<table {MARK}>" + "".join(
+                f"<tr><td>{text(1, 3)}</td><td>{text(1, 3)}</td></tr>" for _ in range(rng.randint(1, 3))
+            ) + "</table>"
         return f'<p {MARK}>{text(1, 10)} <a href="/{word()}">{text(1, 4)}</a> {text(1, 20)}</p>'
 
     def comment() -> str:
-        said = rng.choice([f"<p>{text(2, 40)}</p>", text(2, 30), f"<b>{text(1, 2)}</b><p>{text(2, 30)}</p>", f"{text(1, 2)}: {text(2, 30)}"])
+        said = rng.choice(
+            [
+                f"<p>{text(2, 40)}</p>",
+                text(2, 30),
+                f"<b>{text(1, 2)}</b><p>{text(2, 30)}</p>",
+                f"{text(1, 2)}: {text(2, 30)}",
+            ]
+        )
         tag = rng.choice(["div", "li", "article", "p"])
         return f'<{tag} class="{rng.choice(["comment", "comment", "reply", "comment-body"])}">{said}</{tag}>' if rng.random() < 0.6 else f"<{rng.choice(['li', 'p', 'div'])}>{said}"
 
     def inside(kind: str) -> str:
-        plain = rng.choice([f"<p>{text(2, 30)}</p>", text(2, 30), f"<h3>{text(1, 4)}</h3><p>{text(2, 30)}</p>", f"<p>{text(2, 20)}</p><p>{text(2, 20)}</p>", f'{text(2, 12)} <a href="/{word()}">{text(1, 2)}</a>'])
+        plain = rng.choice(
+            [
+                f"<p>{text(2, 30)}</p>",
+                text(2, 30),
+                f"<h3>{text(1, 4)}</h3><p>{text(2, 30)}</p>",
+                f"<p>{text(2, 20)}</p><p>{text(2, 20)}</p>",
+                f'{text(2, 12)} <a href="/{word()}">{text(1, 2)}</a>',
+            ]
+        )
         if kind in ("menu", "share"):
             return rng.choice([f"<ul>{links(rng.randint(2, 7))}</ul>", links(rng.randint(2, 6), ""), links(3)])
         if kind == "form":
@@ -198,9 +258,19 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
         if kind == "comments":
             return rng.choice(["", f"<h2>{text(1, 3)}</h2>"]) + "".join(comment() for _ in range(rng.randint(1, 4)))
         if kind == "head":
-            return rng.choice([f"<h1>{text(1, 4)}</h1><p>{text(2, 9)}</p>", text(1, 6), f'<a href="/">{text(1, 3)}</a>', f"<h1>{text(1, 5)}</h1>", plain])
+            return rng.choice(
+                [
+                    f"<h1>{text(1, 4)}</h1><p>{text(2, 9)}</p>",
+                    text(1, 6),
+                    f'<a href="/">{text(1, 3)}</a>',
+                    f"<h1>{text(1, 5)}</h1>",
+                    plain,
+                ]
+            )
         if kind == "foot":
-            return rng.choice(["&copy; ", "© ", "", "<p>"]) + rng.choice([f"{text(2, 25)} &middot; {text(1, 6)}", text(1, 12), links(3, ""), plain])
+            return rng.choice(["&copy; ", "© ", "", "<p>"]) + rng.choice(
+                [f"{text(2, 25)} &middot; {text(1, 6)}", text(1, 12), links(3, ""), plain]
+            )
         if kind == "side":
             return rng.choice([f"<h3>{text(1, 3)}</h3><ul>{links(3)}</ul>", plain, plain])
         return plain + (f"<button>{word()}</button>" if kind == "notice" and rng.random() < 0.4 else "")
@@ -223,13 +293,27 @@ def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
                 body.append("</p>" + noise())
         main = "".join(body)
         div = lambda x: f'<div {rng.choice(["class", "id"])}="{rng.choice(CONTENT_NAMES)}">{x}</div>'
-        layouts = [lambda x: f"<article>{x}</article>", lambda x: f"<main>{x}</main>", lambda x: f"<main><article>{x}</article></main>", div, lambda x: div(div(x)), lambda x: f'<article class="{rng.choice(CONTENT_NAMES)}">{x}</article>', lambda x: f"<main>{div(x)}</main>", lambda x: f"<div>{x}</div>", lambda x: x]
+        layouts = [
+            lambda x: f"<article>{x}</article>",
+            lambda x: f"<main>{x}</main>",
+            lambda x: f"<main><article>{x}</article></main>",
+            div,
+            lambda x: div(div(x)),
+            lambda x: f'<article class="{rng.choice(CONTENT_NAMES)}">{x}</article>',
+            lambda x: f"<main>{div(x)}</main>",
+            lambda x: f"<div>{x}</div>",
+            lambda x: x,
+        ]
         main = rng.choices(layouts, [6, 3, 2, 4, 2, 2, 1, 2, 3])[0](main)
         around = lambda: "".join(noise() for _ in range(rng.choice([0, 0, 1, 2, 3, 4])))
         page = around() + main + around()
         for _ in range(rng.choice([0, 0, 1, 2])):
             page = f'<div {rng.choice(["class", "id"])}="{rng.choice(WRAPPERS)}">{page}</div>'
-        pages.append(f"<!DOCTYPE html><html><head><title>{text(1, 9)}</title><style>p{{}}</style></head><body>{page}" + rng.choice(["</body></html>", ""]))
+        pages.append(
+            f"<!DOCTYPE html><html><head><title>{text(1, 9)}</title><style>p{{}}</style></head><body>{page}" + rng.choice(
+                ["</body></html>", ""]
+            )
+        )
     return pages
 
 
@@ -238,7 +322,9 @@ def train(pages: list[str]) -> crf.Crf:
     sequences = []
     for page in pages:
         found = list(blocks(page))
-        sequences.append(([describe(t, a, tag, n) for t, _, a, tag, n in found], [int(marked) for _, marked, _, _, _ in found]))
+        sequences.append(
+            ([describe(t, a, tag, n) for t, _, a, tag, n in found], [int(marked) for _, marked, _, _, _ in found])
+        )
     return crf.train(sequences, 2)
 
 

@@ -21,8 +21,13 @@ def sections(text: Column) -> Column:
     """
 
     def section(part: Column) -> Column:
-        paragraphs = F.transform(F.split(part, "\n"), lambda p: F.struct(F.sha2(p, 256).alias("digest"), F.length(p).alias("n_chars")))
-        return F.struct(F.sha2(F.array_join(F.transform(paragraphs, lambda p: p["digest"]), ""), 256).alias("digest"), paragraphs.alias("paragraphs"))
+        paragraphs = F.transform(
+            F.split(part, "\n"), lambda p: F.struct(F.sha2(p, 256).alias("digest"), F.length(p).alias("n_chars"))
+        )
+        return F.struct(
+            F.sha2(F.array_join(F.transform(paragraphs, lambda p: p["digest"]), ""), 256).alias("digest"),
+            paragraphs.alias("paragraphs"),
+        )
 
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), section)
 
@@ -43,7 +48,10 @@ def text_root(text: Column) -> Column:
 
 def marks(text: Column) -> Column:
     """Short hashes of the pieces, of at most MARK_CHARS code points, that every paragraph is cut into from its start."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"([^\\n]{{1,{MARK_CHARS}}})"), 1), lambda m: F.substring(F.md5(m), 1, MARK_DIGITS))
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(f"([^\\n]{{1,{MARK_CHARS}}})"), 1),
+        lambda m: F.substring(F.md5(m), 1, MARK_DIGITS),
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,7 +67,15 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     included, have equal trees; columns of these names are replaced; an empty table gives an empty result.
     """
     treed = with_columns(docs, {"tree": sections(F.col(text))})
-    return with_columns(treed, {"root": root(F.col("tree")), "fingerprint": F.concat_ws("", root(F.col("tree")), F.lit(":"), F.array_join(marks(F.coalesce(text, F.lit(""))), ""))})
+    return with_columns(
+        treed,
+        {
+            "root": root(F.col("tree")),
+            "fingerprint": F.concat_ws(
+                "", root(F.col("tree")), F.lit(":"), F.array_join(marks(F.coalesce(text, F.lit(""))), "")
+            ),
+        },
+    )
 
 
 def edits(pairs: DataFrame, a: str = "tree_a", b: str = "tree_b") -> DataFrame:
@@ -76,8 +92,14 @@ def edits(pairs: DataFrame, a: str = "tree_a", b: str = "tree_b") -> DataFrame:
         return ~F.get(x, k)["digest"].eqNullSafe(F.get(y, k)["digest"])
 
     def inside(s: Column) -> Column:
-        x, y = (F.coalesce(F.get(F.col(t), s)["paragraphs"], F.array().cast("array<struct<digest:string,n_chars:int>>")) for t in (a, b))
-        return F.transform(F.filter(spots(x, y), lambda p: differs(x, y, p)), lambda p: F.struct(s.alias("section"), p.alias("paragraph")))
+        x, y = (
+            F.coalesce(F.get(F.col(t), s)["paragraphs"], F.array().cast("array<struct<digest:string,n_chars:int>>"))
+            for t in (a, b)
+        )
+        return F.transform(
+            F.filter(spots(x, y), lambda p: differs(x, y, p)),
+            lambda p: F.struct(s.alias("section"), p.alias("paragraph")),
+        )
 
     changed = F.filter(spots(F.col(a), F.col(b)), lambda s: differs(F.col(a), F.col(b), s))
     return with_columns(pairs, {"edits": F.flatten(F.transform(changed, inside))})
@@ -93,7 +115,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     number = F.coalesce(F.col(key).cast("long"), F.lit(LEAST))
     known = docs.select(number.alias("__number"))
-    cuts = known.agg(F.percentile_approx("__number", [(k + 1) / (wanted + 1) for k in range(wanted)], 10 * wanted)).first()[0] or []
+    cuts = known.agg(
+        F.percentile_approx("__number", [(k + 1) / (wanted + 1) for k in range(wanted)], 10 * wanted)
+    ).first()[0] or []
     bounds = sorted(set(cuts), reverse=True)
     step = max(1, int(len(bounds) ** 0.5))
     coarse = bounds[step - 1 :: step]
@@ -106,13 +130,25 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     ranged = with_columns(docs, {"__number": number, text: F.coalesce(text, F.lit(""))})
     ranged = with_columns(ranged, {"__coarse": above(numbers(coarse), F.col("__number")) * step})
-    ranged = with_columns(ranged, {"__range": F.col("__coarse") + above(F.slice(numbers(bounds), F.col("__coarse") + 1, step), F.col("__number"))}).drop("__coarse")
+    ranged = with_columns(
+        ranged,
+        {
+            "__range": F.col("__coarse") + above(
+                F.slice(numbers(bounds), F.col("__coarse") + 1, step), F.col("__number")
+            )
+        },
+    ).drop("__coarse")
     firsts = sorted((r[0], r[1]) for r in ranged.groupBy("__range").agg(F.max("__number")).collect())  # as many as ranges
     after = [(firsts[(k + 1) % len(firsts)][1], r) for k, (r, _) in enumerate(firsts)]
     guests = spark.createDataFrame(after, "__guest long, __to int")
     schema = F.struct(F.col(text), F.col("__number"))
     own = ranged.select(*docs.columns, "__range", F.lit(0).alias("__late"), schema.alias("__row"))
-    extra = ranged.join(F.broadcast(guests), F.col("__number") == F.col("__guest")).select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns], F.col("__to").alias("__range"), F.lit(1).alias("__late"), schema.alias("__row"))
+    extra = ranged.join(F.broadcast(guests), F.col("__number") == F.col("__guest")).select(
+        *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns],
+        F.col("__to").alias("__range"),
+        F.lit(1).alias("__late"),
+        schema.alias("__row"),
+    )
     both = own.unionByName(extra)
     order = W.partitionBy("__range").orderBy("__late", F.desc(F.col("__row")["__number"]), F.col("__row")[text])
     led = both.withColumn("next_text", F.lead(F.col("__row")[text]).over(order)).where("__late = 0")
@@ -123,8 +159,16 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = with_columns(docs, {"n_chars": n.cast("long"), "edited": F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))})
-    marked = with_columns(edited, {"own": marks(F.col("text")), "after": marks(F.col("edited")), "other": marks(F.col("next_text"))})
+    edited = with_columns(
+        docs,
+        {
+            "n_chars": n.cast("long"),
+            "edited": F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half)),
+        },
+    )
+    marked = with_columns(
+        edited, {"own": marks(F.col("text")), "after": marks(F.col("edited")), "other": marks(F.col("next_text"))}
+    )
     rooted = with_columns(marked, {"root": text_root(F.col("text")), "edited_root": text_root(F.col("edited"))})
     same = F.col("root") == F.col("edited_root")
     return rooted.select(

@@ -29,7 +29,9 @@ def poisson_table(mean: Column) -> Column:
         p = s["p"] * mean / k
         return F.struct(p.alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + p)).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.ceil(mean + 10 * F.sqrt(mean) + 20).cast("int")), start, step, lambda s: s["cdf"])
+    return F.aggregate(
+        F.sequence(F.lit(1), F.ceil(mean + 10 * F.sqrt(mean) + 20).cast("int")), start, step, lambda s: s["cdf"]
+    )
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
@@ -38,7 +40,9 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     Rates keep the corpus' total size: rate = weight share x total size / size of the source. A source that `weights`
     doesn't name weighs 0.
     """
-    sizes = docs.groupBy(F.col("source").alias("__source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1).alias("size"))
+    sizes = docs.groupBy(F.col("source").alias("__source")).agg(
+        F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1).alias("size")
+    )
     if weights is None:
         weight = F.pow(F.col("size").cast("double"), F.lit(ALPHA))
     else:
@@ -49,14 +53,28 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
             weight = F.when(F.col("__source").eqNullSafe(F.lit(k)), F.lit(float(w))).otherwise(weight)
     sized = sizes.withColumn("weight", weight)
     total = sized.agg(F.sum("size").alias("__size"), F.sum("weight").alias("__weight"))
-    return sized.join(F.broadcast(total)).select("__source", "size", "weight", F.when(F.col("__weight") > 0, F.col("weight") / F.col("__weight") * F.col("__size") / F.col("size")).otherwise(F.lit(0.0)).alias("rate"))
-
-
-def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    return sized.join(F.broadcast(total)).select(
+        "__source",
+        "size",
+        "weight",
+        F.when(
+            F.col("__weight") > 0, F.col("weight") / F.col("__weight") * F.col("__size") / F.col("size")
+        ).otherwise(F.lit(0.0)).alias("rate"),
+    )
+
+
+def replicate(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, key: str = "doc_id"
+) -> DataFrame:
     """mix_sources with __rate, __copy and __mix_key, beside whatever columns `docs` has."""
     rates = checkpointed(source_rates(docs, weights))
     parts = F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int")
-    tables = rates.select("__source", F.col("rate").alias("__rate"), parts.alias("__parts"), poisson_table(F.col("rate") / parts).alias("__cdf"))
+    tables = rates.select(
+        "__source",
+        F.col("rate").alias("__rate"),
+        parts.alias("__parts"),
+        poisson_table(F.col("rate") / parts).alias("__cdf"),
+    )
     rated = docs.join(broadcast_if_small(tables, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("__source")))
 
     def drawn(total: Column, part: Column) -> Column:
@@ -66,11 +84,22 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, s
     count = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), drawn)
     counted = with_columns(rated, {"__count": count}).where("__count > 0")
     copies = with_columns(counted, {"__copy": F.explode(F.sequence(F.lit(1), F.col("__count")))})
-    keyed = with_columns(copies, {"__mix_key": F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.col(key).cast("string"), F.col("__copy").cast("string")))})
-    return keyed.drop("__source", "__parts", "__cdf", "__count").repartition("__mix_key").sortWithinPartitions("__mix_key")
-
-
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, key: str = "doc_id") -> DataFrame:
+    keyed = with_columns(
+        copies,
+        {
+            "__mix_key": F.md5(
+                F.concat_ws(":", F.lit(f"{seed}/order"), F.col(key).cast("string"), F.col("__copy").cast("string"))
+            )
+        },
+    )
+    return keyed.drop(
+        "__source", "__parts", "__cdf", "__count"
+    ).repartition("__mix_key").sortWithinPartitions("__mix_key")
+
+
+def mix_sources(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, seed: int = SEED, key: str = "doc_id"
+) -> DataFrame:
     """Each row as often as a Poisson draw with its source's rate says, in a global random order.
 
     The draw inverts the distribution at a hash of the seed and the row's key, so it depends on nothing else: reruns,

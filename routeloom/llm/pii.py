@@ -55,11 +55,18 @@ def base_spans(text: str) -> list[Span]:
     """Leftmost, non-overlapping matches of each kind, by kind and start."""
     out = list(emails(text))
     if NUMBER.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        out += [
+            ("ip", m.start(), m.end())
+            for m in IP.finditer(text) if all(
+                len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")
+            )
+        ]
         for m in CARD.finditer(text):
             if 13 <= len(m[0]) <= 40 and 13 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
                 out.append(("card", m.start(), m.end()))
-        out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15] if "+" in text else []
+        out += [
+            ("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15
+        ] if "+" in text else []
     return out
 
 
@@ -83,7 +90,9 @@ def core(word: str) -> tuple[int, int]:
 def shape(word: str) -> str:
     """The word with runs of letters and digits made short: lengths of runs of digits stay, up to five."""
     word = re.sub(r"[^\W\d_]+", "a", word)
-    return re.sub(r"[0-9]+", lambda m: f"<{len(m[0])}>" if len(m[0]) < 5 else "<5>" if len(m[0]) < 9 else "<9>", word)[:40]
+    return re.sub(
+        r"[0-9]+", lambda m: f"<{len(m[0])}>" if len(m[0]) < 5 else "<5>" if len(m[0]) < 9 else "<9>", word
+    )[:40]
 
 
 def describe(words: list[str], at: int) -> list[str]:
@@ -91,7 +100,9 @@ def describe(words: list[str], at: int) -> list[str]:
     a, b = core(words[at])
     own = words[at][a:b]
     digits = re.sub(r"[^0-9]", "", own)
-    out = [f"shape={shape(own)}", f"digits={min(len(digits), 20)}", f"first={own[:1] if not own[:1].isalnum() else 'x'}"]
+    out = [
+        f"shape={shape(own)}", f"digits={min(len(digits), 20)}", f"first={own[:1] if not own[:1].isalnum() else 'x'}"
+    ]
     if "@" in own:
         out.append("has@")
     if re.search(r"[(\[{](?:at|dot)[)\]}]", own, re.I):
@@ -115,7 +126,24 @@ def describe(words: list[str], at: int) -> list[str]:
 
 
 #: Words that announce a kind.
-CUES = {"tel": "phone", "phone": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "telefon": "phone", "teléfono": "phone", "téléphone": "phone", "mail": "email", "email": "email", "e-mail": "email", "contact": "email", "ip": "ip", "card": "card", "visa": "card", "mastercard": "card"}
+CUES = {
+    "tel": "phone",
+    "phone": "phone",
+    "call": "phone",
+    "fax": "phone",
+    "mobile": "phone",
+    "telefon": "phone",
+    "teléfono": "phone",
+    "téléphone": "phone",
+    "mail": "email",
+    "email": "email",
+    "e-mail": "email",
+    "contact": "email",
+    "ip": "ip",
+    "card": "card",
+    "visa": "card",
+    "mastercard": "card",
+}
 
 
 def labelled_table(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
@@ -127,7 +155,13 @@ def labelled_table(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]
     def card() -> str:
         while not luhn(digits := number(16)):
             pass
-        return rng.choice([digits, " ".join(digits[k : k + 4] for k in range(0, 16, 4)), "-".join(digits[k : k + 4] for k in range(0, 16, 4))])
+        return rng.choice(
+            [
+                digits,
+                " ".join(digits[k : k + 4] for k in range(0, 16, 4)),
+                "-".join(digits[k : k + 4] for k in range(0, 16, 4)),
+            ]
+        )
 
     def not_card() -> str:
         while luhn(digits := number(16)):
@@ -136,10 +170,23 @@ def labelled_table(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]
 
     quad = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
     found = {
-        "email": [lambda: f"{word()}.{number(2)}@mail{number(1)}.{word()}.com", lambda: f"{word()}@{word()}.org", lambda: f"{word()} (at) {word()} (dot) com", lambda: f"{word()}[at]{word()}.net", lambda: f"{word()}(at){word()}.com"],
+        "email": [
+            lambda: f"{word()}.{number(2)}@mail{number(1)}.{word()}.com",
+            lambda: f"{word()}@{word()}.org",
+            lambda: f"{word()} (at) {word()} (dot) com",
+            lambda: f"{word()}[at]{word()}.net",
+            lambda: f"{word()}(at){word()}.com",
+        ],
         "ip": [quad, quad],
         "card": [card, card],
-        "phone": [lambda: f"+{rng.randint(1, 99)} ({number(3)}) 555-{number(4)}", lambda: f"+{number(2)} {number(3)} {number(6)}", lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}", lambda: f"tel: 0{number(3)} {number(7)}", lambda: f"phone 0{number(3)}/{number(6)}"],
+        "phone": [
+            lambda: f"+{rng.randint(1, 99)} ({number(3)}) 555-{number(4)}",
+            lambda: f"+{number(2)} {number(3)} {number(6)}",
+            lambda: f"({number(3)}) {number(3)}-{number(4)}",
+            lambda: f"{number(3)}-{number(3)}-{number(4)}",
+            lambda: f"tel: 0{number(3)} {number(7)}",
+            lambda: f"phone 0{number(3)}/{number(6)}",
+        ],
     }
     none = [not_card, not_card, not_card, lambda: f"{rng.randint(1, 9)}.0", lambda: f"{rng.randint(1, 9)}.0.", lambda: f"Version {rng.randint(1, 9)}.{number(1)}.{number(1)}", lambda: f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"', lambda: str(rng.randint(1900, 2030)), lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}", lambda: f"{rng.randint(1990, 2030)}-0{number(1)}-1{number(1)}", lambda: number(rng.randint(1, 12)), lambda: f"{number(1)},{number(3)}.{number(2)}", lambda: f"1{number(1)}:{number(2)}", lambda: f"{number(3)}.{rng.randint(256, 999)}.{number(1)}.{number(1)}", lambda: f"@{word()}", lambda: f"{number(2)}-{number(2)}", lambda: f"{word()}{number(2)}", lambda: f"{number(3)} {number(3)} {word()}"]
     rows = []
@@ -186,12 +233,18 @@ def plausible(kind: str, piece: str) -> bool:
     """Whether a decoded span can be of its kind at all."""
     digits = re.sub(r"[^0-9]", "", piece)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+ ?(@|[(\[{]at[)\]}]) ?[\w-]+( ?(\.|[(\[{]dot[)\]}]) ?[\w-]+)+", piece, re.I))
+        return bool(
+            re.fullmatch(r"[\w.%+-]+ ?(@|[(\[{]at[)\]}]) ?[\w-]+( ?(\.|[(\[{]dot[)\]}]) ?[\w-]+)+", piece, re.I)
+        )
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", piece)) and all(int(p) <= 255 for p in piece.split("."))
+        return bool(
+            re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", piece)
+        ) and all(int(p) <= 255 for p in piece.split("."))
     if kind == "card":
         return bool(CARD.fullmatch(piece)) and 13 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"\+?\(?[0-9][\x20().0-9/-]+[0-9]", piece)) and 7 <= len(digits) <= 15 and not (piece.isdigit() and len(piece) < 9)
+    return bool(
+        re.fullmatch(r"\+?\(?[0-9][\x20().0-9/-]+[0-9]", piece)
+    ) and 7 <= len(digits) <= 15 and not (piece.isdigit() and len(piece) < 9)
 
 
 def field_spans(texts: list[str], model: crf.Crf) -> list[list[Span]]:

@@ -31,7 +31,9 @@ def byte_class(chars: bytes) -> np.ndarray:
     return np.frombuffer(chars, np.uint8)
 
 
-UPPER, DIGITS, SYMBOLS, OTHER = (byte_class(x) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~<>{}[]\\=_", b"\"'()+-/:;?`"))
+UPPER, DIGITS, SYMBOLS, OTHER = (
+    byte_class(x) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~<>{}[]\\=_", b"\"'()+-/:;?`")
+)
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -87,7 +89,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     inner = 2**DEPTH - 1
     if len(y) == 0 or y.min() == y.max():
         return Forest(np.zeros((0, inner), np.int64), np.zeros((0, inner), np.float32), np.zeros((0, inner + 1)), start)
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
+    cuts = [
+        np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])
+    ]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)])
     total, forest = np.full(len(y), start), []
     for _ in range(TREES):
@@ -108,7 +112,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
                 here = gain.argmax(1)
                 value = gain[np.arange(width), here]
                 better = value > best
-                best, choice, cut = np.where(better, value, best), np.where(better, f, choice), np.where(better, here, cut)
+                best, choice, cut = np.where(
+                    better, value, best
+                ), np.where(better, f, choice), np.where(better, here, cut)
             heap = np.arange(width) + width - 1
             feature[heap] = choice
             threshold[heap] = [cuts[f][c] if c < len(cuts[f]) else np.inf for f, c in zip(choice, cut)]
@@ -132,28 +138,50 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
     driver: `max_rows` times the number of statistics.
     """
     bounded_batches(docs.sparkSession)
-    usable = labels.select(F.col("doc_id").alias("__id"), "quality").where("__id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("__id")) != HELD_OUT_FOLD).distinct()
+    usable = labels.select(
+        F.col("doc_id").alias("__id"), "quality"
+    ).where("__id IS NOT NULL AND quality IN (0, 1)").where(fold(F.col("__id")) != HELD_OUT_FOLD).distinct()
     sample = usable.orderBy(F.xxhash64("__id"), "__id", "quality").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "text").join(
+        F.broadcast(sample), F.col("doc_id") == F.col("__id")
+    ).groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [statistics(t).tolist() for t in pdf["text"]]})
-
-    found = rows.mapInPandas(describe, T.StructType([docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.FloatType()))]))
+            yield pd.DataFrame(
+                {"doc_id": pdf["doc_id"], "quality": pdf["quality"], "x": [statistics(t).tolist() for t in pdf["text"]]}
+            )
+
+    found = rows.mapInPandas(
+        describe,
+        T.StructType(
+            [
+                docs.schema["doc_id"],
+                T.StructField("quality", T.IntegerType()),
+                T.StructField("x", T.ArrayType(T.FloatType())),
+            ]
+        ),
+    )
     got = sorted((r["doc_id"], r["quality"], r["x"]) for r in found.collect())
-    return fit(np.array([g[2] for g in got], np.float32).reshape(len(got), len(STATISTICS)), np.array([g[1] for g in got], np.float64))
+    return fit(
+        np.array([g[2] for g in got], np.float32).reshape(len(got), len(STATISTICS)),
+        np.array([g[1] for g in got], np.float64),
+    )
 
 
 def score_column(forest: Forest, text: Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(forest.score(np.array([statistics(t) for t in texts], np.float32).reshape(len(texts), len(STATISTICS))))
+        return pd.Series(
+            forest.score(np.array([statistics(t) for t in texts], np.float32).reshape(len(texts), len(STATISTICS)))
+        )
 
     return score(text)
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def with_quality(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD
+) -> DataFrame:
     """`docs` with score (0 to 1, from the text alone), predicted (1 from `threshold` on, else 0) and held_out.
 
     A null text scores as an empty one, a null doc_id isn't held out, rows repeat with equal scores, an empty
@@ -161,10 +189,18 @@ def with_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAININ
     """
     forest = train(docs, labels, max_rows)
     scored = with_columns(docs, {"score": score_column(forest, F.col("text"))})
-    return with_columns(scored, {"predicted": (F.col("score") >= threshold).cast("int"), "held_out": F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False))})
-
-
-def drop_rejected(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    return with_columns(
+        scored,
+        {
+            "predicted": (F.col("score") >= threshold).cast("int"),
+            "held_out": F.coalesce(fold(F.col("doc_id")) == HELD_OUT_FOLD, F.lit(False)),
+        },
+    )
+
+
+def drop_rejected(
+    docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD
+) -> DataFrame:
     """The documents that score at least the threshold, with their columns; see with_quality."""
     return docs.where(score_column(train(docs, labels, max_rows), F.col("text")) >= threshold)
 

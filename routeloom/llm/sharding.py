@@ -48,7 +48,9 @@ def jump_column(key: Column, shards: int) -> Column:
 def stable_key(docs: DataFrame, key: str) -> Column:
     """An integer column is its own key, anything else is hashed; null counts as 0."""
     whole = isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    return F.coalesce(F.col(key).cast("long"), F.lit(0)) if whole else F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.xxhash64(key))
+    return F.coalesce(
+        F.col(key).cast("long"), F.lit(0)
+    ) if whole else F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.xxhash64(key))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
@@ -64,18 +66,44 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id")
     blocks = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     block = F.pmod(F.xxhash64("__key"), F.lit(blocks)).cast("int")
     keyed = with_columns(docs, {"__key": stable_key(docs, key)})
-    counts = keyed.select("__key").select(jump_column(F.col("__key"), shards).alias("__shard"), block.alias("__block")).groupBy("__shard", "__block").count()
+    counts = keyed.select("__key").select(
+        jump_column(F.col("__key"), shards).alias("__shard"), block.alias("__block")
+    ).groupBy("__shard", "__block").count()
     before = W.partitionBy("__shard").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("__shard", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    placed = with_columns(keyed, {"shard": jump_column(F.col("__key"), shards), "grown_shard": jump_column(F.col("__key"), shards + 1), "__block": block})
-    joined = placed.join(F.broadcast(starts.withColumnRenamed("__block", "__b")), (F.col("shard") == F.col("__shard")) & (F.col("__block") == F.col("__b")))  # at most shards x blocks rows
+    placed = with_columns(
+        keyed,
+        {
+            "shard": jump_column(F.col("__key"), shards),
+            "grown_shard": jump_column(F.col("__key"), shards + 1),
+            "__block": block,
+        },
+    )
+    joined = placed.join(  # at most shards x blocks rows
+        F.broadcast(starts.withColumnRenamed("__block", "__b")),
+        (F.col("shard") == F.col("__shard")) & (F.col("__block") == F.col("__b")),
+    )
     order = W.partitionBy("shard", "__block").orderBy("__key")
-    return with_columns(joined, {"slot": F.col("__start") + F.row_number().over(order) - 1}).drop("__key", "__block", "__b", "__shard", "__start")
+    return with_columns(
+        joined, {"slot": F.col("__start") + F.row_number().over(order) - 1}
+    ).drop("__key", "__block", "__b", "__shard", "__start")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    small = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    small = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
     out = shard_documents(small)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("key").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        "grown_shard",
+    )

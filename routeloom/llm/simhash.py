@@ -40,7 +40,9 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[last:].tolist())], dtype="<u8")
     count = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        count += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        count += np.unpackbits(
+            hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
+        ).sum(0, dtype=np.int64)
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -50,9 +52,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", words: int = WORDS) -> Da
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({key: pdf[key], "fp": np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame(
+                {key: pdf[key], "fp": np.array([fingerprint(t, words) for t in pdf["text"]], np.uint64).view(np.int64)}
+            )
 
-    return docs.select(key, "text").mapInPandas(scan, T.StructType([docs.schema[key], T.StructField("fp", T.LongType())]))
+    return docs.select(key, "text").mapInPandas(
+        scan, T.StructType([docs.schema[key], T.StructField("fp", T.LongType())])
+    )
 
 
 def near(fp: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,7 +79,9 @@ def near(fp: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     total = int(blocks.sum())
     bits = np.zeros((total * 64, 64), np.uint8)
     bits[slot] = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(bits.reshape(total, 64, 64), axis=1, bitorder="little").transpose(0, 2, 1).copy().view("<u8")[:, :, 0]
+    planes = np.packbits(
+        bits.reshape(total, 64, 64), axis=1, bitorder="little"
+    ).transpose(0, 2, 1).copy().view("<u8")[:, :, 0]
     held = np.zeros(total * 64, np.uint8)
     held[slot] = 1
     absent = ~np.packbits(held.reshape(total, 64), axis=1, bitorder="little").view("<u8")[:, 0]
@@ -101,7 +109,11 @@ def near(fp: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
                 if not live.all():
                     row, block, over, ones, twos, value = (x[live] for x in (row, block, over, ones, twos, value))
         for k in range(0, len(row), 1 << 14):
-            found, bit = np.nonzero(np.unpackbits((~over[k : k + (1 << 14)]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            found, bit = np.nonzero(
+                np.unpackbits(
+                    (~over[k : k + (1 << 14)]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
+                )
+            )
             yield row[k + found], row_of[block[k + found] * 64 + bit]
 
 
@@ -172,10 +184,16 @@ def fingerprint_links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     chunked = sized.withColumn("parts", parts).withColumn("own", own)
-    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: c != F.col("own")))
+    other = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: c != F.col("own"))
+    )
     paired = chunked.select("fp", "bucket", "own", F.explode(other).alias("other"))
-    named = paired.select("fp", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return named.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInPandas(bucket_links, "a long, b long")
+    named = paired.select(
+        "fp", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    )
+    return named.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInPandas(
+        bucket_links, "a long, b long"
+    )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -204,7 +222,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.join(kept.where("__rows = 1"), "doc_id", "left_semi").select(*docs.columns)
     repeated = kept.where("__rows > 1")
     if not repeated.isEmpty():
-        rows = rows.unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        rows = rows.unionByName(
+            docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+        )
     return rows.unionByName(docs.where("doc_id IS NULL"))
 
 

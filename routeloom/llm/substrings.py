@@ -34,7 +34,12 @@ def unplanes(data: memoryview, dtype: str, n: int) -> np.ndarray:
 def packed(hashes: np.ndarray, ordinals: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted window hashes with the places of their first words in a run of documents, and the run's ids and word counts."""
     head = np.array([len(hashes), len(ids)], "<u8").tobytes()
-    return zstandard.compress(head + planes(np.diff(hashes, prepend=np.uint64(0)).astype("<u8")) + planes(ordinals.astype("<u4")) + planes(np.diff(ids, prepend=np.int64(0)).astype("<i8")) + planes(counts.astype("<u4")), 1)
+    return zstandard.compress(
+        head + planes(
+            np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
+        ) + planes(ordinals.astype("<u4")) + planes(np.diff(ids, prepend=np.int64(0)).astype("<i8")) + planes(counts.astype("<u4")),
+        1,
+    )
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,16 +88,27 @@ def hash_runs(width: int, buckets: int):
             apart = place[later] + doc[place[later]]  # a gap after each document, so that no interval crosses it
             low, high = merged(apart, apart + width)
             at = doc[place[later][np.searchsorted(apart, low)]]
-            removed = np.stack([ids[at], low - at - (ends - counts)[at], high - at - (ends - counts)[at]]).astype("<i8").tobytes()
+            removed = np.stack(
+                [ids[at], low - at - (ends - counts)[at], high - at - (ends - counts)[at]]
+            ).astype("<i8").tobytes()
         step = (1 << 64) // buckets + 1
         cut = np.searchsorted(hashes, np.array([min(k * step, (1 << 64) - 1) for k in range(buckets + 1)], np.uint64))
         cut[-1] = len(hashes)
         used = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-        rows = [(k, packed(hashes[cut[k] : cut[k + 1]], place[first[cut[k] : cut[k + 1]]], ids, counts), None) for k in used]
+        rows = [
+            (k, packed(hashes[cut[k] : cut[k + 1]], place[first[cut[k] : cut[k + 1]]], ids, counts), None) for k in used
+        ]
         if removed:
             rows.append((int(ids[0] % buckets), None, removed))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "windows", "removed"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.int32()),
+                    pa.array([r[1] for r in rows], pa.binary()),
+                    pa.array([r[2] for r in rows], pa.binary()),
+                ],
+                names=["bucket", "windows", "removed"],
+            )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -115,7 +131,9 @@ def later_windows(width: int):
     A span is start * 2**32 + end."""
 
     def rows(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array((starts << 32) + ends)], names=["__id", "span"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids.astype(np.int64)), pa.array((starts << 32) + ends)], names=["__id", "span"]
+        )
 
     def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         hashes, ids, starts = (np.concatenate(x) for x in zip(*map(unpacked, blobs)))
@@ -130,7 +148,9 @@ def later_windows(width: int):
         later = (ids != ids[head]) | (starts != starts[head])
         for k in range(0, len(ids), 1 << 18):
             part = later[k : k + (1 << 18)]
-            yield rows(ids[k : k + (1 << 18)][part], starts[k : k + (1 << 18)][part], starts[k : k + (1 << 18)][part] + width)
+            yield rows(
+                ids[k : k + (1 << 18)][part], starts[k : k + (1 << 18)][part], starts[k : k + (1 << 18)][part] + width
+            )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -160,9 +180,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", width: int = WINDOW) ->
     bounded_batches(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
-    runs = docs.select(ids.alias("__id"), "text").mapInArrow(hash_runs(width, buckets), "bucket int, windows binary, removed binary")
+    runs = docs.select(ids.alias("__id"), "text").mapInArrow(
+        hash_runs(width, buckets), "bucket int, windows binary, removed binary"
+    )
     dealt = runs.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(later_windows(width), "__id long, span long").groupBy("__id").agg(F.collect_list("span").alias("__spans"))
+    return dealt.mapInArrow(
+        later_windows(width), "__id long, span long"
+    ).groupBy("__id").agg(F.collect_list("span").alias("__spans"))
 
 
 def kept_words(text: bytes | None, spans: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
@@ -188,7 +212,13 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
     other, and an interval goes from each. Columns of the added names are replaced; an empty table gives an empty result.
     """
     found = repeated_spans(docs, key, width)
-    added = {"kept_text": "string", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "removed": "array<struct<start:int,end:int>>"}
+    added = {
+        "kept_text": "string",
+        "n_words": "long",
+        "n_removed": "long",
+        "kept_sha256": "string",
+        "removed": "array<struct<start:int,end:int>>",
+    }
     kept = [c for c in docs.columns if c.lower() not in added]
     ids = F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
 
@@ -197,9 +227,13 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
         codec = zstandard.ZstdCompressor(level=1)
         return texts.map(lambda t: None if t is None else codec.compress(t.encode("utf-8", "replace")))
 
-    base = docs.select(*[pack("text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], ids.alias("__id"))
+    base = docs.select(
+        *[pack("text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], ids.alias("__id")
+    )
     joined = base.join(found, "__id", "left").select(*kept, "__spans")
-    schema = T.StructType([*[docs.schema[c] for c in kept], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+    schema = T.StructType(
+        [*[docs.schema[c] for c in kept], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields]
+    )
     text_at = kept.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +247,16 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
             texts = [b" ".join(left) for _, left, _, _ in got]
             own = list(batch.columns[: len(kept)])
             own[text_at] = pa.array(whole, pa.binary()).cast(pa.string())
-            more = [pa.array(texts, pa.binary()).cast(pa.string()), pa.array([len(w) for w, _, _, _ in got], pa.int64()), pa.array([len(w) - len(k) for w, k, _, _ in got], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([[{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist())] for _, _, lo, hi in got], span_type)]
+            more = [
+                pa.array(texts, pa.binary()).cast(pa.string()),
+                pa.array([len(w) for w, _, _, _ in got], pa.int64()),
+                pa.array([len(w) - len(k) for w, k, _, _ in got], pa.int64()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+                pa.array(
+                    [[{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist())] for _, _, lo, hi in got],
+                    span_type,
+                ),
+            ]
             yield pa.RecordBatch.from_arrays(own + more, names=schema.names)
 
     return joined.mapInArrow(cut, schema)

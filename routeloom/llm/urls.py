@@ -27,13 +27,17 @@ LINK = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 def host_of(url: Column) -> Column:
     """What stands after the first `://` up to `/`, `?`, `#` or the end, with A-Z lower-cased; empty without `://`."""
     found = F.instr(url, "://")
-    return F.when(found > 0, F.translate(F.regexp_extract(url.substr(found + 3, F.length(url)), "^[^/?#]*", 0), UPPER, LOWER)).otherwise(F.lit(""))
+    return F.when(
+        found > 0, F.translate(F.regexp_extract(url.substr(found + 3, F.length(url)), "^[^/?#]*", 0), UPPER, LOWER)
+    ).otherwise(F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """What stands after the host up to `?`, `#` or the end; empty without `://`."""
     found = F.instr(url, "://")
-    return F.when(found > 0, F.regexp_extract(url.substr(found + 3, F.length(url)), "^[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
+    return F.when(
+        found > 0, F.regexp_extract(url.substr(found + 3, F.length(url)), "^[^/?#]*([^?#]*)", 1)
+    ).otherwise(F.lit(""))
 
 
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
@@ -49,12 +53,19 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
 
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): how many pages of host src link to the other host dst; pages need host and html."""
-    to = F.transform(F.regexp_extract_all("html", F.lit(LINK), 1), lambda h: host_of(F.when(h.startswith("//"), F.concat(F.lit("x:"), h)).otherwise(h)))
-    links = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.filter(to, lambda h: h != ""))).alias("dst"))
+    to = F.transform(
+        F.regexp_extract_all("html", F.lit(LINK), 1),
+        lambda h: host_of(F.when(h.startswith("//"), F.concat(F.lit("x:"), h)).otherwise(h)),
+    )
+    links = pages.where("host <> ''").select(
+        F.col("host").alias("src"), F.explode(F.array_distinct(F.filter(to, lambda h: h != ""))).alias("dst")
+    )
     return links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(
+    seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE
+) -> DataFrame:
     """(host, trust, distrust, neutral): two walks that restart at the seeds, over links and over reversed links.
 
     trust = (1 - damping) * seed + damping * what the hosts that link here pass on, each in equal parts a linking page;
@@ -66,26 +77,52 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds:
     if links.isEmpty():
         return seeds.select("host", *[((1 - damping) * F.col(c)).alias(c) for c in ("trust", "distrust", "neutral")])
     totals = lambda side: links.groupBy(side).agg(F.sum("n").alias(f"{side}_n"))
-    edges = checkpointed(links.join(totals("src"), "src").join(totals("dst"), "dst").select("src", "dst", (F.col("n") / F.col("src_n")).alias("along"), (F.col("n") / F.col("dst_n")).alias("back")))
+    edges = checkpointed(
+        links.join(totals("src"), "src").join(totals("dst"), "dst").select(
+            "src", "dst", (F.col("n") / F.col("src_n")).alias("along"), (F.col("n") / F.col("dst_n")).alias("back")
+        )
+    )
     ends = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
-    base = checkpointed(ends.join(seeds, "host", "full").select("host", *[F.coalesce(c, F.lit(v)).alias(f"seed_{c}") for c, v in (("trust", 0.0), ("distrust", 0.0), ("neutral", 1.0))]))
+    base = checkpointed(
+        ends.join(seeds, "host", "full").select(
+            "host",
+            *[
+                F.coalesce(c, F.lit(v)).alias(f"seed_{c}")
+                for c, v in (("trust", 0.0), ("distrust", 0.0), ("neutral", 1.0))
+            ],
+        )
+    )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     now = base.select("host", *[((1 - damping) * F.col(f"seed_{c}")).alias(c) for c in ("trust", "distrust")])
     for _ in range(rounds):
-        ahead = edges.join(now, edges["src"] == now["host"]).select(F.col("dst").alias("to"), (F.col("trust") * F.col("along")).alias("t"), F.lit(0.0).alias("d"))
-        behind = edges.join(now, edges["dst"] == now["host"]).select(F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
+        ahead = edges.join(now, edges["src"] == now["host"]).select(
+            F.col("dst").alias("to"), (F.col("trust") * F.col("along")).alias("t"), F.lit(0.0).alias("d")
+        )
+        behind = edges.join(now, edges["dst"] == now["host"]).select(
+            F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d")
+        )
         got = ahead.unionByName(behind).groupBy("to").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        step = base.join(got, base["host"] == got["to"], "left").select("host", ((1 - damping) * F.col("seed_trust") + damping * zero("t")).alias("trust"), ((1 - damping) * F.col("seed_distrust") + damping * zero("d")).alias("distrust"))
+        step = base.join(got, base["host"] == got["to"], "left").select(
+            "host",
+            ((1 - damping) * F.col("seed_trust") + damping * zero("t")).alias("trust"),
+            ((1 - damping) * F.col("seed_distrust") + damping * zero("d")).alias("distrust"),
+        )
         after = checkpointed(step)
         old = now.select(F.col("host").alias("h"), F.col("trust").alias("t"), F.col("distrust").alias("d"))
-        moved = after.join(old, F.col("host") == F.col("h")).agg(F.max(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))).first()[0]
+        moved = after.join(old, F.col("host") == F.col("h")).agg(
+            F.max(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))
+        ).first()[0]
         now = after
         if moved <= tolerance:
             break
-    return now.join(base, "host").select("host", "trust", "distrust", ((1 - damping) * F.col("seed_neutral")).alias("neutral"))
+    return now.join(base, "host").select(
+        "host", "trust", "distrust", ((1 - damping) * F.col("seed_neutral")).alias("neutral")
+    )
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, block_share: float = BLOCK_SHARE) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, block_share: float = BLOCK_SHARE
+) -> DataFrame:
     """`pages` with host, path, rule, verdict, trust and distrust.
 
     A page that a rule fits gets the rule's verdict. Any other gets its host's: seeds are the shares of a host's pages
@@ -99,18 +136,46 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     named = with_columns(pages.drop(*drop), {"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     ruled = with_columns(named, {"__rule": rule_of(F.col("host"), F.col("path"), rules)})
     share = lambda v: F.avg((F.col("__rule.verdict").eqNullSafe(F.lit(v))).cast("double"))
-    seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")).withColumn("neutral", 1 - F.col("trust") - F.col("distrust"))
+    seeds = ruled.where("host <> ''").groupBy("host").agg(
+        share("allow").alias("trust"), share("block").alias("distrust")
+    ).withColumn("neutral", 1 - F.col("trust") - F.col("distrust"))
     hosts = spread(checkpointed(seeds), host_links(named))
     total = reduce(lambda a, b: a + b, (F.col(c) for c in ("trust", "distrust", "neutral")))
-    judged = checkpointed(hosts.select(F.col("host").alias("__host"), "trust", "distrust", (F.col("distrust") >= block_share * total - 1e-9).alias("__block")))
+    judged = checkpointed(
+        hosts.select(
+            F.col("host").alias("__host"),
+            "trust",
+            "distrust",
+            (F.col("distrust") >= block_share * total - 1e-9).alias("__block"),
+        )
+    )
     joined = ruled.join(judged, F.col("host") == F.col("__host"), "left")
-    out = with_columns(joined, {"rule": F.col("__rule.rule"), "verdict": F.coalesce(F.col("__rule.verdict"), F.when(F.coalesce("__block", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))), "trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
+    out = with_columns(
+        joined,
+        {
+            "rule": F.col("__rule.rule"),
+            "verdict": F.coalesce(
+                F.col("__rule.verdict"),
+                F.when(F.coalesce("__block", F.lit(False)), F.lit("block")).otherwise(F.lit("allow")),
+            ),
+            "trust": F.coalesce("trust", F.lit(0.0)),
+            "distrust": F.coalesce("distrust", F.lit(0.0)),
+        },
+    )
     return out.drop("__host", "__block", "__rule")
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
+    return judged.select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        "verdict",
+        F.round("trust", 6).alias("trust"),
+        F.round("distrust", 6).alias("distrust"),
+    )
 
 
 def _fits_sql(name: str, start: str) -> str:

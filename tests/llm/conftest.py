@@ -9,7 +9,10 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def odd(spark):
     """Documents with nulls in every column, empty, blank and very long texts, ties, repeated rows and strange characters."""
     rng = random.Random(1)
-    long = " ".join(rng.choice(["alpha", "beta", "gamma,", "Delta.", "é", "e\u0301", "😀"]) + str(rng.randrange(3000)) for _ in range(40_000))
+    long = " ".join(
+        rng.choice(["alpha", "beta", "gamma,", "Delta.", "é", "e\u0301", "😀"]) + str(rng.randrange(3000))
+        for _ in range(40_000)
+    )
     rows = [
         (1, "one two three four five six seven.", "en", "a", 34),
         (2, "one two three four five six seven.", "en", "a", 34),
@@ -34,7 +37,45 @@ def clashing(odd):
     """The same with further columns of the names that operators add or use."""
     from pyspark.sql import functions as F
 
-    names = ["score", "predicted", "held_out", "shard", "SLOT", "grown_shard", "copy", "rate", "mix_key", "weight", "size", "fp", "component_id", "tree", "Root", "fingerprint", "next_text", "kept_text", "n_words", "removed", "base", "spans", "host", "path", "rule", "verdict", "count", "bucket", "first", "node", "a", "b", "n", "containment", "item_id", "url", "html"]
+    names = [
+        "score",
+        "predicted",
+        "held_out",
+        "shard",
+        "SLOT",
+        "grown_shard",
+        "copy",
+        "rate",
+        "mix_key",
+        "weight",
+        "size",
+        "fp",
+        "component_id",
+        "tree",
+        "Root",
+        "fingerprint",
+        "next_text",
+        "kept_text",
+        "n_words",
+        "removed",
+        "base",
+        "spans",
+        "host",
+        "path",
+        "rule",
+        "verdict",
+        "count",
+        "bucket",
+        "first",
+        "node",
+        "a",
+        "b",
+        "n",
+        "containment",
+        "item_id",
+        "url",
+        "html",
+    ]
     return odd.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
 
 

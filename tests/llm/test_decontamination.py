@@ -30,7 +30,9 @@ def brute(docs, items, width=5, containment=0.8):
 
 
 def frames(spark, docs, items):
-    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
+        items, "item_id long, text string"
+    )
 
 
 def rows(df):
@@ -71,7 +73,9 @@ def test_item_dispersed_over_a_long_document(spark):
     for k in range(26):  # every shingle on its own, far from the others
         body += item[k : k + 5] + [f"x{k}-{j}" for j in range(300)]
     docs = [(1, " ".join(body)), (2, " ".join(body[:4000]))]
-    assert rows(d.contained_items(*frames(spark, docs, [(9, " ".join(item))]))) == [(1, 9, 26, 26)] == brute(docs, [(9, " ".join(item))])
+    assert rows(
+        d.contained_items(*frames(spark, docs, [(9, " ".join(item))]))
+    ) == [(1, 9, 26, 26)] == brute(docs, [(9, " ".join(item))])
 
 
 @given(st.integers(1, 500), st.floats(0.05, 1.0))
@@ -83,11 +87,27 @@ def test_no_container_can_miss_the_sketch(n, share):
 
 
 def test_odd_rows(spark, odd, clashing, empty):
-    items = [(1, "One two THREE four five"), (2, ""), (3, None), (4, " \n"), (5, "word"), (5, "word"), (None, "same row"), (6, "zwei Wörter"), (7, "one two three")]
+    items = [
+        (1, "One two THREE four five"),
+        (2, ""),
+        (3, None),
+        (4, " \n"),
+        (5, "word"),
+        (5, "word"),
+        (None, "same row"),
+        (6, "zwei Wörter"),
+        (7, "one two three"),
+    ]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute([(r["doc_id"], r["text"]) for r in odd.collect()], items)
-    assert rows(d.contained_items(odd, bench)) == want == rows(d.contained_items(clashing, bench.selectExpr("*", "'own' AS doc_id", "'own' AS containment")))
+    assert rows(d.contained_items(odd, bench)) == want == rows(
+        d.contained_items(clashing, bench.selectExpr("*", "'own' AS doc_id", "'own' AS containment"))
+    )
     assert {(1, 1, 1, 1), (10, None, 1, 1), (9, 7, 1, 1), (7, 5, 1, 1)} <= set(want)
-    assert sorted(str(r["doc_id"]) for r in d.drop_contaminated(clashing, bench).collect()) == sorted(str(r["doc_id"]) for r in odd.collect() if r["doc_id"] not in {w[0] for w in want})
+    assert sorted(str(r["doc_id"]) for r in d.drop_contaminated(clashing, bench).collect()) == sorted(
+        str(r["doc_id"]) for r in odd.collect() if r["doc_id"] not in {w[0] for w in want}
+    )
     assert d.contained_items(empty, bench).count() == 0 and d.contained_items(odd, bench.limit(0)).count() == 0
-    assert d.drop_contaminated(odd, bench.limit(0)).count() == odd.count() and d.drop_contaminated(empty, bench).count() == 0
+    assert d.drop_contaminated(
+        odd, bench.limit(0)
+    ).count() == odd.count() and d.drop_contaminated(empty, bench).count() == 0

@@ -15,10 +15,18 @@ def texts(page):
 @pytest.mark.parametrize(
     ("page", "want"),
     [
-        ("<p>a<p>b</p>c", ["a", "b", "c"]), ("<p> a\n\t b&nbsp;c </p>", ["a b c"]), ("<p>a<b>b</b><i>c</i></p>", ["abc"]), ("x<br>y", ["x y"]), ("<ul><li>a<li>b</ul>", ["a", "b"]),
-        ("<script>var x='</p>'; if (a<b) {}</script><p>t", ["t"]), ("<style>p{}</style >t", ["t"]), ("<title>no</title><p>yes</p>", ["yes"]), ("<!-- <p>no</p> -->yes<!-- open", ["yes"]),
-        ("a &lt;b&gt; &amp;amp; &eacute;&#233;&#xE9; &unknown;", ["a <b> &amp; ééé &unknown;"]), ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]), ('<a title="x > y">t</a>', ["t"]), ("<p>a</div></p>b", ["a", "b"]), ("", []), (None, []), ("<", ["<"]), ("<p", ["<p"]),
-        ("<script>never closed <p>x", []), ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]), ("<P CLASS=X>a</P>", ["a"]), ("</p></p>a", ["a"]), ("<svg><text>no</text></svg>yes", ["yes"]),
+        ("<p>a<p>b</p>c", ["a", "b", "c"]), (
+            "<p> a\n\t b&nbsp;c </p>", ["a b c"]
+        ), ("<p>a<b>b</b><i>c</i></p>", ["abc"]), ("x<br>y", ["x y"]), ("<ul><li>a<li>b</ul>", ["a", "b"]),
+        (
+            "<script>var x='</p>'; if (a<b) {}</script><p>t", ["t"]
+        ), ("<style>p{}</style >t", ["t"]), ("<title>no</title><p>yes</p>", ["yes"]), ("<!-- <p>no</p> -->yes<!-- open", ["yes"]),
+        (
+            "a &lt;b&gt; &amp;amp; &eacute;&#233;&#xE9; &unknown;", ["a <b> &amp; ééé &unknown;"]
+        ), ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]), ('<a title="x > y">t</a>', ["t"]), ("<p>a</div></p>b", ["a", "b"]), ("", []), (None, []), ("<", ["<"]), ("<p", ["<p"]),
+        ("<script>never closed <p>x", []), (
+            "<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]
+        ), ("<P CLASS=X>a</P>", ["a"]), ("</p></p>a", ["a"]), ("<svg><text>no</text></svg>yes", ["yes"]),
     ],
 )
 def test_blocks(page, want):
@@ -27,7 +35,9 @@ def test_blocks(page, want):
 
 def test_ancestors_are_features():
     (_, _, features, tag, linked), = html.blocks('<div class="Side-bar" id=top><p>x <a href=y>abc</a></p></div>')
-    assert {"in=div", "in=p", "in=a", "name=side", "name=bar", "name=top"} - {"in=a"} <= features and tag == "p" and linked == 3
+    assert {
+        "in=div", "in=p", "in=a", "name=side", "name=bar", "name=top"
+    } - {"in=a"} <= features and tag == "p" and linked == 3
 
 
 def test_deep_and_long_pages_are_read_whole():
@@ -53,12 +63,19 @@ def test_hand_made_pages():
         '<nav><a href="/">Home</a> <a href="/b">Blog</a></nav>', '<header><h1>Site name</h1></header>', '<div class="cookie-notice"><p>We use cookies on this site to do things.</p><button>OK</button></div>',
         '<div class="ad">Buy this now, it is very cheap and very good.</div>', '<aside class="sidebar"><h3>Related</h3><ul><li><a href="/x">Other story</a></li></ul></aside>', '<form><label>Mail</label><input><button>Join</button></form>', "<script>var a = '<p>no</p>'</script>",
     ]
-    end = ['<footer>&copy; 2020 Somebody</footer>', '<section id="comments"><div class="comment"><p>I do not agree with this at all, sorry.</p></div></section>']
+    end = [
+        '<footer>&copy; 2020 Somebody</footer>',
+        '<section id="comments"><div class="comment"><p>I do not agree with this at all, sorry.</p></div></section>',
+    ]
     rng = random.Random(0)
     for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>")):
         for _ in range(5):
-            page = "<html><body>" + "".join(rng.sample(noise, 4)) + open_ + article + close + "".join(rng.sample(end, 2)) + "</body></html>"
-            assert html.main_texts([page], html.own_model())[0] == "Title\nFirst paragraph of the story, with words.\nSecond one."
+            page = "<html><body>" + "".join(
+                rng.sample(noise, 4)
+            ) + open_ + article + close + "".join(rng.sample(end, 2)) + "</body></html>"
+            assert html.main_texts(
+                [page], html.own_model()
+            )[0] == "Title\nFirst paragraph of the story, with words.\nSecond one."
 
 
 def test_table_of_pages(spark, sf_dir):
@@ -70,8 +87,17 @@ def test_table_of_pages(spark, sf_dir):
 
 
 def test_odd_rows(spark, clashing):
-    rows = [(1, None, None), (2, "u", ""), (3, "u", "   "), (4, None, "<article><p>x</p></article>"), (4, None, "<article><p>x</p></article>"), (None, "u", "\x00<article>&#0;<p>�</article>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit("own").alias("TEXT"), F.lit(1).alias("label"))
+    rows = [
+        (1, None, None),
+        (2, "u", ""),
+        (3, "u", "   "),
+        (4, None, "<article><p>x</p></article>"),
+        (4, None, "<article><p>x</p></article>"),
+        (None, "u", "\x00<article>&#0;<p>�</article>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select(
+        "*", F.lit("own").alias("TEXT"), F.lit(1).alias("label")
+    )
     got = html.extract_main_text(pages).collect()
     assert [r["text"] for r in got][:5] == ["", "", "", "x", "x"] and len(got) == 6 and got[3]["n_chars"] == 1
     assert html.extract_main_text(pages.limit(0)).count() == 0
@@ -87,7 +113,9 @@ def test_decoding_equals_all_labellings():
     emissions = [rng.normal(size=(n, 3)) for n in (1, 4, 0, 6, 4)]
 
     def score(e, ys):
-        return field.first[ys[0]] + sum(e[t, y] for t, y in enumerate(ys)) + sum(field.steps[a, b] for a, b in zip(ys, ys[1:]))
+        return field.first[ys[0]] + sum(e[t, y] for t, y in enumerate(ys)) + sum(
+            field.steps[a, b] for a, b in zip(ys, ys[1:])
+        )
 
     for e, got in zip(emissions, field.decode(emissions)):
         if len(e):
@@ -116,10 +144,23 @@ AROUND = {
 }
 
 
-@pytest.mark.parametrize(("open_", "close"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<main><article class="post">', "</article></main>"), ("<div>", "</div>")])
+@pytest.mark.parametrize(
+    ("open_", "close"),
+    [
+        ("<article>", "</article>"),
+        ("<main>", "</main>"),
+        ('<div class="content">', "</div>"),
+        ('<main><article class="post">', "</article></main>"),
+        ("<div>", "</div>"),
+    ],
+)
 def test_parts_before_after_and_inside_go(open_, close):
     pages = []
     for part in AROUND.values():
-        pages += [f"<html><body>{part}{open_}{ARTICLE.format('')}{close}</body></html>", f"<html><body>{open_}{ARTICLE.format('')}{close}{part}</body></html>", f"<html><body>{open_}{ARTICLE.format(part)}{close}</body></html>"]
+        pages += [
+            f"<html><body>{part}{open_}{ARTICLE.format('')}{close}</body></html>",
+            f"<html><body>{open_}{ARTICLE.format('')}{close}{part}</body></html>",
+            f"<html><body>{open_}{ARTICLE.format(part)}{close}</body></html>",
+        ]
     got = html.main_texts(pages, html.own_model())
     assert sum(g == MAIN for g in got) >= 0.95 * len(got)

@@ -15,7 +15,11 @@ def plain_root(text):
 
 
 def plain_marks(text):
-    return [hashlib.md5(line[k : k + 32].encode()).hexdigest()[:8] for line in text.split("\n") for k in range(0, len(line), 32)]
+    return [
+        hashlib.md5(line[k : k + 32].encode()).hexdigest()[:8]
+        for line in text.split("\n")
+        for k in range(0, len(line), 32)
+    ]
 
 
 def plain_likeness(a, b):
@@ -30,7 +34,17 @@ def brute(rows):
         after = texts[(k + 1) % len(texts)][1]
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
         near = lambda x: round(plain_likeness(text, x), 9)  # noqa: B023, E731
-        out.append((key, len(text), sha(edited), f"{plain_root(text)}:{''.join(plain_marks(text))}", f"{plain_root(edited)}:{''.join(plain_marks(edited))}", near(edited), near(after)))
+        out.append(
+            (
+                key,
+                len(text),
+                sha(edited),
+                f"{plain_root(text)}:{''.join(plain_marks(text))}",
+                f"{plain_root(edited)}:{''.join(plain_marks(edited))}",
+                near(edited),
+                near(after),
+            )
+        )
     return sorted(out, key=str)
 
 
@@ -41,7 +55,9 @@ def query(spark, docs, tmp_path, monkeypatch):
 
 def test_equals_brute_force(spark, odd, monkeypatch, tmp_path):
     got = query(spark, odd, tmp_path, monkeypatch).collect()
-    assert sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got), key=str) == brute([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert sorted(
+        ((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got), key=str
+    ) == brute([(r["doc_id"], r["text"]) for r in odd.collect()])
 
 
 @pytest.mark.parametrize("parts", [1, 4, 50])
@@ -64,24 +80,43 @@ def test_one_and_no_document(spark, empty):
 
 def test_trees(spark, odd, clashing):
     got = merkle.with_fingerprints(odd).collect()
-    assert all(r["root"] == plain_root(r["text"] or "") and r["fingerprint"] == f"{r['root']}:{''.join(plain_marks(r['text'] or ''))}" for r in got)
+    assert all(
+        r["root"] == plain_root(
+            r["text"] or ""
+        ) and r["fingerprint"] == f"{r['root']}:{''.join(plain_marks(r['text'] or ''))}"
+        for r in got
+    )
     by_text = {}
     for r in got:
         by_text.setdefault(r["text"] or "", set()).add(r["fingerprint"])
     assert all(len(f) == 1 for f in by_text.values()) and len({next(iter(f)) for f in by_text.values()}) == len(by_text)
     more = merkle.with_fingerprints(clashing)
-    assert more.count() == len(got) and [c.lower() for c in more.columns].count("root") == 1 and more.first()["score"] == "own score"
+    assert more.count() == len(got) and [
+        c.lower() for c in more.columns
+    ].count("root") == 1 and more.first()["score"] == "own score"
 
 
 def test_edits_are_located(spark):
     a = "intro\nfirst\nsecond\n\nnext section\nthird"
-    pairs = [(1, a, a), (2, a, a.replace("second", "changed")), (3, a, a.replace("third", "more\nlines")), (4, a, "intro\nfirst\nsecond"), (5, a, "")]
-    df = spark.createDataFrame(pairs, "k int, x string, y string").select("k", merkle.sections(F.col("x")).alias("tree_a"), merkle.sections(F.col("y")).alias("tree_b"))
+    pairs = [
+        (1, a, a),
+        (2, a, a.replace("second", "changed")),
+        (3, a, a.replace("third", "more\nlines")),
+        (4, a, "intro\nfirst\nsecond"),
+        (5, a, ""),
+    ]
+    df = spark.createDataFrame(pairs, "k int, x string, y string").select(
+        "k", merkle.sections(F.col("x")).alias("tree_a"), merkle.sections(F.col("y")).alias("tree_b")
+    )
     got = {r["k"]: [tuple(e) for e in r["edits"]] for r in merkle.edits(df).collect()}
-    assert got[1] == [] and got[2] == [(0, 2)] and got[3] == [(1, 1), (1, 2)] and got[4] == [(1, 0), (1, 1)] and got[5] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+    assert got[1] == [] and got[2] == [(0, 2)] and got[3] == [(1, 1), (1, 2)] and got[4] == [(1, 0), (1, 1)] and got[5] == [
+        (0, 0), (0, 1), (0, 2), (1, 0), (1, 1)
+    ]
 
 
 def test_an_edited_half_is_nearer_than_another_document(spark, sf_dir):
     got = merkle.op3_merkle(spark, sf_dir).toPandas()
     long = got[got["n_chars"] > 200]
-    assert (long["near_edited"] > long["near_next"]).mean() > 0.97 and long["near_edited"].median() == pytest.approx(0.5, abs=0.1)
+    assert (
+        long["near_edited"] > long["near_next"]
+    ).mean() > 0.97 and long["near_edited"].median() == pytest.approx(0.5, abs=0.1)

@@ -21,11 +21,17 @@ def poisson(u, mean):
 
 def drawn(key, mean):
     parts = max(1, math.ceil(mean / mixing.MAX_MEAN))
-    return sum(poisson(int(hashlib.md5(f"{mixing.SEED}:{key}:{j}".encode()).hexdigest()[:13], 16) / 2**52, mean / parts) for j in range(1, parts + 1))
+    return sum(
+        poisson(int(hashlib.md5(f"{mixing.SEED}:{key}:{j}".encode()).hexdigest()[:13], 16) / 2**52, mean / parts)
+        for j in range(1, parts + 1)
+    )
 
 
 def test_copies_equal_brute_force(spark):
-    docs = spark.createDataFrame([(k, "x" * (k % 50), "big" if k % 3 else "small" if k % 2 else None) for k in range(600)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame(
+        [(k, "x" * (k % 50), "big" if k % 3 else "small" if k % 2 else None) for k in range(600)],
+        "doc_id long, text string, source string",
+    )
     weights = {"big": 1.0, "small": 3.0, None: 300.0}
     sizes = Counter()
     for r in docs.collect():
@@ -34,11 +40,15 @@ def test_copies_equal_brute_force(spark):
     want = Counter({r["doc_id"]: drawn(r["doc_id"], rate[r["source"]]) for r in docs.collect()})
     got = mixing.mix_sources(docs, weights).collect()
     assert Counter(r["doc_id"] for r in got) == +want
-    assert all(sorted(r["copy"] for r in got if r["doc_id"] == k) == list(range(1, want[k] + 1)) for k in list(want)[:40])
+    assert all(
+        sorted(r["copy"] for r in got if r["doc_id"] == k) == list(range(1, want[k] + 1)) for k in list(want)[:40]
+    )
 
 
 def test_large_means_are_sums_of_draws(spark):
-    docs = spark.createDataFrame([(1, "x", "tiny")] + [(k, "y" * 999, "huge") for k in range(2, 60)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame(
+        [(1, "x", "tiny")] + [(k, "y" * 999, "huge") for k in range(2, 60)], "doc_id long, text string, source string"
+    )
     got = mixing.mix_sources(docs, {"tiny": 1.0})
     mean = source_rate = 1.0 * (58 * 1000 + 2) / 2
     count = got.count()
@@ -47,13 +57,22 @@ def test_large_means_are_sums_of_draws(spark):
 
 
 def test_targets_are_met_on_average(spark):
-    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
-    got = {r["source"]: r["count"] for r in mixing.mix_sources(docs, {"a": 0.7, "b": 0.3}).groupBy("source").count().collect()}
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.lit("abcd").alias("text"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"),
+    )
+    got = {
+        r["source"]: r["count"]
+        for r in mixing.mix_sources(docs, {"a": 0.7, "b": 0.3}).groupBy("source").count().collect()
+    }
     assert got["a"] == pytest.approx(21_000, rel=0.03) and got["b"] == pytest.approx(9_000, rel=0.03)
 
 
 def test_order_is_a_permutation_that_depends_on_the_seed(spark):
-    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source")).repartition(3)
+    docs = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source")
+    ).repartition(3)
     first = mixing.mix_sources(docs)
     parts = first.select(F.spark_partition_id().alias("p"), "mix_key", "doc_id").collect()
     for p in {r["p"] for r in parts}:

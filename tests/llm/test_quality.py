@@ -20,14 +20,21 @@ def test_held_out_labels_are_predicted(spark):
 
 def test_held_out_labels_do_not_train(spark, documents, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    flipped = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == quality.HELD_OUT_FOLD, 1 - F.col("quality")).otherwise(F.col("quality")))
+    flipped = labels.withColumn(
+        "quality",
+        F.when(
+            quality.fold(F.col("doc_id")) == quality.HELD_OUT_FOLD, 1 - F.col("quality")
+        ).otherwise(F.col("quality")),
+    )
     a, b = (quality.train(documents, x) for x in (labels, flipped))
     assert (a.leaf == b.leaf).all() and (a.threshold == b.threshold).all()
 
 
 def test_training_ignores_the_tables_order_and_bounds_its_sample(spark, documents, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    a, b = quality.train(documents, labels, 40), quality.train(documents.orderBy(F.desc("doc_id")).repartition(5), labels.orderBy(F.desc("doc_id")), 40)
+    a, b = quality.train(documents, labels, 40), quality.train(
+        documents.orderBy(F.desc("doc_id")).repartition(5), labels.orderBy(F.desc("doc_id")), 40
+    )
     assert (a.leaf == b.leaf).all() and a.start == b.start
 
 
@@ -67,13 +74,18 @@ def test_statistics_of_odd_texts():
 
 
 def test_odd_rows(spark, odd, clashing, empty):
-    labels = spark.createDataFrame([(1, 1), (3, 0), (8, 1), (9, 0), (None, 1), (11, None), (12, 5), (99, 1), (10, 1), (10, 0)], "doc_id long, quality int")
+    labels = spark.createDataFrame(
+        [(1, 1), (3, 0), (8, 1), (9, 0), (None, 1), (11, None), (12, 5), (99, 1), (10, 1), (10, 0)],
+        "doc_id long, quality int",
+    )
     got = quality.with_quality(odd, labels).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
     score = lambda k: [r["score"] for r in got if r["doc_id"] == k]
     assert score(1) == score(2) and score(3) == score(4) == score(5) and len(set(score(10))) == 1
     assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
     more = quality.with_quality(clashing, labels)
-    assert sorted(r["score"] for r in more.collect()) == sorted(r["score"] for r in got) and more.columns.count("score") == 1
+    assert sorted(
+        r["score"] for r in more.collect()
+    ) == sorted(r["score"] for r in got) and more.columns.count("score") == 1
     assert quality.with_quality(empty, labels).count() == 0
     assert {r["score"] for r in quality.with_quality(odd, labels.limit(0)).collect()} == {0.5}

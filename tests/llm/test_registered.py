@@ -13,13 +13,37 @@ def test_equals_sql(spark, duck, sf_dir, name):
 
 CONTRACT = {
     "op1_urls": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
-    "op3_merkle": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+    "op3_merkle": {
+        "doc_id": "bigint",
+        "n_chars": "bigint",
+        "edited_sha256": "string",
+        "fingerprint": "string",
+        "edited_fingerprint": "string",
+        "near_edited": "double",
+        "near_next": "double",
+    },
     "op5_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
     "op6_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
-    "op7_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op7_sharding": {
+        "doc_id": "bigint",
+        "size": "bigint",
+        "text_crc32": "bigint",
+        "law": "string",
+        "shard": "int",
+        "slot": "bigint",
+        "grown_shard": "int",
+    },
     "op8_substrings": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
     "op9_html": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
-    "op10_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op10_pii": {
+        "doc_id": "bigint",
+        "n_email": "bigint",
+        "n_ip": "bigint",
+        "n_card": "bigint",
+        "n_phone": "bigint",
+        "base_sha256": "string",
+        "spans": "string",
+    },
 }
 
 

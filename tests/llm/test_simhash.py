@@ -12,7 +12,9 @@ from routeloom.llm import components, simhash
 def plain_fingerprint(text):
     text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    shingles = [
+        " ".join(words[k : k + 3]) for k in range(len(words) - 2)
+    ] if len(words) >= 3 else [" ".join(words)] if words else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -69,7 +71,11 @@ def test_bit_sliced_pairs_equal_all_pairs(seed):
     group = np.repeat(np.arange(len(sizes)), sizes)
     fp = np.array(clusters(seed, len(group)), np.uint64)
     got = sorted((min(a, b), max(a, b)) for x, y in simhash.near(fp, group) for a, b in zip(x.tolist(), y.tolist()))
-    want = sorted((i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if group[i] == group[j] and int(fp[i] ^ fp[j]).bit_count() <= 3)
+    want = sorted(
+        (i, j)
+        for i in range(len(fp))
+        for j in range(i + 1, len(fp)) if group[i] == group[j] and int(fp[i] ^ fp[j]).bit_count() <= 3
+    )
     assert got == want and want
 
 
@@ -83,7 +89,9 @@ def test_every_near_pair_shares_a_bucket(spark):
             b ^= 1 << bit
         rows.append((k, a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b))
     df = spark.createDataFrame(rows, "k long, a long, b long")
-    shared = df.select(F.size(F.array_intersect(simhash.bucket_keys(F.col("a")), simhash.bucket_keys(F.col("b")))).alias("n"))
+    shared = df.select(
+        F.size(F.array_intersect(simhash.bucket_keys(F.col("a")), simhash.bucket_keys(F.col("b")))).alias("n")
+    )
     assert shared.agg(F.min("n")).first()[0] >= 1
 
 
@@ -107,13 +115,23 @@ def test_documents_equal_brute_force(spark, documents):
 
 def test_odd_rows(spark, odd, clashing, empty):
     rows = odd.collect()
-    want = sorted(zip([r["doc_id"] for r in rows], plain_components([r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows])), key=str)
+    want = sorted(
+        zip(
+            [r["doc_id"] for r in rows],
+            plain_components([r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows]),
+        ),
+        key=str,
+    )
     for docs in (odd, clashing):
-        assert sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str) == want
+        assert sorted(
+            ((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str
+        ) == want
     assert dict(want)[4] == dict(want)[5] == 3  # null, blank and empty texts
     kept = simhash.drop_near_duplicates(clashing)
     left = [r["doc_id"] for r in kept.collect()]
-    assert sorted(map(str, left)) == sorted(map(str, [1, 3, 6, 7, 8, 9, None, 10, 11, 12])) and kept.columns == clashing.columns
+    assert sorted(map(str, left)) == sorted(
+        map(str, [1, 3, 6, 7, 8, 9, None, 10, 11, 12])
+    ) and kept.columns == clashing.columns
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
     alone = spark.createDataFrame([(None, "a b c"), (None, "a b c")], "doc_id long, text string")
     assert [r["component_id"] for r in simhash.near_duplicates(alone).collect()] == [None, None]
@@ -126,7 +144,9 @@ def test_one_of_each_group_stays(spark, documents):
 
 def test_components_of_paths_stars_and_cycles(spark):
     rng = random.Random(2)
-    edges = [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 260)] + [(300 + k, 300 + (k + 1) % 20) for k in range(20)] + [(7, 7)]
+    edges = [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 260)] + [
+        (300 + k, 300 + (k + 1) % 20) for k in range(20)
+    ] + [(7, 7)]
     edges += [(rng.randrange(400, 480), rng.randrange(400, 480)) for _ in range(60)]
     rng.shuffle(edges)
     root = {}
@@ -141,6 +161,8 @@ def test_components_of_paths_stars_and_cycles(spark):
         if a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {
+        r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    }
     assert got == {x: find(x) for x in root}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0

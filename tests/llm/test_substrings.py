@@ -43,7 +43,9 @@ def corpus(seed, n=150):
     for k in rng.sample(range(1000), n):
         words = []
         for _ in range(rng.randint(0, 6)):
-            words += rng.choice(passages) if rng.random() < 0.6 else [f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 30))]
+            words += rng.choice(passages) if rng.random() < 0.6 else [
+                f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 30))
+            ]
         rows.append((k, " ".join(words)))
     rows += [(k + 1000, t) for k, t in rows[:20]]
     rng.shuffle(rows)
@@ -61,9 +63,14 @@ def test_equals_brute_force(spark, monkeypatch, seed, width, run_words):
 
 def test_intervals_are_maximal_and_match_the_text(spark):
     rows = [(1, "a b c d e f g"), (2, "x a b c d y c d e f z"), (3, "a b c a b c a b c")]
-    out = {r["doc_id"]: r for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), width=3).collect()}
+    out = {
+        r["doc_id"]: r
+        for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), width=3).collect()
+    }
     assert [tuple(s) for s in out[2]["removed"]] == [(1, 5), (6, 10)] and out[2]["kept_text"] == "x y z"
-    assert [tuple(s) for s in out[3]["removed"]] == [(0, 3), (3, 9)] or [tuple(s) for s in out[3]["removed"]] == [(0, 9)]
+    assert [
+        tuple(s) for s in out[3]["removed"]
+    ] == [(0, 3), (3, 9)] or [tuple(s) for s in out[3]["removed"]] == [(0, 9)]
     assert out[1]["removed"] == [] and out[1]["kept_text"] == "a b c d e f g"
 
 
@@ -77,7 +84,9 @@ def test_odd_rows(spark, odd, clashing, empty):
     want = brute([(r["doc_id"], r["text"]) for r in odd.collect()], 2)
     assert got(substrings.dedup_substrings(odd, width=2)) == want
     more = substrings.dedup_substrings(clashing, width=2)
-    assert got(more) == want and more.first()["score"] == "own score" and [c.lower() for c in more.columns].count("removed") == 1
+    assert got(more) == want and more.first()["score"] == "own score" and [
+        c.lower() for c in more.columns
+    ].count("removed") == 1
     assert substrings.dedup_substrings(empty).count() == 0
 
 
@@ -90,7 +99,10 @@ def test_merged_intervals_cover_the_same(spans):
     assert all(a > b for a, b in zip(low[1:], high))
 
 
-@given(st.lists(st.integers(0, 2**64 - 1), max_size=40), st.lists(st.tuples(st.integers(0, 2**62), st.integers(1, 50)), min_size=1, max_size=10))
+@given(
+    st.lists(st.integers(0, 2**64 - 1), max_size=40),
+    st.lists(st.tuples(st.integers(0, 2**62), st.integers(1, 50)), min_size=1, max_size=10),
+)
 def test_packing_is_a_round_trip(hashes, docs):
     ids = np.sort(np.array([i for i, _ in docs], np.int64))
     counts = np.array([n for _, n in docs], np.int64)
@@ -99,7 +111,9 @@ def test_packing_is_a_round_trip(hashes, docs):
     h, i, s = substrings.unpacked(substrings.packed(hashes, ordinals, ids, counts))
     doc = np.repeat(np.arange(len(ids)), counts)[ordinals] if len(ordinals) else np.zeros(0, int)
     first = np.cumsum(counts) - counts
-    assert h.tolist() == hashes.tolist() and i.tolist() == ids[doc].tolist() and s.tolist() == (ordinals - first[doc]).tolist()
+    assert h.tolist() == hashes.tolist() and i.tolist() == ids[doc].tolist() and s.tolist() == (
+        ordinals - first[doc]
+    ).tolist()
 
 
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \t\n\r\x0b\x0c\x1c  é", max_size=12)), max_size=8))
@@ -115,5 +129,7 @@ def test_rolling_hashes_equal_windows():
     codes = np.arange(1, 30, dtype=np.uint64) % np.uint64(4)
     hashes = common.rolling_hashes(codes, 5)
     windows = [tuple(codes[k : k + 5].tolist()) for k in range(25)]
-    assert len(set(hashes.tolist())) == len(set(windows)) and all((hashes[i] == hashes[j]) == (windows[i] == windows[j]) for i in range(25) for j in range(25))
+    assert len(set(hashes.tolist())) == len(set(windows)) and all(
+        (hashes[i] == hashes[j]) == (windows[i] == windows[j]) for i in range(25) for j in range(25)
+    )
     assert len(common.rolling_hashes(codes[:3], 5)) == 0

@@ -11,20 +11,30 @@ PAGES = "page_id long, url string, html string"
 @pytest.mark.parametrize(
     ("url", "host", "path"),
     [
-        ("http://A.Example.COM/en/7?x=/y#z", "a.example.com", "/en/7"), ("https://h", "h", ""), ("x://h?q", "h", ""), ("x://h#/f", "h", ""), ("://h/p", "h", "/p"),
-        ("a://b://c", "b:", "//c"), ("no scheme", "", ""), (None, "", ""), ("", "", ""), ("x://", "", ""), ("x:///p", "", "/p"), ("x://É.com/É#", "É.com", "/É"), ("x://u@h:80/p", "u@h:80", "/p"),
+        (
+            "http://A.Example.COM/en/7?x=/y#z", "a.example.com", "/en/7"
+        ), ("https://h", "h", ""), ("x://h?q", "h", ""), ("x://h#/f", "h", ""), ("://h/p", "h", "/p"),
+        ("a://b://c", "b:", "//c"), ("no scheme", "", ""), (None, "", ""), ("", "", ""), ("x://", "", ""), ("x:///p", "", "/p"), ("x://É.com/É#", "É.com", "/É"), (
+            "x://u@h:80/p", "u@h:80", "/p"
+        ),
     ],
 )
 def test_host_and_path(spark, url, host, path):
-    row = spark.createDataFrame([(url,)], "url string").select(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).first()
+    row = spark.createDataFrame([(url,)], "url string").select(
+        urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    ).first()
     assert tuple(row) == (host, path)
 
 
 @pytest.mark.parametrize(
     ("url", "rule", "verdict"),
     [
-        ("x://b.example.com/en/6", "com/en/", "block"), ("x://b.example.com/en/71", "example.com/en/7", "allow"), ("x://badexample.com/en/7", "com/en/", "block"), ("x://com/en/", "com/en/", "block"),
-        ("x://telecom/en/", None, "allow"), ("x://a.net/de/1", "net/de/", "allow"), ("x://example.net/de/80", "example.net/de/8", "block"), ("x://a.org/es/", "org/es/", "block"), ("x://a.org/es", None, "allow"), ("x://a.org/en/es/", None, "allow"),
+        ("x://b.example.com/en/6", "com/en/", "block"), (
+            "x://b.example.com/en/71", "example.com/en/7", "allow"
+        ), ("x://badexample.com/en/7", "com/en/", "block"), ("x://com/en/", "com/en/", "block"),
+        ("x://telecom/en/", None, "allow"), ("x://a.net/de/1", "net/de/", "allow"), (
+            "x://example.net/de/80", "example.net/de/8", "block"
+        ), ("x://a.org/es/", "org/es/", "block"), ("x://a.org/es", None, "allow"), ("x://a.org/en/es/", None, "allow"),
     ],
 )
 def test_longest_rule_wins(spark, url, rule, verdict):
@@ -45,11 +55,24 @@ def brute(pages, rules=urls.RULES, damping=urls.DAMPING):
             host = re.match("[^/?#]*", rest)[0]
             path = re.match("[^?#]*", rest[len(host) :])[0]
             host = "".join(c.lower() if c.isascii() else c for c in host)
-        fit = max((r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])), key=lambda r: len(r[0] + r[1]), default=None)
-        out = {m.split("://", 1)[1].split("/")[0].lower() for m in re.findall(r'href="([^"\s]*)"', html or "") if "://" in m}
+        fit = max(
+            (r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])),
+            key=lambda r: len(r[0] + r[1]),
+            default=None,
+        )
+        out = {
+            m.split("://", 1)[1].split("/")[0].lower()
+            for m in re.findall(r'href="([^"\s]*)"', html or "") if "://" in m
+        }
         rows.append((page, host, path, fit, out - {""}))
     hosts = {h for _, h, _, _, _ in rows if h}
-    seeds = {h: [sum(bool(f) and f[2] == v for _, x, _, f, _ in rows if x == h) / sum(x == h for _, x, _, _, _ in rows) for v in ("allow", "block")] for h in hosts}
+    seeds = {
+        h: [
+            sum(bool(f) and f[2] == v for _, x, _, f, _ in rows if x == h) / sum(x == h for _, x, _, _, _ in rows)
+            for v in ("allow", "block")
+        ]
+        for h in hosts
+    }
     links = {}
     for _, h, _, _, out in rows:
         for d in out if h else ():
@@ -62,11 +85,34 @@ def brute(pages, rules=urls.RULES, damping=urls.DAMPING):
     trust, distrust = ({h: (1 - damping) * seeds[h][k] for h in every} for k in (0, 1))
     for _ in range(urls.ROUNDS):
         trust, distrust = (
-            {h: (1 - damping) * seeds[h][0] + damping * sum(trust[a] * n / given[a] for (a, b), n in links.items() if b == h) for h in every},
-            {h: (1 - damping) * seeds[h][1] + damping * sum(distrust[b] * n / taken[b] for (a, b), n in links.items() if a == h) for h in every},
+            {
+                h: (1 - damping) * seeds[h][0] + damping * sum(
+                    trust[a] * n / given[a] for (a, b), n in links.items() if b == h
+                )
+                for h in every
+            },
+            {
+                h: (1 - damping) * seeds[h][1] + damping * sum(
+                    distrust[b] * n / taken[b] for (a, b), n in links.items() if a == h
+                )
+                for h in every
+            },
+        )
+    blocked = {
+        h: distrust[h] >= urls.BLOCK_SHARE * (trust[h] + distrust[h] + (1 - damping) * (1 - sum(seeds[h]))) - 1e-9
+        for h in every
+    }
+    return {
+        p: (
+            h,
+            path,
+            f and f[0] + f[1],
+            f[2] if f else "block" if blocked.get(h) else "allow",
+            round(trust.get(h, 0), 6),
+            round(distrust.get(h, 0), 6),
         )
-    blocked = {h: distrust[h] >= urls.BLOCK_SHARE * (trust[h] + distrust[h] + (1 - damping) * (1 - sum(seeds[h]))) - 1e-9 for h in every}
-    return {p: (h, path, f and f[0] + f[1], f[2] if f else "block" if blocked.get(h) else "allow", round(trust.get(h, 0), 6), round(distrust.get(h, 0), 6)) for p, h, path, f, _ in rows}
+        for p, h, path, f, _ in rows
+    }
 
 
 def web(seed, n=120):
@@ -76,7 +122,9 @@ def web(seed, n=120):
     for k in range(n):
         host = rng.choice(hosts + hosts[:1] * 20)  # one host has half of all pages
         targets = rng.choices(hosts + ["elsewhere.test"], k=rng.randint(0, 4))
-        html = "".join(f'<a href="https://{t.upper() if rng.random() < 0.2 else t}/x">x</a>' for t in targets) + '<a href="/local">l</a>'
+        html = "".join(
+            f'<a href="https://{t.upper() if rng.random() < 0.2 else t}/x">x</a>' for t in targets
+        ) + '<a href="/local">l</a>'
         pages.append((k, f"http://{host}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randint(1, 99)}", html))
     return pages
 
@@ -86,22 +134,42 @@ def test_walks_equal_brute_force(spark, seed):
     pages = web(seed)
     got = urls.judge_urls(spark.createDataFrame(pages, PAGES)).collect()
     want = brute(pages)
-    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], round(r["trust"], 6), round(r["distrust"], 6)) for r in got} == want
+    assert {
+        r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], round(r["trust"], 6), round(r["distrust"], 6))
+        for r in got
+    } == want
     assert len({v[3] for v in want.values()}) == 2
 
 
 def test_distrust_goes_against_links_and_trust_along(spark):
     bad = [(k, "x://spam.org/es/", None) for k in range(4)]
     good = [(k + 10, "x://fine.net/de/", '<a href="x://friend.test/">f</a>') for k in range(4)]
-    farm = [(20, "x://farm.test/", '<a href="x://spam.org/">a</a>'), (21, "x://friend.test/", None), (22, "x://spam.org/other", '<a href="x://victim.test/">v</a>'), (23, "x://victim.test/", None)]
-    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(bad + good + farm, PAGES), block_share=0.4).collect()}
+    farm = [
+        (20, "x://farm.test/", '<a href="x://spam.org/">a</a>'),
+        (21, "x://friend.test/", None),
+        (22, "x://spam.org/other", '<a href="x://victim.test/">v</a>'),
+        (23, "x://victim.test/", None),
+    ]
+    got = {
+        r["page_id"]: r
+        for r in urls.judge_urls(spark.createDataFrame(bad + good + farm, PAGES), block_share=0.4).collect()
+    }
     assert got[20]["verdict"] == "block" and got[20]["distrust"] > 0 and got[22]["verdict"] == "block"
     assert got[21]["trust"] > 0 and got[21]["verdict"] == "allow" and got[23]["verdict"] == "allow" and got[23]["distrust"] == 0
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, None), (None, "x://a.org/es/1", None), (3, "nothing", '<a href="x://a.org/">'), (4, "x://a.org/es/1", ""), (4, "x://a.org/es/1", ""), (5, "x://" + "a" * 100_000 + "/p", "<a href=" + "x" * 100_000)]
-    pages = spark.createDataFrame(rows, PAGES).select("*", *[F.lit("own").alias(c) for c in ("HOST", "rule", "__rule", "trust", "src")])
+    rows = [
+        (1, None, None),
+        (None, "x://a.org/es/1", None),
+        (3, "nothing", '<a href="x://a.org/">'),
+        (4, "x://a.org/es/1", ""),
+        (4, "x://a.org/es/1", ""),
+        (5, "x://" + "a" * 100_000 + "/p", "<a href=" + "x" * 100_000),
+    ]
+    pages = spark.createDataFrame(rows, PAGES).select(
+        "*", *[F.lit("own").alias(c) for c in ("HOST", "rule", "__rule", "trust", "src")]
+    )
     got = urls.judge_urls(pages).collect()
     assert len(got) == 6 and sorted(r["verdict"] for r in got) == ["allow"] * 3 + ["block"] * 3
     assert all(r["src"] == "own" for r in got)
