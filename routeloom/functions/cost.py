@@ -52,7 +52,12 @@ class Weights:
         return cls(*PRESETS[criterion])
 
     def to_dict(self) -> dict[str, float]:
-        return {"alpha_distance": self.alpha, "beta_time": self.beta, "gamma_congestion": self.gamma, "delta_risk": self.delta}
+        return {
+            "alpha_distance": self.alpha,
+            "beta_time": self.beta,
+            "gamma_congestion": self.gamma,
+            "delta_risk": self.delta,
+        }
 
     def column(self) -> Column:
         return weighted_cost(*map(F.lit, (float(self.alpha), float(self.beta), float(self.gamma), float(self.delta))))
@@ -71,7 +76,12 @@ def with_profile(edges: DataFrame, profile: str) -> DataFrame:
     time, congestion, risk = profile_columns(F.lit(profile))
     changed = {"time_min": time, "congestion": congestion, "risk": risk}
     if "metadata" in edges.columns:
-        changed["metadata"] = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "traffic_profile"), F.create_map(F.lit("traffic_profile"), F.lit(profile)))
+        changed["metadata"] = F.map_concat(
+            F.map_filter(
+                F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "traffic_profile"
+            ),
+            F.create_map(F.lit("traffic_profile"), F.lit(profile)),
+        )
     return edges.withColumns(changed)
 
 
@@ -79,8 +89,12 @@ def profile_columns(profile: Column) -> tuple[Column, Column, Column]:
     """time_min, congestion and risk under a profile that may differ by row."""
     rush, rain = profile == "rush_hour", profile == "rainy"
     slope = F.when(F.col("road_type").isin(*MAIN_ROADS), 0.18).otherwise(0.05)
-    time = F.when(rush, F.col("time_min") * (1.25 + slope * F.col("congestion"))).when(rain, F.col("time_min") * (1.25 + 0.05 * F.col("risk"))).otherwise(F.col("time_min"))
-    congestion = F.when(rush, F.least(F.lit(5.0), F.col("congestion") + 1.0)).when(rain, F.least(F.lit(5.0), F.col("congestion") + 0.4)).otherwise(F.col("congestion"))
+    time = F.when(
+        rush, F.col("time_min") * (1.25 + slope * F.col("congestion"))
+    ).when(rain, F.col("time_min") * (1.25 + 0.05 * F.col("risk"))).otherwise(F.col("time_min"))
+    congestion = F.when(
+        rush, F.least(F.lit(5.0), F.col("congestion") + 1.0)
+    ).when(rain, F.least(F.lit(5.0), F.col("congestion") + 0.4)).otherwise(F.col("congestion"))
     risk = F.when(rain, F.least(F.lit(5.0), F.col("risk") + 1.2)).otherwise(F.col("risk"))
     return time, congestion, risk
 
@@ -96,7 +110,9 @@ def checked_costs(edges: pd.DataFrame) -> pd.DataFrame:
     bad = np.flatnonzero(~np.isfinite(cost) | (cost < 0))
     if len(bad):
         row = edges.iloc[bad[0]]
-        raise GraphError(f"Edge costs must be finite and non-negative; {row['src']!r} -> {row['dst']!r} is not {'non-negative' if cost[bad[0]] < 0 else 'finite'}: {cost[bad[0]]}")
+        raise GraphError(
+            f"Edge costs must be finite and non-negative; {row['src']!r} -> {row['dst']!r} is not {'non-negative' if cost[bad[0]] < 0 else 'finite'}: {cost[bad[0]]}"
+        )
     return edges
 
 

@@ -20,7 +20,11 @@ NEAR_M, END_M = 0.75, 0.5
 MAX_LANDMARKS = 10_000
 #: What the access of a landmark with and without an override is called.
 CURATED = {"access_kind": "entrance", "access_label": "Entrance", "access_source": "Curated access point"}
-NEAREST = {"access_kind": "nearest_road", "access_label": "Nearest road access", "access_source": "Generated from the nearest drivable OSM edge"}
+NEAREST = {
+    "access_kind": "nearest_road",
+    "access_label": "Nearest road access",
+    "access_source": "Generated from the nearest drivable OSM edge",
+}
 
 
 def plane(lon: np.ndarray, lat: np.ndarray, around: float) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +41,9 @@ def project(line: np.ndarray, lon: float, lat: float) -> tuple[float, float, flo
     share = np.clip(((px - x[:-1]) * dx + (py - y[:-1]) * dy) / np.where(size > 0, size**2, 1), 0, 1)
     far = np.hypot(x[:-1] + share * dx - px, y[:-1] + share * dy - py)
     k = int(far.argmin())
-    return float(far[k]), float(size[:k].sum() + share[k] * size[k]), float(size.sum()), line[k] + share[k] * (line[k + 1] - line[k])
+    return float(far[k]), float(
+        size[:k].sum() + share[k] * size[k]
+    ), float(size.sum()), line[k] + share[k] * (line[k + 1] - line[k])
 
 
 def cut(line: np.ndarray, spots: list[tuple[float, np.ndarray]], around: float) -> list[np.ndarray]:
@@ -74,7 +80,9 @@ def nearest_roads(roads: DataFrame, points: list[tuple[str, float, float]]) -> l
     return [r.asDict() for r in named.collect()]
 
 
-def insert_access_points(roads: DataFrame, landmarks: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def insert_access_points(
+    roads: DataFrame, landmarks: DataFrame, overrides: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Roads cut beside the landmarks, and landmarks with routing points and what their access is.
 
     Each landmark, or the point that an override (id, latitude, longitude, kind, label, source, use_road_projection)
@@ -85,12 +93,22 @@ def insert_access_points(roads: DataFrame, landmarks: DataFrame, overrides: Data
     rows = [r.asDict() for r in landmarks.limit(MAX_LANDMARKS + 1).collect()]
     if len(rows) > MAX_LANDMARKS:
         raise GraphError(f"more than {MAX_LANDMARKS} landmarks")
-    given = {r["id"]: r.asDict() for r in overrides.where(F.col("id").isin([r["id"] for r in rows])).collect()} if overrides is not None else {}
-    asked = {r["id"]: (given.get(r["id"], {}).get("longitude") or r["longitude"], given.get(r["id"], {}).get("latitude") or r["latitude"]) for r in rows}
+    given = {
+        r["id"]: r.asDict() for r in overrides.where(F.col("id").isin([r["id"] for r in rows])).collect()
+    } if overrides is not None else {}
+    asked = {
+        r["id"]: (
+            given.get(r["id"], {}).get("longitude") or r["longitude"],
+            given.get(r["id"], {}).get("latitude") or r["latitude"],
+        )
+        for r in rows
+    }
     found = {f["name"]: f for f in nearest_roads(roads, [(k, *v) for k, v in asked.items()])}
     by_ends: dict[frozenset, list[tuple[str, float, float]]] = {}
     for name, f in found.items():
-        by_ends.setdefault(frozenset([(f["from_lon"], f["from_lat"]), (f["to_lon"], f["to_lat"])]), []).append((name, f["lon"], f["lat"]))
+        by_ends.setdefault(
+            frozenset([(f["from_lon"], f["from_lat"]), (f["to_lon"], f["to_lat"])]), []
+        ).append((name, f["lon"], f["lat"]))
     step = len(rows) + 1
 
     def spots(line: np.ndarray) -> dict[float, np.ndarray]:
@@ -113,7 +131,9 @@ def insert_access_points(roads: DataFrame, landmarks: DataFrame, overrides: Data
                 size = project(line, *line[0])[2]
                 marks = [0.0, *sorted(at), size]
                 for k, piece in enumerate(pieces):
-                    own = properties if len(pieces) == 1 else properties | {"length": str(whole * (marks[k + 1] - marks[k]) / size)}
+                    own = properties if len(pieces) == 1 else properties | {
+                        "length": str(whole * (marks[k + 1] - marks[k]) / size)
+                    }
                     made.append((order * step + k, piece.tolist(), own))
             yield pd.DataFrame(made, columns=["feature_ord", "points", "properties"])
 
@@ -125,11 +145,27 @@ def insert_access_points(roads: DataFrame, landmarks: DataFrame, overrides: Data
         on_road = (f["lon"], f["lat"])
         if not END_M < f["along"] < f["size"] - END_M:
             ends = [(f["from_lon"], f["from_lat"]), (f["to_lon"], f["to_lat"])]
-            metres = lambda e: np.hypot(*(a - b for a, b in zip(plane(np.array(e[0]), np.array(e[1]), f["lat"]), plane(np.array(f["lon"]), np.array(f["lat"]), f["lat"]))))  # noqa: B023, E731
+            metres = lambda e: np.hypot(  # noqa: B023, E731
+                *(
+                    a - b
+                    for a, b in zip(
+                        plane(np.array(e[0]), np.array(e[1]), f["lat"]),
+                        plane(np.array(f["lon"]), np.array(f["lat"]), f["lat"]),
+                    )
+                )
+            )
             on_road = min(ends, key=metres)
         at = on_road if o is None or o.get("use_road_projection") else asked[r["id"]]
-        said = NEAREST if o is None else {k: o.get(v) or CURATED[k] for k, v in (("access_kind", "kind"), ("access_label", "label"), ("access_source", "source"))}
+        said = NEAREST if o is None else {
+            k: o.get(v) or CURATED[k]
+            for k, v in (("access_kind", "kind"), ("access_label", "label"), ("access_source", "source"))
+        }
         out.append((r["id"], round(at[1], 7), round(at[0], 7), *said.values(), f["road"]))
-    access = landmarks.sparkSession.createDataFrame(out, "id string, routing_latitude double, routing_longitude double, access_kind string, access_label string, access_source string, access_road string")
-    access = access.withColumn("access_road", F.coalesce(F.nullif(vietnamese(F.col("access_road")), F.lit("")), F.lit("Unnamed road")))
+    access = landmarks.sparkSession.createDataFrame(
+        out,
+        "id string, routing_latitude double, routing_longitude double, access_kind string, access_label string, access_source string, access_road string",
+    )
+    access = access.withColumn(
+        "access_road", F.coalesce(F.nullif(vietnamese(F.col("access_road")), F.lit("")), F.lit("Unnamed road"))
+    )
     return wide, landmarks.drop(*access.columns[1:]).join(access, "id")

@@ -46,7 +46,13 @@ def dealt(requests: DataFrame) -> DataFrame:
     return requests.repartition(requests.sparkSession.sparkContext.defaultParallelism)
 
 
-def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuristic: kernels.Heuristic | None = None, visited: bool = True) -> DataFrame:
+def run_searches(
+    net: Broadcast,
+    requests: DataFrame,
+    scale: float = 1.0,
+    heuristic: kernels.Heuristic | None = None,
+    visited: bool = True,
+) -> DataFrame:
     """`requests` (request_id, start, goal, algorithm) to search results, one row each.
 
     scale: the weight of distance, by which A* multiplies great-circle km so that it never overestimates. Without
@@ -57,7 +63,9 @@ def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuris
         for pdf in frames:
             for k in range(0, len(pdf), 2000):
                 part = pdf.iloc[k : k + 2000]
-                rows = kernels.search_many(net.value, list(zip(part["algorithm"], part["start"], part["goal"])), heuristic, scale)
+                rows = kernels.search_many(
+                    net.value, list(zip(part["algorithm"], part["start"], part["goal"])), heuristic, scale
+                )
                 for r, row in zip(part["request_id"], rows):
                     row["request_id"] = r
                     if not visited:
@@ -69,12 +77,19 @@ def run_searches(net: Broadcast, requests: DataFrame, scale: float = 1.0, heuris
     wanted = requests.select(F.col("request_id").cast("long"), "start", "goal", "algorithm")
     sharing = F.col("algorithm").isin(*kernels.KINDS)
     # requests that can share a run meet in one of four tasks; four, so that a start of many requests is no task's burden alone
-    kind = F.when(sharing, F.concat_ws(":", F.pmod(F.xxhash64("goal"), F.lit(4)), F.when(F.col("algorithm").isin("bfs", "dfs"), F.col("algorithm")))).otherwise(F.col("goal"))
+    kind = F.when(
+        sharing,
+        F.concat_ws(
+            ":", F.pmod(F.xxhash64("goal"), F.lit(4)), F.when(F.col("algorithm").isin("bfs", "dfs"), F.col("algorithm"))
+        ),
+    ).otherwise(F.col("goal"))
     tasks = 4 * requests.sparkSession.sparkContext.defaultParallelism
     return wanted.repartition(tasks, "start", kind).sortWithinPartitions("start", "algorithm").mapInPandas(scan, schema)
 
 
-def run_all_targets(net: Broadcast, sources: DataFrame, goals: list[str] | None = None, paths: bool = True) -> DataFrame:
+def run_all_targets(
+    net: Broadcast, sources: DataFrame, goals: list[str] | None = None, paths: bool = True
+) -> DataFrame:
     """`sources` (source) to cheapest routes to each goal: one run a source; without paths only (source, node, cost).
 
     All routes of a source share the visited order of its run.
@@ -93,7 +108,9 @@ def run_all_targets(net: Broadcast, sources: DataFrame, goals: list[str] | None
                 else:
                     cost = kernels.relaxing(own, own.at(source, "start"), None, None, None).cost
                     wanted = cost if goals is None else [own.at(g, "goal") for g in goals if own.at(g, "goal") in cost]
-                    yield pd.DataFrame({"source": source, "node": [own.ids[n] for n in wanted], "cost": [cost[n] for n in wanted]})
+                    yield pd.DataFrame(
+                        {"source": source, "node": [own.ids[n] for n in wanted], "cost": [cost[n] for n in wanted]}
+                    )
 
     return dealt(sources.select("source")).mapInPandas(scan, full if paths else brief)
 
@@ -112,7 +129,9 @@ def run_traces(net: Broadcast, requests: DataFrame, scale: float = 1.0) -> DataF
                 for k in range(0, len(steps), 500):
                     yield frame([{"request_id": request} | s for s in steps[k : k + 500]], schema)
 
-    return dealt(requests.select(F.col("request_id").cast("long"), "start", "goal", "algorithm")).mapInPandas(scan, schema)
+    return dealt(
+        requests.select(F.col("request_id").cast("long"), "start", "goal", "algorithm")
+    ).mapInPandas(scan, schema)
 
 
 def frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:

@@ -17,7 +17,9 @@ MAX_ROUNDS = 10_000
 def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+        )
     return df.checkpoint()
 
 
@@ -27,7 +29,9 @@ def bfs_levels(edges: DataFrame, sources: DataFrame) -> DataFrame:
     seen = checkpointed(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("level")).distinct())
     frontier = seen
     for level in range(1, MAX_ROUNDS):
-        ahead = frontier.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node")).distinct()
+        ahead = frontier.join(
+            links, F.col("node") == F.col("src")
+        ).select("source", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(ahead.join(seen, ["source", "node"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             return seen
@@ -43,12 +47,37 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, cost: str = "cost") ->
     links = checkpointed(edges.groupBy("src", "dst").agg(F.min(cost).alias("w")))
     start = sources.select("source", F.col("source").alias("node")).distinct()
     zero = F.lit(0).cast(links.schema["w"].dataType)
-    state = checkpointed(start.select("source", "node", F.struct(zero.alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(links.schema["src"].dataType).alias("parent")).alias("best")))
+    state = checkpointed(
+        start.select(
+            "source",
+            "node",
+            F.struct(
+                zero.alias("cost"),
+                F.lit(0).alias("hops"),
+                F.lit(None).cast(links.schema["src"].dataType).alias("parent"),
+            ).alias("best"),
+        )
+    )
     frontier = state
     for _ in range(MAX_ROUNDS):
-        step = F.struct((F.col("best.cost") + F.col("w")).alias("cost"), (F.col("best.hops") + 1).alias("hops"), F.col("src").alias("parent"))
-        offers = frontier.join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), step.alias("offer")).groupBy("source", "node").agg(F.min("offer").alias("offer"))
-        merged = checkpointed(state.join(offers, ["source", "node"], "full").select("source", "node", F.when(F.col("best").isNull() | (F.col("offer") < F.col("best")), F.col("offer")).otherwise(F.col("best")).alias("best"), F.coalesce(F.col("best").isNull() | (F.col("offer") < F.col("best")), F.lit(False)).alias("better")))
+        step = F.struct(
+            (F.col("best.cost") + F.col("w")).alias("cost"),
+            (F.col("best.hops") + 1).alias("hops"),
+            F.col("src").alias("parent"),
+        )
+        offers = frontier.join(links, F.col("node") == F.col("src")).select(
+            "source", F.col("dst").alias("node"), step.alias("offer")
+        ).groupBy("source", "node").agg(F.min("offer").alias("offer"))
+        merged = checkpointed(
+            state.join(offers, ["source", "node"], "full").select(
+                "source",
+                "node",
+                F.when(
+                    F.col("best").isNull() | (F.col("offer") < F.col("best")), F.col("offer")
+                ).otherwise(F.col("best")).alias("best"),
+                F.coalesce(F.col("best").isNull() | (F.col("offer") < F.col("best")), F.lit(False)).alias("better"),
+            )
+        )
         frontier = merged.where("better")
         state = merged.select("source", "node", "best")
         if frontier.isEmpty():
@@ -60,13 +89,17 @@ def paths(found: DataFrame, goals: DataFrame) -> DataFrame:
     """(source, goal, path): each goal's way back along the parents of shortest_paths, all goals a round together."""
     kind = found.schema["node"].dataType.simpleString()
     back = found.select("source", F.col("node").alias("at"), "parent")
-    open_ = goals.select("source", "goal").distinct().join(found.select("source", F.col("node").alias("goal")), ["source", "goal"]).select("source", "goal", F.col("goal").alias("at"), F.array("goal").cast(f"array<{kind}>").alias("path"))
+    open_ = goals.select("source", "goal").distinct().join(found.select("source", F.col("node").alias("goal")), ["source", "goal"]).select(
+        "source", "goal", F.col("goal").alias("at"), F.array("goal").cast(f"array<{kind}>").alias("path")
+    )
     done = None
     for _ in range(MAX_ROUNDS):
         stepped = checkpointed(open_.join(back, ["source", "at"]))
         ended = stepped.where("parent IS NULL").select("source", "goal", "path")
         done = ended if done is None else done.unionByName(ended)
-        open_ = stepped.where("parent IS NOT NULL").select("source", "goal", F.col("parent").alias("at"), F.concat(F.array("parent"), "path").alias("path"))
+        open_ = stepped.where("parent IS NOT NULL").select(
+            "source", "goal", F.col("parent").alias("at"), F.concat(F.array("parent"), "path").alias("path")
+        )
         if open_.isEmpty():
             return done
     raise RuntimeError("the parents form a cycle")
@@ -76,8 +109,16 @@ def spread_least(links: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the least label that reaches each node along links (a to b)."""
     frontier = labels
     for _ in range(MAX_ROUNDS):
-        offers = frontier.join(links, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("offer"))
-        merged = checkpointed(labels.join(offers, "node", "left").select("node", F.least("label", "offer").alias("label"), F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("better")))
+        offers = frontier.join(
+            links, F.col("node") == F.col("a")
+        ).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("offer"))
+        merged = checkpointed(
+            labels.join(offers, "node", "left").select(
+                "node",
+                F.least("label", "offer").alias("label"),
+                F.coalesce(F.col("offer") < F.col("label"), F.lit(False)).alias("better"),
+            )
+        )
         frontier, labels = merged.where("better").select("node", "label"), merged.select("node", "label")
         if frontier.isEmpty():
             return labels
@@ -95,7 +136,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     links = checkpointed(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct())
     for _ in range(MAX_ROUNDS):
         while True:
-            inner = left.join(links.select(F.col("a").alias("node")), "node", "left_semi").join(links.select(F.col("b").alias("node")), "node", "left_semi")
+            inner = left.join(
+                links.select(F.col("a").alias("node")), "node", "left_semi"
+            ).join(links.select(F.col("b").alias("node")), "node", "left_semi")
             inner = checkpointed(inner)
             alone = left.join(inner, "node", "left_anti")
             if alone.isEmpty():
@@ -103,16 +146,26 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             own = checkpointed(alone.select("node", F.col("node").alias("component")))
             done = own if done is None else done.unionByName(own)
             left, keep = inner, inner
-            links = checkpointed(links.join(keep.withColumnRenamed("node", "a"), "a", "left_semi").join(keep.withColumnRenamed("node", "b"), "b", "left_semi"))
+            links = checkpointed(
+                links.join(
+                    keep.withColumnRenamed("node", "a"), "a", "left_semi"
+                ).join(keep.withColumnRenamed("node", "b"), "b", "left_semi")
+            )
         if left.isEmpty():
             return done if done is not None else left.select("node", F.col("node").alias("component"))
         colour = spread_least(links, left.select("node", F.col("node").alias("label")))
-        ends = links.join(colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
+        ends = links.join(
+            colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a"
+        ).join(colour.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
         within = checkpointed(ends.where("ca = cb").select(F.col("b").alias("src"), F.col("a").alias("dst")))
         met = spread_reach(within, colour.where("node = label").select("node", F.col("label").alias("component")))
         done = met if done is None else done.unionByName(met)
         left = checkpointed(left.join(met, "node", "left_anti"))
-        links = checkpointed(links.join(left.withColumnRenamed("node", "a"), "a", "left_semi").join(left.withColumnRenamed("node", "b"), "b", "left_semi"))
+        links = checkpointed(
+            links.join(
+                left.withColumnRenamed("node", "a"), "a", "left_semi"
+            ).join(left.withColumnRenamed("node", "b"), "b", "left_semi")
+        )
         if left.isEmpty():
             return done
     raise RuntimeError("components did not settle")
@@ -122,7 +175,9 @@ def spread_reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, component): what each component's seed reaches along links (src to dst) that join nodes of one seed only."""
     seen = frontier = seeds
     for _ in range(MAX_ROUNDS):
-        ahead = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "component").distinct()
+        ahead = frontier.join(links, F.col("node") == F.col("src")).select(
+            F.col("dst").alias("node"), "component"
+        ).distinct()
         frontier = checkpointed(ahead.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen

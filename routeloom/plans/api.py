@@ -26,7 +26,11 @@ def one_of(choices: Mapping | tuple) -> Check:
     return lambda v: isinstance(v, str) and v in choices
 
 
-SCENARIO = {"criterion": (one_of(PRESETS), "balanced"), "traffic_profile": (one_of(PROFILES), "normal"), "custom_weights": (is_weights, None)}
+SCENARIO = {
+    "criterion": (one_of(PRESETS), "balanced"),
+    "traffic_profile": (one_of(PROFILES), "normal"),
+    "custom_weights": (is_weights, None),
+}
 #: Per verb its fields: how each is checked and, if it may be left out, its default. Other fields are refused.
 FIELDS: dict[str, dict[str, tuple]] = {
     "search": {"start_id": (is_text,), "goal_id": (is_text,), "algorithm": (one_of(ALGORITHMS), "dijkstra"), **SCENARIO},
@@ -53,7 +57,16 @@ def checked(verb: str, payload: Mapping) -> dict:
 
 def handle(planner: RoutePlanner, verb: str, payload: Mapping | None = None) -> tuple[int, dict]:
     """A verb's response; what is wrong with a request gives status 422 and says so, other errors propagate."""
-    plain = {"health": lambda: {"status": "ok", "nodes": planner.summary.get("routable_nodes"), "edges": planner.summary.get("routable_edges"), "landmarks": planner.summary.get("landmarks")}, "bootstrap": planner.bootstrap, "network": planner.roads}
+    plain = {
+        "health": lambda: {
+            "status": "ok",
+            "nodes": planner.summary.get("routable_nodes"),
+            "edges": planner.summary.get("routable_edges"),
+            "landmarks": planner.summary.get("landmarks"),
+        },
+        "bootstrap": planner.bootstrap,
+        "network": planner.roads,
+    }
     verbs = {"search": planner.search, "compare": planner.compare, "multi-route": planner.multi_route}
     if verb in plain:
         return OK, json_value(plain[verb]())
@@ -81,8 +94,23 @@ def stream_search(planner: RoutePlanner, payload: Mapping, rate: int = SAMPLE_RA
     def on_step(step: dict) -> None:
         number = len(step["visited"])
         if step["event"] == "expand" and (number == 1 or number % rate == 0):
-            more = {"visited_count": number, "frontier_count": len(step["frontier"]), "sample_rate": rate, "visited_encoding": "delta"}
-            told.put({"type": "step", "step": step | {"frontier": step["frontier"][:FRONTIER_SHOWN], "visited": [], "visited_delta": [step["current_node"]], "details": step["details"] | more}})
+            more = {
+                "visited_count": number,
+                "frontier_count": len(step["frontier"]),
+                "sample_rate": rate,
+                "visited_encoding": "delta",
+            }
+            told.put(
+                {
+                    "type": "step",
+                    "step": step | {
+                        "frontier": step["frontier"][:FRONTIER_SHOWN],
+                        "visited": [],
+                        "visited_delta": [step["current_node"]],
+                        "details": step["details"] | more,
+                    },
+                }
+            )
 
     def work() -> None:
         try:

@@ -37,7 +37,9 @@ class RoutePlanner:
     held: dict[tuple, tuple[DataFrame, Broadcast]] = field(default_factory=dict)
 
     @classmethod
-    def load(cls, spark: SparkSession, roads: str, landmarks: str, boundary: str | None = None, summary: str | None = None) -> RoutePlanner:
+    def load(
+        cls, spark: SparkSession, roads: str, landmarks: str, boundary: str | None = None, summary: str | None = None
+    ) -> RoutePlanner:
         """From files: road GeoJSON, landmarks, and optionally the boundary and the download's summary."""
         graph = validated(etl.build_graph(etl.read_roads(spark, roads)))
         if graph.nodes.count() < MIN_NODES or graph.edges.count() < MIN_EDGES:
@@ -51,11 +53,16 @@ class RoutePlanner:
         """What a map needs to begin with: places, choices, counts and coordinates."""
         return {
             "landmarks": [json_value(r) for r in self.landmarks.drop("landmark_ord").collect()],
-            "algorithms": {k: {"result_name": n, "label": label, "heuristic": h} for k, (n, label, h) in ALGORITHMS.items()},
+            "algorithms": {
+                k: {"result_name": n, "label": label, "heuristic": h} for k, (n, label, h) in ALGORITHMS.items()
+            },
             "cost_presets": {k: Weights(*v).to_dict() for k, v in PRESETS.items()},
             "traffic_profiles": PROFILES,
             "network_summary": self.summary,
-            "node_coordinates": {r["node_id"]: [r["latitude"], r["longitude"]] for r in self.graph.nodes.orderBy("node_ord").toLocalIterator()},
+            "node_coordinates": {
+                r["node_id"]: [r["latitude"], r["longitude"]]
+                for r in self.graph.nodes.orderBy("node_ord").toLocalIterator()
+            },
             "boundary": self.boundary,
         }
 
@@ -84,15 +91,33 @@ class RoutePlanner:
             raise GraphError(f"Unknown landmark ID: {name!r}")
         return json_value(row)
 
-    def batch(self, requests: DataFrame, criterion: str = "balanced", traffic_profile: str = "normal", custom_weights: Mapping[str, float] | None = None) -> DataFrame:
+    def batch(
+        self,
+        requests: DataFrame,
+        criterion: str = "balanced",
+        traffic_profile: str = "normal",
+        custom_weights: Mapping[str, float] | None = None,
+    ) -> DataFrame:
         """`requests` (request_id, start, goal, algorithm; landmark ids) to results: the way to run many."""
         _, weights = self.weights(criterion, custom_weights)
         _, net = self.scenario(traffic_profile, weights)
         at = lambda side: self.landmarks.select(F.col("id").alias(side), F.col("snapped_node").alias(f"{side}_node"))
-        named = requests.join(at("start"), "start").join(at("goal"), "goal").select("request_id", F.col("start_node").alias("start"), F.col("goal_node").alias("goal"), "algorithm")
+        named = requests.join(at("start"), "start").join(at("goal"), "goal").select(
+            "request_id", F.col("start_node").alias("start"), F.col("goal_node").alias("goal"), "algorithm"
+        )
         return searches.run_searches(net, named, weights.alpha)
 
-    def search(self, start_id: str, goal_id: str, algorithm: str, *, criterion: str = "balanced", traffic_profile: str = "normal", custom_weights: Mapping[str, float] | None = None, on_step: Callable[[dict], None] | None = None) -> dict:
+    def search(
+        self,
+        start_id: str,
+        goal_id: str,
+        algorithm: str,
+        *,
+        criterion: str = "balanced",
+        traffic_profile: str = "normal",
+        custom_weights: Mapping[str, float] | None = None,
+        on_step: Callable[[dict], None] | None = None,
+    ) -> dict:
         """One search: result, line, segments, an alternative and an explanation. Steps go to the callback as they occur."""
         start, goal = self.landmark(start_id), self.landmark(goal_id)
         criterion, weights = self.weights(criterion, custom_weights)
@@ -114,53 +139,133 @@ class RoutePlanner:
     def describe(self, results: Sequence[dict], edges: DataFrame, path: str = "path") -> list[tuple[list[dict], dict]]:
         """Segments and line of each result."""
         spark = edges.sparkSession
-        rows = spark.createDataFrame([(k, r[path]) for k, r in enumerate(results)], "request_id long, path array<string>")
+        rows = spark.createDataFrame(
+            [(k, r[path]) for k, r in enumerate(results)], "request_id long, path array<string>"
+        )
         segments: list[list[dict]] = [[] for _ in results]
         for r in routes.route_segments(rows, edges).orderBy("request_id", "pos").collect():
             segments[r["request_id"]].append({k: v for k, v in json_value(r).items() if k not in ("request_id", "pos")})
-        lines = {r["request_id"]: json.loads(r["geojson"]) for r in routes.route_geojson(routes.route_coordinates(rows, self.graph.nodes, edges)).collect()}
+        lines = {
+            r["request_id"]: json.loads(r["geojson"])
+            for r in routes.route_geojson(routes.route_coordinates(rows, self.graph.nodes, edges)).collect()
+        }
         return [(segments[k] if r["success"] else [], lines[k]) for k, r in enumerate(results)]
 
-    def payload(self, found: dict, algorithm: str, start: dict, goal: dict, criterion: str, profile: str, weights: Weights, edges: DataFrame, other: tuple[str, dict] | None = None) -> dict:
+    def payload(
+        self,
+        found: dict,
+        algorithm: str,
+        start: dict,
+        goal: dict,
+        criterion: str,
+        profile: str,
+        weights: Weights,
+        edges: DataFrame,
+        other: tuple[str, dict] | None = None,
+    ) -> dict:
         described = self.describe([found, *([other[1]] if other else [])], edges)
-        said = explain_search_result(found, described[0][0], start_name=start["name"], goal_name=goal["name"], criterion=criterion, traffic_profile=profile, alternative=other[1] if other else None, alternative_segments=described[1][0] if other else (), start_access_m=start["snapped_distance_m"], goal_access_m=goal["snapped_distance_m"])
+        said = explain_search_result(
+            found,
+            described[0][0],
+            start_name=start["name"],
+            goal_name=goal["name"],
+            criterion=criterion,
+            traffic_profile=profile,
+            alternative=other[1] if other else None,
+            alternative_segments=described[1][0] if other else (),
+            start_access_m=start["snapped_distance_m"],
+            goal_access_m=goal["snapped_distance_m"],
+        )
         return {
-            "request": {"start": start, "goal": goal, "algorithm": algorithm, "criterion": criterion, "traffic_profile": profile, "weights": weights.to_dict()},
+            "request": {
+                "start": start,
+                "goal": goal,
+                "algorithm": algorithm,
+                "criterion": criterion,
+                "traffic_profile": profile,
+                "weights": weights.to_dict(),
+            },
             "result": found,
             "route_geojson": described[0][1],
             "route_segments": described[0][0],
-            "alternative": {"algorithm": other[0], "result": other[1], "route_geojson": described[1][1]} if other else None,
+            "alternative": {
+                "algorithm": other[0], "result": other[1], "route_geojson": described[1][1]
+            } if other else None,
             "explanation": said,
         }
 
-    def compare(self, start_id: str, goal_id: str, *, criterion: str = "balanced", traffic_profile: str = "normal", custom_weights: Mapping[str, float] | None = None) -> dict:
+    def compare(
+        self,
+        start_id: str,
+        goal_id: str,
+        *,
+        criterion: str = "balanced",
+        traffic_profile: str = "normal",
+        custom_weights: Mapping[str, float] | None = None,
+    ) -> dict:
         """All six algorithms under one scenario, with the leaders of each metric."""
         start, goal = self.landmark(start_id), self.landmark(goal_id)
         criterion, weights = self.weights(criterion, custom_weights)
         edges, net = self.scenario(traffic_profile, weights)
-        found = [search_once(net.value, a, start["snapped_node"], goal["snapped_node"], None, weights.alpha) for a in ALGORITHMS]
-        payloads = [self.payload(r, a, start, goal, criterion, traffic_profile, weights, edges) for a, r in zip(ALGORITHMS, found)]
+        found = [
+            search_once(net.value, a, start["snapped_node"], goal["snapped_node"], None, weights.alpha)
+            for a in ALGORITHMS
+        ]
+        payloads = [
+            self.payload(r, a, start, goal, criterion, traffic_profile, weights, edges)
+            for a, r in zip(ALGORITHMS, found)
+        ]
         return {"request": payloads[0]["request"], "algorithms": payloads, "summary": summarize_comparison(found)}
 
-    def multi_route(self, start_id: str, waypoint_ids: Sequence[str], *, method: str = "nearest_neighbor", end_id: str | None = None, return_to_start: bool = False, criterion: str = "balanced", traffic_profile: str = "normal", custom_weights: Mapping[str, float] | None = None, exact_limit: int = tours.EXACT_LIMIT, compare_methods: bool = False) -> dict:
+    def multi_route(
+        self,
+        start_id: str,
+        waypoint_ids: Sequence[str],
+        *,
+        method: str = "nearest_neighbor",
+        end_id: str | None = None,
+        return_to_start: bool = False,
+        criterion: str = "balanced",
+        traffic_profile: str = "normal",
+        custom_weights: Mapping[str, float] | None = None,
+        exact_limit: int = tours.EXACT_LIMIT,
+        compare_methods: bool = False,
+    ) -> dict:
         """A tour over landmarks by one method, or both compared."""
         start, waypoints = self.landmark(start_id), [self.landmark(w) for w in waypoint_ids]
         end = self.landmark(end_id) if end_id is not None else None
         criterion, weights = self.weights(criterion, custom_weights)
         edges, net = self.scenario(traffic_profile, weights)
         stops = [w["snapped_node"] for w in waypoints]
-        options = {"end": end["snapped_node"] if end else None, "return_to_start": return_to_start, "exact_limit": exact_limit}
+        options = {
+            "end": end["snapped_node"] if end else None, "return_to_start": return_to_start, "exact_limit": exact_limit
+        }
         both = tours.compare(net.value, start["snapped_node"], stops, **options) if compare_methods else None
-        found = both[method] if both and method in both else tours.optimize(net.value, start["snapped_node"], stops, method, **options)
+        found = both[method] if both and method in both else tours.optimize(
+            net.value, start["snapped_node"], stops, method, **options
+        )
         by_node = {w["snapped_node"]: w for w in waypoints}
         visited = [by_node[n] for n in found["visiting_order"] if n in by_node]
         (segments, line), = self.describe([found], edges, "full_path")
         return {
-            "request": {"start": start, "waypoints": waypoints, "end": end, "method": method, "return_to_start": return_to_start, "criterion": criterion, "traffic_profile": traffic_profile, "weights": weights.to_dict()},
+            "request": {
+                "start": start,
+                "waypoints": waypoints,
+                "end": end,
+                "method": method,
+                "return_to_start": return_to_start,
+                "criterion": criterion,
+                "traffic_profile": traffic_profile,
+                "weights": weights.to_dict(),
+            },
             "result": found,
             "visiting_landmarks": visited,
             "route_geojson": line,
             "route_segments": segments,
             "comparison": both,
-            "explanation": {"headline": f"Visited {len(visited)} landmark(s) using {method}." if found["success"] else found["message"], "optimality_note": found["optimality"], "duplicate_policy": "Duplicate waypoints are removed in input order."},
+            "explanation": {
+                "headline": f"Visited {len(visited)} landmark(s) using {method}." if found["success"] else found["message"],
+                "optimality_note": found["optimality"],
+                "duplicate_policy": "Duplicate waypoints are removed in input order.",
+            },
         }

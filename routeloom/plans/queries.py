@@ -28,7 +28,9 @@ NODES = f"""n AS (
   SELECT node, {LATITUDE_SQL.format(k="node")} AS latitude, {LONGITUDE_SQL.format(k="node")} AS longitude
   FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) u)"""
 MARKS = f"marks AS (SELECT DISTINCT src AS node FROM e ORDER BY node LIMIT {LANDMARKS})"
-PRESET_ROWS = "presets(criterion, alpha, beta, gamma, delta) AS (VALUES " + ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in PRESETS.items()) + ")"
+PRESET_ROWS = "presets(criterion, alpha, beta, gamma, delta) AS (VALUES " + ", ".join(
+    f"('{k}', {', '.join(map(str, v))})" for k, v in PRESETS.items()
+) + ")"
 COST = "alpha * distance_km + beta * time_min + gamma * congestion + delta * risk"
 PAIRWISE = """d(s, node, cost) USING KEY (s, node) AS (
   SELECT node, node, 0::BIGINT FROM marks UNION
@@ -64,15 +66,30 @@ def places(spark: SparkSession, marks: list[str], name: str = "node") -> DataFra
 def admissible_graph(edges: DataFrame) -> Graph:
     """The derived graph with edges at least as long as the great circle between their ends, at balanced cost."""
     graph = derived.basket_graph(edges)
-    at = lambda side: graph.nodes.select(F.col("node_id").alias(side), F.col("latitude").alias(f"{side}_lat"), F.col("longitude").alias(f"{side}_lon"))
-    long = graph.edges.join(at("src"), "src").join(at("dst"), "dst").withColumn("distance_km", F.greatest("distance_km", haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon"))))
-    return Graph(graph.nodes, long.withColumn("cost", weighted_cost(*map(F.lit, PRESETS["balanced"]))).drop("src_lat", "src_lon", "dst_lat", "dst_lon"))
+    at = lambda side: graph.nodes.select(
+        F.col("node_id").alias(side), F.col("latitude").alias(f"{side}_lat"), F.col("longitude").alias(f"{side}_lon")
+    )
+    long = graph.edges.join(at("src"), "src").join(at("dst"), "dst").withColumn(
+        "distance_km",
+        F.greatest("distance_km", haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon"))),
+    )
+    return Graph(
+        graph.nodes,
+        long.withColumn(
+            "cost", weighted_cost(*map(F.lit, PRESETS["balanced"]))
+        ).drop("src_lat", "src_lon", "dst_lat", "dst_lon"),
+    )
 
 
 @query(f"WITH {PRESET_ROWS}, {E} SELECT criterion, src, dst, ROUND({COST}, 9) AS cost FROM e, presets")
 def edge_cost_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = derived.basket_edges(spark, sf_dir).join(F.broadcast(presets(spark)))  # five rows
-    return priced.select("criterion", "src", "dst", F.round(weighted_cost(*map(F.col, ("alpha", "beta", "gamma", "delta"))), 9).alias("cost"))
+    return priced.select(
+        "criterion",
+        "src",
+        "dst",
+        F.round(weighted_cost(*map(F.col, ("alpha", "beta", "gamma", "delta"))), 9).alias("cost"),
+    )
 
 
 @query(f"""WITH {E}, p(traffic_profile) AS (VALUES ('normal'), ('rush_hour'), ('rainy'))
@@ -85,7 +102,14 @@ FROM e, p""")
 def traffic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = derived.basket_edges(spark, sf_dir).join(F.broadcast(profiles(spark).select("traffic_profile")))  # three rows
     time, congestion, risk = profile_columns(F.col("traffic_profile"))
-    return each.select("traffic_profile", "src", "dst", F.round(time, 10).alias("time_min"), F.round(congestion, 10).alias("congestion"), F.round(risk, 10).alias("risk"))
+    return each.select(
+        "traffic_profile",
+        "src",
+        "dst",
+        F.round(time, 10).alias("time_min"),
+        F.round(congestion, 10).alias("congestion"),
+        F.round(risk, 10).alias("risk"),
+    )
 
 
 @query(f"""WITH {H}, o AS (SELECT src, dst, time_min, ROW_NUMBER() OVER (PARTITION BY src, dst ORDER BY time_min, distance_km, congestion, risk, flags) AS rn,
@@ -93,12 +117,18 @@ def traffic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT src, dst, parallel, ROUND(time_min, 6) AS time_min FROM o WHERE rn = 1 AND parallel > 1""")
 def parallel_edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derived.hops(spark, sf_dir).where("dst IS NOT NULL AND src <> dst")
-    return found.groupBy("src", "dst").agg(F.count("*").alias("parallel"), F.round(F.min("time_min"), 6).alias("time_min")).where("parallel > 1")
+    return found.groupBy("src", "dst").agg(
+        F.count("*").alias("parallel"), F.round(F.min("time_min"), 6).alias("time_min")
+    ).where("parallel > 1")
 
 
-@query(f"WITH {H} SELECT src, COUNT(*) AS hops, COUNT(*) FILTER (WHERE src = dst) AS self_loops FROM h WHERE dst IS NOT NULL GROUP BY src")
+@query(
+    f"WITH {H} SELECT src, COUNT(*) AS hops, COUNT(*) FILTER (WHERE src = dst) AS self_loops FROM h WHERE dst IS NOT NULL GROUP BY src"
+)
 def self_loop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.hops(spark, sf_dir).where("dst IS NOT NULL").groupBy("src").agg(F.count("*").alias("hops"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"))
+    return derived.hops(spark, sf_dir).where("dst IS NOT NULL").groupBy("src").agg(
+        F.count("*").alias("hops"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops")
+    )
 
 
 @query(f"""WITH {E}, w AS (SELECT src, dst, CASE WHEN dst % 97 = 0 THEN NULL ELSE distance_km END AS distance_km, CASE WHEN src % 89 = 0 THEN -time_min ELSE time_min END AS time_min,
@@ -113,11 +143,19 @@ SELECT rule, entity FROM x""")
 def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = derived.basket_graph(derived.basket_edges(spark, sf_dir))
     key = lambda c: F.col(c).cast("long")
-    spoilt = graph.edges.withColumns({"distance_km": F.when(key("dst") % 97 != 0, F.col("distance_km")), "time_min": F.when(key("src") % 89 == 0, -F.col("time_min")).otherwise(F.col("time_min")), "congestion": F.col("congestion") + F.when(key("dst") % 83 == 0, 4.5).otherwise(0.0)})
+    spoilt = graph.edges.withColumns(
+        {
+            "distance_km": F.when(key("dst") % 97 != 0, F.col("distance_km")),
+            "time_min": F.when(key("src") % 89 == 0, -F.col("time_min")).otherwise(F.col("time_min")),
+            "congestion": F.col("congestion") + F.when(key("dst") % 83 == 0, 4.5).otherwise(0.0),
+        }
+    )
     return violations(Graph(graph.nodes.where(key("node_id") % 50 != 0), spoilt))
 
 
-@query(f"WITH {E}, {NODES} SELECT (SELECT COUNT(*) FROM n) AS routable_nodes, (SELECT COUNT(*) FROM e) AS routable_edges, 0::BIGINT AS simulated_connectors, 0::BIGINT AS landmarks, 0::BIGINT AS unique_landmark_nodes")
+@query(
+    f"WITH {E}, {NODES} SELECT (SELECT COUNT(*) FROM n) AS routable_nodes, (SELECT COUNT(*) FROM e) AS routable_edges, 0::BIGINT AS simulated_connectors, 0::BIGINT AS landmarks, 0::BIGINT AS unique_landmark_nodes"
+)
 def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.network_summary(derived.basket_graph(derived.basket_edges(spark, sf_dir)))
 
@@ -125,7 +163,9 @@ def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {E}, {NODES} SELECT node, COUNT(e.src) AS out_degree FROM n LEFT JOIN e ON e.src = n.node GROUP BY node")
 def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = derived.basket_edges(spark, sf_dir)
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out")))
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out")).unionByName(
+        edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"))
+    )
     return ends.groupBy("node").agg(F.sum("out").alias("out_degree"))
 
 
@@ -134,7 +174,9 @@ def reverse_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.basket_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-@query(f"WITH {E}, {NODES} SELECT e.src, e.dst, ROUND({haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 6) AS km FROM e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst")
+@query(
+    f"WITH {E}, {NODES} SELECT e.src, e.dst, ROUND({haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 6) AS km FROM e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst"
+)
 def haversine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = derived.place(F.col("src")), derived.place(F.col("dst"))
     return derived.basket_edges(spark, sf_dir).select("src", "dst", F.round(haversine_km(*a, *b), 6).alias("km"))
@@ -161,13 +203,20 @@ SELECT point, ROUND(km * 1000, 1) AS metres FROM t WHERE rn = 1""")
 def nearest_node_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
     near = etl.nearest_nodes(nodes, [(str(k), a, b) for k, a, b in POINTS], 1)
-    return spark.createDataFrame([(int(k), v[0][0]) for k, v in near.items()], "point int, km double").select("point", F.round(F.col("km") * 1000, 1).alias("metres"))
+    return spark.createDataFrame(
+        [(int(k), v[0][0]) for k, v in near.items()], "point int, km double"
+    ).select("point", F.round(F.col("km") * 1000, 1).alias("metres"))
 
 
 @query()
 def snap_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = etl.snap_exclusive(derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes, [(str(k), a, b) for k, a, b in POINTS])
-    return spark.createDataFrame([(int(k), node, round(km * 1000, 1)) for k, (node, km) in found.items()], "point int, node string, metres double")
+    found = etl.snap_exclusive(
+        derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes, [(str(k), a, b) for k, a, b in POINTS]
+    )
+    return spark.createDataFrame(
+        [(int(k), node, round(km * 1000, 1)) for k, (node, km) in found.items()],
+        "point int, node string, metres double",
+    )
 
 
 @query(f"""WITH {E}, {NODES},
@@ -206,19 +255,31 @@ def dijkstra_all_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
     net = searches.shared(derived.basket_graph(edges))
     found = searches.run_all_targets(net, places(spark, marks_of(edges), "source"), paths=False)
-    return found.select(F.col("source").cast("long").alias("source"), F.col("node").cast("long").alias("node"), F.col("cost").cast("long").alias("cost"))
+    return found.select(
+        F.col("source").cast("long").alias("source"),
+        F.col("node").cast("long").alias("node"),
+        F.col("cost").cast("long").alias("cost"),
+    )
 
 
-@query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost FROM d JOIN marks USING (node) WHERE s <> node")
+@query(
+    f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost FROM d JOIN marks USING (node) WHERE s <> node"
+)
 def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
     marks = marks_of(edges)
     net = searches.shared(derived.basket_graph(edges))
     found = searches.run_all_targets(net, places(spark, marks, "source"), marks, paths=False).where("source <> node")
-    return found.select(F.col("source").cast("long").alias("start"), F.col("node").cast("long").alias("goal"), F.col("cost").cast("long").alias("cost"))
+    return found.select(
+        F.col("source").cast("long").alias("start"),
+        F.col("node").cast("long").alias("goal"),
+        F.col("cost").cast("long").alias("cost"),
+    )
 
 
-@query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0::BIGINT AS broken FROM d JOIN marks USING (node) WHERE s <> node AND s = (SELECT MIN(node) FROM marks)")
+@query(
+    f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0::BIGINT AS broken FROM d JOIN marks USING (node) WHERE s <> node AND s = (SELECT MIN(node) FROM marks)"
+)
 def dijkstra_pair_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from the set-based search, chased back by parents, priced hop by hop and checked to consist of edges."""
     edges = base(spark, sf_dir)
@@ -227,14 +288,24 @@ def dijkstra_pair_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = traversal.checkpointed(traversal.shortest_paths(edges, source, "cost_m"))
     goals = F.broadcast(source).join(marks.select(F.col("node").alias("goal"))).where("source <> goal")  # 24 landmarks
     way = traversal.checkpointed(traversal.paths(found, goals))
-    steps = routes.hops(way, "goal").join(edges, ["src", "dst"], "left").groupBy("goal").agg(F.sum("cost_m").alias("path_cost"), F.count_if(F.col("cost_m").isNull()).alias("broken"))
-    return way.join(found.select(F.col("source"), F.col("node").alias("goal"), "cost"), ["source", "goal"]).join(steps, "goal").select(F.col("source").alias("start"), "goal", "cost", "path_cost", "broken")
+    steps = routes.hops(way, "goal").join(edges, ["src", "dst"], "left").groupBy("goal").agg(
+        F.sum("cost_m").alias("path_cost"), F.count_if(F.col("cost_m").isNull()).alias("broken")
+    )
+    return way.join(
+        found.select(F.col("source"), F.col("node").alias("goal"), "cost"), ["source", "goal"]
+    ).join(steps, "goal").select(F.col("source").alias("start"), "goal", "cost", "path_cost", "broken")
 
 
-@query(f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT (SELECT COUNT(*) * (COUNT(*) - 1) FROM marks) AS pairs, COUNT(*) AS reachable, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_delta FROM d JOIN marks USING (node) WHERE s <> node")
+@query(
+    f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT (SELECT COUNT(*) * (COUNT(*) - 1) FROM marks) AS pairs, COUNT(*) AS reachable, 0::BIGINT AS mismatches, 0.0::DOUBLE AS max_delta FROM d JOIN marks USING (node) WHERE s <> node"
+)
 def ucs_astar_dijkstra_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
-    found = audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges))), ("ucs", "astar", "dijkstra"))
+    found = audit.run_matrix(
+        searches.shared(admissible_graph(edges)),
+        audit.ordered_pairs(places(spark, marks_of(edges))),
+        ("ucs", "astar", "dijkstra"),
+    )
     return audit.agreement(found).withColumn("max_delta", F.round("max_delta", 6))
 
 
@@ -272,13 +343,25 @@ def few_requests(edges: DataFrame) -> DataFrame:
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
     found = searches.run_traces(searches.shared(derived.basket_graph(edges)), few_requests(edges))
-    return found.select("request_id", "index", "event", "current_node", F.size("frontier").alias("frontier_size"), F.size("visited").alias("visited_size"), F.to_json("details").alias("details"))
+    return found.select(
+        "request_id",
+        "index",
+        "event",
+        "current_node",
+        F.size("frontier").alias("frontier_size"),
+        F.size("visited").alias("visited_size"),
+        F.to_json("details").alias("details"),
+    )
 
 
 @query()
 def expand_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
-    return display_steps(searches.run_traces(searches.shared(derived.basket_graph(edges)), few_requests(edges).where("algorithm = 'greedy'")))
+    return display_steps(
+        searches.run_traces(
+            searches.shared(derived.basket_graph(edges)), few_requests(edges).where("algorithm = 'greedy'")
+        )
+    )
 
 
 @query()
@@ -299,7 +382,9 @@ def derived_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.component_labels(graph.nodes, graph.edges)
 
 
-@query(f"WITH RECURSIVE {REACH}, c AS (SELECT component, COUNT(*) AS size FROM scc GROUP BY component) SELECT size, COUNT(*) AS components FROM c GROUP BY size")
+@query(
+    f"WITH RECURSIVE {REACH}, c AS (SELECT component, COUNT(*) AS size FROM scc GROUP BY component) SELECT size, COUNT(*) AS components FROM c GROUP BY size"
+)
 def scc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return etl.component_sizes(derived_components(spark, sf_dir)).groupBy("size").agg(F.count("*").alias("components"))
 
@@ -316,8 +401,14 @@ def tours_around(spark: SparkSession, sf_dir: str, method: str, stops: int = 4)
     """Tours from each landmark over the next ones, in the order of their keys and around."""
     edges = base(spark, sf_dir)
     marks = marks_of(edges)
-    rows = [(k, m, [marks[(k + j) % len(marks)] for j in range(1, stops + 1)], method, None, False, 8) for k, m in enumerate(marks)]
-    wanted = spark.createDataFrame(rows, "request_id long, start string, waypoints array<string>, method string, end string, return_to_start boolean, exact_limit int")
+    rows = [
+        (k, m, [marks[(k + j) % len(marks)] for j in range(1, stops + 1)], method, None, False, 8)
+        for k, m in enumerate(marks)
+    ]
+    wanted = spark.createDataFrame(
+        rows,
+        "request_id long, start string, waypoints array<string>, method string, end string, return_to_start boolean, exact_limit int",
+    )
     return tours.run_tours(searches.shared(derived.basket_graph(edges)), wanted)
 
 
@@ -345,7 +436,15 @@ def tour_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tour_compare_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tours_around(spark, sf_dir, "compare", 5)
-    return found.select("request_id", "method", "success", "visiting_order", F.size("segments").alias("segments"), "total_cost", F.round("comparison_gap_percent", 6).alias("gap_percent"))
+    return found.select(
+        "request_id",
+        "method",
+        "success",
+        "visiting_order",
+        F.size("segments").alias("segments"),
+        "total_cost",
+        F.round("comparison_gap_percent", 6).alias("gap_percent"),
+    )
 
 
 def order_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -353,8 +452,15 @@ def order_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     graph = derived.basket_graph(derived.basket_edges(spark, sf_dir))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity <= 15")
     steps = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    way = lines.groupBy(F.col("l_orderkey").alias("request_id")).agg(F.transform(steps, lambda x: x["l_partkey"].cast("string")).alias("path"))
-    named = graph.edges.withColumns({"cost": F.col("cost"), "metadata": F.create_map(F.lit("name"), F.concat(F.lit("Road "), F.col("dst").cast("long") % 50))})
+    way = lines.groupBy(F.col("l_orderkey").alias("request_id")).agg(
+        F.transform(steps, lambda x: x["l_partkey"].cast("string")).alias("path")
+    )
+    named = graph.edges.withColumns(
+        {
+            "cost": F.col("cost"),
+            "metadata": F.create_map(F.lit("name"), F.concat(F.lit("Road "), F.col("dst").cast("long") % 50)),
+        }
+    )
     return way.where(F.size("path") >= 2), named
 
 
@@ -362,30 +468,64 @@ ROUTES = f"""{E}, {H.replace('SELECT l_partkey AS src,', 'SELECT l_orderkey AS r
 seg AS (SELECT h.request_id, h.pos, e.*, 'Road ' || (e.dst % 50) AS name FROM h JOIN e ON e.src = h.src AND e.dst = h.dst)"""
 
 
-@query(f"WITH {ROUTES} SELECT request_id, CAST(pos AS INTEGER) AS pos, CAST(src AS VARCHAR) AS \"from\", CAST(dst AS VARCHAR) AS \"to\", name, road_type, ROUND(distance_km, 6) AS distance_km, ROUND(time_min, 6) AS time_min, cost_m AS cost FROM seg")
+@query(
+    f"WITH {ROUTES} SELECT request_id, CAST(pos AS INTEGER) AS pos, CAST(src AS VARCHAR) AS \"from\", CAST(dst AS VARCHAR) AS \"to\", name, road_type, ROUND(distance_km, 6) AS distance_km, ROUND(time_min, 6) AS time_min, cost_m AS cost FROM seg"
+)
 def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = routes.route_segments(*order_routes(spark, sf_dir))
-    return found.select("request_id", "pos", "from", "to", "name", "road_type", F.round("distance_km", 6).alias("distance_km"), F.round("time_min", 6).alias("time_min"), F.col("cost").cast("long").alias("cost"))
-
-
-@query(f"WITH {ROUTES} SELECT request_id, name, ROUND(MAX(congestion), 6) AS congestion, ROUND(SUM(time_min), 6) AS time_min, COUNT(*) AS segment_count FROM seg WHERE congestion >= 4 GROUP BY request_id, name")
+    return found.select(
+        "request_id",
+        "pos",
+        "from",
+        "to",
+        "name",
+        "road_type",
+        F.round("distance_km", 6).alias("distance_km"),
+        F.round("time_min", 6).alias("time_min"),
+        F.col("cost").cast("long").alias("cost"),
+    )
+
+
+@query(
+    f"WITH {ROUTES} SELECT request_id, name, ROUND(MAX(congestion), 6) AS congestion, ROUND(SUM(time_min), 6) AS time_min, COUNT(*) AS segment_count FROM seg WHERE congestion >= 4 GROUP BY request_id, name"
+)
 def congested_by_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = routes.congested_by_road(routes.route_segments(*order_routes(spark, sf_dir)))
-    return found.select("request_id", "name", F.round("congestion", 6).alias("congestion"), F.round("time_min", 6).alias("time_min"), "segment_count")
-
-
-@query(f"WITH {ROUTES} SELECT request_id, CAST(SUM(cost_m) AS BIGINT) AS total_cost, ROUND(SUM(distance_km), 6) AS total_distance_km, COUNT(*) AS segments, COUNT(*) FILTER (WHERE congestion >= 4) AS congested FROM seg GROUP BY request_id")
+    return found.select(
+        "request_id",
+        "name",
+        F.round("congestion", 6).alias("congestion"),
+        F.round("time_min", 6).alias("time_min"),
+        "segment_count",
+    )
+
+
+@query(
+    f"WITH {ROUTES} SELECT request_id, CAST(SUM(cost_m) AS BIGINT) AS total_cost, ROUND(SUM(distance_km), 6) AS total_distance_km, COUNT(*) AS segments, COUNT(*) FILTER (WHERE congestion >= 4) AS congested FROM seg GROUP BY request_id"
+)
 def route_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = routes.route_totals(routes.route_segments(*order_routes(spark, sf_dir)))
-    return found.select("request_id", F.col("total_cost").cast("long").alias("total_cost"), F.round("total_distance_km", 6).alias("total_distance_km"), "segments", "congested")
-
-
-@query(f"WITH {ROUTES}, f AS (SELECT request_id, name, MIN(pos) AS p FROM seg GROUP BY request_id, name) SELECT request_id, array_to_string((LIST(name ORDER BY p, name))[1:3], ', ') AS names FROM f GROUP BY request_id")
+    return found.select(
+        "request_id",
+        F.col("total_cost").cast("long").alias("total_cost"),
+        F.round("total_distance_km", 6).alias("total_distance_km"),
+        "segments",
+        "congested",
+    )
+
+
+@query(
+    f"WITH {ROUTES}, f AS (SELECT request_id, name, MIN(pos) AS p FROM seg GROUP BY request_id, name) SELECT request_id, array_to_string((LIST(name ORDER BY p, name))[1:3], ', ') AS names FROM f GROUP BY request_id"
+)
 def first_road_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routes.road_names(routes.route_segments(*order_routes(spark, sf_dir)), first=3).select("request_id", F.array_join("names", ", ").alias("names"))
+    return routes.road_names(
+        routes.route_segments(*order_routes(spark, sf_dir)), first=3
+    ).select("request_id", F.array_join("names", ", ").alias("names"))
 
 
-@query(f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) AS hops FROM h WHERE dst IS NOT NULL GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, CAST(hops + 1 AS INTEGER) AS points FROM c JOIN k USING (request_id) WHERE hops = known")
+@query(
+    f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) AS hops FROM h WHERE dst IS NOT NULL GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, CAST(hops + 1 AS INTEGER) AS points FROM c JOIN k USING (request_id) WHERE hops = known"
+)
 def route_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     way, edges = order_routes(spark, sf_dir)
     nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
@@ -402,27 +542,39 @@ FROM b WHERE ABS(c - best) <= GREATEST(1e-9 * GREATEST(ABS(c), ABS(best)), 1e-12
 def preset_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leader board's operator with presets as contenders: which prices a route lowest."""
     priced = routes.route_segments(*order_routes(spark, sf_dir)).join(F.broadcast(presets(spark)))  # five rows
-    total = priced.groupBy("request_id", F.col("criterion").alias("algorithm")).agg(F.sum(weighted_cost(*map(F.col, ("alpha", "beta", "gamma", "delta")))).alias("total_cost")).withColumn("success", F.lit(True))
+    total = priced.groupBy("request_id", F.col("criterion").alias("algorithm")).agg(
+        F.sum(weighted_cost(*map(F.col, ("alpha", "beta", "gamma", "delta")))).alias("total_cost")
+    ).withColumn("success", F.lit(True))
     found = metric_leaders(total, ["request_id"], {"lowest_cost": "total_cost"})
-    return found.select("request_id", "metric", F.array_join("algorithms", ",").alias("leaders"), F.round("value", 8).alias("value"))
+    return found.select(
+        "request_id", "metric", F.array_join("algorithms", ",").alias("leaders"), F.round("value", 8).alias("value")
+    )
 
 
 @query()
 def algorithm_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
-    found = audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges)[:6])))
-    return metric_leaders(found, ["start", "goal"], {k: v for k, v in METRICS.items() if k != "lowest_runtime"}).withColumn("value", F.round("value", 6))
+    found = audit.run_matrix(
+        searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges)[:6]))
+    )
+    return metric_leaders(
+        found, ["start", "goal"], {k: v for k, v in METRICS.items() if k != "lowest_runtime"}
+    ).withColumn("value", F.round("value", 6))
 
 
 @query()
 def algorithm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
-    return audit.algorithm_means(audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges)))))
+    return audit.algorithm_means(
+        audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges))))
+    )
 
 
 @query(f"WITH {E} SELECT road_type, ROUND(MEDIAN(time_min), 8) AS median_time_min FROM e GROUP BY road_type")
 def median_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.basket_edges(spark, sf_dir).groupBy("road_type").agg(F.round(F.median("time_min"), 8).alias("median_time_min"))
+    return derived.basket_edges(spark, sf_dir).groupBy("road_type").agg(
+        F.round(F.median("time_min"), 8).alias("median_time_min")
+    )
 
 
 PROFILE_COST = """CAST(ROUND(1000 * (distance_km + 0.4 * CASE p WHEN 'rush_hour' THEN time_min * (1.25 + CASE WHEN road_type IN ('primary', 'primary_link', 'secondary', 'secondary_link') THEN 0.18 ELSE 0.05 END * congestion) WHEN 'rainy' THEN time_min * (1.25 + 0.05 * risk) ELSE time_min END
@@ -445,13 +597,23 @@ def scenario_changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = {}
     for profile in PROFILES:
         time, congestion, risk = profile_columns(F.lit(profile))
-        cost = F.round(1000 * (F.col("distance_km") + 0.4 * time + 0.08 * congestion + 0.12 * risk)).cast("long").cast("double")
+        cost = F.round(
+            1000 * (F.col("distance_km") + 0.4 * time + 0.08 * congestion + 0.12 * risk)
+        ).cast("long").cast("double")
         net = searches.shared(Graph(graph.nodes, graph.edges.withColumn("cost", cost)))
-        each[profile] = searches.run_all_targets(net, places(spark, marks, "source"), marks, paths=False).where("source <> node")
+        each[profile] = searches.run_all_targets(
+            net, places(spark, marks, "source"), marks, paths=False
+        ).where("source <> node")
     normal = each.pop("normal").select("source", "node", F.col("cost").alias("base_cost"))
     out = None
     for profile, found in each.items():
-        changed = found.join(normal, ["source", "node"]).where("cost <> base_cost").select(F.lit(profile).alias("traffic_profile"), F.col("source").cast("long").alias("start"), F.col("node").cast("long").alias("goal"), F.col("base_cost").cast("long").alias("base_cost"), F.col("cost").cast("long").alias("cost"))
+        changed = found.join(normal, ["source", "node"]).where("cost <> base_cost").select(
+            F.lit(profile).alias("traffic_profile"),
+            F.col("source").cast("long").alias("start"),
+            F.col("node").cast("long").alias("goal"),
+            F.col("base_cost").cast("long").alias("base_cost"),
+            F.col("cost").cast("long").alias("cost"),
+        )
         out = changed if out is None else out.unionByName(changed)
     return out
 
@@ -461,10 +623,18 @@ d AS (SELECT request_id, stop, MIN(pos) AS pos, COUNT(*) AS n FROM x GROUP BY re
 SELECT request_id, array_to_string(LIST(stop ORDER BY pos, stop) FILTER (WHERE stop <> 0), ',') AS stops, CAST(SUM(CASE WHEN stop = 0 THEN n ELSE n - 1 END) AS BIGINT) AS removed FROM d GROUP BY request_id""")
 def waypoint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops of each order (parts modulo 20) without repeats and without the start, stop 0."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("request_id"), (F.col("l_partkey") % 20).alias("stop"), "l_linenumber")
-    asked = lines.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "stop"))), lambda x: x["stop"]).alias("all"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("request_id"), (F.col("l_partkey") % 20).alias("stop"), "l_linenumber"
+    )
+    asked = lines.groupBy("request_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "stop"))), lambda x: x["stop"]).alias("all")
+    )
     kept = F.filter(F.array_distinct("all"), lambda s: s != 0)
-    return asked.select("request_id", F.when(F.size(kept) > 0, F.array_join(kept, ",")).alias("stops"), (F.size("all") - F.size(kept)).cast("long").alias("removed"))
+    return asked.select(
+        "request_id",
+        F.when(F.size(kept) > 0, F.array_join(kept, ",")).alias("stops"),
+        (F.size("all") - F.size(kept)).cast("long").alias("removed"),
+    )
 
 
 @query(f"WITH {E}, {MARKS} SELECT a.node AS start, b.node AS goal FROM marks a JOIN marks b ON a.node <> b.node")
@@ -472,7 +642,9 @@ def ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.ordered_pairs(derived.basket_landmarks(derived.basket_edges(spark, sf_dir)))
 
 
-@query(f"WITH {E}, {NODES} SELECT node, 'road_' || replace(replace(printf('%.7f', latitude), '-', 'm'), '.', '_') || '_' || replace(replace(printf('%.7f', longitude), '-', 'm'), '.', '_') AS road_id FROM n")
+@query(
+    f"WITH {E}, {NODES} SELECT node, 'road_' || replace(replace(printf('%.7f', latitude), '-', 'm'), '.', '_') || '_' || replace(replace(printf('%.7f', longitude), '-', 'm'), '.', '_') AS road_id FROM n"
+)
 def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = derived.basket_nodes(derived.basket_edges(spark, sf_dir))
     return nodes.select("node", node_id(F.col("longitude"), F.col("latitude")).alias("road_id"))
@@ -483,4 +655,6 @@ x AS (SELECT p_partkey, TRY_CAST(NULLIF(regexp_extract(raw, '[0-9]+([.][0-9]+)?'
 SELECT p_partkey, CASE WHEN v BETWEEN 5 AND 100 THEN v ELSE 24.0 END AS kmh FROM x""")
 def parsed_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("p_partkey") % 3 != 0, F.concat((F.col("p_size") * 3).cast("string"), F.lit(" km/h")))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", raw.alias("raw")).select("p_partkey", speed_kmh(F.col("raw"), F.lit(24.0)).alias("kmh"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", raw.alias("raw")).select(
+        "p_partkey", speed_kmh(F.col("raw"), F.lit(24.0)).alias("kmh")
+    )

@@ -23,7 +23,15 @@ def landmark_nodes(planner: RoutePlanner) -> DataFrame:
 
 def result_rows(results: DataFrame, prefix: str = "") -> DataFrame:
     """Results flat for a table: metrics to four digits, the number of nodes on the path and of those visited."""
-    columns = {"success": F.col("success"), **{c: F.round(c, 4) for c in (*METRICS, "runtime_ms")}, "path_nodes": F.size("path"), "expanded_nodes": F.col("expanded_nodes"), "generated_nodes": F.col("generated_nodes"), "optimality": F.col("optimality"), "message": F.col("message")}
+    columns = {
+        "success": F.col("success"),
+        **{c: F.round(c, 4) for c in (*METRICS, "runtime_ms")},
+        "path_nodes": F.size("path"),
+        "expanded_nodes": F.col("expanded_nodes"),
+        "generated_nodes": F.col("generated_nodes"),
+        "optimality": F.col("optimality"),
+        "message": F.col("message"),
+    }
     return results.select("start", "goal", "algorithm", *[v.alias(f"{prefix}{k}") for k, v in columns.items()])
 
 
@@ -37,10 +45,14 @@ def run_matrix(planner: RoutePlanner, criterion: str = "balanced", traffic_profi
 def matrix_report(planner: RoutePlanner, results: DataFrame, facade: DataFrame | None = None) -> dict:
     """What the matrix shows: runs, invalid paths, cost disagreements of the optimal algorithms, means; and, against a second run, mismatches."""
     numbered = results.withColumn("request_id", F.xxhash64("start", "goal", "algorithm"))
-    costs = results.where(F.col("success") & F.col("algorithm").isin(*audit.OPTIMAL_NAMES)).groupBy("start", "goal").agg(F.countDistinct(F.round("total_cost", 6)).alias("n"))
+    costs = results.where(
+        F.col("success") & F.col("algorithm").isin(*audit.OPTIMAL_NAMES)
+    ).groupBy("start", "goal").agg(F.countDistinct(F.round("total_cost", 6)).alias("n"))
     return {
         "runs": results.count(),
-        "failures": [r.asDict() for r in results.where("NOT success").select("start", "goal", "algorithm").limit(20).collect()],
+        "failures": [
+            r.asDict() for r in results.where("NOT success").select("start", "goal", "algorithm").limit(20).collect()
+        ],
         "invalid_hops": routes.broken_hops(numbered, planner.graph.edges).count(),
         "cost_disagreements": costs.where("n > 1").count(),
         "means": [r.asDict() for r in audit.algorithm_means(results).orderBy("algorithm").collect()],
@@ -55,13 +67,28 @@ def run_dijkstra_all(planner: RoutePlanner, criterion: str = "balanced", traffic
     return searches.run_all_targets(net, landmark_nodes(planner).withColumnRenamed("node", "source"), goals)
 
 
-def run_multi_location(planner: RoutePlanner, requests: Sequence[tuple[str, Sequence[str]]], criterion: str = "balanced", traffic_profile: str = "normal", return_to_start: bool = False) -> DataFrame:
+def run_multi_location(
+    planner: RoutePlanner,
+    requests: Sequence[tuple[str, Sequence[str]]],
+    criterion: str = "balanced",
+    traffic_profile: str = "normal",
+    return_to_start: bool = False,
+) -> DataFrame:
     """Both tour methods for each request (start, waypoints; landmark ids)."""
     spark = planner.graph.edges.sparkSession
     _, net = planner.scenario(traffic_profile, Weights.preset(criterion))
     at = {r["id"]: r["snapped_node"] for r in planner.landmarks.select("id", "snapped_node").collect()}  # a dimension
-    rows = [(k, at[start], [at[w] for w in stops], "compare", None, return_to_start, 8) for k, (start, stops) in enumerate(requests)]
-    return tours.run_tours(net, spark.createDataFrame(rows, "request_id long, start string, waypoints array<string>, method string, end string, return_to_start boolean, exact_limit int"))
+    rows = [
+        (k, at[start], [at[w] for w in stops], "compare", None, return_to_start, 8)
+        for k, (start, stops) in enumerate(requests)
+    ]
+    return tours.run_tours(
+        net,
+        spark.createDataFrame(
+            rows,
+            "request_id long, start string, waypoints array<string>, method string, end string, return_to_start boolean, exact_limit int",
+        ),
+    )
 
 
 def run_audit(planner: RoutePlanner) -> dict:
@@ -79,7 +106,11 @@ def run_audit(planner: RoutePlanner) -> dict:
     by_profile = union([cheapest("balanced", p) for p in PROFILES if p != "normal"])
     by_criterion = union([cheapest(c, "normal") for c in PRESETS if c != "balanced"])
     nodes = planner.graph.nodes.select(F.col("node_id").alias("node"), "latitude", "longitude")
-    checks = audit.heuristic_consistency(planner.graph.edges, nodes, landmark_nodes(planner)).agg(F.sum("checks").alias("checks"), F.sum("violations").alias("consistency_violations"), F.max("max_excess").alias("max_consistency_excess"))
+    checks = audit.heuristic_consistency(planner.graph.edges, nodes, landmark_nodes(planner)).agg(
+        F.sum("checks").alias("checks"),
+        F.sum("violations").alias("consistency_violations"),
+        F.max("max_excess").alias("max_consistency_excess"),
+    )
     out = {
         "landmarks": planner.landmarks.count(),
         **audit.agreement(optimal).first().asDict(),
@@ -91,24 +122,47 @@ def run_audit(planner: RoutePlanner) -> dict:
     return out | {"elapsed_seconds": time.perf_counter() - began}
 
 
-def run_benchmark(planner: RoutePlanner, start_id: str, goal_id: str, waypoint_ids: Sequence[str], repeats: int = 10) -> dict:
+def run_benchmark(
+    planner: RoutePlanner, start_id: str, goal_id: str, waypoint_ids: Sequence[str], repeats: int = 10
+) -> dict:
     """One pair by each algorithm with its median runtime, the pair under each profile, and a tour by each way of ordering it."""
     at = {r["id"]: r["snapped_node"] for r in planner.landmarks.select("id", "snapped_node").collect()}  # a dimension
     spark, weights = planner.graph.edges.sparkSession, Weights.preset("balanced")
     _, net = planner.scenario("normal", weights)
-    rows = [(k * len(ALGORITHMS) + j, at[start_id], at[goal_id], a) for k in range(repeats) for j, a in enumerate(ALGORITHMS)]
-    found = searches.run_searches(net, spark.createDataFrame(rows, "request_id long, start string, goal string, algorithm string"), weights.alpha).cache()
+    rows = [
+        (k * len(ALGORITHMS) + j, at[start_id], at[goal_id], a)
+        for k in range(repeats)
+        for j, a in enumerate(ALGORITHMS)
+    ]
+    found = searches.run_searches(
+        net, spark.createDataFrame(rows, "request_id long, start string, goal string, algorithm string"), weights.alpha
+    ).cache()
     medians = {r["algorithm"]: r["median_runtime_ms"] for r in audit.median_runtimes(found).collect()}
-    once = {r["algorithm"]: {c: r[c] for c in (*METRICS, "expanded_nodes", "generated_nodes")} | {"path_nodes": len(r["path"])} for r in found.where(F.col("request_id") < len(ALGORITHMS)).collect()}
+    once = {
+        r["algorithm"]: {
+            c: r[c] for c in (*METRICS, "expanded_nodes", "generated_nodes")
+        } | {"path_nodes": len(r["path"])}
+        for r in found.where(F.col("request_id") < len(ALGORITHMS)).collect()
+    }
     stops = [at[w] for w in waypoint_ids]
     both = tours.compare(net.value, at[start_id], stops)
     return {
         "algorithms": {a: once[a] | {"median_runtime_ms": medians[a]} for a in once},
-        "profiles": {p: {c: r[c] for c in METRICS} | {"path_nodes": len(r["path"])} for p in PROFILES for r in [planner.search(start_id, goal_id, "dijkstra", traffic_profile=p)["result"]]},
-        "tours": {"input_order": tours.fixed_order(net.value, [at[start_id], *stops])} | {m: {c: t[c] for c in (*METRICS, "runtime_ms", "comparison_gap_percent")} for m, t in both.items()},
+        "profiles": {
+            p: {c: r[c] for c in METRICS} | {"path_nodes": len(r["path"])}
+            for p in PROFILES
+            for r in [planner.search(start_id, goal_id, "dijkstra", traffic_profile=p)["result"]]
+        },
+        "tours": {"input_order": tours.fixed_order(net.value, [at[start_id], *stops])} | {
+            m: {c: t[c] for c in (*METRICS, "runtime_ms", "comparison_gap_percent")} for m, t in both.items()
+        },
     }
 
 
 def road_totals(edges: DataFrame) -> DataFrame:
     """(roads, length_km, one_way): counts and total length of directed edges."""
-    return edges.agg(F.count("*").alias("roads"), F.round(F.sum("distance_km"), 3).alias("length_km"), F.count_if(F.coalesce(F.col("metadata")["oneway"] == "true", F.lit(False))).alias("one_way"))
+    return edges.agg(
+        F.count("*").alias("roads"),
+        F.round(F.sum("distance_km"), 3).alias("length_km"),
+        F.count_if(F.coalesce(F.col("metadata")["oneway"] == "true", F.lit(False))).alias("one_way"),
+    )

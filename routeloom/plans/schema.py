@@ -44,8 +44,12 @@ def violations(graph: Graph) -> DataFrame:
     }
     node_rules = {
         "node_id not empty": F.col("node_id").isNull() | (F.length("node_id") == 0),
-        "latitude from -90 to 90": F.col("latitude").isNotNull() & (F.isnan("latitude") | ~F.col("latitude").between(-90, 90)),
-        "longitude from -180 to 180": F.col("longitude").isNotNull() & (F.isnan("longitude") | ~F.col("longitude").between(-180, 180)),
+        "latitude from -90 to 90": F.col("latitude").isNotNull() & (
+            F.isnan("latitude") | ~F.col("latitude").between(-90, 90)
+        ),
+        "longitude from -180 to 180": F.col("longitude").isNotNull() & (
+            F.isnan("longitude") | ~F.col("longitude").between(-180, 180)
+        ),
     }
 
     def broken(df: DataFrame, rules: dict[str, Column], entity: Column) -> DataFrame:
@@ -53,16 +57,22 @@ def violations(graph: Graph) -> DataFrame:
         return df.select(F.explode(names).alias("rule"), entity.alias("entity"))
 
     known = graph.nodes.select(F.col("node_id").alias("__node"))
-    out = broken(graph.edges, edge_rules, edge).unionByName(broken(graph.nodes, node_rules, F.coalesce("node_id", F.lit("?"))))
+    out = broken(graph.edges, edge_rules, edge).unionByName(
+        broken(graph.nodes, node_rules, F.coalesce("node_id", F.lit("?")))
+    )
     for side in ("src", "dst"):
-        missing = graph.edges.join(known, F.col(side) == F.col("__node"), "left_anti").select(F.lit(f"{side} is a node").alias("rule"), F.col(side).alias("entity")).distinct()
+        missing = graph.edges.join(known, F.col(side) == F.col("__node"), "left_anti").select(
+            F.lit(f"{side} is a node").alias("rule"), F.col(side).alias("entity")
+        ).distinct()
         out = out.unionByName(missing)
     return out
 
 
 def validated(graph: Graph) -> Graph:
     """The graph, or a GraphError that names the broken rules and, sorted, the entities that break them."""
-    found = violations(graph).groupBy("rule").agg(F.array_sort(F.collect_set("entity")).alias("entities"), F.count("*").alias("n"))
+    found = violations(graph).groupBy("rule").agg(
+        F.array_sort(F.collect_set("entity")).alias("entities"), F.count("*").alias("n")
+    )
     found = found.select("rule", "n", F.slice("entities", 1, 10).alias("entities")).orderBy("rule").collect()
     if found:
         raise GraphError("; ".join(f"{r['rule']}: {r['n']} broken, such as {', '.join(r['entities'])}" for r in found))

@@ -28,7 +28,9 @@ LATITUDE_SQL, LONGITUDE_SQL = "(10.7 + ((({k}) * 7919) % 1000) / 10000.0)", "(10
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return spark.sql(
+        sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    )
 
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +56,25 @@ def basket_nodes(edges: DataFrame) -> DataFrame:
 def basket_graph(edges: DataFrame) -> Graph:
     """Basket edges in the engine's relational form: ids as text, nodes and edges in the order of their keys."""
     rank = W.partitionBy("src").orderBy("dst")
-    listed = edges.select(F.col("src").cast("string").alias("src"), (F.row_number().over(rank) - 1).alias("edge_ord"), F.col("dst").cast("string").alias("dst"), "distance_km", "time_min", "congestion", "risk", "road_type", F.create_map().cast("map<string,string>").alias("metadata"), F.col("cost_m").cast("double").alias("cost"))
-    nodes = basket_nodes(edges).select(F.col("node").cast("string").alias("node_id"), F.col("node").cast("int").alias("node_ord"), "latitude", "longitude", F.concat(F.lit("Part "), F.col("node")).alias("display_name"))
+    listed = edges.select(
+        F.col("src").cast("string").alias("src"),
+        (F.row_number().over(rank) - 1).alias("edge_ord"),
+        F.col("dst").cast("string").alias("dst"),
+        "distance_km",
+        "time_min",
+        "congestion",
+        "risk",
+        "road_type",
+        F.create_map().cast("map<string,string>").alias("metadata"),
+        F.col("cost_m").cast("double").alias("cost"),
+    )
+    nodes = basket_nodes(edges).select(
+        F.col("node").cast("string").alias("node_id"),
+        F.col("node").cast("int").alias("node_ord"),
+        "latitude",
+        "longitude",
+        F.concat(F.lit("Part "), F.col("node")).alias("display_name"),
+    )
     return Graph(nodes, listed)
 
 

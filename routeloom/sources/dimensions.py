@@ -47,11 +47,16 @@ ALGORITHMS = {
 
 
 def road_classes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in ROAD_CLASSES.items()], "road_type string, speed_kmh double, class_congestion double, class_risk double")
+    return spark.createDataFrame(
+        [(k, *v) for k, v in ROAD_CLASSES.items()],
+        "road_type string, speed_kmh double, class_congestion double, class_risk double",
+    )
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in PRESETS.items()], "criterion string, alpha double, beta double, gamma double, delta double")
+    return spark.createDataFrame(
+        [(k, *v) for k, v in PRESETS.items()], "criterion string, alpha double, beta double, gamma double, delta double"
+    )
 
 
 def profiles(spark: SparkSession) -> DataFrame:
@@ -59,4 +64,7 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 
 def algorithms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in ALGORITHMS.items()], "algorithm string, result_name string, label string, heuristic boolean")
+    return spark.createDataFrame(
+        [(k, *v) for k, v in ALGORITHMS.items()],
+        "algorithm string, result_name string, label string, heuristic boolean",
+    )

@@ -40,7 +40,9 @@ def save_result_json(result: object, path: str | Path) -> Path:
 
 def as_json_lines(df: DataFrame) -> DataFrame:
     """One JSON text a row."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")
+    )
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -63,4 +65,10 @@ def feature_collection(features: DataFrame, most: int = 100_000) -> dict:
 def to_markdown(df: DataFrame, most: int = 1000) -> str:
     """A Markdown table of a small result."""
     rows = df.select(*[markdown(F.col(f"`{c}`")).alias(c) for c in df.columns]).limit(most).collect()
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(r) + " |" for r in rows)])
+    return "\n".join(
+        [
+            "| " + " | ".join(df.columns) + " |",
+            "|" + "---|" * len(df.columns),
+            *("| " + " | ".join(r) + " |" for r in rows),
+        ]
+    )

@@ -14,18 +14,26 @@ from routeloom.sources.dimensions import PRESETS
 from routeloom.sources.graph_json import adjacency_json, coordinates, graph_from_rows, read_graph_json
 
 EDGE = {"distance_km": 1.0, "time_min": 2.0, "congestion": 3.0, "risk": 1.0, "road_type": "primary"}
-CITY = {"b": [EDGE | {"to": "a"}, EDGE | {"to": "c", "distance_km": 4.0, "metadata": {"name": "High St"}}], "a": [EDGE | {"to": "c"}], "c": []}
+CITY = {
+    "b": [EDGE | {"to": "a"}, EDGE | {"to": "c", "distance_km": 4.0, "metadata": {"name": "High St"}}],
+    "a": [EDGE | {"to": "c"}],
+    "c": [],
+}
 PLACES = {"a": (10.0, 106.0), "b": (10.01, 106.0), "c": (10.0, 106.02)}
 
 
 def test_documents_keep_their_order(spark, tmp_path):
     graph = graph_from_rows(spark, CITY, PLACES)
     assert [r["node_id"] for r in graph.nodes.orderBy("node_ord").collect()] == ["b", "a", "c"]
-    assert [(r["src"], r["edge_ord"], r["dst"]) for r in graph.edges.orderBy("src", "edge_ord").collect()] == [("a", 0, "c"), ("b", 0, "a"), ("b", 1, "c")]
+    assert [
+        (r["src"], r["edge_ord"], r["dst"]) for r in graph.edges.orderBy("src", "edge_ord").collect()
+    ] == [("a", 0, "c"), ("b", 0, "a"), ("b", 1, "c")]
     path = tmp_path / "graph.json"
     path.write_text(json.dumps(CITY))
     bare = read_graph_json(spark, str(path))
-    assert bare.nodes.count() == 3 and bare.edges.where("dst = 'c' AND src = 'b'").first()["metadata"] == {"name": "High St"}
+    assert bare.nodes.count() == 3 and bare.edges.where(
+        "dst = 'c' AND src = 'b'"
+    ).first()["metadata"] == {"name": "High St"}
     with pytest.raises(GraphError, match="coordinates"):
         coordinates(bare)
 
@@ -46,11 +54,31 @@ def test_missing_fields_are_named(spark):
 
 
 def test_violations(spark):
-    bad = {"a": [EDGE | {"to": "z"}, EDGE | {"to": "a", "congestion": 0.5}, EDGE | {"to": "a", "risk": 6.0}, EDGE | {"to": "a", "distance_km": -1.0}, EDGE | {"to": "a", "time_min": 7.0, "road_type": ""}]}
+    bad = {
+        "a": [
+            EDGE | {"to": "z"},
+            EDGE | {"to": "a", "congestion": 0.5},
+            EDGE | {"to": "a", "risk": 6.0},
+            EDGE | {"to": "a", "distance_km": -1.0},
+            EDGE | {"to": "a", "time_min": 7.0, "road_type": ""},
+        ]
+    }
     graph = graph_from_rows(spark, bad)
-    graph = Graph(graph.nodes, graph.edges.withColumn("time_min", F.when(F.col("time_min") == 7, float("inf")).otherwise(F.col("time_min"))))
+    graph = Graph(
+        graph.nodes,
+        graph.edges.withColumn("time_min", F.when(F.col("time_min") == 7, float("inf")).otherwise(F.col("time_min"))),
+    )
     rules = sorted(r["rule"] for r in violations(graph).collect())
-    assert rules == sorted(["dst is a node", "congestion from 1 to 5", "risk from 0 to 5", "distance_km finite and not negative", "time_min finite and not negative", "road_type not empty"])
+    assert rules == sorted(
+        [
+            "dst is a node",
+            "congestion from 1 to 5",
+            "risk from 0 to 5",
+            "distance_km finite and not negative",
+            "time_min finite and not negative",
+            "road_type not empty",
+        ]
+    )
     with pytest.raises(GraphError, match="dst is a node: 1 broken, such as z"):
         validated(graph)
     empty = graph_from_rows(spark, {})
@@ -70,16 +98,24 @@ def test_weights():
         Weights(True)
     with pytest.raises(GraphError, match="expected: balanced"):
         Weights.preset("nope")
-    assert Weights.preset("fastest").to_dict() == dict(zip(("alpha_distance", "beta_time", "gamma_congestion", "delta_risk"), PRESETS["fastest"]))
+    assert Weights.preset("fastest").to_dict() == dict(
+        zip(("alpha_distance", "beta_time", "gamma_congestion", "delta_risk"), PRESETS["fastest"])
+    )
 
 
 def test_profiles(spark):
-    graph = graph_from_rows(spark, {"a": [EDGE | {"to": "a"}, EDGE | {"to": "a", "road_type": "motorway", "congestion": 4.5, "risk": 4.5}]})
+    graph = graph_from_rows(
+        spark, {"a": [EDGE | {"to": "a"}, EDGE | {"to": "a", "road_type": "motorway", "congestion": 4.5, "risk": 4.5}]}
+    )
     rows = lambda p: with_profile(graph.edges, p).orderBy("edge_ord").collect()
     rush, rain = rows("rush_hour"), rows("rainy")
-    assert rush[0]["time_min"] == pytest.approx(2 * (1.25 + 0.18 * 3)) and rush[1]["time_min"] == pytest.approx(2 * (1.25 + 0.05 * 4.5))
+    assert rush[0]["time_min"] == pytest.approx(2 * (1.25 + 0.18 * 3)) and rush[1]["time_min"] == pytest.approx(
+        2 * (1.25 + 0.05 * 4.5)
+    )
     assert [r["congestion"] for r in rush] == [4.0, 5.0] and [r["risk"] for r in rush] == [1.0, 4.5]
-    assert rain[0]["time_min"] == pytest.approx(2 * 1.3) and [r["congestion"] for r in rain] == pytest.approx([3.4, 4.9]) and [r["risk"] for r in rain] == [2.2, 5.0]
+    assert rain[0]["time_min"] == pytest.approx(2 * 1.3) and [
+        r["congestion"] for r in rain
+    ] == pytest.approx([3.4, 4.9]) and [r["risk"] for r in rain] == [2.2, 5.0]
     assert rain[0]["metadata"] == {"traffic_profile": "rainy"} and rows("normal")[0]["metadata"] == {}
     with pytest.raises(GraphError, match="Unknown traffic profile"):
         rows("snow")
@@ -113,14 +149,18 @@ def test_scalars(spark):
 
 def test_sinks(spark, tmp_path):
     path = sinks.save_result_json({"a": [1, {"b": None}], 2: "ü"}, tmp_path / "deep" / "r.json")
-    assert path.read_text(encoding="utf-8").endswith("\n") and json.loads(path.read_text(encoding="utf-8")) == {"a": [1, {"b": None}], "2": "ü"}
+    assert path.read_text(encoding="utf-8").endswith("\n") and json.loads(
+        path.read_text(encoding="utf-8")
+    ) == {"a": [1, {"b": None}], "2": "ü"}
     for bad in (object(), {"a": object()}):
         with pytest.raises(TypeError):
             sinks.save_result_json(bad, tmp_path / "x.json")
     df = spark.createDataFrame([(1, "a|b"), (2, None)], "k int, v string")
     assert sinks.to_markdown(df).splitlines()[2] == "| 1 | a\\|b |"
     sinks.write_json_lines(df, str(tmp_path / "lines"))
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ['{"k":1,"v":"a|b"}', '{"k":2,"v":null}']
+    assert sorted(
+        r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()
+    ) == ['{"k":1,"v":"a|b"}', '{"k":2,"v":null}']
 
 
 def test_set_based_and_kernel_searches_agree(spark):
@@ -128,20 +168,35 @@ def test_set_based_and_kernel_searches_agree(spark):
 
     rng = random.Random(5)
     edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(110)})
-    rows = spark.createDataFrame([(str(a), k, str(b), float(rng.randint(1, 9)), 1.0, 1.0) for k, (a, b) in enumerate(edges) if a != b], "src string, edge_ord int, dst string, cost double, distance_km double, time_min double")
+    rows = spark.createDataFrame(
+        [(str(a), k, str(b), float(rng.randint(1, 9)), 1.0, 1.0) for k, (a, b) in enumerate(edges) if a != b],
+        "src string, edge_ord int, dst string, cost double, distance_km double, time_min double",
+    )
     rows = traversal.checkpointed(rows)
-    nodes = spark.createDataFrame([(str(k), k, 0.0, 0.0, "") for k in range(40)], "node_id string, node_ord int, latitude double, longitude double, display_name string")
+    nodes = spark.createDataFrame(
+        [(str(k), k, 0.0, 0.0, "") for k in range(40)],
+        "node_id string, node_ord int, latitude double, longitude double, display_name string",
+    )
     sources = spark.createDataFrame([("0",), ("7",)], "source string")
     shared = searches.shared(Graph(nodes, rows))
-    kernel = {(r["source"], r["node"]): r["cost"] for r in searches.run_all_targets(shared, sources, paths=False).collect()}
+    kernel = {
+        (r["source"], r["node"]): r["cost"] for r in searches.run_all_targets(shared, sources, paths=False).collect()
+    }
     found = traversal.checkpointed(traversal.shortest_paths(rows, sources))
     assert {(r["source"], r["node"]): r["cost"] for r in found.collect()} == kernel
     price = {(r["src"], r["dst"]): r["cost"] for r in rows.collect()}
     for r in traversal.paths(found, found.select("source", found["node"].alias("goal"))).collect():
-        assert r["path"][0] == r["source"] and sum(price[p] for p in zip(r["path"], r["path"][1:])) == kernel[r["source"], r["goal"]]
+        assert r["path"][0] == r["source"] and sum(
+            price[p] for p in zip(r["path"], r["path"][1:])
+        ) == kernel[r["source"], r["goal"]]
     levels = {(r["source"], r["node"]): r["level"] for r in traversal.bfs_levels(rows, sources).collect()}
-    wanted = spark.createDataFrame([(k, s, g, "bfs") for k, (s, g) in enumerate(kernel)], "request_id long, start string, goal string, algorithm string")
-    assert {(r["start"], r["goal"]): len(r["path"]) - 1 for r in searches.run_searches(shared, wanted).collect()} == levels
+    wanted = spark.createDataFrame(
+        [(k, s, g, "bfs") for k, (s, g) in enumerate(kernel)],
+        "request_id long, start string, goal string, algorithm string",
+    )
+    assert {
+        (r["start"], r["goal"]): len(r["path"]) - 1 for r in searches.run_searches(shared, wanted).collect()
+    } == levels
 
 
 def test_set_based_components(spark):

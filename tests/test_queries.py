@@ -29,7 +29,9 @@ def test_routes_are_valid(spark, sf_dir):
 
 
 def test_steps_equal_expansions(spark, sf_dir):
-    assert QUERIES["expand_stream"](spark, sf_dir).count() == QUERIES["search_trace"](spark, sf_dir).where("event = 'expand'").join(QUERIES["expand_stream"](spark, sf_dir).select("request_id").distinct(), "request_id").count()
+    assert QUERIES["expand_stream"](spark, sf_dir).count() == QUERIES["search_trace"](spark, sf_dir).where("event = 'expand'").join(
+        QUERIES["expand_stream"](spark, sf_dir).select("request_id").distinct(), "request_id"
+    ).count()
 
 
 def test_entry(spark):
@@ -42,8 +44,17 @@ def test_entry(spark):
 def test_agreement_counts_mismatches(spark):
     from routeloom.plans.audit import agreement, changed_pairs, reconcile
 
-    rows = [("a", "b", "dijkstra", True, 1.0, ["a", "b"]), ("a", "b", "a_star", True, 2.0, ["a", "c", "b"]), ("a", "c", "dijkstra", True, 1.0, ["a", "c"]), ("a", "c", "a_star", True, 1.0, ["a", "c"]), ("b", "c", "dijkstra", False, None, []), ("b", "c", "a_star", False, None, [])]
-    df = spark.createDataFrame(rows, "start string, goal string, algorithm string, success boolean, total_cost double, path array<string>").withColumns({"total_distance_km": F.col("total_cost"), "total_time_min": F.col("total_cost")})
+    rows = [
+        ("a", "b", "dijkstra", True, 1.0, ["a", "b"]),
+        ("a", "b", "a_star", True, 2.0, ["a", "c", "b"]),
+        ("a", "c", "dijkstra", True, 1.0, ["a", "c"]),
+        ("a", "c", "a_star", True, 1.0, ["a", "c"]),
+        ("b", "c", "dijkstra", False, None, []),
+        ("b", "c", "a_star", False, None, []),
+    ]
+    df = spark.createDataFrame(
+        rows, "start string, goal string, algorithm string, success boolean, total_cost double, path array<string>"
+    ).withColumns({"total_distance_km": F.col("total_cost"), "total_time_min": F.col("total_cost")})
     assert tuple(agreement(df).first()) == (3, 2, 1, 1.0)
     base, other = df.where("algorithm = 'dijkstra'"), df.where("algorithm = 'a_star'")
     assert [tuple(r) for r in changed_pairs(base, other).collect()] == [("a", "b")]

@@ -12,7 +12,11 @@ from routeloom.streaming.trace import display_steps, messages, read_trace_stream
 
 
 def road(points, **properties):
-    return {"type": "Feature", "geometry": {"type": "LineString", "coordinates": points}, "properties": {"highway": "residential", "length": 111.0, "oneway": False, **properties}}
+    return {
+        "type": "Feature",
+        "geometry": {"type": "LineString", "coordinates": points},
+        "properties": {"highway": "residential", "length": 111.0, "oneway": False, **properties},
+    }
 
 
 def both(a, b, **properties):
@@ -34,22 +38,55 @@ def grid(lon, lat, n, m, step=0.001):
 
 CITY = grid(106.7, 10.7, 5, 5) + grid(106.72, 10.7, 5, 5)
 ODD = [
-    road([[106.7, 10.7], [106.701, 10.7]], highway=["secondary", "service"], maxspeed=["90", "50"], name=["Ðường A", "Ðường A", "B"], length=100.0, lanes="2", osmid=7),  # faster than the first
+    road(  # faster than the first
+        [[106.7, 10.7], [106.701, 10.7]],
+        highway=["secondary", "service"],
+        maxspeed=["90", "50"],
+        name=["Ðường A", "Ðường A", "B"],
+        length=100.0,
+        lanes="2",
+        osmid=7,
+    ),
     road([[106.7, 10.7], [106.701, 10.7]], highway="service", length=100.0),  # slower
     road([[106.7, 10.7], [106.7005, 10.7003], [106.7, 10.7]]),  # a loop
     {"type": "Feature", "geometry": {"type": "Point", "coordinates": [106.7, 10.7]}, "properties": {}},
-    {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[1, 1], [2, 2], [1, 1]]]}, "properties": {"highway": "primary"}},
+    {
+        "type": "Feature",
+        "geometry": {"type": "Polygon", "coordinates": [[[1, 1], [2, 2], [1, 1]]]},
+        "properties": {"highway": "primary"},
+    },
     road([[106.7, 10.7]]),
     road([[106.704, 10.704], [106.9, 10.9]], length=None, highway="motorway_link", maxspeed="walk"),  # a dead end
 ]
-PLACES = [("market", 106.70001, 10.70001), ("museum", 106.70401, 10.70399), ("zoo", 106.72399, 10.70401), ("tower", 106.7004, 10.70001)]
+PLACES = [
+    ("market", 106.70001, 10.70001),
+    ("museum", 106.70401, 10.70399),
+    ("zoo", 106.72399, 10.70401),
+    ("tower", 106.7004, 10.70001),
+]
 
 
 @pytest.fixture(scope="module")
 def files(tmp_path_factory):
     folder = tmp_path_factory.mktemp("roads")
-    (folder / "roads.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": CITY + ODD}, ensure_ascii=False), encoding="utf-8")
-    (folder / "landmarks.json").write_text(json.dumps([{"id": k, "name": k.title(), "category": "x", "description": f"the {k}", "latitude": lat, "longitude": lon} for k, lon, lat in PLACES]))
+    (folder / "roads.geojson").write_text(
+        json.dumps({"type": "FeatureCollection", "features": CITY + ODD}, ensure_ascii=False), encoding="utf-8"
+    )
+    (folder / "landmarks.json").write_text(
+        json.dumps(
+            [
+                {
+                    "id": k,
+                    "name": k.title(),
+                    "category": "x",
+                    "description": f"the {k}",
+                    "latitude": lat,
+                    "longitude": lon,
+                }
+                for k, lon, lat in PLACES
+            ]
+        )
+    )
     (folder / "boundary.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
     (folder / "summary.json").write_text(json.dumps({"source": "invented"}))
     return folder
@@ -57,7 +94,9 @@ def files(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def planner(spark, files):
-    return RoutePlanner.load(spark, *[str(files / f) for f in ("roads.geojson", "landmarks.json", "boundary.geojson", "summary.json")])
+    return RoutePlanner.load(
+        spark, *[str(files / f) for f in ("roads.geojson", "landmarks.json", "boundary.geojson", "summary.json")]
+    )
 
 
 def test_projection(spark, files):
@@ -66,30 +105,48 @@ def test_projection(spark, files):
     edges = etl.road_edges(roads).cache()
     assert edges.count() == len(CITY) + 3
     fast = edges.where("road_type = 'secondary'").first()
-    assert fast["src"] == "road_10_7000000_106_7000000" and fast["distance_km"] == 0.1 and fast["time_min"] == pytest.approx(0.1 / 90 * 60)
-    assert fast["metadata"]["name"] == "Đường A / B" and fast["metadata"]["osmid"] == "7" and (fast["congestion"], fast["risk"]) == (3.2, 0.4)
+    assert fast["src"] == "road_10_7000000_106_7000000" and fast[
+        "distance_km"
+    ] == 0.1 and fast["time_min"] == pytest.approx(0.1 / 90 * 60)
+    assert fast["metadata"]["name"] == "Đường A / B" and fast["metadata"]["osmid"] == "7" and (
+        fast["congestion"], fast["risk"]
+    ) == (3.2, 0.4)
     dead = edges.where("dst = 'road_10_9000000_106_9000000'").first()
-    assert dead["road_type"] == "unclassified" and dead["distance_km"] == 0.001 and dead["time_min"] == pytest.approx(0.001 / 24 * 60)
+    assert dead["road_type"] == "unclassified" and dead["distance_km"] == 0.001 and dead["time_min"] == pytest.approx(
+        0.001 / 24 * 60
+    )
 
 
 def test_parallel_roads_keep_the_fastest_in_the_first_place(spark, files):
     edges = etl.road_edges(etl.read_roads(spark, str(files / "roads.geojson")))
-    first = edges.where("dst = 'road_10_7000000_106_7010000' AND src = 'road_10_7000000_106_7000000'").agg(F.min("feature_ord")).first()[0]
-    kept = etl.dedupe_parallel(edges).where("dst = 'road_10_7000000_106_7010000' AND src = 'road_10_7000000_106_7000000'").collect()
+    first = edges.where(
+        "dst = 'road_10_7000000_106_7010000' AND src = 'road_10_7000000_106_7000000'"
+    ).agg(F.min("feature_ord")).first()[0]
+    kept = etl.dedupe_parallel(edges).where(
+        "dst = 'road_10_7000000_106_7010000' AND src = 'road_10_7000000_106_7000000'"
+    ).collect()
     assert len(kept) == 1 and kept[0]["road_type"] == "secondary" and kept[0]["feature_ord"] == first
 
 
 def test_equal_parallel_roads_keep_the_first(spark):
-    df = spark.createDataFrame([("a", "b", 1.0, 3, "x"), ("a", "b", 1.0, 2, "y"), ("a", "b", 2.0, 1, "z")], "src string, dst string, time_min double, feature_ord int, tag string")
+    df = spark.createDataFrame(
+        [("a", "b", 1.0, 3, "x"), ("a", "b", 1.0, 2, "y"), ("a", "b", 2.0, 1, "z")],
+        "src string, dst string, time_min double, feature_ord int, tag string",
+    )
     row = etl.dedupe_parallel(df).first()
     assert row["tag"] == "y" and row["feature_ord"] == 1
 
 
 def test_components_are_bridged_and_dead_ends_go(planner):
-    assert planner.summary["routable_nodes"] == 50 and planner.summary["simulated_connectors"] == 2 and planner.summary["source"] == "invented"
+    assert planner.summary["routable_nodes"] == 50 and planner.summary[
+        "simulated_connectors"
+    ] == 2 and planner.summary["source"] == "invented"
     bridges = planner.graph.edges.where("metadata['simulated_connector'] = 'true'").collect()
     assert {(b["src"], b["dst"]) for b in bridges} == {(b["dst"], b["src"]) for b in bridges}
-    assert all(b["congestion"] == 2.0 and b["risk"] == 0.8 and b["time_min"] == pytest.approx(b["distance_km"] / 20 * 60) for b in bridges)
+    assert all(
+        b["congestion"] == 2.0 and b["risk"] == 0.8 and b["time_min"] == pytest.approx(b["distance_km"] / 20 * 60)
+        for b in bridges
+    )
     ends = {float(b["src"].split("_")[4]) / 1e7 for b in bridges}
     assert ends == {0.704, 0.72}
 
@@ -99,7 +156,10 @@ def test_closest_pair_is_exact(spark):
     import random
 
     rng = random.Random(9)
-    spots = [[(f"{side}{k}", rng.uniform(10, 11), rng.uniform(106, 107) + shift) for k in range(60)] for side, shift in (("a", 0), ("b", 0.8))]
+    spots = [
+        [(f"{side}{k}", rng.uniform(10, 11), rng.uniform(106, 107) + shift) for k in range(60)]
+        for side, shift in (("a", 0), ("b", 0.8))
+    ]
     frames = [spark.createDataFrame(s, "node_id string, latitude double, longitude double") for s in spots]
 
     def km(p, q):
@@ -114,8 +174,12 @@ def test_closest_pair_is_exact(spark):
 
 def test_landmarks_snap_to_nodes_of_their_own(spark, planner, files):
     got = {r["id"]: r for r in planner.landmarks.collect()}
-    assert got["market"]["snapped_node"] == "road_10_7000000_106_7000000" and got["tower"]["snapped_node"] != got["market"]["snapped_node"]
-    assert got["market"]["access_label"] == "Nearest road access" and got["market"]["routing_latitude"] == got["market"]["latitude"]
+    assert got["market"][
+        "snapped_node"
+    ] == "road_10_7000000_106_7000000" and got["tower"]["snapped_node"] != got["market"]["snapped_node"]
+    assert got["market"]["access_label"] == "Nearest road access" and got["market"][
+        "routing_latitude"
+    ] == got["market"]["latitude"]
     far = etl.read_landmarks(spark, str(files / "landmarks.json")).withColumn("routing_latitude", F.lit(10.75))
     with pytest.raises(GraphError, match="maximum allowed is 75.0 m"):
         etl.snap_landmarks(far, planner.graph.nodes)
@@ -128,9 +192,18 @@ def test_landmarks_snap_to_nodes_of_their_own(spark, planner, files):
 
 def test_overrides(spark, tmp_path, files):
     path = tmp_path / "overrides.json"
-    path.write_text(json.dumps({"zoo": {"latitude": 1.0, "longitude": 2.0, "kind": "gate", "label": "North", "source": "map"}}))
-    got = {r["id"]: r for r in etl.with_overrides(etl.read_landmarks(spark, str(files / "landmarks.json")), etl.read_overrides(spark, str(path))).collect()}
-    assert (got["zoo"]["routing_latitude"], got["zoo"]["access_kind"], got["market"]["access_kind"]) == (1.0, "gate", "nearest_road")
+    path.write_text(
+        json.dumps({"zoo": {"latitude": 1.0, "longitude": 2.0, "kind": "gate", "label": "North", "source": "map"}})
+    )
+    got = {
+        r["id"]: r
+        for r in etl.with_overrides(
+            etl.read_landmarks(spark, str(files / "landmarks.json")), etl.read_overrides(spark, str(path))
+        ).collect()
+    }
+    assert (
+        got["zoo"]["routing_latitude"], got["zoo"]["access_kind"], got["market"]["access_kind"]
+    ) == (1.0, "gate", "nearest_road")
 
 
 @pytest.mark.parametrize("algorithm", ["bfs", "dfs", "ucs", "astar", "dijkstra", "greedy"])
@@ -143,7 +216,9 @@ def test_search(planner, algorithm):
     assert line[0] == [106.7, 10.7] and line[-1] == [106.724, 10.704]
     assert found["explanation"]["headline"].startswith("Market to Zoo: ") and len(found["explanation"]["reasons"]) >= 5
     if algorithm in ("ucs", "astar"):
-        assert result["total_cost"] == pytest.approx(planner.search("market", "zoo", "dijkstra")["result"]["total_cost"])
+        assert result["total_cost"] == pytest.approx(
+            planner.search("market", "zoo", "dijkstra")["result"]["total_cost"]
+        )
     assert found["alternative"]["algorithm"] != algorithm
 
 
@@ -156,19 +231,28 @@ def test_search_steps_and_errors(planner):
     with pytest.raises(GraphError, match="Unknown algorithm"):
         planner.search("market", "museum", "nope")
     same = planner.search("market", "market", "bfs")
-    assert same["result"]["total_cost"] == 0 and same["route_segments"] == [] and len(same["route_geojson"]["geometry"]["coordinates"]) == 1
+    assert same["result"]["total_cost"] == 0 and same["route_segments"] == [] and len(
+        same["route_geojson"]["geometry"]["coordinates"]
+    ) == 1
 
 
 def test_scenarios_change_costs(planner):
     cost = lambda **k: planner.search("market", "zoo", "dijkstra", **k)["result"]["total_cost"]
     assert cost(traffic_profile="rush_hour") > cost() and cost(traffic_profile="rainy") > cost()
-    custom = planner.search("market", "zoo", "dijkstra", custom_weights={"alpha_distance": 0, "beta_time": 0, "gamma_congestion": 0, "delta_risk": 0})
+    custom = planner.search(
+        "market",
+        "zoo",
+        "dijkstra",
+        custom_weights={"alpha_distance": 0, "beta_time": 0, "gamma_congestion": 0, "delta_risk": 0},
+    )
     assert custom["result"]["total_cost"] == 0 and custom["request"]["criterion"] == "custom"
 
 
 def test_compare(planner):
     found = planner.compare("market", "museum")
-    assert [p["request"]["algorithm"] for p in found["algorithms"]] == ["bfs", "dfs", "ucs", "astar", "dijkstra", "greedy"]
+    assert [
+        p["request"]["algorithm"] for p in found["algorithms"]
+    ] == ["bfs", "dfs", "ucs", "astar", "dijkstra", "greedy"]
     leaders = found["summary"]["leaders"]
     assert {"uniform_cost_search", "a_star", "dijkstra"} <= set(leaders["lowest_cost"]["algorithms"])
     assert found["summary"]["headline"] == "Compared 6 successful algorithms on one traffic scenario."
@@ -176,30 +260,52 @@ def test_compare(planner):
 
 def test_multi_route(planner):
     found = planner.multi_route("market", ["zoo", "museum", "zoo"], compare_methods=True, return_to_start=True)
-    assert found["result"]["full_path"][0] == found["result"]["full_path"][-1] and {v["id"] for v in found["visiting_landmarks"]} == {"zoo", "museum"}
-    assert found["comparison"]["exact_bruteforce"]["total_cost"] <= found["comparison"]["nearest_neighbor"]["total_cost"]
+    assert found["result"]["full_path"][0] == found["result"]["full_path"][-1] and {
+        v["id"] for v in found["visiting_landmarks"]
+    } == {"zoo", "museum"}
+    assert found["comparison"][
+        "exact_bruteforce"
+    ]["total_cost"] <= found["comparison"]["nearest_neighbor"]["total_cost"]
     assert sum(s["cost"] for s in found["route_segments"]) == pytest.approx(found["result"]["total_cost"])
 
 
 def test_catalogue(planner):
     found = planner.bootstrap()
-    assert len(found["landmarks"]) == 4 and len(found["node_coordinates"]) == 50 and set(found["cost_presets"]) >= {"balanced", "low_risk"}
+    assert len(found["landmarks"]) == 4 and len(
+        found["node_coordinates"]
+    ) == 50 and set(found["cost_presets"]) >= {"balanced", "low_risk"}
     roads = planner.roads()
-    assert len(roads["features"]) == planner.summary["routable_edges"] and roads["features"][0]["properties"]["road_type"]
+    assert len(
+        roads["features"]
+    ) == planner.summary["routable_edges"] and roads["features"][0]["properties"]["road_type"]
     json.dumps(found)
 
 
 def test_batch_equals_single_searches(spark, planner):
     rows = [(k, a, b, "astar") for k, (a, b) in enumerate([("market", "zoo"), ("zoo", "museum"), ("tower", "zoo")])]
-    got = {r["request_id"]: r for r in planner.batch(spark.createDataFrame(rows, "request_id long, start string, goal string, algorithm string")).collect()}
+    got = {
+        r["request_id"]: r
+        for r in planner.batch(
+            spark.createDataFrame(rows, "request_id long, start string, goal string, algorithm string")
+        ).collect()
+    }
     for k, a, b, algorithm in rows:
         single = planner.search(a, b, algorithm)["result"]
         assert got[k]["path"] == single["path"] and got[k]["visited_order"] == single["visited_order"]
 
 
 def test_stitching(spark):
-    nodes = spark.createDataFrame([("a", 1.0, 10.0), ("b", 2.0, 20.0), ("c", 3.0, 30.0)], "node_id string, latitude double, longitude double")
-    edges = spark.createDataFrame([("a", 0, "b", {"geometry": "[[10.0,1.0],[15.0,1.5],[20.0,2.0]]"}), ("b", 0, "c", {}), ("b", 1, "c", {"name": "later"})], "src string, edge_ord int, dst string, metadata map<string,string>")
+    nodes = spark.createDataFrame(
+        [("a", 1.0, 10.0), ("b", 2.0, 20.0), ("c", 3.0, 30.0)], "node_id string, latitude double, longitude double"
+    )
+    edges = spark.createDataFrame(
+        [
+            ("a", 0, "b", {"geometry": "[[10.0,1.0],[15.0,1.5],[20.0,2.0]]"}),
+            ("b", 0, "c", {}),
+            ("b", 1, "c", {"name": "later"}),
+        ],
+        "src string, edge_ord int, dst string, metadata map<string,string>",
+    )
     way = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, [])], "request_id long, path array<string>")
     got = {r["request_id"]: r["coordinates"] for r in routes.route_coordinates(way, nodes, edges).collect()}
     assert got == {1: [[10.0, 1.0], [15.0, 1.5], [20.0, 2.0], [30.0, 3.0]], 2: [[20.0, 2.0]], 3: []}
@@ -211,20 +317,33 @@ def test_traces_as_batches_and_streams(spark, planner, tmp_path):
 
     at = {r["id"]: r["snapped_node"] for r in planner.landmarks.collect()}
     _, net = planner.scenario("normal", Weights.preset("balanced"))
-    rows = spark.createDataFrame([(1, at["market"], at["museum"], "dijkstra"), (2, at["market"], at["zoo"], "greedy")], "request_id long, start string, goal string, algorithm string")
+    rows = spark.createDataFrame(
+        [(1, at["market"], at["museum"], "dijkstra"), (2, at["market"], at["zoo"], "greedy")],
+        "request_id long, start string, goal string, algorithm string",
+    )
     trace = searches.run_traces(net, rows).cache()
     results = searches.run_searches(net, rows)
     expanded = {r["request_id"]: r["expanded_nodes"] for r in results.collect()}
     shown = display_steps(trace).collect()
     assert {k: sum(r["request_id"] == k for r in shown) for k in expanded} == expanded
-    assert all(r["visited_delta"] == [r["current_node"]] and r["visited"] == [] and len(r["frontier"]) <= 80 for r in shown)
-    assert [r["details"]["visited_count"] for r in sorted(shown, key=lambda r: r["index"]) if r["request_id"] == 2][:2] == ["1", "2"]
-    assert display_steps(trace, rate=3).where("request_id = 1").count() == 1 + sum(k % 3 == 0 for k in range(2, expanded[1] + 1))
+    assert all(
+        r["visited_delta"] == [r["current_node"]] and r["visited"] == [] and len(r["frontier"]) <= 80 for r in shown
+    )
+    assert [
+        r["details"]["visited_count"] for r in sorted(shown, key=lambda r: r["index"]) if r["request_id"] == 2
+    ][:2] == ["1", "2"]
+    assert display_steps(trace, rate=3).where("request_id = 1").count() == 1 + sum(
+        k % 3 == 0 for k in range(2, expanded[1] + 1)
+    )
     said = messages(trace, results).where("request_id = 1").orderBy("seq").collect()
     assert [r["type"] for r in said] == ["started", *["step"] * expanded[1], "complete"]
     trace.repartition(3).write.parquet(str(tmp_path / "trace"))
     batches = []
-    stream_steps(read_trace_stream(spark, str(tmp_path / "trace")), lambda df, k: batches.append(df.count()), str(tmp_path / "state")).awaitTermination()
+    stream_steps(
+        read_trace_stream(spark, str(tmp_path / "trace")),
+        lambda df, k: batches.append(df.count()),
+        str(tmp_path / "state"),
+    ).awaitTermination()
     assert sum(batches) == sum(expanded.values()) and len(batches) >= 2
     steps = []
     searches.each_step(trace.where("request_id = 2"), steps.append)
@@ -234,16 +353,28 @@ def test_traces_as_batches_and_streams(spark, planner, tmp_path):
 def test_requests_and_responses(planner):
     from routeloom.plans import api
 
-    assert api.handle(planner, "health")[1] == {"status": "ok", "nodes": 50, "edges": planner.summary["routable_edges"], "landmarks": 4}
-    assert api.handle(planner, "bootstrap")[0] == 200 and api.handle(planner, "network")[0] == 200 and api.handle(planner, "nope")[0] == 404
+    assert api.handle(planner, "health")[1] == {
+        "status": "ok", "nodes": 50, "edges": planner.summary["routable_edges"], "landmarks": 4
+    }
+    assert api.handle(
+        planner, "bootstrap"
+    )[0] == 200 and api.handle(planner, "network")[0] == 200 and api.handle(planner, "nope")[0] == 404
     status, body = api.handle(planner, "search", {"start_id": "market", "goal_id": "zoo"})
     assert status == 200 and body["request"]["algorithm"] == "dijkstra" and json.dumps(body)
     assert api.handle(planner, "compare", {"start_id": "market", "goal_id": "museum"})[0] == 200
-    assert api.handle(planner, "multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "exact_limit": 9})[0] == 200
+    assert api.handle(
+        planner, "multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "exact_limit": 9}
+    )[0] == 200
     for verb, bad in [
-        ("search", {"start_id": "market"}), ("search", {"start_id": "market", "goal_id": "zoo", "more": 1}), ("search", {"start_id": "market", "goal_id": "zoo", "algorithm": "x"}), ("search", {"start_id": "", "goal_id": "zoo"}),
-        ("search", {"start_id": "market", "goal_id": "nowhere"}), ("search", {"start_id": "market", "goal_id": "zoo", "custom_weights": {"x": 1}}), ("search", {"start_id": "market", "goal_id": "zoo", "custom_weights": {"beta_time": -1}}),
-        ("multi-route", {"start_id": "market", "waypoint_ids": []}), ("multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "exact_limit": 10}), ("multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "return_to_start": 1}),
+        ("search", {"start_id": "market"}), ("search", {"start_id": "market", "goal_id": "zoo", "more": 1}), (
+            "search", {"start_id": "market", "goal_id": "zoo", "algorithm": "x"}
+        ), ("search", {"start_id": "", "goal_id": "zoo"}),
+        ("search", {"start_id": "market", "goal_id": "nowhere"}), ("search", {"start_id": "market", "goal_id": "zoo", "custom_weights": {"x": 1}}), (
+            "search", {"start_id": "market", "goal_id": "zoo", "custom_weights": {"beta_time": -1}}
+        ),
+        ("multi-route", {"start_id": "market", "waypoint_ids": []}), ("multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "exact_limit": 10}), (
+            "multi-route", {"start_id": "market", "waypoint_ids": ["zoo"], "return_to_start": 1}
+        ),
     ]:
         status, body = api.handle(planner, verb, bad)
         assert status == 422 and body["detail"]
@@ -253,10 +384,16 @@ def test_stream_of_a_search(planner):
     from routeloom.plans import api
 
     said = list(api.stream_search(planner, {"start_id": "market", "goal_id": "zoo", "algorithm": "astar"}))
-    assert [m["type"] for m in said] == ["started", *["step"] * said[-1]["payload"]["result"]["expanded_nodes"], "complete"]
-    assert said[1]["step"]["visited"] == [] and said[3]["step"]["details"]["visited_count"] == 3 and said[3]["step"]["visited_delta"] == [said[3]["step"]["current_node"]]
+    assert [m["type"] for m in said] == [
+        "started", *["step"] * said[-1]["payload"]["result"]["expanded_nodes"], "complete"
+    ]
+    assert said[1]["step"]["visited"] == [] and said[3]["step"]["details"]["visited_count"] == 3 and said[3]["step"]["visited_delta"] == [
+        said[3]["step"]["current_node"]
+    ]
     assert [m["type"] for m in api.stream_search(planner, {"start_id": "market"})] == ["error"]
-    assert [m["type"] for m in api.stream_search(planner, {"start_id": "market", "goal_id": "nowhere"})] == ["started", "error"]
+    assert [
+        m["type"] for m in api.stream_search(planner, {"start_id": "market", "goal_id": "nowhere"})
+    ] == ["started", "error"]
 
 
 def test_reports(planner):
@@ -264,17 +401,25 @@ def test_reports(planner):
 
     found = reports.run_matrix(planner).cache()
     said = reports.matrix_report(planner, found, found)
-    assert said["runs"] == 72 and said["failures"] == [] and said["invalid_hops"] == said["cost_disagreements"] == said["facade_mismatches"] == 0
-    assert {m["algorithm"] for m in said["means"]} == {r["algorithm"] for r in found.collect()} and reports.result_rows(found, "raw_").columns[3] == "raw_success"
+    assert said["runs"] == 72 and said["failures"] == [] and said["invalid_hops"] == said[
+        "cost_disagreements"
+    ] == said["facade_mismatches"] == 0
+    assert {m["algorithm"] for m in said["means"]} == {
+        r["algorithm"] for r in found.collect()
+    } and reports.result_rows(found, "raw_").columns[3] == "raw_success"
     audit = reports.run_audit(planner)
-    assert (audit["pairs"], audit["reachable"], audit["mismatches"], audit["heuristic_checks"]["consistency_violations"]) == (12, 12, 0, 0)
+    assert (
+        audit["pairs"], audit["reachable"], audit["mismatches"], audit["heuristic_checks"]["consistency_violations"]
+    ) == (12, 12, 0, 0)
     assert audit["landmark_access_offsets_m"]["over_100_m"] == 0
     every = reports.run_dijkstra_all(planner)
     assert every.count() == 16 and every.where("success").count() == 16
     tour = reports.run_multi_location(planner, [("market", ["zoo", "museum"]), ("zoo", ["market"])]).collect()
     assert len(tour) == 4 and all(r["success"] for r in tour)
     bench = reports.run_benchmark(planner, "market", "zoo", ["museum", "tower"], repeats=2)
-    assert len(bench["algorithms"]) == 6 and bench["profiles"]["rush_hour"]["total_cost"] > bench["profiles"]["normal"]["total_cost"]
+    assert len(
+        bench["algorithms"]
+    ) == 6 and bench["profiles"]["rush_hour"]["total_cost"] > bench["profiles"]["normal"]["total_cost"]
     assert bench["tours"]["exact_bruteforce"]["total_cost"] <= bench["tours"]["input_order"]["total_cost"] + 1e-9
     assert reports.road_totals(planner.graph.edges).first()["roads"] == planner.summary["routable_edges"]
 
@@ -283,18 +428,43 @@ def test_access_points_cut_roads(spark, files):
     from routeloom.operators.access import insert_access_points
 
     roads = etl.read_roads(spark, str(files / "roads.geojson"))
-    rows = [(0, "side", "Side", "x", "", 10.70212, 106.7045), (1, "corner", "Corner", "x", "", 10.7010001, 106.701), (2, "gate", "Gate", "x", "", 10.9, 106.9), (3, "also", "Also", "x", "", 10.70198, 106.7042)]
-    places = spark.createDataFrame(rows, "landmark_ord int, id string, name string, category string, description string, latitude double, longitude double")
-    overrides = spark.createDataFrame([("gate", 10.7025, 106.70395, "gate", None, "map", False)], "id string, latitude double, longitude double, kind string, label string, source string, use_road_projection boolean")
+    rows = [
+        (0, "side", "Side", "x", "", 10.70212, 106.7045),
+        (1, "corner", "Corner", "x", "", 10.7010001, 106.701),
+        (2, "gate", "Gate", "x", "", 10.9, 106.9),
+        (3, "also", "Also", "x", "", 10.70198, 106.7042),
+    ]
+    places = spark.createDataFrame(
+        rows,
+        "landmark_ord int, id string, name string, category string, description string, latitude double, longitude double",
+    )
+    overrides = spark.createDataFrame(
+        [("gate", 10.7025, 106.70395, "gate", None, "map", False)],
+        "id string, latitude double, longitude double, kind string, label string, source string, use_road_projection boolean",
+    )
     cut, found = insert_access_points(roads, places, overrides)
     got = {r["id"]: r for r in found.collect()}
     # no street runs east of 106.704, so the side door projects on the street north, at its own latitude
-    assert (got["side"]["routing_longitude"], got["side"]["routing_latitude"]) == (106.704, 10.70212) and got["side"]["access_road"] == "North 4"
-    assert (got["corner"]["routing_longitude"], got["corner"]["routing_latitude"]) == (106.701, 10.701) and got["corner"]["access_kind"] == "nearest_road"
-    assert (got["gate"]["routing_longitude"], got["gate"]["routing_latitude"], got["gate"]["access_kind"], got["gate"]["access_label"]) == (106.70395, 10.7025, "gate", "Entrance")
+    assert (
+        got["side"]["routing_longitude"], got["side"]["routing_latitude"]
+    ) == (106.704, 10.70212) and got["side"]["access_road"] == "North 4"
+    assert (
+        got["corner"]["routing_longitude"], got["corner"]["routing_latitude"]
+    ) == (106.701, 10.701) and got["corner"]["access_kind"] == "nearest_road"
+    assert (
+        got["gate"]["routing_longitude"],
+        got["gate"]["routing_latitude"],
+        got["gate"]["access_kind"],
+        got["gate"]["access_label"],
+    ) == (106.70395, 10.7025, "gate", "Entrance")
     assert cut.count() == roads.count() + 2 * 3  # both directions at the side door, the gate and the other door
     graph = etl.build_graph(cut)
     snapped = {r["id"]: r for r in etl.snap_landmarks(etl.landmark_columns(found), graph.nodes).collect()}
-    assert snapped["side"]["snapped_distance_m"] == 0 and snapped["corner"]["snapped_distance_m"] == 0 and snapped["gate"]["snapped_distance_m"] < 6
-    before, after = (etl.road_edges(r).where("metadata['name'] = 'North 4'").agg(F.sum("distance_km")).first()[0] for r in (roads, cut))
+    assert snapped["side"][
+        "snapped_distance_m"
+    ] == 0 and snapped["corner"]["snapped_distance_m"] == 0 and snapped["gate"]["snapped_distance_m"] < 6
+    before, after = (
+        etl.road_edges(r).where("metadata['name'] = 'North 4'").agg(F.sum("distance_km")).first()[0]
+        for r in (roads, cut)
+    )
     assert before == pytest.approx(after)

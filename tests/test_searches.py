@@ -26,7 +26,9 @@ def test_goal_is_tested_when_taken_from_the_frontier():
 @pytest.mark.parametrize("algorithm", kernels.MESSAGES)
 def test_start_is_goal(algorithm):
     found = run({"A": []}, algorithm, "A", "A", lambda n, g: 0)
-    assert (found["path"], found["total_cost"], found["expanded_nodes"], found["generated_nodes"], found["success"]) == (["A"], 0, 1, 1, True)
+    assert (
+        found["path"], found["total_cost"], found["expanded_nodes"], found["generated_nodes"], found["success"]
+    ) == (["A"], 0, 1, 1, True)
 
 
 @pytest.mark.parametrize("algorithm", kernels.MESSAGES)
@@ -48,7 +50,9 @@ def test_ties_go_to_the_first_edge():
 def test_stale_entries_are_skipped():
     found, steps = trace({"A": [("B", 10), ("C", 1)], "B": [], "C": [("B", 1)], "D": []}, "dijkstra", "A", "D")
     stale = [s for s in steps if s["event"] == "skip_stale"]
-    assert not found["success"] and stale[0]["details"] == {"cost": 10.0, "best_cost": 2.0} and found["visited_order"].count("B") == 1
+    assert not found["success"] and stale[0]["details"] == {
+        "cost": 10.0, "best_cost": 2.0
+    } and found["visited_order"].count("B") == 1
 
 
 def test_totals_are_those_of_the_chosen_edges():
@@ -57,7 +61,10 @@ def test_totals_are_those_of_the_chosen_edges():
 
 
 def test_all_targets_share_one_run():
-    got = {r["goal"]: r for r in kernels.all_targets(net({"A": [("B", 1), ("C", 5)], "B": [("C", 1)], "C": [], "D": []}), "A")}
+    got = {
+        r["goal"]: r
+        for r in kernels.all_targets(net({"A": [("B", 1), ("C", 5)], "B": [("C", 1)], "C": [], "D": []}), "A")
+    }
     assert got["C"]["path"] == ["A", "B", "C"] and got["A"]["path"] == ["A"] and not got["D"]["success"]
     assert len({tuple(r["visited_order"]) for r in got.values()}) == 1
     few = kernels.all_targets(net(DIAMOND), "A", ["D", "B", "D"])
@@ -74,27 +81,59 @@ def test_unknown_nodes_and_algorithms_raise():
 
 
 def test_greedy_follows_the_guess():
-    found = run({"A": [("B", 2), ("C", 1)], "B": [("G", 2)], "C": [], "G": []}, "greedy", "A", "G", {"A": 3, "B": 1, "C": 5, "G": 0})
+    found = run(
+        {"A": [("B", 2), ("C", 1)], "B": [("G", 2)], "C": [], "G": []},
+        "greedy",
+        "A",
+        "G",
+        {"A": 3, "B": 1, "C": 5, "G": 0},
+    )
     assert found["path"] == ["A", "B", "G"] and found["optimality"] == "not_guaranteed"
     costly = {"A": [("B", 1), ("C", 2)], "B": [("G", 100)], "C": [("G", 2)], "G": []}
     guess = {"A": 3, "B": 1, "C": 2, "G": 0}
-    assert run(costly, "greedy", "A", "G", guess)["total_cost"] == 101 and run(costly, "dijkstra", "A", "G")["total_cost"] == 4
+    assert run(
+        costly, "greedy", "A", "G", guess
+    )["total_cost"] == 101 and run(costly, "dijkstra", "A", "G")["total_cost"] == 4
 
 
 def test_greedy_ends_in_cycles_and_generates_each_node_once():
     cycle = {"A": [("B", 1)], "B": [("A", 1), ("C", 1)], "C": [("B", 1)], "G": []}
     assert run(cycle, "greedy", "A", "G", lambda n, g: 0)["expanded_nodes"] == 3
-    found = run({"A": [("B", 1), ("C", 1)], "B": [("D", 1)], "C": [("D", 1)], "D": [("G", 1)], "G": []}, "greedy", "A", "G", {"A": 3, "B": 2, "C": 2, "D": 3, "G": 0})
+    found = run(
+        {"A": [("B", 1), ("C", 1)], "B": [("D", 1)], "C": [("D", 1)], "D": [("G", 1)], "G": []},
+        "greedy",
+        "A",
+        "G",
+        {"A": 3, "B": 2, "C": 2, "D": 3, "G": 0},
+    )
     assert found["generated_nodes"] == 5 and found["path"] == ["A", "B", "D", "G"]
 
 
-@pytest.mark.parametrize(("value", "error", "said"), [(-1, GraphError, "non-negative"), (math.nan, GraphError, "finite"), (True, TypeError, "number"), ("1", TypeError, "number")])
+@pytest.mark.parametrize(
+    ("value", "error", "said"),
+    [
+        (-1, GraphError, "non-negative"),
+        (math.nan, GraphError, "finite"),
+        (True, TypeError, "number"),
+        ("1", TypeError, "number"),
+    ],
+)
 def test_bad_guesses_raise(value, error, said):
     with pytest.raises(error, match=said):
         run(DIAMOND, "greedy", "A", "D", lambda n, g: value)
 
 
-@pytest.mark.parametrize(("algorithm", "path", "cost"), [("bfs", "ABG", 9), ("ucs", "ACDG", 3), ("astar", "ACDG", 3), ("dijkstra", "ACDG", 3), ("dfs", "ABG", 9), ("greedy", "ABG", 9)])
+@pytest.mark.parametrize(
+    ("algorithm", "path", "cost"),
+    [
+        ("bfs", "ABG", 9),
+        ("ucs", "ACDG", 3),
+        ("astar", "ACDG", 3),
+        ("dijkstra", "ACDG", 3),
+        ("dfs", "ABG", 9),
+        ("greedy", "ABG", 9),
+    ],
+)
 def test_each_algorithm_takes_its_way(algorithm, path, cost):
     found = run(DETOUR, algorithm, "A", "G", DETOUR_GUESS)
     assert "".join(found["path"]) == path and found["total_cost"] == cost
@@ -126,12 +165,18 @@ def test_traces_are_ordered_and_end_at_the_goal():
         found, steps = trace(DETOUR, algorithm, "A", "G", DETOUR_GUESS)
         assert [s["index"] for s in steps] == list(range(len(steps))) and steps[-1]["event"] == "goal"
         assert sum(s["event"] == "expand" for s in steps) == found["expanded_nodes"]
-        assert all([e["priority"] for e in s["frontier"]] == sorted(e["priority"] for e in s["frontier"]) for s in steps)
+        assert all(
+            [e["priority"] for e in s["frontier"]] == sorted(e["priority"] for e in s["frontier"]) for s in steps
+        )
     _, steps = trace(DIAMOND, "bfs", "A", "D")
     assert next(s for s in steps if s["event"] == "generate")["details"] == {"neighbor": "B", "depth_priority": 0}
 
 
-GRAPHS = st.integers(2, 9).flatmap(lambda n: st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1), st.integers(0, 9)), max_size=30).map(lambda es: {str(k): [(str(b), c) for a, b, c in es if a == k and b != k] for k in range(n)}))
+GRAPHS = st.integers(2, 9).flatmap(
+    lambda n: st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1), st.integers(0, 9)), max_size=30).map(
+        lambda es: {str(k): [(str(b), c) for a, b, c in es if a == k and b != k] for k in range(n)}
+    )
+)
 
 
 @settings(max_examples=150, deadline=None)
