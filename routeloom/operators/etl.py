@@ -289,6 +289,7 @@ def nearest_nodes(
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
+            pdf = pdf.sort_values("node_ord")  # ties go to the first node
             a, b = np.radians(pdf["latitude"].to_numpy())[None, :], np.radians(pdf["longitude"].to_numpy())[None, :]
             h = np.sin((a - lat) / 2) ** 2 + np.cos(lat) * np.cos(a) * np.sin((b - lon) / 2) ** 2
             km = 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0.0, 1 - h)))
@@ -303,7 +304,7 @@ def nearest_nodes(
                 }
             )
 
-    found = nodes.select("node_id", "node_ord", "latitude", "longitude").orderBy("node_ord").mapInPandas(
+    found = nodes.select("node_id", "node_ord", "latitude", "longitude").mapInPandas(
         scan, "name string, km double, node_ord int, node_id string"
     )
     best = found.withColumn(
