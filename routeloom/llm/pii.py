@@ -188,7 +188,26 @@ def labelled_table(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]
             lambda: f"phone 0{number(3)}/{number(6)}",
         ],
     }
-    none = [not_card, not_card, not_card, lambda: f"{rng.randint(1, 9)}.0", lambda: f"{rng.randint(1, 9)}.0.", lambda: f"Version {rng.randint(1, 9)}.{number(1)}.{number(1)}", lambda: f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"', lambda: str(rng.randint(1900, 2030)), lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}", lambda: f"{rng.randint(1990, 2030)}-0{number(1)}-1{number(1)}", lambda: number(rng.randint(1, 12)), lambda: f"{number(1)},{number(3)}.{number(2)}", lambda: f"1{number(1)}:{number(2)}", lambda: f"{number(3)}.{rng.randint(256, 999)}.{number(1)}.{number(1)}", lambda: f"@{word()}", lambda: f"{number(2)}-{number(2)}", lambda: f"{word()}{number(2)}", lambda: f"{number(3)} {number(3)} {word()}"]
+    none = [
+        not_card,
+        not_card,
+        not_card,
+        lambda: f"{rng.randint(1, 9)}.0",
+        lambda: f"{rng.randint(1, 9)}.0.",
+        lambda: f"Version {rng.randint(1, 9)}.{number(1)}.{number(1)}",
+        lambda: f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"',
+        lambda: str(rng.randint(1900, 2030)),
+        lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}",
+        lambda: f"{rng.randint(1990, 2030)}-0{number(1)}-1{number(1)}",
+        lambda: number(rng.randint(1, 12)),
+        lambda: f"{number(1)},{number(3)}.{number(2)}",
+        lambda: f"1{number(1)}:{number(2)}",
+        lambda: f"{number(3)}.{rng.randint(256, 999)}.{number(1)}.{number(1)}",
+        lambda: f"@{word()}",
+        lambda: f"{number(2)}-{number(2)}",
+        lambda: f"{word()}{number(2)}",
+        lambda: f"{number(3)} {number(3)} {word()}",
+    ]
     rows = []
     for _ in range(n):
         text, spans = "", []
