@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch that a Python stage holds at a time.
@@ -45,10 +45,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def by_name(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, which may hold dots."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def with_columns(df: DataFrame, columns: dict) -> DataFrame:
     """Adds columns; one of the same name (in any case) that `df` already has is replaced."""
     names = {c.lower() for c in columns}
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
+    keep = by_name([c for c in df.columns if c.lower() not in names])
     return df.select(*keep, *[v.alias(c) for c, v in columns.items()])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from routeloom.llm.common import table, with_columns
+from routeloom.llm.common import by_name, table, with_columns
 
 #: Code points of one mark, a piece of a paragraph below the tree's paragraphs, and hex digits that are kept of its hash.
 MARK_CHARS, MARK_DIGITS = 32, 8
@@ -142,7 +142,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     after = [(firsts[(k + 1) % len(firsts)][1], r) for k, (r, _) in enumerate(firsts)]
     guests = spark.createDataFrame(after, "__guest long, __to int")
     schema = F.struct(F.col(text), F.col("__number"))
-    own = ranged.select(*docs.columns, "__range", F.lit(0).alias("__late"), schema.alias("__row"))
+    own = ranged.select(*by_name(docs.columns), "__range", F.lit(0).alias("__late"), schema.alias("__row"))
     extra = ranged.join(F.broadcast(guests), F.col("__number") == F.col("__guest")).select(
         *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns],
         F.col("__to").alias("__range"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from routeloom.llm.common import bounded_batches, checkpointed, table
+from routeloom.llm.common import bounded_batches, by_name, checkpointed, table
 from routeloom.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -219,11 +219,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     named = near_duplicates(docs.where("doc_id IS NOT NULL"))
     kept = checkpointed(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
-    rows = docs.join(kept.where("__rows = 1"), "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.join(kept.where("__rows = 1"), "doc_id", "left_semi").select(*by_name(docs.columns))
     repeated = kept.where("__rows > 1")
     if not repeated.isEmpty():
         rows = rows.unionByName(
-            docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+            docs.join(repeated, "doc_id", "left_semi").select(*by_name(docs.columns)).dropDuplicates(["doc_id"])
         )
     return rows.unionByName(docs.where("doc_id IS NULL"))
 

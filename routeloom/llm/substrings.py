@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import bounded_batches, mixed, rolling_hashes, split_words, table, word_hashes
+from routeloom.llm.common import bounded_batches, by_name, mixed, rolling_hashes, split_words, table, word_hashes
 
 WINDOW = 20
 #: Windows that a task hashes before it sends them on.
@@ -230,7 +230,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
     base = docs.select(
         *[pack("text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], ids.alias("__id")
     )
-    joined = base.join(found, "__id", "left").select(*kept, "__spans")
+    joined = base.join(found, "__id", "left").select(*by_name(kept), "__spans")
     schema = T.StructType(
         [*[docs.schema[c] for c in kept], *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields]
     )

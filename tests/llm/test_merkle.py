@@ -72,6 +72,13 @@ def test_next_text_over_any_ranges(spark, documents, parts):
     assert got == {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
 
 
+def test_next_text_beside_other_columns(odd, clashing):
+    plain = sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in merkle.with_next(odd).collect())
+    more = merkle.with_next(clashing)
+    assert sorted((str(r["doc_id"]), r["text"], r["next_text"]) for r in more.collect()) == plain
+    assert more.first()["a.b c"] == "own a.b c"
+
+
 def test_one_and_no_document(spark, empty):
     one = spark.createDataFrame([(5, "abc")], "doc_id long, text string")
     assert merkle.with_next(one).first()["next_text"] == "abc"
