@@ -50,6 +50,11 @@ def by_name(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, ...: mapInArrow looks its input columns up by names, which can't hold dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def with_columns(df: DataFrame, columns: dict) -> DataFrame:
     """Adds columns; one of the same name (in any case) that `df` already has is replaced."""
     names = {c.lower() for c in columns}

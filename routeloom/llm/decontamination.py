@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import bounded_batches, mixed, rolling_hashes, split_words, table, word_hashes
+from routeloom.llm.common import bounded_batches, mixed, numbered, rolling_hashes, split_words, table, word_hashes
 
 WIDTH, CONTAINMENT = 5, 0.8
 #: Items go to the executors in blocks of about so many shingles, each block held against all documents.
@@ -165,7 +165,7 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents that contain no item, with their columns; see contained_items."""
     bounded_batches(docs.sparkSession)
-    at, out = docs.columns.index("text"), docs
+    at, out, docs_schema = docs.columns.index("text"), docs, docs.schema
     for block in blocks(items, width, containment, block_shingles):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -173,9 +173,9 @@ def drop_contaminated(
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, _, _ in sent.value.found(batch.column(at))]] = False
-                yield batch.filter(pa.array(clean))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(clean)).columns, names=docs_schema.names)
 
-        out = out.mapInArrow(scan, docs.schema)
+        out = numbered(out).mapInArrow(scan, docs_schema)
     return out
 
 

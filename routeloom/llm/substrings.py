@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import bounded_batches, by_name, mixed, rolling_hashes, split_words, table, word_hashes
+from routeloom.llm.common import bounded_batches, by_name, mixed, numbered, rolling_hashes, split_words, table, word_hashes
 
 WINDOW = 20
 #: Windows that a task hashes before it sends them on.
@@ -259,7 +259,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
             ]
             yield pa.RecordBatch.from_arrays(own + more, names=schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    return numbered(joined).mapInArrow(cut, schema)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

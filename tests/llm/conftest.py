@@ -38,6 +38,7 @@ def clashing(odd):
     from pyspark.sql import functions as F
 
     names = [
+        "a.b c",
         "score",
         "predicted",
         "held_out",
