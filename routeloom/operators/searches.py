@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import islice
 
 import pandas as pd
 from pyspark import Broadcast
@@ -16,6 +20,8 @@ from routeloom.plans.schema import SEARCH_RESULT, TRACE, Graph, GraphError
 
 #: A graph of more edges isn't sent to tasks whole (each takes about 150 bytes there); the set-based operators take it.
 MAX_EDGES = 5_000_000
+#: Steps of a trace that a task holds.
+STEPS_HELD = 200
 
 
 def held(df: DataFrame, most: int) -> pd.DataFrame:
@@ -115,19 +121,41 @@ def run_all_targets(
     return dealt(sources.select("source")).mapInPandas(scan, full if paths else brief)
 
 
+def steps_of(call: Callable[[Callable[[dict], None]], object]) -> Iterator[dict]:
+    """The steps that a call hands to its callback, as they occur; the call waits while STEPS_HELD of them are unread."""
+    told: queue.Queue = queue.Queue(STEPS_HELD)
+
+    def work() -> None:
+        try:
+            call(told.put)
+            told.put(None)
+        except BaseException as error:  # noqa: BLE001  it is raised where the steps are read
+            told.put(error)
+
+    threading.Thread(target=work, daemon=True).start()
+    while (step := told.get()) is not None:
+        if isinstance(step, BaseException):
+            raise step
+        yield step
+
+
 def run_traces(net: Broadcast, requests: DataFrame, scale: float = 1.0) -> DataFrame:
-    """`requests` to the events of their searches, one row each; every search's events are yielded in parts."""
+    """`requests` to the events of their searches, one row each.
+
+    A step has its frontier and all nodes visited so far, so a whole trace grows with the square of the search; steps
+    leave the task as they occur, a few at a time.
+    """
     schema = T.StructType.fromDDL(f"request_id long, {TRACE}")
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for request, start, goal, algorithm in zip(pdf["request_id"], pdf["start"], pdf["goal"], pdf["algorithm"]):
-                steps: list[dict] = []
-                kernels.search(net.value, algorithm, start, goal, None, scale, steps.append)
-                for s in steps:
-                    s["details"] = {k: None if v is None else str(v) for k, v in s["details"].items()}
-                for k in range(0, len(steps), 500):
-                    yield frame([{"request_id": request} | s for s in steps[k : k + 500]], schema)
+                search = partial(kernels.search, net.value, algorithm, start, goal, None, scale)
+                steps = steps_of(search)
+                while part := list(islice(steps, STEPS_HELD)):
+                    for s in part:
+                        s["details"] = {k: None if v is None else str(v) for k, v in s["details"].items()}
+                    yield frame([{"request_id": request} | s for s in part], schema)
 
     return dealt(
         requests.select(F.col("request_id").cast("long"), "start", "goal", "algorithm")
