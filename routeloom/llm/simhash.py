@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from routeloom.llm.common import bounded_batches, by_name, checkpointed, table
+from routeloom.llm.common import (
+    bounded_batches,
+    by_name,
+    checkpointed,
+    mixed,
+    rolling_hashes,
+    split_words,
+    table,
+    word_hashes,
+)
 from routeloom.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -21,6 +32,13 @@ CHUNK = 4096
 #: Distances (64 to a number) that are updated at a time.
 BLOCK = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The pipeline's stage also joins documents whose sets of runs of so many words are so much alike (Jaccard).
+WIDTH, SIMILARITY = 5, 0.8
+#: A pair at SIMILARITY shares none of the bands with a chance of (1 - 0.8**5)**32, 3 in a million.
+BANDS, BAND_ROWS = 32, 5
+FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=(BANDS * BAND_ROWS, 2), dtype=np.uint64) * np.uint64(
+    2
+) + np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -212,12 +230,123 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS) ->
     return base.join(known, "fp").select(key, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id; columns stay as they are.
+def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: how many distinct shingles it has, a digest of their set, and MinHash keys of BANDS bands.
+
+    A text of fewer than WIDTH words has no shingle here: its likes have the same words, thus the same fingerprint.
+    """
+    words, counts = split_words(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    found, ends = rolling_hashes(word_hashes(words), WIDTH), np.cumsum(counts)
+    sets = [
+        np.unique(mixed(found[end - n : end - WIDTH + 1])) if n >= WIDTH else np.zeros(0, np.uint64)
+        for n, end in zip(counts, ends)
+    ]
+    size = np.array([len(s) for s in sets], np.int64)
+    digest, keys = np.zeros(len(sets), np.uint64), np.zeros((len(sets), BANDS), np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        flat, starts = np.concatenate(sets), (np.cumsum(size) - size)[full]
+        digest[full] = np.add.reduceat(mixed(flat ^ FACTORS[0, 1]), starts)
+        for band in range(BANDS):
+            key = np.full(len(full), band, np.uint64)
+            for factor, offset in FACTORS[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
+                key = mixed(key ^ np.minimum.reduceat(flat * factor + offset, starts)) + factor
+            keys[full, band] = key
+    return size, digest.view(np.int64), keys.view(np.int64)
+
+
+def sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, size, digest, keys) of each row."""
+    bounded_batches(docs.sparkSession)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            size, digest, keys = sketches(pa.array(pdf["text"], pa.large_string(), from_pandas=True))
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"],
+                    "text_hash": pdf["text_hash"],
+                    "fp": np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64),
+                    "size": size,
+                    "digest": digest,
+                    "keys": list(keys),
+                }
+            )
+
+    schema = T.StructType.fromDDL("text_hash long, fp long, size long, digest long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
+        scan, T.StructType([docs.schema["doc_id"], *schema.fields])
+    )
+
+
+def shingles(text: str) -> set[bytes]:
+    parts = text.encode("utf-8", "replace").lower().split()
+    return {b" ".join(parts[k : k + WIDTH]) for k in range(len(parts) - WIDTH + 1)}
+
+
+def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs (a, b) whose texts' shingles, compared word by word, are alike; pairs without texts are known to be."""
+    for pdf in frames:
+        kept = []
+        for x, y in zip(pdf["text_a"], pdf["text_b"]):
+            if x is None or y is None:
+                kept.append(True)
+                continue
+            one, other = shingles(x), shingles(y)
+            both = len(one & other)
+            kept.append(both >= SIMILARITY * (len(one) + len(other) - both) - 1e-9)
+        yield pdf.loc[kept, ["a", "b"]]
+
+
+def similar_links(docs: DataFrame, base: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) of roots of fingerprints, one for each pair of unlinked documents of which the shingles are alike.
+
+    base is `sketched(docs)`; roots (fp, root) says what is linked already. Documents of equal shingle sets are
+    compared as one. Pairs that share a band are held against each other's texts, so no link is a guess.
+    """
+    sets = base.where("size > 0").join(roots, "fp").groupBy("digest").agg(
+        F.min(F.struct("doc_id", "text_hash", "root", "size", "keys")).alias("s"), F.collect_set("root").alias("all")
+    )
+    sets = checkpointed(sets.select("digest", "s.*", "all"))
+    same = sets.where(F.size("all") > 1).select(F.col("root").alias("a"), F.explode("all").alias("b"))
+    each = sets.select("digest", "root", "size", F.explode("keys").alias("band"))
+    one, other = (each.toDF(*[f"{c}_{side}" for c in each.columns[:-1]], "band") for side in "ab")
+    pairs = one.join(other, "band").where(
+        f"digest_a < digest_b AND root_a <> root_b AND size_a >= {SIMILARITY} * size_b - 1e-9"
+        f" AND size_b >= {SIMILARITY} * size_a - 1e-9"
+    ).select("digest_a", "digest_b").distinct()
+    pairs = checkpointed(pairs)
+    asked = pairs.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct()
+    named = sets.join(asked, "digest").select("doc_id", "text_hash", "digest", "root")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(
+        named, ["doc_id", "text_hash"]
+    ).dropDuplicates(["digest"])
+    texts = checkpointed(texts.select("digest", "root", "text"))
+    left, right = (texts.toDF(f"digest_{s}", s, f"text_{s}") for s in "ab")
+    held = pairs.join(left, "digest_a").join(right, "digest_b").select("a", "b", "text_a", "text_b")
+    return held.unionByName(same, allowMissingColumns=True).mapInPandas(alike, "a long, b long")
+
+
+def stage_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of each row: near_duplicates' links, and those of texts with SIMILARITY in runs of WIDTH words."""
+    base = checkpointed(sketched(docs))
+    found = components(fingerprint_links(base.select("fp").distinct())).withColumnRenamed("node", "fp")
+    roots = checkpointed(
+        base.select("fp").distinct().join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    )
+    joined = components(similar_links(docs, base, roots)).toDF("root", "top")
+    tops = roots.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("top"))
+    named = checkpointed(base.select("doc_id", "fp").join(tops, "fp").select("doc_id", "top"))
+    least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "top").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
+    """One document of each component of `groups` stays, the one of the smallest doc_id; columns stay as they are.
 
     Rows of one doc_id are one document, of which one row stays. A row without doc_id can't be named and stays.
     """
-    named = near_duplicates(docs.where("doc_id IS NOT NULL"))
+    named = groups(docs.where("doc_id IS NOT NULL"))
     kept = checkpointed(named.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows")))
     rows = docs.join(kept.where("__rows = 1"), "doc_id", "left_semi").select(*by_name(docs.columns))
     repeated = kept.where("__rows > 1")
