@@ -7,16 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-EPOCHS, RATE, L2 = 200, 0.1, 2e-5
+EPOCHS, RATE, L2 = 60, 0.1, 2e-5
 #: Padded places that one decoding batch holds.
 PLACES = 1 << 20
 
 
-def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass(frozen=True)
 class Crf:
     """Weights of features, of steps between labels and of first labels; a feature unknown in training weighs nothing."""
@@ -74,52 +69,56 @@ def train(
     rate: float = RATE,
     l2: float = L2,
 ) -> Crf:
-    """Maximises the labels' mean log-likelihood, less an L2 penalty, by Adam on exact gradients (forward-backward)."""
-    sequences = [s for s in sequences if s[1]]
+    """Maximises the labels' mean log-likelihood, less an L2 penalty, by Adam on exact gradients.
+
+    Forward and backward run over all sequences at once, longest first, so those that reach a step are the first rows
+    of the one before. Their values are kept as probabilities that are normalised at every step, so a step is one
+    product with the small matrix of label pairs.
+    """
+    sequences = sorted((s for s in sequences if s[1]), key=lambda s: -len(s[1]))
     features = {f: k for k, f in enumerate(sorted({f for places, _ in sequences for place in places for f in place}))}
-    longest, n = max(len(y) for _, y in sequences), len(sequences)
-    gold, inside = np.zeros((longest, n), np.int64), np.zeros((longest, n), bool)
-    held, at = [], []  # a feature and the place, in a grid of places by sequences, that has it
-    for j, (places, labels) in enumerate(sequences):
-        inside[: len(labels), j] = True
-        gold[: len(labels), j] = labels
-        for t, place in enumerate(places):
-            known = {features[f] for f in place}
-            held += known
-            at += [t * n + j] * len(known)
-    held, at = np.array(held), np.array(at)
+    n, lengths = len(sequences), np.array([len(y) for _, y in sequences])
+    width = [int((lengths > t).sum()) for t in range(lengths[0])]  # sequences that reach a step
+    start = np.concatenate([[0], np.cumsum(width)])
+    rows = [(t, j) for t, w in enumerate(width) for j in range(w)]
+    gold = np.array([sequences[j][1][t] for t, j in rows])
+    # places of equal features are summed before features are looked up
+    number: dict[tuple[int, ...], int] = {}
+    place = np.array(
+        [number.setdefault(tuple(sorted({features[f] for f in sequences[j][0][t]})), len(number)) for t, j in rows]
+    )
+    held = np.concatenate([np.array(k, np.int64) for k in number])
+    sizes = np.fromiter(map(len, number), np.int64, len(number))
+    at, first_held = np.repeat(np.arange(len(number)), sizes), np.cumsum(sizes) - sizes
+    by_feature = at[np.argsort(held, kind="stable")]
+    first_at = np.searchsorted(np.sort(held), np.arange(len(features)))
+    by_place, first_place = np.argsort(place, kind="stable"), np.searchsorted(np.sort(place), np.arange(len(number)))
+    later = np.arange(width[0], len(rows))
+    before = np.concatenate([start[t - 1] + np.arange(w) for t, w in enumerate(width) if t] or [later])
+    one_hot = np.eye(n_labels)
+    seen = one_hot[gold[before]].T @ one_hot[gold[later]]
     params = [np.zeros((len(features), n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    one_hot = np.eye(n_labels)
     for epoch in range(1, epochs + 1):
         weights, steps, first = params
-        scores = np.stack(
-            [np.bincount(at, weights[held, k], longest * n) for k in range(n_labels)], axis=1
-        ).reshape(longest, n, n_labels)
-        ahead, behind = np.zeros_like(scores), np.zeros_like(scores)
-        ahead[0] = first + scores[0]
-        for t in range(1, longest):
-            ahead[t] = np.where(
-                inside[t][:, None], scores[t] + log_sum(ahead[t - 1][:, :, None] + steps, 1), ahead[t - 1]
-            )
-        total = log_sum(ahead[-1], 1)
-        for t in range(longest - 2, -1, -1):
-            behind[t] = np.where(
-                inside[t + 1][:, None], log_sum(steps + (scores[t + 1] + behind[t + 1])[:, None, :], 2), 0
-            )
-        off = (one_hot[gold] - np.exp(ahead + behind - total[:, None])) * inside[:, :, None]
-        flat = off.reshape(-1, n_labels)
-        slope = [
-            np.stack([np.bincount(held, flat[at, k], len(features)) for k in range(n_labels)], axis=1),
-            np.zeros_like(steps),
-            np.zeros_like(first),
-        ]
-        for t in range(1, longest):
-            pair = np.exp(ahead[t - 1][:, :, None] + steps + (scores[t] + behind[t])[:, None, :] - total[:, None, None])
-            slope[1] += (
-                (one_hot[gold[t - 1]][:, :, None] * one_hot[gold[t]][:, None, :] - pair) * inside[t][:, None, None]
-            ).sum(0)
-        slope[2] = off[0].sum(0)
+        scores = np.add.reduceat(weights[held], first_held)[place]
+        scores[:n] += first
+        here, pair = np.exp(scores - scores.max(1, keepdims=True)), np.exp(steps - steps.max())
+        ahead, behind = here.copy(), np.ones_like(here)
+        ahead[:n] /= ahead[:n].sum(1, keepdims=True)
+        for t in range(1, len(width)):
+            now = ahead[start[t] : start[t + 1]]
+            now *= ahead[start[t - 1] : start[t - 1] + width[t]] @ pair
+            now /= now.sum(1, keepdims=True)
+        for t in range(len(width) - 2, -1, -1):
+            back = (here[start[t + 1] : start[t + 2]] * behind[start[t + 1] : start[t + 2]]) @ pair.T
+            behind[start[t] : start[t] + width[t + 1]] = back / back.sum(1, keepdims=True)
+        share = ahead * behind
+        off = one_hot[gold] - share / share.sum(1, keepdims=True)
+        come, go = ahead[before], here[later] * behind[later]
+        expected = (come / ((come @ pair) * go).sum(1, keepdims=True)).T @ go * pair
+        off_place = np.add.reduceat(off[by_place], first_place)
+        slope = [np.add.reduceat(off_place[by_feature], first_at), seen - expected, off[:n].sum(0)]
         for k, (p, (m, v)) in enumerate(zip(params, moments)):
             g = slope[k] / n - l2 * p
             m += 0.1 * (g - m)

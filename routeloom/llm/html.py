@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import cache
 from html import unescape
 
@@ -38,9 +39,12 @@ CLOSED_BY = {
     "option": {"option"},
 }
 
+TEXT = re.compile(r"[^<]+")
+#: A comment, a tag, or another declaration that ends at the next `>`.
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>|([^<]+)|<""", re.S
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?/][^>]*>""", re.S
 )
+TAG_START, OTHER = re.compile("</?[a-zA-Z]"), re.compile("</[^>]*>")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: The mark of main text in labelled pages; it is no feature.
 MARK = "data-main"
@@ -48,16 +52,49 @@ MARK = "data-main"
 Block = tuple[str, bool, frozenset[str], str, int]
 
 
-def blocks(html: str | None) -> Iterator[Block]:
+class Unclosed:
+    """Says where a `<` can't start a tag since no `>` outside quotes follows.
+
+    A tag's text runs from quote to quote until a `>`. Once a run has failed, so does any that comes to one of its
+    opening quotes; those are kept, so all runs of a page together take time linear in its length.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.marks: list[int] | None = None
+        self.dead: set[int] = set()
+
+    def __call__(self, at: int) -> bool:
+        if self.marks is None:
+            self.marks = [m.start() for m in re.finditer("[\"'>]", self.html)]
+        met = []
+        while True:
+            k = bisect.bisect_left(self.marks, at)
+            mark = self.marks[k] if k < len(self.marks) else -1
+            if mark >= 0 and self.html[mark] == ">":
+                return False
+            end = self.html.find(self.html[mark], mark + 1) if mark >= 0 and mark not in self.dead else -1
+            if mark >= 0:
+                met.append(mark)
+            if end < 0:
+                self.dead.update(met)
+                return True
+            at = end + 1
+
+
+def blocks(html: str | None, known: Container[str] | None = None) -> Iterator[Block]:
     """(text, marked, features of the ancestors, tag, characters in links) of each leaf block in page order.
 
     Text is decoded and its white space made single spaces. Unclosed and stray tags are taken as browsers take the
-    common cases: a paragraph ends where a block starts, an end tag closes up to its element or nothing.
+    common cases: a paragraph ends where a block starts, an end tag closes up to its element or nothing. Given `known`,
+    only those features are kept, which bounds what deep pages carry along.
     """
     html = html or ""
-    root = ("", frozenset(), "", False, frozenset())
+    #: name, features, nearest block's tag, marked, features of the innermost section, place of the nearest block element
+    root = ("", frozenset(), "", False, frozenset(), 0)
     stack, opened = [root], Counter()
     held: list[str] = []
+    unclosed, failed = Unclosed(html), False
     linked = at = 0
 
     def pop() -> None:
@@ -68,20 +105,31 @@ def blocks(html: str | None) -> Iterator[Block]:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            _, features, tag, marked, inner = stack[-1]
-            yield text, marked, features | inner, tag, linked
+            _, features, tag, marked, inner, _ = stack[-1]
+            yield text, marked, features | inner if inner else features, tag, linked
         linked = 0
 
-    while found := TOKEN.match(html, at):
-        at = found.end()
-        closing, name, rest, text = found.groups()
-        if text is not None or name is None and found[0] == "<":
-            held.append(found[0])
-            if opened["a"]:
-                linked += len(found[0].strip())
+    while at < len(html):
+        if html[at] != "<":
+            found = TEXT.match(html, at)
+        elif at > unclosed.last and not html.startswith("<!--", at):
+            found = None
+        elif failed and TAG_START.match(html, at) and unclosed(at + 1):
+            found = OTHER.match(html, at)
+        else:
+            found = TOKEN.match(html, at)
+            failed = failed or found is None or found[2] is None and bool(TAG_START.match(html, at))
+        if found is None or found.re is TEXT:
+            piece = found[0] if found else "<"
+            at += len(piece)
+            held.append(piece)
+            if opened["a"] > 0:
+                linked += len(piece.strip())
             continue
-        if name is None:
+        at = found.end()
+        if found.re is OTHER or found[2] is None:
             continue
+        closing, name, rest = found.groups()
         name = name.lower()
         if closing:
             if name in BLOCKS:
@@ -99,30 +147,33 @@ def blocks(html: str | None) -> Iterator[Block]:
             continue
         if name in BLOCKS:
             yield from flush()
-            for k in range(len(stack) - 1, max(0, len(stack) - 16), -1):  # formatting may lie between
-                if stack[k][0] in CLOSED_BY and name in CLOSED_BY[stack[k][0]]:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            near = stack[-1][5]  # formatting may lie between
+            if name in CLOSED_BY.get(stack[near][0], ()):
+                while len(stack) > near:
+                    pop()
         if name in VOID:
             held.append(" ")
             continue
         words = {
             w for m in NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w
         }
-        _, features, tag, marked, inner = stack[-1]
+        _, features, tag, marked, inner, near = stack[-1]
         own = {f"in={name}"} | {f"name={w}" for w in words}
         if words or name in SECTIONS:
-            inner = frozenset({f"inner {f}" for f in own if name in SECTIONS or f[:2] != "in"})
+            inner = frozenset(
+                g for f in own
+                if (name in SECTIONS or f[:2] != "in") and (known is None or f"inner {f}" in known)
+                for g in (f"inner {f}",)
+            )
+        more = {f for f in own if f not in features and (known is None or f in known)}
         stack.append(
             (
                 name,
-                features | own if len(features) < 200 else features,
+                features | more if more else features,
                 name if name in BLOCKS else tag,
                 marked or MARK in rest,
                 inner,
+                len(stack) if name in BLOCKS else near,
             )
         )
         opened[name] += 1
@@ -178,17 +229,19 @@ CONTENT_NAMES = "content post entry story article article-body post-content main
 WRAPPERS = "wrapper container page site row layout inner outer col".split()
 
 
-def labelled_pages(n: int = 800, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 400, seed: int = 7) -> list[str]:
     """Small invented pages in many layouts, in which data-main marks the elements of the main text."""
     rng = random.Random(seed)
     syllables = "ta ri on el ve mo sha in or du pel ka è ß ñ the und que an".split()
 
+    vocabulary = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(1000)]
+
     def word() -> str:
-        return "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+        return rng.choice(vocabulary)
 
     def text(low: int, high: int) -> str:
         style = rng.random()
-        words = [word() for _ in range(rng.randint(low, high))]
+        words = rng.choices(vocabulary, k=rng.randint(low, high))
         if style < 0.02:
             return rng.choice(["x", "7", "–", "A."])
         if style < 0.06:
@@ -336,7 +389,7 @@ def own_model() -> crf.Crf:
 
 def main_texts(htmls: list[str | None], model: crf.Crf) -> list[str]:
     """The main text of each page: the blocks labelled as such, joined by line feeds."""
-    pages = [list(blocks(h)) for h in htmls]
+    pages = [list(blocks(h, model.features)) for h in htmls]
     labels = model.decode([model.emissions([describe(t, a, tag, n) for t, _, a, tag, n in page]) for page in pages])
     return ["\n".join(b[0] for b, keep in zip(page, own) if keep) for page, own in zip(pages, labels)]
 

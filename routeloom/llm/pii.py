@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -78,6 +79,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What may stand around a word's core: brackets, quotes, marks and ends of sentences.
 SHELL = "\"'`<>,;:!?#$%&*|="
 CONTEXT = 2
+#: Where a word's neighbours lie that it has features of; and words that are scored at a time.
+STEPS, SCORED = (-2, -1, 1, 2), 1 << 16
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
@@ -92,20 +95,20 @@ def shape(word: str) -> str:
     word = re.sub(r"[^\W\d_]+", "a", word)
     return re.sub(
         r"[0-9]+", lambda m: f"<{len(m[0])}>" if len(m[0]) < 5 else "<5>" if len(m[0]) < 9 else "<9>", word
-    )[:40]
+    )
 
 
-def describe(words: list[str], at: int) -> list[str]:
-    """The features of a word among its neighbours."""
-    a, b = core(words[at])
-    own = words[at][a:b]
+def own_features(word: str) -> list[str]:
+    """The features that a word has of its own."""
+    a, b = core(word)
+    own = word[a:b]
     digits = re.sub(r"[^0-9]", "", own)
     out = [
         f"shape={shape(own)}", f"digits={min(len(digits), 20)}", f"first={own[:1] if not own[:1].isalnum() else 'x'}"
     ]
     if "@" in own:
         out.append("has@")
-    if re.search(r"[(\[{](?:at|dot)[)\]}]", own, re.I):
+    if AT.search(own):
         out.append("hasat")
     if own.isdigit():
         out.append("number")
@@ -115,13 +118,43 @@ def describe(words: list[str], at: int) -> list[str]:
         out.append("mixed")
     if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", own):
         out.append(f"quad={all(int(p) <= 255 for p in own.split('.'))}")
-    for step in (-2, -1, 1, 2):
-        k = at + step
-        near = words[k] if 0 <= k < len(words) else ""
-        a, b = core(near) if near else (0, 0)
-        out.append(f"{step}:shape={shape(near[a:b])}")
-        if step in (-2, -1) and near[a:b].lower().rstrip(".") in CUES:
-            out.append(f"{step}:cue={CUES[near[a:b].lower().rstrip('.')]}")
+    return out
+
+
+def near_features(word: str) -> list[list[str]]:
+    """The features that a word gives to the word of which it is the neighbour, for each of STEPS; "" is no word."""
+    a, b = core(word) if word else (0, 0)
+    near = shape(word[a:b])
+    cue = CUES.get(word[a:b].lower().rstrip("."))
+    return [[f"{step}:shape={near}"] + [f"{step}:cue={cue}"] * bool(cue and step < 0) for step in STEPS]
+
+
+def describe(words: list[str], at: int) -> list[str]:
+    """The features of a word among its neighbours."""
+    out = own_features(words[at])
+    for j, step in enumerate(STEPS):
+        out += near_features(words[at + step] if 0 <= at + step < len(words) else "")[j]
+    return out
+
+
+def scores(words: list[str], model: crf.Crf) -> np.ndarray:
+    """The score of each label at each of the words, of which "" stands for none: each distinct word's features are summed once."""
+    out = np.empty((len(words), len(LABELS)))
+    reach, known = max(STEPS), model.features
+    for low in range(0, len(words), SCORED):
+        high = min(low + SCORED, len(words))
+        part = words[max(0, low - reach) : high + reach]
+        part = [""] * max(0, reach - low) + part + [""] * max(0, high + reach - len(words))
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(w, len(number)) for w in part])
+        sums = np.array(
+            [
+                [model.weights[[known[f] for f in fs if f in known]].sum(0) for fs in (own_features(w), *near_features(w))]
+                for w in number
+            ]
+        )
+        at = np.arange(reach, len(part) - reach)
+        out[low:high] = sums[ids[at], 0] + sum(sums[ids[at + step], 1 + j] for j, step in enumerate(STEPS))
     return out
 
 
@@ -267,29 +300,48 @@ def plausible(kind: str, piece: str) -> bool:
 
 
 def field_spans(texts: list[str], model: crf.Crf) -> list[list[Span]]:
-    """The spans that the field decodes in each whole text; words that are not OPEN are held outside."""
-    runs: list[tuple[int, list[tuple[int, int]], np.ndarray]] = []
-    held = np.full(len(LABELS), -1e6)
-    held[0] = 0
+    """The spans that the field decodes in each whole text; words that are not OPEN are held outside.
+
+    The chain's best labelling falls apart at words that are held outside, so the open words between two of them are
+    decoded by themselves, with the steps from and to the label outside.
+    """
+    flat: list[str] = []  # runs of open words with CONTEXT words about them, and room for neighbours that they don't have
+    where: list[tuple[int, int, int]] = []  # text, start, end
+    is_open: list[bool] = []
+    edge: list[bool] = []  # whether a word has no neighbour before or after it in its run
+    gap = [("", (0, 0, 0), False, True)] * CONTEXT
     for k, text in enumerate(texts):
         if not OPEN.search(text):
             continue
         places = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        is_open = [bool(OPEN.search(text, a, b)) for a, b in places]
+        starts = np.array([a for a, _ in places])
+
+        def holding(pattern: re.Pattern, text: str = text, starts: np.ndarray = starts) -> np.ndarray:
+            """The words with a match; no match spans white space."""
+            return np.searchsorted(starts, [m.start() for m in pattern.finditer(text)], side="right") - 1
+
+        opened = np.zeros(len(places) + 2, bool)  # one before the first word, one after the last
+        opened[1 + holding(OPEN)] = True
         if AT.search(text):
-            near = {j + d for j, (a, b) in enumerate(places) if AT.search(text, a, b) for d in (-1, 1)}
-            is_open = [o or j in near for j, o in enumerate(is_open)]
-        wanted = np.flatnonzero(is_open)
-        if not len(wanted):
-            continue
+            near = holding(AT)
+            opened[near] = opened[near + 2] = True
+        opened = opened[1:-1]
+        wanted = np.flatnonzero(opened)
         for part in np.split(wanted, np.flatnonzero(np.diff(wanted) > 2 * CONTEXT) + 1):
             low, high = max(0, part[0] - CONTEXT), min(len(places), part[-1] + CONTEXT + 1)
-            words = [text[a:b] for a, b in places[low:high]]
-            scores = model.emissions([describe(words, j) for j in range(len(words))])
-            scores[[j for j in range(len(words)) if not is_open[low + j]]] += held
-            runs.append((k, places[low:high], scores))
+            rows = [(text[a:b], (k, a, b), opened[low + j], False) for j, (a, b) in enumerate(places[low:high])]
+            for column, values in zip((flat, where, is_open, edge), zip(*rows, *gap)):
+                column += values
     out: list[list[Span]] = [[] for _ in texts]
-    for (k, places, _), labels in zip(runs, model.decode([r[2] for r in runs])):
+    if not flat:
+        return out
+    scored, opens = scores(flat, model), np.array(is_open)
+    begin = np.flatnonzero(opens & ~np.concatenate([[False], opens[:-1]]))
+    end = np.flatnonzero(opens & ~np.append(opens[1:], False)) + 1
+    outside = np.array([*edge, True])
+    scored[begin] += np.where(outside[begin - 1, None], 0, model.steps[0] - model.first)
+    scored[end - 1] += np.where(outside[end, None], 0, model.steps[:, 0])
+    for low, labels in zip(begin, model.decode([scored[a:b] for a, b in zip(begin, end)])):
         at = 0
         while at < len(labels):
             if labels[at] == 0:
@@ -298,21 +350,37 @@ def field_spans(texts: list[str], model: crf.Crf) -> list[list[Span]]:
             kind, last = (labels[at] - 1) // 2, at
             while last + 1 < len(labels) and labels[last + 1] == 2 + 2 * kind:
                 last += 1
-            (a, b), (c, d) = places[at], places[last]
-            start, end = a + core(texts[k][a:b])[0], c + core(texts[k][c:d])[1]
-            if start < end and plausible(KINDS[kind], texts[k][start:end]):
-                out[k].append((KINDS[kind], start, end))
+            (k, a, b), (_, c, d) = where[low + at], where[low + last]
+            first, final = a + core(texts[k][a:b])[0], c + core(texts[k][c:d])[1]
+            if first < final and plausible(KINDS[kind], texts[k][first:final]):
+                out[k].append((KINDS[kind], first, final))
             at = last + 1
     return out
 
 
+def apart(spans: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that touch no base span: base spans are merged into intervals in a row, in which each span is looked up."""
+    starts, ends = [], []
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for span in spans:
+        k = bisect.bisect_left(starts, span[2])  # the intervals before it start within or before the span
+        if k == 0 or ends[k - 1] <= span[1]:
+            out.append(span)
+    return out
+
+
 def all_spans(texts: list[str], model: crf.Crf) -> list[tuple[list[Span], list[Span]]]:
     """Of each text the base spans, and all: a decoded span counts if it touches no base span."""
     out = []
     for text, more in zip(texts, field_spans(texts, model)):
         base = base_spans(text)
-        added = [s for s in more if not any(s[1] < e and b < s[2] for _, b, e in base)]
-        out.append((base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+        out.append((base, sorted(base + apart(more, base), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
     return out
 
 

@@ -1,8 +1,11 @@
 import random
 import re
+import time
 from html import unescape
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from routeloom.llm import crf, html
@@ -164,3 +167,47 @@ def test_parts_before_after_and_inside_go(open_, close):
         ]
     got = html.main_texts(pages, html.own_model())
     assert sum(g == MAIN for g in got) >= 0.95 * len(got)
+
+
+@pytest.mark.parametrize("tail", ["", ">", "'>"])
+@pytest.mark.parametrize("piece", ["<a ", "<p ", "<a '", "<a \"'", "<", "</a ", "<!", "<!--", "&", "<script>", "<b>"])
+def test_hostile_pages_take_linear_time(piece, tail):
+    field = html.own_model()
+    page = piece * (1_000_000 // len(piece)) + tail
+    began = time.process_time()
+    html.main_texts([page], field)
+    assert time.process_time() - began < 5
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<a ", "<p>", "'", '"', ">", "</p>", "x", "</", "<!", "<!--", "-->", "<", " "]), max_size=14).map("".join))
+def test_pages_are_cut_as_by_the_pattern(page):
+    """The memory of failed tags changes nothing: every place is cut as one pattern, tried there alone, would."""
+    whole = re.compile(html.TOKEN.pattern + "|([^<]+)|<", re.S)
+    at, held, said = 0, [], []
+    while found := whole.match(page, at):
+        at = found.end()
+        said.append(found[0])
+        if found[4] is not None or found[2] is None and found[0] == "<":
+            held.append(found[0])
+    assert "".join(said) == page
+    want = " ".join(unescape("".join(held)).split())
+    got = " ".join(" ".join(b[0] for b in html.blocks(page)).split())
+    assert got.replace(" ", "") == want.replace(" ", "")
+
+
+def test_deep_pages():
+    near = "<p>a" + "<b>" * 300 + "x<p class=only>c"
+    assert [b[0] for b in html.blocks(near)] == ["ax", "c"]
+    assert "name=first" not in list(html.blocks("<p class=first>a" + "<b>" * 30 + "x<p>c"))[1][2]
+    deep = "".join(f'<div class="{"abcdefghij"[k % 10] * (k // 10 + 1)}">' for k in range(1000)) + "text"
+    ((_, _, features, _, _),) = html.blocks(deep)
+    assert len([f for f in features if f.startswith("name=")]) == 1000
+    ((_, _, kept, _, _),) = html.blocks(deep, {"name=aaa", "in=div"})
+    assert kept == {"name=aaa", "in=div"}
+
+
+def test_fields_are_fitted_fast():
+    began = time.process_time()
+    html.train(html.labelled_pages())
+    assert time.process_time() - began < 5

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -99,13 +100,67 @@ def test_base_spans_of_any_text(text):
     ],
 )
 def test_hostile_texts_take_linear_time(text):
-    import time
-
+    field = pii.own_model()
     began = time.perf_counter()
-    pii.all_spans([text], pii.own_model())
+    pii.all_spans([text], field)
     assert time.perf_counter() - began < 20
 
 
+@pytest.mark.parametrize("line", ["(212) 555-0199 x ", "1.2.3.4 ", "jane (at) example (dot) com , "])
+def test_many_spans_take_linear_time(line):
+    field = pii.own_model()
+    began = time.process_time()
+    ((_, spans),) = pii.all_spans([line * 50_000], field)
+    assert time.process_time() - began < 5 and len(spans) >= 49_999
+
+
+def test_fields_are_fitted_fast():
+    began = time.process_time()
+    pii.train(pii.labelled_table())
+    assert time.process_time() - began < 4
+
+
+def test_spans_apart_equals_comparing_all():
+    rng = random.Random(2)
+    draw = lambda: sorted(
+        [("ip", a := rng.randrange(60), a + rng.randint(1, 9)) for _ in range(rng.randint(0, 8))], key=lambda s: s[1]
+    )
+    for _ in range(300):
+        more, base = draw(), draw()
+        want = [s for s in more if not any(s[1] < e and b < s[2] for _, b, e in base)]
+        assert pii.apart(more, base) == want
+
+
+def test_words_longer_than_forty_characters_keep_their_shapes():
+    assert pii.shape("1-a." * 30) == "<1>-a." * 30 != pii.shape("1-a." * 30 + "x7")
+
+
+def test_stretches_are_decoded_as_the_whole_chain():
+    """Decoding open words by themselves equals decoding a run as one chain in which the others are held outside."""
+    field, rng = pii.own_model(), random.Random(9)
+    for text, _ in pii.labelled_table(60, seed=rng.randrange(1000)):
+        places = [(m.start(), m.end()) for m in pii.WORD.finditer(text)]
+        words = [text[a:b] for a, b in places]
+        marks = [j for j, w in enumerate(words) if pii.AT.search(w)]
+        scores = field.emissions([pii.describe(words, j) for j in range(len(words))])
+        for j, w in enumerate(words):
+            if not (pii.OPEN.search(w) or {j - 1, j + 1} & set(marks)):
+                scores[j, 1:] -= 1e6
+        (labels,) = field.decode([scores])
+        want, j = [], 0
+        while j < len(labels):
+            last, kind = j, (labels[j] - 1) // 2
+            while labels[j] and last + 1 < len(labels) and labels[last + 1] == 2 + 2 * kind:
+                last += 1
+            if labels[j]:
+                (a, _), (b, _) = places[j], places[last]
+                start, end = a + pii.core(words[j])[0], b + pii.core(words[last])[1]
+                if pii.plausible(pii.KINDS[kind], text[start:end]):
+                    want.append((pii.KINDS[kind], start, end))
+            j = last + 1
+        assert pii.field_spans([text], field)[0] == want
+
+
 def test_the_field_finds_held_out_spans():
     rows = pii.labelled_table(300, seed=5)
     found = pii.field_spans([t for t, _ in rows], pii.own_model())
