@@ -7,106 +7,73 @@ from hypothesis import strategies as st
 
 from routeloom.operators import kernels
 from routeloom.plans.schema import GraphError
-from tests.graphs import DETOUR, DETOUR_GUESS, DIAMOND, net, run, trace
+from tests.graphs import HARBOUR, HARBOUR_GUESS, ROUND, net, run, trace
 
 COST_AWARE = ("ucs", "dijkstra", "astar")
 
 
-@pytest.mark.parametrize("algorithm", COST_AWARE)
-def test_cheapest_route_wins(algorithm):
-    found = run(DIAMOND, algorithm, "A", "D", lambda n, g: 0.0)
-    assert found["path"] == ["A", "C", "B", "D"] and found["total_cost"] == 3
+CHEAPEST = ["quay", "mill", "well", "forge", "gate"]
+SHORTEST = ["quay", "mill", "forge", "gate"]
 
 
-def test_goal_is_tested_when_taken_from_the_frontier():
-    found = run({"A": [("G", 10), ("B", 1)], "B": [("G", 1)], "G": []}, "dijkstra", "A", "G")
-    assert found["path"] == ["A", "B", "G"] and found["total_cost"] == 2 and found["visited_order"][-1] == "G"
-
-
-@pytest.mark.parametrize("algorithm", kernels.MESSAGES)
-def test_start_is_goal(algorithm):
-    found = run({"A": []}, algorithm, "A", "A", lambda n, g: 0)
-    assert (
-        found["path"], found["total_cost"], found["expanded_nodes"], found["generated_nodes"], found["success"]
-    ) == (["A"], 0, 1, 1, True)
+@pytest.mark.parametrize(
+    ("algorithm", "path", "cost"),
+    [(a, CHEAPEST, 9) for a in COST_AWARE] + [("bfs", SHORTEST, 10), ("dfs", SHORTEST, 10)] + [("greedy", ["quay", "inn", "well", "gate"], 17)],
+)
+def test_ways_through_the_harbour(algorithm, path, cost):
+    found = run(HARBOUR, algorithm, "quay", "gate", HARBOUR_GUESS)
+    assert found["path"] == path and found["total_cost"] == cost and found["visited_order"][-1] == "gate"
+    assert (found["optimality"] == "not_guaranteed") == (algorithm in ("dfs", "greedy"))
 
 
 @pytest.mark.parametrize("algorithm", kernels.MESSAGES)
-def test_no_route(algorithm):
-    found = run({"A": [("B", 1)], "B": [], "C": []}, algorithm, "A", "C", lambda n, g: 0)
-    assert not found["success"] and found["path"] == [] and found["total_cost"] is None
-    assert found["message"] == "No route exists from 'A' to 'C'." and found["optimality"] == "not_applicable"
-
-
-def test_edges_are_directed():
-    assert not run({"A": [("B", 1)], "B": []}, "dijkstra", "B", "A")["success"]
+def test_nowhere_to_go(algorithm):
+    here = run(HARBOUR, algorithm, "well", "well", HARBOUR_GUESS)
+    assert here["path"] == ["well"] and here["success"]
+    assert [here[c] for c in ("total_cost", "expanded_nodes", "generated_nodes")] == [0, 1, 1]
+    back = run(HARBOUR, algorithm, "gate", "quay", HARBOUR_GUESS)
+    assert not back["success"] and back["path"] == [] and back["total_cost"] is None
+    assert back["message"] == "No route exists from 'gate' to 'quay'." and back["optimality"] == "not_applicable"
 
 
-def test_ties_go_to_the_first_edge():
-    found = run({"A": [("B", 1), ("C", 1)], "B": [("G", 1)], "C": [("G", 1)], "G": []}, "dijkstra", "A", "G")
-    assert found["path"] == ["A", "B", "G"] and found["visited_order"].index("B") < found["visited_order"].index("C")
+def test_equal_ways_go_by_the_order_of_edges():
+    for first, second in (("left", "right"), ("right", "left")):
+        fork = {"in": [(first, 2), (second, 2)], "left": [("out", 5)], "right": [("out", 5)], "out": []}
+        for algorithm in ("bfs", "ucs", "dijkstra"):
+            assert run(fork, algorithm, "in", "out")["path"] == ["in", first, "out"]
 
 
-def test_stale_entries_are_skipped():
-    found, steps = trace({"A": [("B", 10), ("C", 1)], "B": [], "C": [("B", 1)], "D": []}, "dijkstra", "A", "D")
-    stale = [s for s in steps if s["event"] == "skip_stale"]
-    assert not found["success"] and stale[0]["details"] == {
-        "cost": 10.0, "best_cost": 2.0
-    } and found["visited_order"].count("B") == 1
+def test_outdated_entries_are_told_and_skipped():
+    # the inn's second offer for the mill (4) is worse than the first (3); a shortcut makes the first one outdated
+    graph = HARBOUR | {"quay": [("mill", 9), ("inn", 2)], "isle": []}
+    found, steps = trace(graph, "dijkstra", "quay", "isle")
+    told = [s["details"] for s in steps if s["event"] == "skip_stale"]
+    assert not found["success"] and {"cost": 9.0, "best_cost": 4.0} in told
+    assert len(found["visited_order"]) == len(set(found["visited_order"])) == 6
 
 
-def test_totals_are_those_of_the_chosen_edges():
-    found = run({"A": [("B", 1, 8, 3)], "B": [("C", 2, 4, 7)], "C": []}, "dijkstra", "A", "C")
-    assert [found[c] for c in ("total_cost", "total_distance_km", "total_time_min")] == [3, 12, 10]
+def test_totals_add_up_the_edges_of_the_way():
+    graph = {"x": [("y", 2, 0.5, 7), ("z", 9, 1, 1)], "y": [("z", 3, 1.25, 4)], "z": []}
+    found = run(graph, "ucs", "x", "z")
+    assert [found[c] for c in ("total_cost", "total_distance_km", "total_time_min")] == [5, 1.75, 11]
 
 
-def test_all_targets_share_one_run():
-    got = {
-        r["goal"]: r
-        for r in kernels.all_targets(net({"A": [("B", 1), ("C", 5)], "B": [("C", 1)], "C": [], "D": []}), "A")
+def test_one_run_serves_all_targets():
+    got = kernels.all_targets(net(HARBOUR | {"isle": []}), "quay")
+    assert {r["goal"]: r["total_cost"] for r in got} == {
+        "quay": 0, "mill": 3, "inn": 2, "well": 4, "forge": 6, "gate": 9, "isle": None
     }
-    assert got["C"]["path"] == ["A", "B", "C"] and got["A"]["path"] == ["A"] and not got["D"]["success"]
-    assert len({tuple(r["visited_order"]) for r in got.values()}) == 1
-    few = kernels.all_targets(net(DIAMOND), "A", ["D", "B", "D"])
-    assert [r["goal"] for r in few] == ["D", "B"]
+    assert all(r["visited_order"] == got[0]["visited_order"] for r in got)
+    assert [r["goal"] for r in kernels.all_targets(net(ROUND), "fair", ["park", "dock", "park"])] == ["park", "dock"]
     with pytest.raises(TypeError):
-        kernels.all_targets(net(DIAMOND), "A", "D")
+        kernels.all_targets(net(ROUND), "fair", "park")
 
 
-def test_unknown_nodes_and_algorithms_raise():
+def test_requests_are_checked():
     with pytest.raises(GraphError, match="does not exist"):
-        run(DIAMOND, "dijkstra", "A", "Z")
+        run(HARBOUR, "dijkstra", "quay", "moon")
     with pytest.raises(GraphError, match="expected: bfs"):
-        run(DIAMOND, "nope", "A", "D")
-
-
-def test_greedy_follows_the_guess():
-    found = run(
-        {"A": [("B", 2), ("C", 1)], "B": [("G", 2)], "C": [], "G": []},
-        "greedy",
-        "A",
-        "G",
-        {"A": 3, "B": 1, "C": 5, "G": 0},
-    )
-    assert found["path"] == ["A", "B", "G"] and found["optimality"] == "not_guaranteed"
-    costly = {"A": [("B", 1), ("C", 2)], "B": [("G", 100)], "C": [("G", 2)], "G": []}
-    guess = {"A": 3, "B": 1, "C": 2, "G": 0}
-    assert run(
-        costly, "greedy", "A", "G", guess
-    )["total_cost"] == 101 and run(costly, "dijkstra", "A", "G")["total_cost"] == 4
-
-
-def test_greedy_ends_in_cycles_and_generates_each_node_once():
-    cycle = {"A": [("B", 1)], "B": [("A", 1), ("C", 1)], "C": [("B", 1)], "G": []}
-    assert run(cycle, "greedy", "A", "G", lambda n, g: 0)["expanded_nodes"] == 3
-    found = run(
-        {"A": [("B", 1), ("C", 1)], "B": [("D", 1)], "C": [("D", 1)], "D": [("G", 1)], "G": []},
-        "greedy",
-        "A",
-        "G",
-        {"A": 3, "B": 2, "C": 2, "D": 3, "G": 0},
-    )
-    assert found["generated_nodes"] == 5 and found["path"] == ["A", "B", "D", "G"]
+        run(HARBOUR, "walk", "quay", "gate")
 
 
 @pytest.mark.parametrize(
@@ -120,56 +87,39 @@ def test_greedy_ends_in_cycles_and_generates_each_node_once():
 )
 def test_bad_guesses_raise(value, error, said):
     with pytest.raises(error, match=said):
-        run(DIAMOND, "greedy", "A", "D", lambda n, g: value)
+        run(HARBOUR, "greedy", "quay", "gate", lambda n, g: value)
 
 
-@pytest.mark.parametrize(
-    ("algorithm", "path", "cost"),
-    [
-        ("bfs", "ABG", 9),
-        ("ucs", "ACDG", 3),
-        ("astar", "ACDG", 3),
-        ("dijkstra", "ACDG", 3),
-        ("dfs", "ABG", 9),
-        ("greedy", "ABG", 9),
-    ],
-)
-def test_each_algorithm_takes_its_way(algorithm, path, cost):
-    found = run(DETOUR, algorithm, "A", "G", DETOUR_GUESS)
-    assert "".join(found["path"]) == path and found["total_cost"] == cost
+def test_greedy_generates_each_node_once():
+    found = run(ROUND | {"isle": []}, "greedy", "dock", "isle", lambda n, g: 0)
+    assert not found["success"] and found["expanded_nodes"] == found["generated_nodes"] == 4
 
 
-def test_depth_first_marks_nodes_when_pushed():
-    graph = DETOUR | {"D": [("A", 1), ("G", 1)]}
-    found = run(graph, "dfs", "A", "G")
-    assert "".join(found["path"]) == "ABG" and found["expanded_nodes"] <= len(graph)
-    # recursion would reach C through B; marking on push keeps A as its parent
-    found = run({"A": [("B", 1), ("C", 1)], "B": [("C", 1)], "C": [("G", 1)], "G": []}, "dfs", "A", "G")
-    assert "".join(found["path"]) == "ACG"
+def test_depth_first_keeps_the_parent_that_saw_a_node_first():
+    # the well is seen from the mill before the inn is left, so its way doesn't lead over the inn
+    graph = {"quay": [("inn", 1), ("mill", 1)], "inn": [("mill", 1)], "mill": [("well", 1)], "well": []}
+    assert run(graph, "dfs", "quay", "well")["path"] == ["quay", "mill", "well"]
 
 
-def test_a_star_steps_carry_g_h_and_f():
-    _, steps = trace(DETOUR, "astar", "A", "G", DETOUR_GUESS)
+def test_a_star_adds_cost_and_guess_and_takes_nodes_up_again():
+    _, steps = trace(HARBOUR, "astar", "quay", "gate", HARBOUR_GUESS)
     told = [s["details"] for s in steps if s["event"] in ("expand", "relax")]
     assert told and all(math.isclose(d["f"], d["g"] + d["h"]) for d in told)
-
-
-def test_a_star_reopens_nodes():
-    graph = {"A": [("B", 1), ("C", 3)], "B": [("C", 1)], "C": [("G", 10)], "G": []}
-    found = run(graph, "astar", "A", "G", {"A": 0, "B": 9, "C": 0, "G": 0})
-    assert found["visited_order"].count("C") == 2 and found["total_cost"] == 12
+    misled = {"quay": 0, "mill": 0, "inn": 0, "well": 4, "forge": 0, "gate": 0}  # the forge is reached by the mill first
+    found = run(HARBOUR, "astar", "quay", "gate", misled)
+    assert found["visited_order"].count("forge") == 2 and found["path"] == CHEAPEST
 
 
 def test_traces_are_ordered_and_end_at_the_goal():
     for algorithm in kernels.MESSAGES:
-        found, steps = trace(DETOUR, algorithm, "A", "G", DETOUR_GUESS)
+        found, steps = trace(HARBOUR, algorithm, "quay", "gate", HARBOUR_GUESS)
         assert [s["index"] for s in steps] == list(range(len(steps))) and steps[-1]["event"] == "goal"
         assert sum(s["event"] == "expand" for s in steps) == found["expanded_nodes"]
-        assert all(
-            [e["priority"] for e in s["frontier"]] == sorted(e["priority"] for e in s["frontier"]) for s in steps
-        )
-    _, steps = trace(DIAMOND, "bfs", "A", "D")
-    assert next(s for s in steps if s["event"] == "generate")["details"] == {"neighbor": "B", "depth_priority": 0}
+        for s in steps:
+            order = [e["priority"] for e in s["frontier"]]
+            assert order == sorted(order)
+    _, steps = trace(ROUND, "bfs", "dock", "fair")
+    assert next(s for s in steps if s["event"] == "generate")["details"] == {"neighbor": "hall", "depth_priority": 0}
 
 
 GRAPHS = st.integers(2, 9).flatmap(
