@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,71 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's `spark.checkpoint.dir`, or a temporary one where no folder is set (tests)."""
+    """The shared checkpoint folder: the cluster's `spark.checkpoint.dir`, else the one that the context has, else, with
+    a local master only (tests), a temporary one."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getCheckpointDir()
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder: it survives lost executors and ends the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """`df` as a Parquet table in the shared checkpoint folder: it survives lost executors and ends the lineage.
+
+    Unlike a checkpoint it also ends what the optimizer knows of the columns, which grows with each round of a loop.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `checkpointed` wrote and that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._written)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: A key is hot if it has more than a SHARE-th of all rows, and more than HOT_ROWS: so at most SHARE keys are.
+SHARE, HOT_ROWS = 1000, 2000
+
+
+def spread_join(
+    rows: DataFrame, lookup: DataFrame, key: str, by: str, sizes: DataFrame, total: int | None = None, how: str = "inner"
+) -> DataFrame:
+    """`rows` joined with `lookup` on `key`, without all rows of a hot key in one task.
+
+    sizes (key, n) says how many rows a key has, once a key (keys without a row there count as cold); total is its sum.
+    Rows of a hot key are dealt by `by` into parts of a SHARE-th of all rows each, and the lookup's row goes to every
+    part. Hot keys, at most SHARE of them, are broadcast.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0 if total is None else total
+    most = max(total // SHARE, HOT_ROWS)
+    if total <= most:  # so no key has more
+        return rows.join(lookup, key, how)
+    hot = sizes.where(F.col("n") > most).select(
+        F.col(key).alias("__hot"), F.ceil(F.col("n") / most).cast("int").alias("__parts")
+    )
+
+    def parted(df: DataFrame, part: Column) -> DataFrame:
+        told = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")  # at most SHARE rows
+        return told.withColumn("__part", part).drop("__hot", "__parts")
+
+    some = F.coalesce("__parts", F.lit(1))
+    ours = parted(rows, F.pmod(F.xxhash64(by), some).cast("int"))
+    theirs = parted(lookup, F.explode(F.sequence(F.lit(0), some - 1)))
+    return ours.join(theirs, [key, "__part"], how).drop("__part")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import checkpointed
+from routeloom.llm.common import checkpointed, forget, spread_join
 
 MAX_ROUNDS = 60
 
@@ -28,9 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
             ).distinct()
         seen = stamp
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        known = spread_join(both, least, "a", "b", least, 2 * stamp[0])
+        large = known.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        known = spread_join(large, least, "a", "b", least, 2 * stamp[0])
+        small = known.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        before, now = now, checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        forget(before)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

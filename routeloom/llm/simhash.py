@@ -3,27 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
-
-from routeloom.llm.common import (
-    bounded_batches,
-    by_name,
-    checkpointed,
-    mixed,
-    rolling_hashes,
-    split_words,
-    table,
-    word_hashes,
-)
+
+from routeloom.llm.common import bounded_batches, by_name, checkpointed, spread_join, table
 from routeloom.llm.components import components
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -32,13 +21,6 @@ CHUNK = 4096
 #: Distances (64 to a number) that are updated at a time.
 BLOCK = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: The pipeline's stage also joins documents whose sets of runs of so many words are so much alike (Jaccard).
-WIDTH, SIMILARITY = 5, 0.8
-#: A pair at SIMILARITY shares none of the bands with a chance of (1 - 0.8**5)**32, 3 in a million.
-BANDS, BAND_ROWS = 32, 5
-FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=(BANDS * BAND_ROWS, 2), dtype=np.uint64) * np.uint64(
-    2
-) + np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -79,60 +61,94 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", words: int = WORDS) -> Da
     )
 
 
-def near(fp: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (a, b) of fingerprints of one group that differ in at most RADIUS bits; equal groups are adjacent.
+@dataclass(frozen=True)
+class Blocks:
+    """Fingerprints of groups, 64 to a block, each block stored as one number a bit: its bit planes."""
 
-    Each group's fingerprints lie in blocks of 64 and each block is stored as 64 bit planes. One fingerprint meets a
-    block by adding plane after plane into two counter planes and an overflow plane, 64 distances at a time; entries
-    whose 64 distances have all passed the radius leave after every eighth plane.
-    """
-    n = len(fp)
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    size = np.diff(np.append(edge, n))
-    blocks = (size + 63) // 64
-    first = np.cumsum(blocks) - blocks  # of each group
-    of = np.repeat(np.arange(len(edge)), size)
-    place = np.arange(n) - edge[of]
-    slot = (first[of] + place // 64) * 64 + place % 64
-    total = int(blocks.sum())
-    bits = np.zeros((total * 64, 64), np.uint8)
-    bits[slot] = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(
-        bits.reshape(total, 64, 64), axis=1, bitorder="little"
-    ).transpose(0, 2, 1).copy().view("<u8")[:, :, 0]
+    planes: np.ndarray
+    absent: np.ndarray  # the places of a block that hold no fingerprint
+    row: np.ndarray  # the fingerprint at each place
+    slot: np.ndarray  # the place of each fingerprint
+    first: np.ndarray  # the first block of each group
+    count: np.ndarray  # the blocks of each group
+
+
+def bits_of(fp: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(fp, "<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+
+
+def blocks(fp: np.ndarray, group: np.ndarray, groups: int) -> Blocks:
+    """fp has a row of 64-bit words for each fingerprint; equal numbers of `group` (0 to groups - 1) are adjacent."""
+    size = np.bincount(group, minlength=groups)
+    count = (size + 63) // 64
+    first, total, width = np.cumsum(count) - count, int(count.sum()), 64 * fp.shape[1]
+    place = np.arange(len(fp)) - (np.cumsum(size) - size)[group]
+    slot = (first[group] + place // 64) * 64 + place % 64
+    bits = np.zeros((total * 64, width), np.uint8)
+    bits[slot] = bits_of(fp)
+    planes = np.packbits(bits.reshape(total, 64, width), axis=1, bitorder="little").transpose(0, 2, 1).copy()
     held = np.zeros(total * 64, np.uint8)
     held[slot] = 1
     absent = ~np.packbits(held.reshape(total, 64), axis=1, bitorder="little").view("<u8")[:, 0]
-    row_of = np.full(total * 64, -1)
-    row_of[slot] = np.arange(n)
-    own = slot // 64
-    later = first[of] + blocks[of] - own  # blocks from a fingerprint's own to its group's last
-    done = np.cumsum(later)
-    for low in range(0, int(done[-1]), BLOCK):
+    row = np.full(total * 64, -1)
+    row[slot] = np.arange(len(fp))
+    return Blocks(planes.view("<u8")[:, :, 0], absent, row, slot, first, count)
+
+
+def within(
+    fp: np.ndarray, held: Blocks, row: np.ndarray, block: np.ndarray, over: np.ndarray, radius: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row of the block's fingerprint) for each fingerprint fp[row] and each of its block within the radius.
+
+    Plane after plane is added to as many counter planes as the radius has bits, 64 distances at a time: each plane's
+    carry goes into the next one, and the last one's into an overflow plane, `over`. Counters start so high that they
+    overflow just above the radius. Entries whose 64 distances have all overflowed leave after every eighth plane.
+    """
+    digits = radius.bit_length()
+    head = (1 << digits) - 1 - radius
+    counters = [np.full(len(row), FULL if head >> d & 1 else 0, np.uint64) for d in range(digits)]
+    for k in range(held.planes.shape[1]):
+        own = (fp[row, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
+        carry = held.planes[block, k] ^ (np.uint64(0) - own)
+        for d in range(digits):
+            counters[d], carry = counters[d] ^ carry, counters[d] & carry
+        over = over | carry
+        if k % 8 == 7:
+            live = over != FULL
+            if not live.all():
+                row, block, over = row[live], block[live], over[live]
+                counters = [c[live] for c in counters]
+    for k in range(0, len(row), 1 << 14):
+        found, bit = np.nonzero(bits_of(~over[k : k + (1 << 14), None]))
+        yield row[k + found], held.row[block[k + found] * 64 + bit]
+
+
+def entries(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, block) for each row's `count` blocks from `first` on, at most BLOCK at a time."""
+    done = np.cumsum(count)
+    for low in range(0, int(done[-1]) if len(done) else 0, BLOCK):
         entry = np.arange(low, min(low + BLOCK, int(done[-1])))
         row = np.searchsorted(done, entry, side="right")
-        block = own[row] + entry - (done[row] - later[row])
-        upto = (slot[row] % 64).astype(np.uint64)
-        over = absent[block] | np.where(block == own[row], FULL >> (np.uint64(63) - upto), np.uint64(0))
-        ones, twos = np.zeros(len(entry), np.uint64), np.zeros(len(entry), np.uint64)
-        value = fp[row]
-        for k in range(64):
-            differ = planes[block, k] ^ (np.uint64(0) - ((value >> np.uint64(k)) & np.uint64(1)))
-            carry = ones & differ
-            ones ^= differ
-            over |= twos & carry
-            twos ^= carry
-            if k % 8 == 7:
-                live = over != FULL
-                if not live.all():
-                    row, block, over, ones, twos, value = (x[live] for x in (row, block, over, ones, twos, value))
-        for k in range(0, len(row), 1 << 14):
-            found, bit = np.nonzero(
-                np.unpackbits(
-                    (~over[k : k + (1 << 14)]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
-                )
-            )
-            yield row[k + found], row_of[block[k + found] * 64 + bit]
+        yield row, first[row] + entry - (done[row] - count[row])
+
+
+def near(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of fingerprints of one group that differ in at most `radius` bits; equal groups are adjacent."""
+    fp, of = fp.reshape(len(fp), -1), np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    held = blocks(fp, of, int(of[-1]) + 1)
+    own, upto = held.slot // 64, (held.slot % 64).astype(np.uint64)
+    for row, block in entries(own, held.first[of] + held.count[of] - own):
+        before = np.where(block == own[row], FULL >> (np.uint64(63) - upto[row]), np.uint64(0))
+        yield from within(fp, held, row, block, held.absent[block] | before, radius)
+
+
+def near_asked(
+    asked: np.ndarray, asked_group: np.ndarray, fp: np.ndarray, group: np.ndarray, radius: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) such that asked[a] and fp[b] are of one group and differ in at most `radius` bits."""
+    held = blocks(fp, group, int(max(asked_group.max(initial=-1), group.max(initial=-1))) + 1)
+    for row, block in entries(held.first[asked_group], held.count[asked_group]):
+        yield from within(asked, held, row, block, held.absent[block], radius)
 
 
 def spanning(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -198,7 +214,8 @@ def fingerprint_links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     work of its own, so no task holds more than two chunks and every pair of a bucket is still compared.
     """
     rows = fps.select("fp", F.explode(bucket_keys(F.col("fp"))).alias("bucket"))
-    sized = rows.withColumn("n", F.count("*").over(W.partitionBy("bucket"))).where("n > 1")
+    shared = checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = spread_join(rows, shared, "bucket", "fp", shared)
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     chunked = sized.withColumn("parts", parts).withColumn("own", own)
@@ -222,123 +239,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", words: int = WORDS) ->
     """
     bounded_batches(docs.sparkSession)
     base = checkpointed(fingerprints(docs, key, words))
-    first = base.groupBy("fp").agg(F.min(key).alias("first"))
+    first = checkpointed(base.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n")))
     roots = components(fingerprint_links(first.select("fp"))).withColumnRenamed("node", "fp")
     rooted = first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     known = checkpointed(rooted.join(least, "root").select("fp", "component_id"))
-    return base.join(known, "fp").select(key, "fp", "component_id")
-
-
-def sketches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: how many distinct shingles it has, a digest of their set, and MinHash keys of BANDS bands.
-
-    A text of fewer than WIDTH words has no shingle here: its likes have the same words, thus the same fingerprint.
-    """
-    words, counts = split_words(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-    found, ends = rolling_hashes(word_hashes(words), WIDTH), np.cumsum(counts)
-    sets = [
-        np.unique(mixed(found[end - n : end - WIDTH + 1])) if n >= WIDTH else np.zeros(0, np.uint64)
-        for n, end in zip(counts, ends)
-    ]
-    size = np.array([len(s) for s in sets], np.int64)
-    digest, keys = np.zeros(len(sets), np.uint64), np.zeros((len(sets), BANDS), np.uint64)
-    full = np.flatnonzero(size)
-    if len(full):
-        flat, starts = np.concatenate(sets), (np.cumsum(size) - size)[full]
-        digest[full] = np.add.reduceat(mixed(flat ^ FACTORS[0, 1]), starts)
-        for band in range(BANDS):
-            key = np.full(len(full), band, np.uint64)
-            for factor, offset in FACTORS[band * BAND_ROWS : (band + 1) * BAND_ROWS]:
-                key = mixed(key ^ np.minimum.reduceat(flat * factor + offset, starts)) + factor
-            keys[full, band] = key
-    return size, digest.view(np.int64), keys.view(np.int64)
-
-
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, size, digest, keys) of each row."""
-    bounded_batches(docs.sparkSession)
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            size, digest, keys = sketches(pa.array(pdf["text"], pa.large_string(), from_pandas=True))
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "text_hash": pdf["text_hash"],
-                    "fp": np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64),
-                    "size": size,
-                    "digest": digest,
-                    "keys": list(keys),
-                }
-            )
-
-    schema = T.StructType.fromDDL("text_hash long, fp long, size long, digest long, keys array<long>")
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(
-        scan, T.StructType([docs.schema["doc_id"], *schema.fields])
-    )
-
-
-def shingles(text: str) -> set[bytes]:
-    parts = text.encode("utf-8", "replace").lower().split()
-    return {b" ".join(parts[k : k + WIDTH]) for k in range(len(parts) - WIDTH + 1)}
-
-
-def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs (a, b) whose texts' shingles, compared word by word, are alike; pairs without texts are known to be."""
-    for pdf in frames:
-        kept = []
-        for x, y in zip(pdf["text_a"], pdf["text_b"]):
-            if x is None or y is None:
-                kept.append(True)
-                continue
-            one, other = shingles(x), shingles(y)
-            both = len(one & other)
-            kept.append(both >= SIMILARITY * (len(one) + len(other) - both) - 1e-9)
-        yield pdf.loc[kept, ["a", "b"]]
-
-
-def similar_links(docs: DataFrame, base: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (a, b) of roots of fingerprints, one for each pair of unlinked documents of which the shingles are alike.
-
-    base is `sketched(docs)`; roots (fp, root) says what is linked already. Documents of equal shingle sets are
-    compared as one. Pairs that share a band are held against each other's texts, so no link is a guess.
-    """
-    sets = base.where("size > 0").join(roots, "fp").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "text_hash", "root", "size", "keys")).alias("s"), F.collect_set("root").alias("all")
-    )
-    sets = checkpointed(sets.select("digest", "s.*", "all"))
-    same = sets.where(F.size("all") > 1).select(F.col("root").alias("a"), F.explode("all").alias("b"))
-    each = sets.select("digest", "root", "size", F.explode("keys").alias("band"))
-    one, other = (each.toDF(*[f"{c}_{side}" for c in each.columns[:-1]], "band") for side in "ab")
-    pairs = one.join(other, "band").where(
-        f"digest_a < digest_b AND root_a <> root_b AND size_a >= {SIMILARITY} * size_b - 1e-9"
-        f" AND size_b >= {SIMILARITY} * size_a - 1e-9"
-    ).select("digest_a", "digest_b").distinct()
-    pairs = checkpointed(pairs)
-    asked = pairs.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct()
-    named = sets.join(asked, "digest").select("doc_id", "text_hash", "digest", "root")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(
-        named, ["doc_id", "text_hash"]
-    ).dropDuplicates(["digest"])
-    texts = checkpointed(texts.select("digest", "root", "text"))
-    left, right = (texts.toDF(f"digest_{s}", s, f"text_{s}") for s in "ab")
-    held = pairs.join(left, "digest_a").join(right, "digest_b").select("a", "b", "text_a", "text_b")
-    return held.unionByName(same, allowMissingColumns=True).mapInPandas(alike, "a long, b long")
-
-
-def stage_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of each row: near_duplicates' links, and those of texts with SIMILARITY in runs of WIDTH words."""
-    base = checkpointed(sketched(docs))
-    found = components(fingerprint_links(base.select("fp").distinct())).withColumnRenamed("node", "fp")
-    roots = checkpointed(
-        base.select("fp").distinct().join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    )
-    joined = components(similar_links(docs, base, roots)).toDF("root", "top")
-    tops = roots.join(joined, "root", "left").select("fp", F.coalesce("top", "root").alias("top"))
-    named = checkpointed(base.select("doc_id", "fp").join(tops, "fp").select("doc_id", "top"))
-    least = named.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "top").select("doc_id", "component_id")
+    return spread_join(base, known, "fp", key, first).select(key, "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:

@@ -1,20 +1,20 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from routeloom.llm import simhash
-from tests.llm import test_pipeline
+from routeloom.llm import common, simhash, similar
 
 
 def plain_shingles(text):
     words = (text or "").lower().split()
-    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
 def plain_groups(rows):
-    """Smallest id of each group that links of 3 bits, and of Jaccard 0.8 in five-word shingles, connect."""
+    """Smallest id of each group that links of Jaccard 0.8 in five-word shingles connect; texts without words are alike."""
     root = list(range(len(rows)))
 
     def find(x):
@@ -22,12 +22,13 @@ def plain_groups(rows):
             x = root[x]
         return x
 
-    fps, sets = [simhash.fingerprint(t) for _, t in rows], [plain_shingles(t) for _, t in rows]
+    sets = [plain_shingles(t) for _, t in rows]
     for i in range(len(rows)):
         for j in range(i):
-            both, least = len(sets[i] & sets[j]), min(len(sets[i]), len(sets[j]))
-            close = least and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9
-            if close or (fps[i] ^ fps[j]).bit_count() <= 3:
+            if min(len(sets[i]), len(sets[j])) < 0.8 * max(len(sets[i]), len(sets[j])) - 1e-9:
+                continue
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {k: rows[find(i)][0] for i, (k, _) in enumerate(rows)}
@@ -44,12 +45,12 @@ def copies(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_stage_groups_equal_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk", "first"), [(2, 3, 1)])
+def test_stage_groups_equal_all_pairs(spark, seed, chunk, first):
     rows = copies(seed)
     want = plain_groups(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.stage_groups(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.stage_groups(docs, chunk, first).collect()}
     assert got == want
     by_bits = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert len(set(want.values())) < len(set(by_bits.values()))  # 3 bits alone keep copies
@@ -66,16 +67,41 @@ def test_texts_of_one_doc_id(spark):
     other = [*words[:100], "x", *words[101:]]
     rows = [(1, " ".join(words)), (2, "a b c d e f"), (2, " ".join(other)), (3, "a b c d e g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
-    named = sorted(tuple(r) for r in simhash.stage_groups(docs).collect())
+    named = sorted(tuple(r) for r in similar.stage_groups(docs).collect())
     assert named == [(1, 1), (2, 1), (2, 2), (3, 3)]
 
 
-def test_run_equals_plain_stages_with_alike_texts(monkeypatch, spark, sf_dir, documents):
-    """The whole pipeline against the plain stages, with the groups of this module in place of those of 3 bits alone."""
-    monkeypatch.setattr(test_pipeline, "plain_fingerprint", lambda text: text)
-    monkeypatch.setattr(
-        test_pipeline,
-        "plain_components",
-        lambda keys, texts: list(map(plain_groups(list(zip(keys, texts))).get, keys)),
-    )
-    test_pipeline.test_run_equals_plain_stages(spark, sf_dir, documents)
+def crowd(seed, n=300):
+    """A third of the documents are copies of one text with a few words replaced; others share a bucket without being alike."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    out = []
+    for k in range(n):
+        share = rng.choice([0, 0.01, 0.02, 0.05, 0.08]) if k % 3 else 1
+        out.append(" ".join(f"x{rng.randrange(5000)}" if rng.random() < share else w for w in base))
+    return list(enumerate(out)) + [(n, None), (n + 1, " "), (n + 2, "a b"), (n + 3, "A  B"), (n + 4, "a b c")]
+
+
+@pytest.mark.parametrize(("chunk", "first"), [(16, 1)])
+def test_one_dominant_group(spark, monkeypatch, chunk, first):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "SHARE", 20)
+    rows = crowd(5)
+    got = {r["doc_id"]: r["component_id"] for r in similar.stage_groups(
+        spark.createDataFrame(rows, "doc_id long, text string"), chunk, first
+    ).collect()}
+    assert got == plain_groups(rows)
+
+
+def test_fingerprints_of_alike_sets_are_within_the_radius():
+    rng = np.random.default_rng(1)
+    far = 0
+    for _ in range(2000):
+        n = int(rng.integers(5, 300))
+        a = rng.integers(1 << 63, size=n, dtype=np.uint64)
+        differ = max(1, int(n * 0.11))  # a Jaccard likeness of about 0.8
+        b = np.concatenate([a[differ:], rng.integers(1 << 63, size=differ, dtype=np.uint64)])
+        bits = int(np.bitwise_count(similar.wide_fingerprint(a) ^ similar.wide_fingerprint(b)).sum())
+        if len(np.intersect1d(a, b)) >= 0.8 * (2 * n - len(np.intersect1d(a, b))):
+            far = max(far, bits)
+    assert 0 < far <= similar.RADIUS

@@ -6,8 +6,8 @@ import corpus_pipeline
 from routeloom.llm import decontamination, mixing, quality, sharding, simhash
 from tests.llm.test_decontamination import brute as contained
 from tests.llm.test_mixing import drawn
+from tests.llm.test_near_stage import plain_groups
 from tests.llm.test_sharding import plain_jump
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,8 +23,8 @@ def test_run_equals_plain_stages(spark, sf_dir, documents):
     scored = {r["doc_id"]: r["predicted"] for r in quality.op6_quality(spark, sf_dir).collect()}
     docs = sorted((tuple(r) for r in documents.select(*COLUMNS).collect()), key=lambda r: r[0])
     kept = [r for r in docs if scored[r[0]] == 1]
-    groups = plain_components([r[0] for r in kept], [plain_fingerprint(r[1]) for r in kept])
-    kept = [r for r, g in zip(kept, groups) if r[0] == g]
+    groups = plain_groups([r[:2] for r in kept])  # the stage's rule: five words, Jaccard 0.8
+    kept = [r for r in kept if r[0] == groups[r[0]]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     dirty = {w[0] for w in contained([(r[0], r[1]) for r in kept], items)}
     kept = [r for r in kept if r[0] not in dirty]
