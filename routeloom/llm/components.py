@@ -19,20 +19,19 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpointed(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
-    seen = None
     for _ in range(MAX_ROUNDS):
-        stamp = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if stamp == seen or stamp[0] == 0:
+        total, ends = now.count(), now.groupBy("a").agg(F.count("*").alias("n"))
+        many = ends.where("n > 1").select("a").unionByName(now.select(F.col("b").alias("a")).join(now, "a", "left_semi"))
+        if not total or many.isEmpty():  # each node has one neighbour, and that has none above it: the edges are stars
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root"))
             ).distinct()
-        seen = stamp
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        known = spread_join(both, least, "a", "b", least, 2 * stamp[0])
+        known = spread_join(both, least, "a", "b", least, 2 * total)
         large = known.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        known = spread_join(large, least, "a", "b", least, 2 * stamp[0])
+        known = spread_join(large, least, "a", "b", least, 2 * total)
         small = known.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         before, now = now, checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         forget(before)

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,8 @@ from routeloom.llm.common import bounded_batches, by_name, mixed, numbered, roll
 WINDOW = 20
 #: Windows that a task hashes before it sends them on.
 RUN_WORDS = 1_000_000
+#: Bytes of text whose windows are sorted and counted at a time, about 24 bytes of memory a window.
+BUCKET_BYTES = 32 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -42,10 +44,28 @@ def packed(hashes: np.ndarray, ordinals: np.ndarray, ids: np.ndarray, counts: np
     )
 
 
+def placed(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> bytes:
+    """Sorted window hashes with the id and first word of each."""
+    head = np.array([len(hashes), 0], "<u8").tobytes()
+    sizes = planes(np.diff(hashes, prepend=np.uint64(0)).astype("<u8"))
+    return zstandard.compress(head + sizes + planes(ids.astype("<i8")) + planes(starts.astype("<u4")), 1)
+
+
+def count_of(data: bytes) -> int:
+    """The windows of a packed blob."""
+    return int.from_bytes(zstandard.ZstdDecompressor().stream_reader(data).read(8), "little")
+
+
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, id, first word) of each window."""
+    """(hash, id, first word) of each window that `packed` or `placed` took."""
     view = memoryview(zstandard.decompress(data))
     n, docs = (int(x) for x in np.frombuffer(view, "<u8", 2))
+    if not docs:
+        return (
+            np.cumsum(unplanes(view[16:], "<u8", n), dtype=np.uint64),
+            unplanes(view[16 + 8 * n :], "<i8", n),
+            unplanes(view[16 + 16 * n :], "<u4", n).astype(np.int64),
+        )
     hashes = np.cumsum(unplanes(view[16:], "<u8", n), dtype=np.uint64)
     ordinals = unplanes(view[16 + 8 * n :], "<u4", n).astype(np.int64)
     ids = np.cumsum(unplanes(view[16 + 12 * n :], "<i8", docs), dtype=np.int64)
@@ -125,10 +145,50 @@ def hash_runs(width: int, buckets: int):
     return scan
 
 
-def later_windows(width: int):
-    """Rows of hash_runs, sorted by bucket, to rows (id, span): each window that starts earlier elsewhere, and the runs' own intervals.
+def finer(buckets: int, parts: int):
+    """Rows of hash_runs to rows (bucket, windows, removed): a bucket's windows dealt by hash into `parts` parts.
+
+    Blobs are joined until they hold RUN_WORDS windows, so parts stay large enough to pack well.
+    """
+
+    def split(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        hashes, ids, starts = (np.concatenate(x) for x in zip(*map(unpacked, blobs)))
+        order = np.lexsort((starts, ids, hashes))
+        hashes, ids, starts = hashes[order], ids[order], starts[order]
+        step = (1 << 64) // (buckets * parts) + 1
+        part = (hashes // np.uint64(step)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        for low, high in zip(edge, [*edge[1:], len(part)]):
+            # each window counts as a document of its own here: its id, and its start as the words before it
+            yield batch([int(part[low])], [placed(hashes[low:high], ids[low:high], starts[low:high])], [None])
+
+    def batch(part: list, windows: list, removed: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.int64()), pa.array(windows, pa.binary()), pa.array(removed, pa.binary())],
+            names=["bucket", "windows", "removed"],
+        )
 
-    A span is start * 2**32 + end."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, held = [], 0
+        for rows in batches:
+            for windows, removed in zip(*(c.to_pylist() for c in rows.columns[1:])):
+                if removed:
+                    yield batch([-1], [None], [removed])
+                    continue
+                blobs.append(windows)
+                held += count_of(windows)
+                if held >= RUN_WORDS:
+                    yield from split(blobs)
+                    blobs, held = [], 0
+        if blobs:
+            yield from split(blobs)
+
+    return scan
+
+
+def later_windows(width: int):
+    """Rows of hash_runs or finer, sorted by bucket, to rows (id, span): each window that starts earlier elsewhere, and the
+    runs' own intervals. A span is start * 2**32 + end."""
 
     def rows(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -170,25 +230,40 @@ def later_windows(width: int):
     return scan
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", width: int = WINDOW) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, key: str = "doc_id", width: int = WINDOW, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """(__id, __spans): per key the spans, unmerged, of windows whose words also start earlier (smaller key, or same key, earlier start).
 
     A null key counts as the largest. Every window's hash (64 bits) reaches the bucket of its hash once for each run of
-    documents that holds it, so a passage that many documents share is combined before the shuffle.
+    documents that holds it, so a passage that many documents share is combined before the shuffle. Buckets of more than
+    `bucket_bytes` of text are dealt again, within their partition, so what a task sorts at a time doesn't grow with the
+    data.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
+    ids = id_of(docs, key)
     runs = docs.select(ids.alias("__id"), "text").mapInArrow(
         hash_runs(width, buckets), "bucket int, windows binary, removed binary"
     )
-    dealt = runs.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(
+    dealt = runs.repartition("bucket")
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-held // (buckets * bucket_bytes))
+    if parts > 1:  # the second deal is local; Spark sorts its parts and spills them
+        dealt = dealt.mapInArrow(finer(buckets, parts), "bucket long, windows binary, removed binary")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(
         later_windows(width), "__id long, span long"
     ).groupBy("__id").agg(F.collect_list("span").alias("__spans"))
 
 
+def id_of(docs: DataFrame, key: str) -> Column:
+    """A key as a number: integers are their own, null the largest. Other types raise: no order of theirs is stated."""
+    if not isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{key} must be an integer column")
+    return F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
+
+
 def kept_words(text: bytes | None, spans: np.ndarray) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
     """A text's words, those that stay, and the maximal removed intervals (first word, end)."""
     words = (text or b"").split()
@@ -203,15 +278,17 @@ def kept_words(text: bytes | None, spans: np.ndarray) -> tuple[list[bytes], list
     return words, left, low, high
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, key: str = "doc_id", width: int = WINDOW, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """`docs` with kept_text (the words that stay, joined by one space), n_words, n_removed, kept_sha256 and removed.
 
     A word goes if a window of `width` consecutive words that covers it also starts earlier; windows are judged on the
     input. removed has the maximal intervals (start, end) of removed words. A text of fewer words, empty or null has
     no windows and keeps all words. Rows of one key are taken as repeats of one document: none is earlier than the
-    other, and an interval goes from each. Columns of the added names are replaced; an empty table gives an empty result.
+    other, and an interval goes from each. The key is an integer column; others raise TypeError. Columns of the added names are replaced; an empty table gives an empty result.
     """
-    found = repeated_spans(docs, key, width)
+    found = repeated_spans(docs, key, width, bucket_bytes)
     added = {
         "kept_text": "string",
         "n_words": "long",
@@ -220,7 +297,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", width: int = WINDOW)
         "removed": "array<struct<start:int,end:int>>",
     }
     kept = [c for c in docs.columns if c.lower() not in added]
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(int(LAST)))
+    ids = id_of(docs, key)
 
     @F.pandas_udf(T.BinaryType())
     def pack(texts: pd.Series) -> pd.Series:

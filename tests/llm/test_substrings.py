@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from routeloom.llm import common, substrings
 
@@ -74,6 +75,28 @@ def test_intervals_are_maximal_and_match_the_text(spark):
     assert out[1]["removed"] == [] and out[1]["kept_text"] == "a b c d e f g"
 
 
+def test_buckets_that_are_dealt_again(spark):
+    """However little text a bucket may hold, the result is the same; a passage that most documents share is one hot window."""
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(12)]
+    rows = [
+        (k, " ".join([f"w{rng.randrange(30)}" for _ in range(rng.randint(0, 40))] + shared * (k % 3 > 0) + ["end"] * (k % 5)))
+        for k in range(120)
+    ] + [(300, "again a b c d"), (300, "again a b c d"), (None, "w1 w2 w3 w4 w5"), (200, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    whole = got(substrings.dedup_substrings(df, width=4))
+    assert whole == brute(rows, 4)
+    for most in (1, 40):
+        assert got(substrings.dedup_substrings(df, width=4, bucket_bytes=most)) == whole
+
+
+def test_keys_that_are_no_integers_raise(spark):
+    for kind in ("string", "double"):
+        df = spark.createDataFrame([("a b c", "1")], "text string, k string").withColumn("doc_id", F.col("k").cast(kind))
+        with pytest.raises(TypeError, match="integer"):
+            substrings.dedup_substrings(df)
+
+
 def test_overlapping_repeats_within_one_document(spark):
     rows = [(1, "a a a a a a"), (2, "b c b c b c b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
