@@ -9,77 +9,118 @@ from pyspark.sql import Window as W
 
 from routeloom.llm.common import by_name, table, with_columns
 
-#: Code points of one mark, a piece of a paragraph below the tree's paragraphs, and hex digits that are kept of its hash.
-MARK_CHARS, MARK_DIGITS = 32, 8
+#: A leaf is a piece of a paragraph: whole words, of at least LEAF_CHARS code points and at most LONGEST, so that pieces
+#: after an inserted word soon start at the same words again.
+LEAF_CHARS, LONGEST = 16, 48
+LEAF = f"[^\\n]{{{LEAF_CHARS},{LONGEST}}}?(?:\\x20|\\z)|[^\\n]{{1,{LONGEST}}}"
+#: Hex digits of a node's and of a leaf's digest that a fingerprint keeps; the root's are kept whole.
+NODE_DIGITS, LEAF_DIGITS = 16, 8
 LEAST = -(1 << 63)
 
 
-def sections(text: Column) -> Column:
-    """array<struct<digest, paragraphs: array<struct<digest, n_chars>>>>: an empty line ends a section, a line a paragraph.
+def leaves(paragraph: Column) -> Column:
+    """The digests of a paragraph's pieces."""
+    return F.transform(F.regexp_extract_all(paragraph, F.lit(f"({LEAF})"), 1), lambda p: F.sha2(p, 256))
 
-    A paragraph's digest is the SHA-256 of its text, a section's that of its paragraphs' digests in a row.
+
+def digest(parts: Column) -> Column:
+    """An inner node's digest: that of its parts' digests in a row."""
+    return F.sha2(F.array_join(parts, ""), 256)
+
+
+def tree(text: Column) -> Column:
+    """array<struct<digest, paragraphs: array<struct<digest, leaves: array<string>>>>>: the sections of a text.
+
+    An empty line ends a section, a line a paragraph, and a paragraph is cut into leaves. A leaf's digest is the SHA-256
+    of its text, any other node's that of its parts' digests, so equal digests stand for equal texts.
     """
 
+    def paragraph(line: Column) -> Column:
+        own = leaves(line)
+        return F.struct(digest(own).alias("digest"), own.alias("leaves"))
+
     def section(part: Column) -> Column:
-        paragraphs = F.transform(
-            F.split(part, "\n"), lambda p: F.struct(F.sha2(p, 256).alias("digest"), F.length(p).alias("n_chars"))
-        )
+        paragraphs = F.transform(F.split(part, "\n"), paragraph)
         return F.struct(
-            F.sha2(F.array_join(F.transform(paragraphs, lambda p: p["digest"]), ""), 256).alias("digest"),
-            paragraphs.alias("paragraphs"),
+            digest(F.transform(paragraphs, lambda p: p["digest"])).alias("digest"), paragraphs.alias("paragraphs")
         )
 
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), section)
 
 
-def root(tree: Column) -> Column:
-    """The SHA-256 of the sections' digests: texts are equal if their roots are."""
-    return F.sha2(F.array_join(F.transform(tree, lambda s: s["digest"]), ""), 256)
+def root(sections: Column) -> Column:
+    """The digest of the sections' digests: texts are equal if their roots are."""
+    return digest(F.transform(sections, lambda s: s["digest"]))
 
 
-def text_root(text: Column) -> Column:
-    """root(sections(text)) without the parts in between."""
+def written(sections: Column) -> Column:
+    """A tree below its root as text: `section:paragraph,paragraph;section:...`, each node its short digest.
 
-    def section(part: Column) -> Column:
-        return F.sha2(F.array_join(F.transform(F.split(part, "\n"), lambda p: F.sha2(p, 256)), ""), 256)
+    A paragraph's is followed by those of its leaves; so branches are equal as text if they are equal as trees.
+    """
 
-    return F.sha2(F.array_join(F.transform(F.split(text, "\n\n"), section), ""), 256)
+    def paragraph(p: Column) -> Column:
+        own = F.array_join(F.transform(p["leaves"], lambda d: F.substring(d, 1, LEAF_DIGITS)), "")
+        return F.concat(F.substring(p["digest"], 1, NODE_DIGITS), own)
 
+    def section(s: Column) -> Column:
+        return F.concat(
+            F.substring(s["digest"], 1, NODE_DIGITS), F.lit(":"), F.array_join(F.transform(s["paragraphs"], paragraph), ",")
+        )
+
+    return F.array_join(F.transform(sections, section), ";")
 
-def marks(text: Column) -> Column:
-    """Short hashes of the pieces, of at most MARK_CHARS code points, that every paragraph is cut into from its start."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(f"([^\\n]{{1,{MARK_CHARS}}})"), 1),
-        lambda m: F.substring(F.md5(m), 1, MARK_DIGITS),
-    )
+
+def fingerprint(sections: Column) -> Column:
+    return F.concat_ws(";", root(sections), written(sections))
+
+
+def _sections(print_: Column) -> Column:
+    return F.slice(F.split(print_, ";"), 2, 1 << 30)
+
+
+def _paragraphs(sections: Column) -> Column:
+    return F.flatten(F.transform(sections, lambda s: F.split(F.substring(s, NODE_DIGITS + 2, 1 << 30), ",")))
+
+
+def _leaves(paragraphs: Column) -> Column:
+    each = F.concat_ws("", F.transform(paragraphs, lambda p: F.substring(p, NODE_DIGITS + 1, 1 << 30)))
+    return F.regexp_extract_all(each, F.lit(f"(.{{{LEAF_DIGITS}}})"), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of distinct marks in common (Dice): 1 for equal sets; 0 if only one of them, or neither, has any."""
-    shared, total = F.size(F.array_intersect(a, b)), F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
-    return F.when(total == 0, F.lit(0.0)).otherwise(2.0 * shared / total)
+    """How alike two fingerprints are, from 0 to 1, by descending both trees.
+
+    Sections that both have are not opened, nor are paragraphs that the opened sections of both have; of what is left,
+    distinct leaves are compared. It is 1 less the share of leaves that only one side has among all leaves, those that
+    repeat within an opened branch counting once. Equal roots are alike by 1; texts of which one, or none, has leaves by 0.
+    """
+    below_a, below_b = _sections(a), _sections(b)
+    parts_a, parts_b = (_paragraphs(F.array_except(x, y)) for x, y in ((below_a, below_b), (below_b, below_a)))
+    left_a, left_b = (_leaves(F.array_except(x, y)) for x, y in ((parts_a, parts_b), (parts_b, parts_a)))
+    apart = F.size(F.array_except(left_a, left_b)) + F.size(F.array_except(left_b, left_a))
+
+    def count(sections: Column) -> Column:
+        return F.size(_leaves(_paragraphs(sections)))
+
+    total = count(below_a) + count(below_b)
+    return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(
+        1 - apart / total
+    )
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with tree (sections and their paragraphs), root and fingerprint.
+    """`docs` with tree (sections, their paragraphs and leaves), root and fingerprint (the root and the written tree).
 
-    The fingerprint is the root and, after a colon, the marks. A null text counts as empty; equal texts, repeated rows
-    included, have equal trees; columns of these names are replaced; an empty table gives an empty result.
+    A null text counts as empty; equal texts, repeated rows included, have equal trees; columns of these names are
+    replaced; an empty table gives an empty result.
     """
-    treed = with_columns(docs, {"tree": sections(F.col(text))})
-    return with_columns(
-        treed,
-        {
-            "root": root(F.col("tree")),
-            "fingerprint": F.concat_ws(
-                "", root(F.col("tree")), F.lit(":"), F.array_join(marks(F.coalesce(text, F.lit(""))), "")
-            ),
-        },
-    )
+    treed = with_columns(docs, {"tree": tree(F.col(text))})
+    return with_columns(treed, {"root": root(F.col("tree")), "fingerprint": fingerprint(F.col("tree"))})
 
 
-def edits(pairs: DataFrame, a: str = "tree_a", b: str = "tree_b") -> DataFrame:
-    """`pairs` of trees with edits: array<struct<section, paragraph>>, the places (from 0) whose branches differ.
+def differing(a: Column, b: Column) -> Column:
+    """array<struct<section, paragraph>>: the places (from 0) at which two trees' branches differ.
 
     Only sections of different digests are opened, and only their paragraphs of different digests are named; a place
     that one tree lacks differs.
@@ -92,17 +133,19 @@ def edits(pairs: DataFrame, a: str = "tree_a", b: str = "tree_b") -> DataFrame:
         return ~F.get(x, k)["digest"].eqNullSafe(F.get(y, k)["digest"])
 
     def inside(s: Column) -> Column:
-        x, y = (
-            F.coalesce(F.get(F.col(t), s)["paragraphs"], F.array().cast("array<struct<digest:string,n_chars:int>>"))
-            for t in (a, b)
-        )
+        none = F.filter(F.get(a, F.lit(0))["paragraphs"], lambda p: F.lit(False))
+        x, y = (F.coalesce(F.get(t, s)["paragraphs"], none) for t in (a, b))
         return F.transform(
             F.filter(spots(x, y), lambda p: differs(x, y, p)),
             lambda p: F.struct(s.alias("section"), p.alias("paragraph")),
         )
 
-    changed = F.filter(spots(F.col(a), F.col(b)), lambda s: differs(F.col(a), F.col(b), s))
-    return with_columns(pairs, {"edits": F.flatten(F.transform(changed, inside))})
+    return F.flatten(F.transform(F.filter(spots(a, b), lambda s: differs(a, b, s)), inside))
+
+
+def edits(pairs: DataFrame, a: str = "tree_a", b: str = "tree_b") -> DataFrame:
+    """`pairs` of trees with edits, the places at which their branches differ; see differing."""
+    return with_columns(pairs, {"edits": differing(F.col(a), F.col(b))})
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,30 +209,68 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
             "edited": F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half)),
         },
     )
-    marked = with_columns(
-        edited, {"own": marks(F.col("text")), "after": marks(F.col("edited")), "other": marks(F.col("next_text"))}
+    treed = with_columns(
+        edited, {"own": tree(F.col("text")), "after": tree(F.col("edited")), "other": tree(F.col("next_text"))}
     )
-    rooted = with_columns(marked, {"root": text_root(F.col("text")), "edited_root": text_root(F.col("edited"))})
-    same = F.col("root") == F.col("edited_root")
-    return rooted.select(
+    # paragraphs are numbered through the whole text: one per line
+    named = with_columns(treed, {c: fingerprint(F.col(t)) for c, t in (("f", "own"), ("g", "after"), ("h", "other"))})
+    return named.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.concat("root", F.lit(":"), F.array_join("own", "")).alias("fingerprint"), F.concat("edited_root", F.lit(":"), F.array_join("after", "")).alias("edited_fingerprint"),
-        F.when(same, F.lit(1.0)).otherwise(likeness(F.col("own"), F.col("after"))).alias("near_edited"),
-        F.when(F.col("text") == F.col("next_text"), F.lit(1.0)).otherwise(likeness(F.col("own"), F.col("other"))).alias("near_next"),
+        F.col("f").alias("fingerprint"), F.col("g").alias("edited_fingerprint"),
+        F.round(likeness(F.col("f"), F.col("g")), 9).alias("near_edited"),
+        F.round(likeness(F.col("f"), F.col("h")), 9).alias("near_next"),
+        F.array_join(
+            F.transform(differing(F.col("own"), F.col("after")), lambda e: F.concat_ws(".", e["section"], e["paragraph"])), ","
+        ).alias("edits"),
     )
 
 
-def _root_sql(text: str) -> str:
-    return f"sha256(array_to_string(list_transform(string_split({text}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"
+def _leaves_sql(line: str) -> str:
+    return f"list_transform(regexp_extract_all({line}, '{LEAF}'), lambda m: sha256(m))"
+
+
+def _tree_sql(text: str) -> str:
+    """A list of sections, each a list of paragraphs, each a list of its leaves' digests."""
+    return (
+        f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s:"
+        f" list_transform(string_split(s, chr(10)), lambda p: {_leaves_sql('p')}))"
+    )
+
+
+PARAGRAPH_SQL = "sha256(array_to_string({p}, ''))"
+SECTION_SQL = f"sha256(array_to_string(list_transform({{s}}, lambda q: {PARAGRAPH_SQL.format(p='q')}), ''))"
+
+
+def _root_sql(t: str) -> str:
+    return f"sha256(array_to_string(list_transform({t}, lambda r: {SECTION_SQL.format(s='r')}), ''))"
+
+
+def _written_sql(t: str) -> str:
+    """A list of sections as text."""
+    own = f"array_to_string(list_transform(q, lambda d: substr(d, 1, {LEAF_DIGITS})), '')"
+    paragraph = f"substr({PARAGRAPH_SQL.format(p='q')}, 1, {NODE_DIGITS}) || {own}"
+    lines = f"array_to_string(list_transform(r, lambda q: {paragraph}), ',')"
+    return f"list_transform({t}, lambda r: substr({SECTION_SQL.format(s='r')}, 1, {NODE_DIGITS}) || ':' || {lines})"
+
+
+def _except_sql(x: str, y: str) -> str:
+    return f"list_filter(list_distinct({x}), lambda v: NOT list_contains({y}, v))"
+
+
+def _paragraphs_sql(x: str) -> str:
+    return f"flatten(list_transform({x}, lambda r: string_split(substr(r, {NODE_DIGITS + 2}), ',')))"
 
 
-def _marks_sql(text: str) -> str:
-    return f"list_transform(regexp_extract_all({text}, '[^\\n]{{1,{MARK_CHARS}}}'), lambda m: substr(md5(m), 1, {MARK_DIGITS}))"
+def _digests_sql(x: str) -> str:
+    return f"regexp_extract_all(array_to_string(list_transform({x}, lambda q: substr(q, {NODE_DIGITS + 1})), ''), '.{{{LEAF_DIGITS}}}')"
 
 
-def _likeness_sql(a: str, b: str) -> str:
-    total = f"(len(list_distinct({a})) + len(list_distinct({b})))"
-    return f"CASE WHEN {total} = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(list_distinct({a}), list_distinct({b}))) / {total} END"
+def _edits_sql(x: str, y: str) -> str:
+    section, paragraph = SECTION_SQL.format, PARAGRAPH_SQL.format
+    spot = f"{paragraph(p=f'{x}[i][j]')} IS DISTINCT FROM {paragraph(p=f'{y}[i][j]')}"
+    inside = f"list_transform(list_filter(range(1, greatest(coalesce(len({x}[i]), 0), coalesce(len({y}[i]), 0)) + 1), lambda j: {spot}), lambda j: (i - 1) || '.' || (j - 1))"
+    spots = f"list_filter(range(1, greatest(len({x}), len({y})) + 1), lambda i: {section(s=f'{x}[i]')} IS DISTINCT FROM {section(s=f'{y}[i]')})"
+    return f"array_to_string(flatten(list_transform({spots}, lambda i: {inside})), ',')"
 
 
 OP3_SQL = f"""
@@ -198,12 +279,18 @@ n AS (
   SELECT doc_id, text, COALESCE(LEAD(text) OVER (ORDER BY doc_id DESC, text), FIRST_VALUE(text) OVER (ORDER BY doc_id DESC, text)) AS next_text FROM d),
 e AS (
   SELECT *, LENGTH(text) AS n_chars, substr(text, 1, LENGTH(text) - LENGTH(text) // 2) || substr(next_text, 1, LENGTH(text) // 2) AS edited FROM n),
-m AS (
-  SELECT *, {_root_sql("text")} AS root, {_root_sql("edited")} AS edited_root,
-         {_marks_sql("text")} AS own, {_marks_sql("edited")} AS after, {_marks_sql("next_text")} AS other FROM e)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, root || ':' || array_to_string(own, '') AS fingerprint,
-       edited_root || ':' || array_to_string(after, '') AS edited_fingerprint,
-       CASE WHEN root = edited_root THEN 1.0 ELSE {_likeness_sql("own", "after")} END AS near_edited,
-       CASE WHEN text = next_text THEN 1.0 ELSE {_likeness_sql("own", "other")} END AS near_next
-FROM m
+t AS (SELECT *, {_tree_sql("text")} AS t0, {_tree_sql("edited")} AS t1, {_tree_sql("next_text")} AS t2 FROM e),
+w AS (SELECT *, {_root_sql("t0")} AS r0, {_root_sql("t1")} AS r1, {_root_sql("t2")} AS r2,
+        {_written_sql("t0")} AS s0, {_written_sql("t1")} AS s1, {_written_sql("t2")} AS s2 FROM t),
+p AS (SELECT *, {_paragraphs_sql(_except_sql("s0", "s1"))} AS a1, {_paragraphs_sql(_except_sql("s1", "s0"))} AS b1,
+        {_paragraphs_sql(_except_sql("s0", "s2"))} AS a2, {_paragraphs_sql(_except_sql("s2", "s0"))} AS b2,
+        len({_digests_sql(_paragraphs_sql("s0"))}) AS n0, len({_digests_sql(_paragraphs_sql("s1"))}) AS n1, len({_digests_sql(_paragraphs_sql("s2"))}) AS n2 FROM w),
+l AS (SELECT *, {_digests_sql(_except_sql("a1", "b1"))} AS c1, {_digests_sql(_except_sql("b1", "a1"))} AS d1,
+        {_digests_sql(_except_sql("a2", "b2"))} AS c2, {_digests_sql(_except_sql("b2", "a2"))} AS d2 FROM p)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, r0 || ';' || array_to_string(s0, ';') AS fingerprint,
+       r1 || ';' || array_to_string(s1, ';') AS edited_fingerprint,
+       ROUND(CASE WHEN r0 = r1 THEN 1.0 WHEN n0 + n1 = 0 THEN 0.0 ELSE 1 - (len({_except_sql("c1", "d1")}) + len({_except_sql("d1", "c1")})) / (n0 + n1) END, 9) AS near_edited,
+       ROUND(CASE WHEN r0 = r2 THEN 1.0 WHEN n0 + n2 = 0 THEN 0.0 ELSE 1 - (len({_except_sql("c2", "d2")}) + len({_except_sql("d2", "c2")})) / (n0 + n2) END, 9) AS near_next,
+       {_edits_sql("t0", "t1")} AS edits
+FROM l
 """

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from routeloom.llm.common import bounded_batches, table, with_columns
+from routeloom.llm.common import bounded_batches, by_name, table, with_columns
 
 SHARDS = 8
+#: Groups of rows in which each shard is numbered; the table of their sizes, shards x blocks rows, is broadcast.
+BLOCKS = 1024
 #: Multiplier of the generator that the method prescribes.
 MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -53,20 +55,29 @@ def stable_key(docs: DataFrame, key: str) -> Column:
     ) if whole else F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.xxhash64(key))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
+def hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash the type: maps, and what holds them, can't be."""
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
+
+
+def shard_documents(
+    docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", blocks: int = BLOCKS
+) -> DataFrame:
     """`docs` with shard, grown_shard (the shard if there were one more) and slot (0, 1, ... within the shard).
 
     Only the key and the number of shards decide. Rows of equal keys (copies of a row, or all null keys, which count
-    as 0) share a shard and get slots of their own. A shard is numbered in blocks of its keys, each its own group of
-    rows: the blocks' sizes give the number at which each starts, so no task sees a whole shard. An empty table gives
-    an empty result; columns named shard, grown_shard or slot are replaced, other columns stay.
+    as 0) share a shard and get slots of their own, in the order of the row's hash, so slots don't depend on partitions
+    or settings; rows that agree in everything are interchangeable. A shard is numbered in `blocks` blocks of its rows,
+    each its own group: the blocks' sizes give the number at which each starts, so no task sees a whole shard or all
+    rows of one key. An empty table gives an empty result; columns named shard, grown_shard or slot are replaced, other columns stay.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    block = F.pmod(F.xxhash64("__key"), F.lit(blocks)).cast("int")
-    keyed = with_columns(docs, {"__key": stable_key(docs, key)})
-    counts = keyed.select("__key").select(
+    # rows of one key are dealt by the hash of the whole row, so many copies, or null keys, don't lie in one block
+    row = F.xxhash64(*by_name([c for c in docs.columns if hashable(docs.schema[c].dataType)]))
+    keyed = with_columns(docs, {"__key": stable_key(docs, key), "__row": row})
+    block = F.pmod(F.xxhash64("__key", "__row"), F.lit(blocks)).cast("int")
+    counts = keyed.select("__key", "__row").select(
         jump_column(F.col("__key"), shards).alias("__shard"), block.alias("__block")
     ).groupBy("__shard", "__block").count()
     before = W.partitionBy("__shard").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
@@ -83,10 +94,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id")
         F.broadcast(starts.withColumnRenamed("__block", "__b")),
         (F.col("shard") == F.col("__shard")) & (F.col("__block") == F.col("__b")),
     )
-    order = W.partitionBy("shard", "__block").orderBy("__key")
+    order = W.partitionBy("shard", "__block").orderBy("__key", "__row")
     return with_columns(
         joined, {"slot": F.col("__start") + F.row_number().over(order) - 1}
-    ).drop("__key", "__block", "__b", "__shard", "__start")
+    ).drop("__key", "__row", "__block", "__b", "__shard", "__start")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

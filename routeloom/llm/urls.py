@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import checkpointed, table, with_columns
+from routeloom.llm.common import checkpointed, forget, table, with_columns
 
 #: Fixed values: (host, start of path, verdict).
 RULES = (
@@ -17,7 +18,11 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-DAMPING, ROUNDS, TOLERANCE, BLOCK_SHARE = 0.85, 30, 1e-9, 0.5
+DAMPING, TOLERANCE, BLOCK_SHARE = 0.85, 1e-9, 0.5
+#: Rounds of a walk that one job computes.
+JOB_ROUNDS = 8
+#: What a host may still lack when rounds end, at most; equality with the bound is meant up to it.
+SLACK = TOLERANCE * DAMPING / (1 - DAMPING)
 #: Rules are compiled into the plan, up to so many.
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,15 +68,20 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def rounds_needed(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """After so many rounds no host moves by more than the tolerance: a round moves at most `damping` times what the last one did."""
+    return JOB_ROUNDS * math.ceil(max(1, math.log(tolerance) / math.log(damping)) / JOB_ROUNDS + 1)
+
+
 def spread(
-    seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE
+    seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """(host, trust, distrust, neutral): two walks that restart at the seeds, over links and over reversed links.
 
     trust = (1 - damping) * seed + damping * what the hosts that link here pass on, each in equal parts a linking page;
     distrust likewise from the hosts that are linked to. seeds has host, trust, distrust and neutral, whose sum is 1;
-    a host that is only linked to is neutral. Rounds end at the tolerance; each is written to the shared checkpoint
-    folder. Without links no round is needed.
+    a host that is only linked to is neutral. Rounds end when no host moves by more than the tolerance, which
+    rounds_needed bounds; JOB_ROUNDS at a time are written to the shared checkpoint folder. Without links no round is needed.
     """
     links = checkpointed(links)
     if links.isEmpty():
@@ -82,42 +92,48 @@ def spread(
             "src", "dst", (F.col("n") / F.col("src_n")).alias("along"), (F.col("n") / F.col("dst_n")).alias("back")
         )
     )
-    ends = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).distinct()
+    # trust goes along an edge, distrust back; so one table says what each host gets of each other one
+    moves = checkpointed(
+        edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("along").alias("t"), F.lit(0.0).alias("d"))
+        .unionByName(edges.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), F.col("back").alias("d")))
+    )
+    ends = moves.select(F.col("from").alias("host")).distinct()
     base = checkpointed(
         ends.join(seeds, "host", "full").select(
             "host",
             *[
-                F.coalesce(c, F.lit(v)).alias(f"seed_{c}")
+                ((1 - damping) * F.coalesce(c, F.lit(v))).alias(c)
                 for c, v in (("trust", 0.0), ("distrust", 0.0), ("neutral", 1.0))
             ],
         )
     )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    now = base.select("host", *[((1 - damping) * F.col(f"seed_{c}")).alias(c) for c in ("trust", "distrust")])
-    for _ in range(rounds):
-        ahead = edges.join(now, edges["src"] == now["host"]).select(
-            F.col("dst").alias("to"), (F.col("trust") * F.col("along")).alias("t"), F.lit(0.0).alias("d")
+    restart = base.select("host", "trust", "distrust")
+
+    def step(now: DataFrame) -> DataFrame:
+        passed = moves.join(now, F.col("from") == F.col("host")).select(
+            F.col("to").alias("host"),
+            (damping * F.col("trust") * F.col("t")).alias("trust"),
+            (damping * F.col("distrust") * F.col("d")).alias("distrust"),
         )
-        behind = edges.join(now, edges["dst"] == now["host"]).select(
-            F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d")
+        return passed.unionByName(restart).groupBy("host").agg(
+            F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")
         )
-        got = ahead.unionByName(behind).groupBy("to").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        step = base.join(got, base["host"] == got["to"], "left").select(
-            "host",
-            ((1 - damping) * F.col("seed_trust") + damping * zero("t")).alias("trust"),
-            ((1 - damping) * F.col("seed_distrust") + damping * zero("d")).alias("distrust"),
-        )
-        after = checkpointed(step)
+
+    now = checkpointed(restart)
+    for _ in range(0, rounds_needed(damping, tolerance), JOB_ROUNDS):
+        after = now
+        for _ in range(JOB_ROUNDS):
+            after = step(after)
+        after = checkpointed(after)
         old = now.select(F.col("host").alias("h"), F.col("trust").alias("t"), F.col("distrust").alias("d"))
         moved = after.join(old, F.col("host") == F.col("h")).agg(
             F.max(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))
         ).first()[0]
+        forget(now)
         now = after
         if moved <= tolerance:
             break
-    return now.join(base, "host").select(
-        "host", "trust", "distrust", ((1 - damping) * F.col("seed_neutral")).alias("neutral")
-    )
+    return now.join(base.select("host", "neutral"), "host")
 
 
 def judge_urls(
@@ -146,7 +162,7 @@ def judge_urls(
             F.col("host").alias("__host"),
             "trust",
             "distrust",
-            (F.col("distrust") >= block_share * total - 1e-9).alias("__block"),
+            (F.col("distrust") >= block_share * total - SLACK).alias("__block"),
         )
     )
     joined = ruled.join(judged, F.col("host") == F.col("__host"), "left")
@@ -173,8 +189,8 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path",
         "rule",
         "verdict",
-        F.round("trust", 6).alias("trust"),
-        F.round("distrust", 6).alias("distrust"),
+        F.round("trust", 4).alias("trust"),
+        F.round("distrust", 4).alias("distrust"),
     )
 
 
@@ -210,20 +226,21 @@ edges AS (
 base AS (
   SELECT host, COALESCE(trust, 0) AS trust, COALESCE(distrust, 0) AS distrust
   FROM (SELECT host FROM seeds UNION SELECT src FROM edges UNION SELECT dst FROM edges) h LEFT JOIN seeds USING (host)),
+moves AS (
+  SELECT src AS a, dst AS b, along AS t, 0.0 AS d FROM edges UNION ALL SELECT dst, src, 0.0, back FROM edges
+  UNION ALL SELECT host, host, 0.0, 0.0 FROM base),
 walk AS (
   SELECT 0 AS round, host, {1 - DAMPING} * trust AS trust, {1 - DAMPING} * distrust AS distrust FROM base
   UNION ALL
-  SELECT MAX(w.round) + 1, b.host, ANY_VALUE({1 - DAMPING} * b.trust) + {DAMPING} * SUM(CASE WHEN e.dst = b.host THEN w.trust * e.along ELSE 0 END),
-         ANY_VALUE({1 - DAMPING} * b.distrust) + {DAMPING} * SUM(CASE WHEN e.src = b.host THEN w.distrust * e.back ELSE 0 END)
-  FROM walk w LEFT JOIN edges e ON w.host = e.src OR w.host = e.dst
-  JOIN base b ON b.host = w.host OR (e.src = w.host AND b.host = e.dst) OR (e.dst = w.host AND b.host = e.src)
-  WHERE w.round < {ROUNDS} AND EXISTS (SELECT 1 FROM edges)
-  GROUP BY b.host),
+  SELECT MAX(w.round) + 1, m.b, ANY_VALUE({1 - DAMPING} * s.trust) + {DAMPING} * SUM(w.trust * m.t), ANY_VALUE({1 - DAMPING} * s.distrust) + {DAMPING} * SUM(w.distrust * m.d)
+  FROM walk w JOIN moves m ON m.a = w.host JOIN base s ON s.host = m.b
+  WHERE w.round < {rounds_needed()} AND EXISTS (SELECT 1 FROM edges)
+  GROUP BY m.b),
 judged AS (
   SELECT w.host, w.trust, w.distrust,
-         w.distrust >= {BLOCK_SHARE} * (w.trust + w.distrust + {1 - DAMPING} * (1 - b.trust - b.distrust)) - 1e-9 AS blocked
+         w.distrust >= {BLOCK_SHARE} * (w.trust + w.distrust + {1 - DAMPING} * (1 - b.trust - b.distrust)) - {SLACK} AS blocked
   FROM walk w JOIN base b USING (host) WHERE w.round = (SELECT MAX(round) FROM walk))
 SELECT page_id, host, path, rule, COALESCE(said, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict,
-       ROUND(COALESCE(trust, 0), 6) AS trust, ROUND(COALESCE(distrust, 0), 6) AS distrust
+       ROUND(COALESCE(trust, 0), 4) AS trust, ROUND(COALESCE(distrust, 0), 4) AS distrust
 FROM ruled LEFT JOIN judged USING (host)
 """

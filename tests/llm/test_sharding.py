@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from routeloom.llm import sharding
 
 
@@ -64,3 +66,21 @@ def test_text_keys(spark):
     docs = spark.createDataFrame([(f"k{k}",) for k in range(200)] + [(None,)], "name string")
     got = sharding.shard_documents(docs, 4, "name").collect()
     assert {r["shard"] for r in got} == {0, 1, 2, 3}
+
+
+def test_slots_do_not_depend_on_partitions_or_settings(spark, odd):
+    """Rows of equal keys, here a dominant one and nulls, keep their slots however the table lies."""
+    many = odd.unionByName(odd.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(
+        spark.range(400).select(
+            F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"),
+            F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"),
+        )
+    )
+    slots = lambda df: sorted(map(str, sharding.shard_documents(df).collect()))
+    want = slots(many)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        assert slots(many.repartition(7)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
