@@ -162,8 +162,9 @@ class RoutePlanner:
         weights: Weights,
         edges: DataFrame,
         other: tuple[str, dict] | None = None,
+        described: list | None = None,
     ) -> dict:
-        described = self.describe([found, *([other[1]] if other else [])], edges)
+        described = described or self.describe([found, *([other[1]] if other else [])], edges)
         said = explain_search_result(
             found,
             described[0][0],
@@ -212,8 +213,8 @@ class RoutePlanner:
             for a in ALGORITHMS
         ]
         payloads = [
-            self.payload(r, a, start, goal, criterion, traffic_profile, weights, edges)
-            for a, r in zip(ALGORITHMS, found)
+            self.payload(r, a, start, goal, criterion, traffic_profile, weights, edges, described=[told])
+            for a, r, told in zip(ALGORITHMS, found, self.describe(found, edges))
         ]
         return {"request": payloads[0]["request"], "algorithms": payloads, "summary": summarize_comparison(found)}
 
@@ -263,6 +264,7 @@ class RoutePlanner:
             "route_geojson": line,
             "route_segments": segments,
             "comparison": both,
+            # What a tour's explanation says.
             "explanation": {
                 "headline": f"Visited {len(visited)} landmark(s) using {method}." if found["success"] else found["message"],
                 "optimality_note": found["optimality"],

@@ -63,8 +63,10 @@ def feature_collection(features: DataFrame, most: int = 100_000) -> dict:
 
 
 def to_markdown(df: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of a small result."""
-    rows = df.select(*[markdown(F.col(f"`{c}`")).alias(c) for c in df.columns]).limit(most).collect()
+    """A Markdown table of a result of at most `most` rows; more raise."""
+    rows = df.select(*[markdown(F.col(f"`{c}`")).alias(c) for c in df.columns]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them with write_json_lines")
     return "\n".join(
         [
             "| " + " | ".join(df.columns) + " |",
