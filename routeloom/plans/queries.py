@@ -278,22 +278,23 @@ def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0::BIGINT AS broken FROM d JOIN marks USING (node) WHERE s <> node AND s = (SELECT MIN(node) FROM marks)"
+    f"WITH RECURSIVE {E}, {MARKS}, {PAIRWISE} SELECT s AS start, node AS goal, cost, cost AS path_cost, 0::BIGINT AS broken FROM d JOIN marks USING (node) WHERE s <> node"
 )
 def dijkstra_pair_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths from the set-based search, chased back by parents, priced hop by hop and checked to consist of edges."""
+    """Paths of all pairs by the set-based search, chased back by parents, priced hop by hop and checked to consist of edges."""
     edges = base(spark, sf_dir)
-    marks = derived.basket_landmarks(edges)
-    source = marks.agg(F.min("node").alias("source"))
-    found = traversal.checkpointed(traversal.shortest_paths(edges, source, "cost_m"))
-    goals = F.broadcast(source).join(marks.select(F.col("node").alias("goal"))).where("source <> goal")  # 24 landmarks
-    way = traversal.checkpointed(traversal.paths(found, goals))
-    steps = routes.hops(way, "goal").join(edges, ["src", "dst"], "left").groupBy("goal").agg(
+    marks = traversal.checkpointed(derived.basket_landmarks(edges))
+    found = traversal.checkpointed(
+        traversal.shortest_paths(edges, marks.select(F.col("node").alias("source")), "cost_m")
+    )
+    goals = audit.ordered_pairs(marks).withColumnRenamed("start", "source")
+    way = traversal.checkpointed(traversal.paths(found, goals).withColumn("pair", F.struct("source", "goal")))
+    steps = routes.hops(way, "pair").join(edges, ["src", "dst"], "left").groupBy("pair.source", "pair.goal").agg(
         F.sum("cost_m").alias("path_cost"), F.count_if(F.col("cost_m").isNull()).alias("broken")
     )
-    return way.join(
-        found.select(F.col("source"), F.col("node").alias("goal"), "cost"), ["source", "goal"]
-    ).join(steps, "goal").select(F.col("source").alias("start"), "goal", "cost", "path_cost", "broken")
+    return way.join(found.select("source", F.col("node").alias("goal"), "cost"), ["source", "goal"]).join(
+        steps, ["source", "goal"]
+    ).select(F.col("source").alias("start"), "goal", "cost", "path_cost", "broken")
 
 
 @query(
@@ -450,7 +451,7 @@ def tour_compare_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_routes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Routes that orders take: the distinct parts of each, in the order of its lines, as far as hops lead; and costed edges."""
     graph = derived.basket_graph(derived.basket_edges(spark, sf_dir))
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity <= 15")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     steps = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     way = lines.groupBy(F.col("l_orderkey").alias("request_id")).agg(
         F.transform(steps, lambda x: x["l_partkey"].cast("string")).alias("path")

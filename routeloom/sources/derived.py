@@ -1,4 +1,4 @@
-"""A road graph derived from order lines: parts of one order, line by line, are hops."""
+"""A road graph derived from all order lines: parts of one order, line by line, are hops."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ SELECT l_partkey AS src,
        LEAD(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst,
        l_quantity / 10.0 AS distance_km, l_extendedprice / 10000.0 AS time_min,
        1.0 + l_discount * 40.0 AS congestion, l_tax * 62.5 AS risk, l_returnflag || l_linestatus AS flags
-FROM lineitem WHERE l_quantity <= 15"""
+FROM lineitem"""
 #: Parallel hops keep the fastest, and hops in place are dropped.
 EDGES_SQL = f"""
 SELECT src, dst, distance_km, time_min, congestion, risk,
