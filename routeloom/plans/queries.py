@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,16 @@ from routeloom.plans import audit
 from routeloom.plans.explain import METRICS, metric_leaders
 from routeloom.plans.schema import Graph, violations
 from routeloom.sources import derived
-from routeloom.sources.derived import EDGES_SQL, HOPS_SQL, LANDMARKS, LATITUDE_SQL, LONGITUDE_SQL
-from routeloom.sources.dimensions import PRESETS, PROFILES, presets, profiles
+from routeloom.sources.derived import (
+    EDGES_SQL,
+    HOPS_SQL,
+    LANDMARKS,
+    LATITUDE_SQL,
+    LONGITUDE_SQL,
+    ROADS_SQL,
+    TOWN_DEGREES,
+)
+from routeloom.sources.dimensions import PRESETS, PROFILES, ROAD_CLASSES, presets, profiles
 from routeloom.streaming.trace import display_steps, messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +48,18 @@ PAIRWISE = """d(s, node, cost) USING KEY (s, node) AS (
   LEFT JOIN recurring.d k ON k.s = d.s AND k.node = e.dst GROUP BY d.s, e.dst, k.cost
   HAVING k.cost IS NULL OR MIN(d.cost + e.cost_m) < k.cost)"""
 
+ROAD_ID = "'road_' || replace(replace(printf('%.7f', {lat}), '-', 'm'), '.', '_') || '_' || replace(replace(printf('%.7f', {lon}), '-', 'm'), '.', '_')"
+ROADS = f"""f AS ({ROADS_SQL}),
+p AS (SELECT *, {LATITUDE_SQL.format(k="src")} AS alat, {LONGITUDE_SQL.format(k="src")} + town * {TOWN_DEGREES} AS alon,
+  {LATITUDE_SQL.format(k="dst")} AS blat, {LONGITUDE_SQL.format(k="dst")} + town * {TOWN_DEGREES} AS blon FROM f),
+classes(road_type, class_kmh, congestion, risk) AS (VALUES {", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in ROAD_CLASSES.items())}),
+c AS (SELECT feature_ord, {ROAD_ID.format(lat="alat", lon="alon")} AS src, {ROAD_ID.format(lat="blat", lon="blon")} AS dst, alat, alon, blat, blon, name, oneway,
+  CASE WHEN highway IN ('primary', 'residential') THEN highway WHEN highway LIKE '[%' THEN 'secondary' ELSE 'unclassified' END AS road_type,
+  TRY_CAST(NULLIF(regexp_extract(maxspeed, '[0-9]+'), '') AS DOUBLE) AS v, GREATEST(COALESCE(TRY_CAST(length AS DOUBLE), 0) / 1000, 0.001) AS distance_km FROM p),
+roads AS (SELECT feature_ord, src, dst, alat, alon, blat, blon, road_type, distance_km, distance_km / CASE WHEN v BETWEEN 5 AND 100 THEN v ELSE class_kmh END * 60 AS time_min,
+  CAST(congestion AS DOUBLE) AS congestion, CAST(risk AS DOUBLE) AS risk, replace(name, 'Ð', 'Đ') AS name, CASE WHEN lower(oneway) IN ('true', '1', 'yes') THEN 'true' ELSE 'false' END AS oneway
+  FROM c JOIN classes USING (road_type) WHERE src <> dst)"""
+
 
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
@@ -112,14 +134,48 @@ def traffic_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {H}, o AS (SELECT src, dst, time_min, ROW_NUMBER() OVER (PARTITION BY src, dst ORDER BY time_min, distance_km, congestion, risk, flags) AS rn,
-  COUNT(*) OVER (PARTITION BY src, dst) AS parallel FROM h WHERE dst IS NOT NULL AND src <> dst)
-SELECT src, dst, parallel, ROUND(time_min, 6) AS time_min FROM o WHERE rn = 1 AND parallel > 1""")
+@query(f"""WITH {ROADS} SELECT feature_ord, src, dst, road_type, ROUND(distance_km, 9) AS distance_km, ROUND(time_min, 9) AS time_min, congestion, risk, name, oneway FROM roads""")
+def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw roads to directed edges: names of points, classes, speeds, lengths, text clean-up; loops go."""
+    found = etl.road_edges(derived.roads(spark, sf_dir))
+    return found.select(
+        "feature_ord",
+        "src",
+        "dst",
+        "road_type",
+        F.round("distance_km", 9).alias("distance_km"),
+        F.round("time_min", 9).alias("time_min"),
+        "congestion",
+        "risk",
+        F.col("metadata")["name"].alias("name"),
+        F.col("metadata")["oneway"].alias("oneway"),
+    )
+
+
+@query(f"""WITH {ROADS}, ends AS (SELECT src AS node_id, feature_ord * 2 AS first_ord, alat AS latitude, alon AS longitude FROM roads UNION ALL SELECT dst, feature_ord * 2 + 1, blat, blon FROM roads)
+SELECT node_id, MIN(first_ord) AS first_ord, ROUND(MIN(latitude), 7) AS latitude, ROUND(MIN(longitude), 7) AS longitude FROM ends GROUP BY node_id""")
+def road_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = etl.road_nodes(etl.road_edges(derived.roads(spark, sf_dir)))
+    return found.select(
+        "node_id",
+        "first_ord",
+        F.round("latitude", 7).alias("latitude"),
+        F.round("longitude", 7).alias("longitude"),
+    )
+
+
+@query(f"""WITH {ROADS} SELECT src, dst, MIN(feature_ord) AS feature_ord, ROUND(MIN(time_min), 9) AS time_min, arg_min(road_type, (time_min, feature_ord)) AS road_type, arg_min(name, (time_min, feature_ord)) AS name FROM roads GROUP BY src, dst""")
 def parallel_edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = derived.hops(spark, sf_dir).where("dst IS NOT NULL AND src <> dst")
-    return found.groupBy("src", "dst").agg(
-        F.count("*").alias("parallel"), F.round(F.min("time_min"), 6).alias("time_min")
-    ).where("parallel > 1")
+    """The fastest of parallel roads, in the place of the first one seen."""
+    found = etl.dedupe_parallel(etl.road_edges(derived.roads(spark, sf_dir)))
+    return found.select(
+        "src",
+        "dst",
+        "feature_ord",
+        F.round("time_min", 9).alias("time_min"),
+        "road_type",
+        F.col("metadata")["name"].alias("name"),
+    )
 
 
 @query(
@@ -199,36 +255,86 @@ POINT_ROWS = "points(point, lat, lon) AS (VALUES " + ", ".join(f"({k}, {a}, {b})
 @query(f"""WITH {POINT_ROWS}, {E}, {NODES},
 r AS (SELECT point, node, {haversine_sql('lat', 'lon', 'latitude', 'longitude')} AS km FROM points, n),
 t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY point ORDER BY ROUND(km, 9), node) AS rn FROM r)
-SELECT point, ROUND(km * 1000, 1) AS metres FROM t WHERE rn = 1""")
+SELECT point, node, ROUND(km * 1000, 1) AS metres FROM t WHERE rn = 1""")
 def nearest_node_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
     near = etl.nearest_nodes(nodes, [(str(k), a, b) for k, a, b in POINTS], 1)
     return spark.createDataFrame(
-        [(int(k), v[0][0]) for k, v in near.items()], "point int, km double"
-    ).select("point", F.round(F.col("km") * 1000, 1).alias("metres"))
+        [(int(k), int(v[0][2]), v[0][0]) for k, v in near.items()], "point int, node long, km double"
+    ).select("point", "node", F.round(F.col("km") * 1000, 1).alias("metres"))
 
 
-@query()
-def snap_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = etl.snap_exclusive(
         derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes, [(str(k), a, b) for k, a, b in POINTS]
     )
     return spark.createDataFrame(
-        [(int(k), node, round(km * 1000, 1)) for k, (node, km) in found.items()],
-        "point int, node string, metres double",
+        [(int(k), int(node), km * 1000) for k, (node, km) in found.items()],
+        "point int, node long, snapped_distance_m double",
+    )
+
+
+SNAPPED = f"""{POINT_ROWS}, {E}, {NODES},
+r AS (SELECT point, node, {haversine_sql('lat', 'lon', 'latitude', 'longitude')} AS km FROM points, n),
+s(point, node, km, taken) AS (
+  SELECT -1, NULL::BIGINT, NULL::DOUBLE, []::BIGINT[] UNION ALL
+  SELECT s.point + 1, arg_min(r.node, (ROUND(r.km, 9), r.node)), arg_min(r.km, (ROUND(r.km, 9), r.node)), list_append(s.taken, arg_min(r.node, (ROUND(r.km, 9), r.node)))
+  FROM s JOIN r ON r.point = s.point + 1 WHERE NOT list_contains(s.taken, r.node) GROUP BY s.point, s.taken)"""
+
+
+@query(f"WITH RECURSIVE {SNAPPED} SELECT point, node, ROUND(km * 1000, 1) AS metres FROM s WHERE point >= 0")
+def snap_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapped(spark, sf_dir).select("point", "node", F.round("snapped_distance_m", 1).alias("metres"))
+
+
+@query(
+    f"WITH RECURSIVE {SNAPPED} SELECT ROUND(AVG(km * 1000), 6) AS mean, ROUND(MAX(km * 1000), 6) AS maximum, COUNT(*) FILTER (WHERE km > 0.1) AS over_100_m FROM s WHERE point >= 0"
+)
+def landmark_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.offsets(snapped(spark, sf_dir)).select(
+        F.round("mean", 6).alias("mean"), F.round("maximum", 6).alias("maximum"), "over_100_m"
     )
 
 
 @query(f"""WITH {E}, {NODES},
 a AS (SELECT * FROM n WHERE node % 2 = 0), b AS (SELECT * FROM n WHERE node % 2 = 1)
 SELECT ROUND(MIN({haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS km FROM a, b""")
-def bridge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def closest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
     odd = F.col("node_ord") % 2
     _, _, km = etl.closest_pair(nodes.where(odd == 0), nodes.where(odd == 1))
     return spark.createDataFrame([(round(km, 6),)], "km double")
 
 
+@query(f"""WITH RECURSIVE {ROADS}, pairs AS (SELECT DISTINCT src, dst FROM roads), places AS (SELECT src AS node, ANY_VALUE(alat) AS latitude, ANY_VALUE(alon) AS longitude FROM roads GROUP BY src UNION SELECT dst, ANY_VALUE(blat), ANY_VALUE(blon) FROM roads GROUP BY dst),
+n AS (SELECT node, MIN(latitude) AS latitude, MIN(longitude) AS longitude, ROW_NUMBER() OVER (ORDER BY node) AS k FROM places GROUP BY node),
+e AS (SELECT a.k AS src, b.k AS dst FROM pairs JOIN n a ON a.node = pairs.src JOIN n b ON b.node = pairs.dst),
+r(s, node) USING KEY (s, node) AS (SELECT k, k FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r o ON o.s = r.s AND o.node = e.dst WHERE o.node IS NULL GROUP BY r.s, e.dst),
+scc AS (SELECT a.s AS node, MIN(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s),
+major AS (SELECT component, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, component) AS rank FROM scc GROUP BY component HAVING COUNT(*) >= {etl.MAJOR_COMPONENT}),
+m AS (SELECT n.*, rank FROM n JOIN scc ON scc.node = n.k JOIN major USING (component))
+SELECT b.rank - 1 AS connector, ROUND(MIN({haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS km, 2::BIGINT AS ways,
+  (SELECT COUNT(*) FROM pairs) + 2 * ((SELECT COUNT(*) FROM major) - 1) AS edges
+FROM m a JOIN m b ON a.rank < b.rank GROUP BY b.rank""")
+def bridge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connectors that join the towns, largest first: their length, edges made of each, and all edges then."""
+    listed = traversal.checkpointed(etl.road_edges(derived.roads(spark, sf_dir)))
+    nodes = traversal.checkpointed(etl.road_nodes(listed))
+    bridged, connectors = etl.bridge_components(nodes, traversal.checkpointed(etl.dedupe_parallel(listed)))
+    bridged = traversal.checkpointed(bridged)
+    asked = spark.createDataFrame(
+        [(k, a, b, round(km, 6)) for k, (a, b, km) in enumerate(connectors, 1)],
+        "connector long, a string, b string, km double",
+    )
+    made = bridged.where(F.col("metadata")["simulated_connector"] == "true").select(
+        F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")
+    )
+    ways = asked.join(made, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")))
+    return ways.groupBy("connector", "km").agg(F.count("*").alias("ways")).join(
+        F.broadcast(bridged.agg(F.count("*").alias("edges")))  # one row
+    )
+
+
 @query(f"""WITH RECURSIVE {E}, s AS (SELECT MIN(src) AS node FROM e),
 b(node, lvl) USING KEY (node) AS (
   SELECT node, 0 FROM s UNION
@@ -525,14 +631,24 @@ def first_road_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) AS hops FROM h WHERE dst IS NOT NULL GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, CAST(hops + 1 AS INTEGER) AS points FROM c JOIN k USING (request_id) WHERE hops = known"
+    f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) FILTER (WHERE dst IS NOT NULL) AS hops, string_agg(printf('%.4f %.4f', {LONGITUDE_SQL.format(k='src')}, {LATITUDE_SQL.format(k='src')}), ',' ORDER BY pos) AS line FROM h GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, CAST(hops + 1 AS INTEGER) AS points, line FROM c JOIN k USING (request_id) WHERE hops = known"
 )
 def route_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     way, edges = order_routes(spark, sf_dir)
     nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
     known = routes.broken_hops(way, edges).select("request_id").distinct()
     line = routes.route_coordinates(way.join(known, "request_id", "left_anti"), nodes, edges)
-    return line.select("request_id", F.size("coordinates").alias("points"))
+    shown = F.transform("coordinates", lambda p: F.format_string("%.4f %.4f", p[0], p[1]))
+    return line.select("request_id", F.size("coordinates").alias("points"), F.array_join(shown, ",").alias("line"))
+
+
+@query(f"WITH {ROUTES} SELECT DISTINCT request_id FROM seg WHERE road_type = 'primary'")
+def reconciled_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the same routes, the second with slower primary roads: those that the audit finds to differ."""
+    way, edges = order_routes(spark, sf_dir)
+    slow = edges.withColumn("time_min", F.col("time_min") * F.when(F.col("road_type") == "primary", 1.5).otherwise(1.0))
+    run = lambda e: routes.route_totals(routes.route_segments(way, e)).join(way, "request_id")
+    return audit.reconcile(run(edges), run(slow), ("request_id",))
 
 
 @query(f"""WITH {PRESET_ROWS}, {ROUTES},
@@ -573,8 +689,12 @@ def algorithm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {E} SELECT road_type, ROUND(MEDIAN(time_min), 8) AS median_time_min FROM e GROUP BY road_type")
 def median_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.basket_edges(spark, sf_dir).groupBy("road_type").agg(
-        F.round(F.median("time_min"), 8).alias("median_time_min")
+    """The audit's medians, with road types as contenders and minutes as their times."""
+    timed = derived.basket_edges(spark, sf_dir).select(
+        F.col("road_type").alias("algorithm"), F.col("time_min").alias("runtime_ms")
+    )
+    return audit.median_runtimes(timed).select(
+        F.col("algorithm").alias("road_type"), F.round("median_runtime_ms", 8).alias("median_time_min")
     )
 
 
@@ -583,16 +703,18 @@ PROFILE_COST = """CAST(ROUND(1000 * (distance_km + 0.4 * CASE p WHEN 'rush_hour'
   + 0.12 * CASE p WHEN 'rainy' THEN LEAST(5.0, risk + 1.2) ELSE risk END)) AS BIGINT)"""
 
 
-@query(f"""WITH RECURSIVE {E}, {MARKS}, p(p) AS (VALUES ('normal'), ('rush_hour'), ('rainy')), g AS (SELECT p, src, dst, {PROFILE_COST} AS w FROM e, p),
+PROFILED = f"""{E}, {MARKS}, p(p) AS (VALUES ('normal'), ('rush_hour'), ('rainy')), g AS (SELECT p, src, dst, {PROFILE_COST} AS w FROM e, p),
 d(p, s, node, cost) USING KEY (p, s, node) AS (
   SELECT p, node, node, 0::BIGINT FROM marks, p UNION
   SELECT d.p, d.s, g.dst, MIN(d.cost + g.w) FROM d JOIN g ON g.src = d.node AND g.p = d.p
   LEFT JOIN recurring.d k ON k.p = d.p AND k.s = d.s AND k.node = g.dst GROUP BY d.p, d.s, g.dst, k.cost
-  HAVING k.cost IS NULL OR MIN(d.cost + g.w) < k.cost)
-SELECT b.p AS traffic_profile, a.s AS start, a.node AS goal, a.cost AS base_cost, b.cost AS cost FROM d a JOIN d b ON b.s = a.s AND b.node = a.node JOIN marks m ON m.node = a.node
-WHERE a.p = 'normal' AND b.p <> 'normal' AND a.s <> a.node AND a.cost <> b.cost""")
-def scenario_changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose cheapest cost differs between traffic profiles; costs in whole thousandths, so equality is exact."""
+  HAVING k.cost IS NULL OR MIN(d.cost + g.w) < k.cost),
+x AS (SELECT b.p AS traffic_profile, a.s AS start, a.node AS goal, a.cost AS base_cost, b.cost AS cost FROM d a JOIN d b ON b.s = a.s AND b.node = a.node JOIN marks m ON m.node = a.node
+  WHERE a.p = 'normal' AND b.p <> 'normal' AND a.s <> a.node AND a.cost <> b.cost)"""
+
+
+def profile_costs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(start, goal, cost) of the landmarks' pairs in normal traffic, and (traffic_profile, ...) in the other profiles."""
     edges = base(spark, sf_dir)
     graph, marks = derived.basket_graph(edges), marks_of(edges)
     each = {}
@@ -602,40 +724,56 @@ def scenario_changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             1000 * (F.col("distance_km") + 0.4 * time + 0.08 * congestion + 0.12 * risk)
         ).cast("long").cast("double")
         net = searches.shared(Graph(graph.nodes, graph.edges.withColumn("cost", cost)))
-        each[profile] = searches.run_all_targets(
-            net, places(spark, marks, "source"), marks, paths=False
-        ).where("source <> node")
-    normal = each.pop("normal").select("source", "node", F.col("cost").alias("base_cost"))
-    out = None
-    for profile, found in each.items():
-        changed = found.join(normal, ["source", "node"]).where("cost <> base_cost").select(
+        found = searches.run_all_targets(net, places(spark, marks, "source"), marks, paths=False)
+        each[profile] = found.where("source <> node").select(
             F.lit(profile).alias("traffic_profile"),
             F.col("source").cast("long").alias("start"),
             F.col("node").cast("long").alias("goal"),
-            F.col("base_cost").cast("long").alias("base_cost"),
             F.col("cost").cast("long").alias("cost"),
         )
-        out = changed if out is None else out.unionByName(changed)
-    return out
+    normal = each.pop("normal").drop("traffic_profile")
+    return normal, reduce(DataFrame.unionByName, each.values())
 
 
-@query("""WITH x AS (SELECT l_orderkey AS request_id, l_partkey % 20 AS stop, l_linenumber AS pos FROM lineitem),
+@query(f"WITH RECURSIVE {PROFILED} SELECT * FROM x")
+def scenario_changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose cheapest cost differs between traffic profiles; costs in whole thousandths, so equality is exact."""
+    normal, others = profile_costs(spark, sf_dir)
+    return others.join(normal.withColumnRenamed("cost", "base_cost"), ["start", "goal"]).where("cost <> base_cost")
+
+
+@query(f"WITH RECURSIVE {PROFILED} SELECT DISTINCT start, goal FROM x")
+def changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.changed_pairs(*profile_costs(spark, sf_dir), "cost")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS request_id, l_partkey % 20 + 1 AS stop, l_linenumber AS pos FROM lineitem),
 d AS (SELECT request_id, stop, MIN(pos) AS pos, COUNT(*) AS n FROM x GROUP BY request_id, stop)
-SELECT request_id, array_to_string(LIST(stop ORDER BY pos, stop) FILTER (WHERE stop <> 0), ',') AS stops, CAST(SUM(CASE WHEN stop = 0 THEN n ELSE n - 1 END) AS BIGINT) AS removed FROM d GROUP BY request_id""")
+SELECT request_id, array_to_string(LIST(stop ORDER BY pos, stop) FILTER (WHERE stop <> 1), ',') AS stops, CAST(SUM(CASE WHEN stop = 1 THEN n ELSE n - 1 END) AS BIGINT) AS removed FROM d GROUP BY request_id""")
 def waypoint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stops of each order (parts modulo 20) without repeats and without the start, stop 0."""
+    """Stops of each order (1 and its parts modulo 20) as the tours' check leaves them, from node 1 on."""
+    net = searches.shared(derived.basket_graph(base(spark, sf_dir)))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_orderkey").alias("request_id"), (F.col("l_partkey") % 20).alias("stop"), "l_linenumber"
+        F.col("l_orderkey").alias("request_id"), (F.col("l_partkey") % 20 + 1).alias("stop"), "l_linenumber"
     )
     asked = lines.groupBy("request_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "stop"))), lambda x: x["stop"]).alias("all")
-    )
-    kept = F.filter(F.array_distinct("all"), lambda s: s != 0)
-    return asked.select(
-        "request_id",
-        F.when(F.size(kept) > 0, F.array_join(kept, ",")).alias("stops"),
-        (F.size("all") - F.size(kept)).cast("long").alias("removed"),
-    )
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("l_linenumber", "stop"))), lambda x: x["stop"].cast("string")
+        ).alias("stops")
+    )
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [tours.checked(net.value, "1", list(s)) for s in pdf["stops"]]
+            yield pd.DataFrame(
+                {
+                    "request_id": pdf["request_id"],
+                    "stops": [",".join(f.waypoints) or None for f in found],
+                    "removed": [len(f.repeated) for f in found],
+                }
+            )
+
+    return asked.mapInPandas(scan, "request_id long, stops string, removed long")
 
 
 @query(f"WITH {E}, {MARKS} SELECT a.node AS start, b.node AS goal FROM marks a JOIN marks b ON a.node <> b.node")

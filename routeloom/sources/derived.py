@@ -26,6 +26,21 @@ FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src, dst ORDER BY time_min, dist
 WHERE rn = 1"""
 LATITUDE_SQL, LONGITUDE_SQL = "(10.7 + ((({k}) * 7919) % 1000) / 10000.0)", "(106.6 + ((({k}) * 104729) % 1000) / 10000.0)"
 
+#: Every hop as a road with raw attributes; an order's town, one of four, is where its parts lie, so towns share no road.
+ROADS_SQL = """
+SELECT l_orderkey * 100000 + pos AS feature_ord, l_orderkey % 4 AS town, src, dst,
+       CASE flags WHEN 'AF' THEN 'primary' WHEN 'NF' THEN '["secondary", "service"]' WHEN 'NO' THEN 'residential' WHEN 'RF' THEN 'footway' END AS highway,
+       CASE q % 3 WHEN 1 THEN CAST(q * 3 AS STRING) || ' km/h' WHEN 2 THEN '["' || CAST(q AS STRING) || '", "60"]' END AS maxspeed,
+       CASE WHEN q % 10 <> 0 THEN CAST(q * 10 AS STRING) END AS length,
+       CASE l_linenumber % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'True' WHEN 2 THEN 'no' END AS oneway,
+       'Ðường ' || CAST(dst % 50 AS STRING) AS name
+FROM (SELECT l_orderkey, l_linenumber, l_partkey AS src, CAST(FLOOR(l_quantity) AS INT) AS q, l_returnflag || l_linestatus AS flags,
+             LEAD(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst,
+             ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
+      FROM lineitem) h
+WHERE dst IS NOT NULL"""
+TOWN_DEGREES = 0.25
+
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(
@@ -42,6 +57,21 @@ def basket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, EDGES_SQL)
 
 
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature_ord, points, properties) of ROADS_SQL, as `etl.read_roads` gives them."""
+
+    def point(key: str) -> Column:
+        latitude, longitude = place(F.col(key))
+        return F.array(longitude + F.col("town") * TOWN_DEGREES, latitude)
+
+    raw = ("highway", "maxspeed", "length", "oneway", "name")
+    return run_sql(spark, sf_dir, ROADS_SQL).select(
+        "feature_ord",
+        F.array(point("src"), point("dst")).alias("points"),
+        F.create_map(*[x for k in raw for x in (F.lit(k), F.col(k))]).alias("properties"),
+    )
+
+
 def place(key: Column) -> tuple[Column, Column]:
     return 10.7 + (key * 7919) % 1000 / 10000.0, 106.6 + (key * 104729) % 1000 / 10000.0
 
