@@ -8,12 +8,13 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from routeloom.functions.cost import profile_columns, weighted_cost
 from routeloom.functions.geo import haversine_km, haversine_sql, node_id
 from routeloom.functions.scalar import speed_kmh
 from routeloom.operators import etl, routes, searches, tours, traversal
-from routeloom.plans import audit
+from routeloom.plans import audit, reports
 from routeloom.plans.explain import METRICS, metric_leaders
 from routeloom.plans.schema import Graph, violations
 from routeloom.sources import derived
@@ -27,6 +28,7 @@ from routeloom.sources.derived import (
     TOWN_DEGREES,
 )
 from routeloom.sources.dimensions import PRESETS, PROFILES, ROAD_CLASSES, presets, profiles
+from routeloom.sources.graph_json import adjacency_json, graph_from_documents
 from routeloom.streaming.trace import display_steps, messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,13 +211,6 @@ def graph_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(Graph(graph.nodes.where(key("node_id") % 50 != 0), spoilt))
 
 
-@query(
-    f"WITH {E}, {NODES} SELECT (SELECT COUNT(*) FROM n) AS routable_nodes, (SELECT COUNT(*) FROM e) AS routable_edges, 0::BIGINT AS simulated_connectors, 0::BIGINT AS landmarks, 0::BIGINT AS unique_landmark_nodes"
-)
-def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.network_summary(derived.basket_graph(derived.basket_edges(spark, sf_dir)))
-
-
 @query(f"WITH {E}, {NODES} SELECT node, COUNT(e.src) AS out_degree FROM n LEFT JOIN e ON e.src = n.node GROUP BY node")
 def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = derived.basket_edges(spark, sf_dir)
@@ -296,6 +291,22 @@ def landmark_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"WITH RECURSIVE {SNAPPED} SELECT (SELECT COUNT(*) FROM n) AS routable_nodes, (SELECT COUNT(*) FROM e) AS routable_edges, 0::BIGINT AS simulated_connectors, COUNT(*) AS landmarks, COUNT(DISTINCT node) AS unique_landmark_nodes FROM s WHERE point >= 0"
+)
+def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = snapped(spark, sf_dir).withColumnRenamed("node", "snapped_node")
+    return etl.network_summary(derived.basket_graph(derived.basket_edges(spark, sf_dir)), marks)
+
+
+@query(
+    f"WITH {E}, {NODES} SELECT ROUND(MIN(latitude) - 500 / 110540.0, 8) AS south, ROUND(MAX(latitude) + 500 / 110540.0, 8) AS north, ROUND(MIN(longitude) - 500 / (111320.0 * COS(RADIANS(AVG(latitude)))), 8) AS west, ROUND(MAX(longitude) + 500 / (111320.0 * COS(RADIANS(AVG(latitude)))), 8) AS east FROM n"
+)
+def padded_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = etl.bounding_box(derived.basket_nodes(derived.basket_edges(spark, sf_dir)), 500.0)
+    return box.select(*[F.round(c, 8).alias(c) for c in box.columns])
+
+
 @query(f"""WITH {E}, {NODES},
 a AS (SELECT * FROM n WHERE node % 2 = 0), b AS (SELECT * FROM n WHERE node % 2 = 1)
 SELECT ROUND(MIN({haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS km FROM a, b""")
@@ -306,11 +317,28 @@ def closest_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(km, 6),)], "km double")
 
 
-@query(f"""WITH RECURSIVE {ROADS}, pairs AS (SELECT DISTINCT src, dst FROM roads), places AS (SELECT src AS node, ANY_VALUE(alat) AS latitude, ANY_VALUE(alon) AS longitude FROM roads GROUP BY src UNION SELECT dst, ANY_VALUE(blat), ANY_VALUE(blon) FROM roads GROUP BY dst),
+TOWNS = f"""{ROADS}, pairs AS (SELECT DISTINCT src, dst FROM roads), places AS (SELECT src AS node, ANY_VALUE(alat) AS latitude, ANY_VALUE(alon) AS longitude FROM roads GROUP BY src UNION SELECT dst, ANY_VALUE(blat), ANY_VALUE(blon) FROM roads GROUP BY dst),
 n AS (SELECT node, MIN(latitude) AS latitude, MIN(longitude) AS longitude, ROW_NUMBER() OVER (ORDER BY node) AS k FROM places GROUP BY node),
 e AS (SELECT a.k AS src, b.k AS dst FROM pairs JOIN n a ON a.node = pairs.src JOIN n b ON b.node = pairs.dst),
 r(s, node) USING KEY (s, node) AS (SELECT k, k FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r o ON o.s = r.s AND o.node = e.dst WHERE o.node IS NULL GROUP BY r.s, e.dst),
-scc AS (SELECT a.s AS node, MIN(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s),
+scc AS (SELECT a.s AS node, MIN(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s)"""
+
+
+@query(f"WITH RECURSIVE {TOWNS} SELECT a.node, b.node AS component FROM scc JOIN n a ON a.k = scc.node JOIN n b ON b.k = scc.component")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set-based components of the road graph, each named by its least node."""
+    listed = traversal.checkpointed(etl.road_edges(derived.roads(spark, sf_dir)).select("src", "dst"))
+    ends = listed.select(F.col("src").alias("node")).unionByName(listed.select(F.col("dst").alias("node")))
+    return traversal.strong_components(ends, listed).select("node", "component")
+
+
+@query(f"""WITH {ROADS}, k AS (SELECT arg_min(distance_km, (time_min, feature_ord)) AS km, arg_min(oneway, (time_min, feature_ord)) AS oneway FROM roads GROUP BY src, dst)
+SELECT COUNT(*) AS roads, ROUND(SUM(km), 3) AS length_km, COUNT(*) FILTER (WHERE oneway = 'true') AS one_way FROM k""")
+def road_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.road_totals(etl.dedupe_parallel(etl.road_edges(derived.roads(spark, sf_dir))))
+
+
+@query(f"""WITH RECURSIVE {TOWNS},
 major AS (SELECT component, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, component) AS rank FROM scc GROUP BY component HAVING COUNT(*) >= {etl.MAJOR_COMPONENT}),
 m AS (SELECT n.*, rank FROM n JOIN scc ON scc.node = n.k JOIN major USING (component))
 SELECT b.rank - 1 AS connector, ROUND(MIN({haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}), 6) AS km, 2::BIGINT AS ways,
@@ -642,6 +670,82 @@ def route_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("request_id", F.size("coordinates").alias("points"), F.array_join(shown, ",").alias("line"))
 
 
+LINE = lambda c: F.array_join(
+    F.transform(F.from_json(c, "array<array<double>>"), lambda p: F.format_string("%.4f %.4f", p[0], p[1])), ","
+)
+
+
+@query(
+    f"WITH {ROUTES}, c AS (SELECT request_id, COUNT(*) FILTER (WHERE dst IS NOT NULL) AS hops, string_agg(printf('%.4f %.4f', {LONGITUDE_SQL.format(k='src')}, {LATITUDE_SQL.format(k='src')}), ',' ORDER BY pos) AS line FROM h GROUP BY request_id), k AS (SELECT request_id, COUNT(*) AS known FROM seg GROUP BY request_id) SELECT request_id, 'Feature' AS type, 'LineString' AS shape, line FROM c JOIN k USING (request_id) WHERE hops = known"
+)
+def route_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routes as GeoJSON, read back."""
+    way, edges = order_routes(spark, sf_dir)
+    nodes = derived.basket_graph(derived.basket_edges(spark, sf_dir)).nodes
+    known = routes.broken_hops(way, edges).select("request_id").distinct()
+    lines = routes.route_coordinates(way.join(known, "request_id", "left_anti"), nodes, edges)
+    told = lambda path: F.get_json_object("geojson", path)
+    return routes.route_geojson(lines).select(
+        "request_id",
+        told("$.type").alias("type"),
+        told("$.geometry.type").alias("shape"),
+        LINE(told("$.geometry.coordinates")).alias("line"),
+    )
+
+
+@query(f"""WITH {ROADS}, k AS (SELECT src, dst, MIN(feature_ord) AS place, arg_min((road_type, distance_km, name, oneway, alat, alon, blat, blon), (time_min, feature_ord)) AS x FROM roads GROUP BY src, dst)
+SELECT src, CAST(ROW_NUMBER() OVER (PARTITION BY src ORDER BY place) - 1 AS INTEGER) AS edge_ord, dst, x[1] AS road_type, ROUND(x[2], 9) AS distance_km, x[3] AS name, x[4] AS oneway, printf('%.4f %.4f,%.4f %.4f', x[6], x[5], x[8], x[7]) AS line FROM k""")
+def road_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every road of the clean graph as a GeoJSON Feature, read back."""
+    listed = etl.road_edges(derived.roads(spark, sf_dir))
+    graph = etl.in_order(etl.road_nodes(listed), etl.dedupe_parallel(listed))
+    told = lambda path: F.get_json_object("feature", path)
+    return routes.roads_features(graph.edges, graph.nodes).select(
+        told("$.properties.from").alias("src"),
+        "edge_ord",
+        told("$.properties.to").alias("dst"),
+        told("$.properties.road_type").alias("road_type"),
+        F.round(told("$.properties.distance_km").cast("double"), 9).alias("distance_km"),
+        told("$.properties.name").alias("name"),
+        told("$.properties.oneway").alias("oneway"),
+        LINE(told("$.geometry.coordinates")).alias("line"),
+    )
+
+
+@query("""SELECT r_name AS src, CAST(ROW_NUMBER() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INTEGER) AS edge_ord, n_name AS dst, n_nationkey / 4.0 AS distance_km, n_nationkey / 2.0 AS time_min, 'nation ' || n_nationkey AS note
+FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def adjacency_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions with their nations written as an adjacency document (one row, as nations are few) and read back."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    nations, regions = read("nation"), read("region")
+    key = F.col("n_nationkey").cast("double")
+    edges = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("src"),
+        (F.row_number().over(W.partitionBy("r_name").orderBy("n_nationkey")) - 1).alias("edge_ord"),
+        F.col("n_name").alias("dst"),
+        (key / 4).alias("distance_km"),
+        (key / 2).alias("time_min"),
+        F.lit(1.0).alias("congestion"),
+        F.lit(0.0).alias("risk"),
+        F.lit("service").alias("road_type"),
+        F.create_map(F.lit("note"), F.concat(F.lit("nation "), F.col("n_nationkey"))).alias("metadata"),
+    )
+    named = regions.select("r_name", F.col("r_regionkey").cast("int")).unionAll(
+        nations.select("n_name", F.col("n_nationkey").cast("int") + 1000)
+    ).toDF("node_id", "node_ord")
+    nodes = named.select(
+        "node_id",
+        "node_ord",
+        F.lit(10.0).alias("latitude"),
+        F.lit(106.0).alias("longitude"),
+        F.col("node_id").alias("display_name"),
+    )
+    back = graph_from_documents(adjacency_json(Graph(nodes, edges)))
+    return back.edges.select(
+        "src", "edge_ord", "dst", "distance_km", "time_min", F.col("metadata")["note"].alias("note")
+    )
+
+
 @query(f"WITH {ROUTES} SELECT DISTINCT request_id FROM seg WHERE road_type = 'primary'")
 def reconciled_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the same routes, the second with slower primary roads: those that the audit finds to differ."""
