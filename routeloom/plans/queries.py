@@ -87,6 +87,11 @@ def places(spark: SparkSession, marks: list[str], name: str = "node") -> DataFra
     return spark.createDataFrame([(m,) for m in marks], f"{name} string")
 
 
+def base_pairs(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(start, goal): every ordered pair of the landmarks."""
+    return audit.ordered_pairs(places(spark, marks_of(edges)))
+
+
 def admissible_graph(edges: DataFrame) -> Graph:
     """The derived graph with edges at least as long as the great circle between their ends, at balanced cost."""
     graph = derived.basket_graph(edges)
@@ -438,7 +443,7 @@ def ucs_astar_dijkstra_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
     found = audit.run_matrix(
         searches.shared(admissible_graph(edges)),
-        audit.ordered_pairs(places(spark, marks_of(edges))),
+        base_pairs(spark, edges),
         ("ucs", "astar", "dijkstra"),
     )
     return audit.agreement(found).withColumn("max_delta", F.round("max_delta", 6))
@@ -446,7 +451,7 @@ def ucs_astar_dijkstra_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_algorithm(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     edges = base(spark, sf_dir)
-    wanted = audit.requests(audit.ordered_pairs(places(spark, marks_of(edges))), (name,))
+    wanted = audit.requests(base_pairs(spark, edges), (name,))
     return searches.run_searches(searches.shared(derived.basket_graph(edges)), wanted).drop("runtime_ms", "request_id")
 
 
@@ -776,7 +781,7 @@ def preset_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def algorithm_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
     found = audit.run_matrix(
-        searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges)))
+        searches.shared(admissible_graph(edges)), base_pairs(spark, edges)
     )
     return metric_leaders(
         found, ["start", "goal"], {k: v for k, v in METRICS.items() if k != "lowest_runtime"}
@@ -787,7 +792,7 @@ def algorithm_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def algorithm_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = base(spark, sf_dir)
     return audit.algorithm_means(
-        audit.run_matrix(searches.shared(admissible_graph(edges)), audit.ordered_pairs(places(spark, marks_of(edges))))
+        audit.run_matrix(searches.shared(admissible_graph(edges)), base_pairs(spark, edges))
     )
 
 
