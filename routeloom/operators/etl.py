@@ -13,12 +13,13 @@ from pyspark.sql import Window as W
 from routeloom.functions.geo import EARTH_RADIUS_KM, haversine_km, node_id, padding_degrees
 from routeloom.functions.scalar import road_type, speed_kmh, vietnamese
 from routeloom.operators import kernels
-from routeloom.operators.searches import MAX_EDGES
 from routeloom.operators.traversal import checkpointed, strong_components
 from routeloom.plans.schema import Graph, GraphError
 from routeloom.sources.dimensions import road_classes
 
 MIN_DISTANCE_KM, MAJOR_COMPONENT, MAX_OFFSET_M = 0.001, 20, 75.0
+#: Edges and nodes that the driver takes to find components by itself, as text and lists; more are left to tasks.
+HELD_EDGES = 500_000
 CONNECTOR_KMH, CONNECTOR_CONGESTION, CONNECTOR_RISK = 20.0, 2.0, 0.8
 
 
@@ -114,7 +115,7 @@ def road_nodes(edges: DataFrame) -> DataFrame:
     )
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame, most: int = MAX_EDGES) -> DataFrame:
+def component_labels(nodes: DataFrame, edges: DataFrame, most: int = HELD_EDGES) -> DataFrame:
     """(node_id, component): in one process if the graph is small (its size is checked), else set-based."""
     if edges.limit(most + 1).count() > most or nodes.limit(most + 1).count() > most:
         found = strong_components(nodes.select(F.col("node_id").alias("node")), edges)

@@ -210,3 +210,18 @@ def test_set_based_components(spark):
     named = nodes.withColumnRenamed("node", "node_id")
     assert {r["node_id"]: r["component"] for r in component_labels(named, edges).collect()} == want
     assert {r["node_id"]: r["component"] for r in component_labels(named, edges, most=3).collect()} == want
+
+
+def test_components_of_many_edges_are_not_gathered(spark, monkeypatch):
+    from routeloom.operators import etl
+
+    def fail(net):
+        raise AssertionError("all edges are on the driver")
+
+    monkeypatch.setattr(etl.kernels, "components", fail)
+    ids = spark.range(800).select(F.format_string("n%03d", "id").alias("node_id"))
+    edges = ids.toDF("src").crossJoin(ids.toDF("dst")).where("(src < 'n700') = (dst < 'n700')")
+    got = etl.component_labels(ids, edges.unionAll(ids.limit(1).select("node_id", F.lit("n799"))))
+    assert {r["component"]: r["n"] for r in etl.component_sizes(got).withColumnRenamed("size", "n").collect()} == {
+        "n000": 700, "n700": 100
+    }
