@@ -18,13 +18,14 @@ def display_steps(trace: DataFrame, rate: int = SAMPLE_RATE, shown: int = FRONTI
     """The expansions of each search as a display gets them: a short frontier, and only the newly visited node.
 
     Works on a stream too: how many nodes were visited is read from the step itself, so no step has to see another.
-    Every rate-th expansion is kept, and the first.
+    Every rate-th expansion is kept, and the first. A brief trace, of at least `shown` entries, gives the same.
     """
-    number = F.size("visited")
+    brief = "visited_size" in trace.columns
+    number, waiting = (F.col(f"{c}_size") if brief else F.size(c) for c in ("visited", "frontier"))
     steps = trace.where("event = 'expand'").where((number == 1) | (number % rate == 0))
     more = F.map_from_arrays(
         F.array(*map(F.lit, ("visited_count", "frontier_count", "sample_rate", "visited_encoding"))),
-        F.array(number.cast("string"), F.size("frontier").cast("string"), F.lit(str(rate)), F.lit("delta")),
+        F.array(number.cast("string"), waiting.cast("string"), F.lit(str(rate)), F.lit("delta")),
     )
     return steps.select(
         "request_id",

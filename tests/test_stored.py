@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from routeloom.operators import kernels, searches, stored, tours
 from routeloom.plans.schema import Graph, GraphError
+from routeloom.streaming.trace import display_steps
+from tests.graphs import net
 
 
 def town(spark, n=60, m=260):
@@ -24,23 +26,23 @@ def town(spark, n=60, m=260):
 
 def test_a_stored_graph_gives_what_one_in_memory_gives(spark):
     graph = town(spark)
-    net, large = searches.in_memory(graph), searches.shared(graph, 50)
+    whole, large = searches.in_memory(graph), searches.shared(graph, 50)
     assert isinstance(large.value, stored.StoredNetwork)
     small = stored.stored(graph, 60, 260, 17)  # of several parts
-    assert len(small.targets.names) > 3 and list(small.ids) == net.ids
+    assert len(small.targets.names) > 3 and list(small.ids) == whole.ids
     asked = [(a, s, g) for a in kernels.MESSAGES for s in ("ö0", "ö7", "ö59") for g in ("ö3", "ö58", "ö59")]
     plain = lambda r: {k: v for k, v in r.items() if k != "runtime_ms"}
-    want = [plain(r) for r in kernels.search_many(net, asked)]
+    want = [plain(r) for r in kernels.search_many(whole, asked)]
     for other in (small, large.value):
         assert [plain(r) for r in kernels.search_many(other, asked)] == want
-        assert kernels.all_targets(other, "ö5")[3]["path"] == kernels.all_targets(net, "ö5")[3]["path"]
+        assert kernels.all_targets(other, "ö5")[3]["path"] == kernels.all_targets(whole, "ö5")[3]["path"]
         stops = ["ö9", "ö4", "ö9", "ö21"]
-        assert tours.checked(other, "ö1", stops) == tours.checked(net, "ö1", stops)
+        assert tours.checked(other, "ö1", stops) == tours.checked(whole, "ö1", stops)
         with pytest.raises(GraphError, match="does not exist"):
             tours.checked(other, "ö1", ["ö60"])
     sources = spark.createDataFrame([("ö0",), ("ö7",)], "source string")
     rows = lambda n: sorted(map(tuple, searches.run_all_targets(n, sources, paths=False).collect()))
-    assert rows(large) == rows(spark.sparkContext.broadcast(net))
+    assert rows(large) == rows(spark.sparkContext.broadcast(whole))
 
 
 def test_a_stored_graph_is_checked(spark):
@@ -50,3 +52,36 @@ def test_a_stored_graph_is_checked(spark):
             searches.shared(Graph(graph.nodes, graph.edges.withColumn("cost", cost)), 50)
     with pytest.raises(Exception, match="not a node"):
         searches.shared(Graph(graph.nodes.where("node_id <> 'ö1'"), graph.edges), 50)
+
+
+def test_brief_traces_say_what_whole_ones_say(spark):
+    graph = town(spark)
+    sent = spark.sparkContext.broadcast(searches.in_memory(graph))
+    wanted = spark.createDataFrame(
+        [(k, "ö0", "ö58", a) for k, a in enumerate(kernels.MESSAGES)],
+        "request_id long, start string, goal string, algorithm string",
+    )
+    whole = searches.run_traces(sent, wanted).cache()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    counted = whole.select(
+        "request_id",
+        "index",
+        "event",
+        "current_node",
+        F.slice("frontier", 1, 5).alias("frontier"),
+        F.size("frontier").alias("frontier_size"),
+        F.size("visited").alias("visited_size"),
+        "details",
+    )
+    assert rows(searches.run_traces(sent, wanted, shown=5)) == rows(counted)
+    shown = searches.run_traces(sent, wanted, shown=5, events=("expand",))
+    assert rows(display_steps(shown, 2, 5)) == rows(display_steps(whole, 2, 5))
+
+
+def test_a_step_of_a_brief_trace_costs_the_same_in_a_long_search():
+    """A star of 20,000 nodes: whole steps would hold 400 million entries."""
+    steps = []
+    star = {"hub": [(f"n{k}", 1) for k in range(20_000)]} | {f"n{k}": [] for k in range(20_000)}
+    kernels.search(net(star), "dijkstra", "hub", "n19999", on_step=steps.append, shown=3, events=("expand",))
+    assert len(steps) == 20_001 and steps[1]["frontier_size"] == 19_999 and len(steps[1]["frontier"]) == 3
+    assert [e["node"] for e in steps[2]["frontier"]] == ["n2", "n3", "n4"]
