@@ -225,3 +225,20 @@ def test_components_of_many_edges_are_not_gathered(spark, monkeypatch):
     assert {r["component"]: r["n"] for r in etl.component_sizes(got).withColumnRenamed("size", "n").collect()} == {
         "n000": 700, "n700": 100
     }
+
+
+def test_links_are_not_shuffled_for_a_small_frontier(spark, monkeypatch):
+    links = traversal.checkpointed(spark.range(1000).selectExpr("id AS src", "(id * 7 + 3) % 50 AS dst", "id % 9 + 1 AS w"))
+    start = spark.createDataFrame([(1,), (5,)], "source long")
+    frontier = start.withColumn("node", F.col("source"))
+    plan = lambda n: traversal.onward(frontier, links, n)._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning" not in plan(2) and "hashpartitioning" in plan(traversal.SENT_ENTRIES + 1)
+        rows = lambda: sorted(map(tuple, traversal.shortest_paths(links, start, "w").collect()))
+        sent = rows()
+        monkeypatch.setattr(traversal, "SENT_ENTRIES", 0)
+        assert rows() == sent and len(sent) > 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
