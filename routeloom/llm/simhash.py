@@ -142,15 +142,6 @@ def near(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> Iterator[tu
         yield from within(fp, held, row, block, held.absent[block] | before, radius)
 
 
-def near_asked(
-    asked: np.ndarray, asked_group: np.ndarray, fp: np.ndarray, group: np.ndarray, radius: int
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (a, b) such that asked[a] and fp[b] are of one group and differ in at most `radius` bits."""
-    held = blocks(fp, group, int(max(asked_group.max(initial=-1), group.max(initial=-1))) + 1)
-    for row, block in entries(held.first[asked_group], held.count[asked_group]):
-        yield from within(asked, held, row, block, held.absent[block], radius)
-
-
 def spanning(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """For each of n places the smallest one that the links connect it with."""
     root = np.arange(n)

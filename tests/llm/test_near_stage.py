@@ -93,6 +93,54 @@ def test_one_dominant_group(spark, monkeypatch, chunk, first):
     assert got == plain_groups(rows)
 
 
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    # pairs have a Jaccard likeness of about 0.6, so most share a band and few are alike
+    rows = [(k, " ".join(f"x{rng.randrange(5000)}" if rng.random() < 0.03 else w for w in base)) for k in range(300)]
+    written, write = [], similar.checkpointed
+
+    def counted(df):
+        written.append((out := write(df)).count())
+        return out
+
+    monkeypatch.setattr(similar, "checkpointed", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.stage_groups(docs).collect()}
+    assert got == plain_groups(rows)
+    assert max(written) <= similar.BANDS * len(rows)  # there are 44,850 pairs
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_spanning_links(sides):
+    rng = np.random.default_rng(sides)
+    base = rng.integers(1 << 63, size=400, dtype=np.uint64)
+    sets, side = [], rng.integers(sides, size=60)
+    for _ in side:
+        kept = base[: rng.integers(40, 400)]
+        kept = kept[rng.random(len(kept)) > 0.05]
+        sets.append(np.unique(np.concatenate([kept, rng.integers(1 << 63, size=3, dtype=np.uint64)])))
+    prints = np.stack([similar.wide_fingerprint(s) for s in sets])
+
+    def roots(pairs):
+        root = list(range(len(sets)))
+        for a, b in pairs:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+        return root
+
+    every = []
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9 and (sides == 1 or side[a] != side[b]):
+                every.append((a, b))
+    links = similar.spanning_links(sets, prints, side)
+    assert set(map(frozenset, links)) <= set(map(frozenset, every))
+    assert roots(links) == roots(every)
+    assert len(links) == len(sets) - len(set(roots(every))) < len(every)
+
+
 def test_fingerprints_of_alike_sets_are_within_the_radius():
     rng = np.random.default_rng(1)
     far = 0
