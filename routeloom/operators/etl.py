@@ -231,7 +231,9 @@ def bridge_components(
         "base_risk": F.lit(str(CONNECTOR_RISK)),
     }
     last = edges.agg(F.max("feature_ord")).first()[0] or 0
-    replaced = edges.select("src", "dst", F.col("feature_ord").alias("__old"))
+    replaced = edges.join(F.broadcast(lines.select("src", "dst")), ["src", "dst"]).select(
+        "src", "dst", F.col("feature_ord").alias("__old")
+    )
     made = lines.join(at("src"), "src").join(at("dst"), "dst").join(replaced, ["src", "dst"], "left").select(
         F.coalesce("__old", F.col("k") + last + 1).alias("feature_ord"),
         "src",

@@ -468,3 +468,20 @@ def test_access_points_cut_roads(spark, files):
         for r in (roads, cut)
     )
     assert before == pytest.approx(after)
+
+
+def test_bridge_query_writes_each_edge_once_and_no_metadata(spark, sf_dir, monkeypatch):
+    from routeloom.operators import traversal
+    from routeloom.plans import queries
+
+    written, write = [], traversal.checkpointed
+
+    def counted(df):
+        written.append(out := write(df))
+        return out
+
+    monkeypatch.setattr(queries.traversal, "checkpointed", counted)
+    edges = queries.bridge_components(spark, sf_dir).first()["edges"]
+    wide = [df for df in written if "metadata" in df.columns]
+    assert [df.where("size(metadata) > 0").count() for df in wide] == [0]
+    assert wide[0].count() <= edges
