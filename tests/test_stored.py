@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from routeloom.operators import kernels, searches, stored, tours
 from routeloom.plans.schema import Graph, GraphError
+from routeloom.sources import derived
 from routeloom.streaming.trace import display_steps
+from tests.conftest import same_rows
 from tests.graphs import net
 
 
@@ -85,3 +87,24 @@ def test_a_step_of_a_brief_trace_costs_the_same_in_a_long_search():
     kernels.search(net(star), "dijkstra", "hub", "n19999", on_step=steps.append, shown=3, events=("expand",))
     assert len(steps) == 20_001 and steps[1]["frontier_size"] == 19_999 and len(steps[1]["frontier"]) == 3
     assert [e["node"] for e in steps[2]["frontier"]] == ["n2", "n3", "n4"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_derived_edges_are_sorted_once_and_numbered_without_a_window(spark, sf_dir):
+    """60 times sf0.1 had a sort of all hops ahead of the shuffle, and the edges' order as a window of its own."""
+    edges = derived.basket_edges(spark, sf_dir)
+    assert "WindowGroupLimit" not in plan_of(edges)
+    same_rows(edges.toPandas(), derived.run_sql(spark, sf_dir, derived.EDGES_SQL).toPandas())
+    kept = spark.createDataFrame(edges.limit(50).collect(), edges.schema)
+    assert "Window" not in plan_of(derived.basket_graph(kept).edges)
+
+
+def test_a_stored_graph_says_which_edge_has_a_bad_cost(spark):
+    graph = town(spark)
+    bad = graph.edges.withColumn("cost", F.when(F.col("edge_ord") == 9, -2.0).otherwise(F.col("cost")))
+    row = bad.where("edge_ord = 9").first()
+    with pytest.raises(GraphError, match=f"'{row['src']}' -> '{row['dst']}' is not non-negative: -2.0"):
+        stored.stored(Graph(graph.nodes, bad), 60, 260, 17)
