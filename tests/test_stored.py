@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routeloom.operators import kernels, searches, stored, tours
+from routeloom.plans import queries
 from routeloom.plans.schema import Graph, GraphError
 from routeloom.sources import derived
 from routeloom.streaming.trace import display_steps
@@ -108,3 +109,14 @@ def test_a_stored_graph_says_which_edge_has_a_bad_cost(spark):
     row = bad.where("edge_ord = 9").first()
     with pytest.raises(GraphError, match=f"'{row['src']}' -> '{row['dst']}' is not non-negative: -2.0"):
         stored.stored(Graph(graph.nodes, bad), 60, 260, 17)
+
+
+def test_scenarios_share_one_stored_graph(spark, sf_dir, monkeypatch):
+    """Each profile's graph was stored whole, though only costs differ."""
+    made, store = [], stored.stored_each
+    monkeypatch.setattr(searches, "stored_each", lambda *a: made.append(a) or store(*a))
+    monkeypatch.setattr(searches.shared_each, "__defaults__", (50,))
+    large = sorted(map(tuple, queries.scenario_changed_pairs(spark, sf_dir).collect()))
+    assert len(made) == 1
+    monkeypatch.undo()
+    assert large == sorted(map(tuple, queries.scenario_changed_pairs(spark, sf_dir).collect())) and large
