@@ -120,3 +120,22 @@ def test_scenarios_share_one_stored_graph(spark, sf_dir, monkeypatch):
     assert len(made) == 1
     monkeypatch.undo()
     assert large == sorted(map(tuple, queries.scenario_changed_pairs(spark, sf_dir).collect())) and large
+
+
+def test_names_that_are_not_asked_for_are_not_read(spark, monkeypatch):
+    """Each of 3,312 searches named its whole visit, and each name was read from the files again."""
+    net, read = stored.stored(town(spark), 60, 260, 17), []
+    look = stored.Names.read
+    monkeypatch.setattr(stored.Names, "read", lambda self, n: read.append(n) or look(self, n))
+    asked = [(a, "ö0", g) for a in kernels.MESSAGES for g in ("ö3", "ö58")]
+    brief = kernels.search_many(net, asked, visited=False)
+    assert all(r["visited_order"] is None for r in brief) and len(read) == len(set(read))
+    whole = kernels.search_many(net, asked)
+    assert len(read) == len(set(read)) and all(len(r["visited_order"]) == r["expanded_nodes"] for r in whole)
+    plain = lambda r: {k: v for k, v in r.items() if k not in ("runtime_ms", "visited_order")}
+    assert list(map(plain, whole)) == list(map(plain, brief))
+
+
+def test_admissible_costs_need_no_join(spark, sf_dir):
+    edges = spark.createDataFrame(derived.basket_edges(spark, sf_dir).limit(50).collect(), queries.derived.basket_edges(spark, sf_dir).schema)
+    assert "Join" not in plan_of(queries.admissible_graph(edges).edges)
