@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from routeloom.operators import kernels, searches, stored, tours
+from routeloom.operators import kernels, searches, stored, tours, traversal
 from routeloom.plans import queries
 from routeloom.plans.schema import Graph, GraphError
 from routeloom.sources import derived
@@ -139,3 +139,13 @@ def test_names_that_are_not_asked_for_are_not_read(spark, monkeypatch):
 def test_admissible_costs_need_no_join(spark, sf_dir):
     edges = spark.createDataFrame(derived.basket_edges(spark, sf_dir).limit(50).collect(), queries.derived.basket_edges(spark, sf_dir).schema)
     assert "Join" not in plan_of(queries.admissible_graph(edges).edges)
+
+
+def test_links_of_cheapest_paths_are_not_grouped_first(spark, monkeypatch):
+    plans, write = [], traversal.written
+    monkeypatch.setattr(traversal, "written", lambda df: plans.append(plan_of(df)) or write(df))
+    rows = [(1, 2, 5), (1, 2, 3), (1, 2, None), (2, 3, 1), (1, 3, None)]
+    edges = spark.createDataFrame(rows, "src long, dst long, cost long")
+    found = traversal.shortest_paths(edges, spark.createDataFrame([(1,)], "source long")).collect()
+    assert sorted((r["node"], r["cost"], r["hops"]) for r in found) == [(1, 0, 0), (2, 3, 1), (3, 4, 2)]
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
